@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, simhash, toxicity
-from .common import table
+from . import audio, licenses, lines, mixing, simhash, toxicity, urls
+from .common import cut, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,26 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features)}
-ORACLES: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("size")))
+    mixed = mixing.mix(sized, sized)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op7_mixing, op10_license_scan)}
+ORACLES: dict[str, str] = {"op4_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op10_license_scan": licenses.oracle()}
