@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, licenses, lines, mixing, simhash, toxicity, urls
+from . import audio, licenses, lines, mixing, packing, simhash, toxicity, urls, weighted
 from .common import cut, table
 
 
@@ -35,16 +35,24 @@ def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("size")))
     mixed = mixing.mix(sized, sized)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"))
 
 
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op7_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op6_packing, op7_mixing, op8_weighted_fingerprints, op10_license_scan)}
 ORACLES: dict[str, str] = {"op4_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op10_license_scan": licenses.oracle()}
