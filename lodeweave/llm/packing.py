@@ -107,6 +107,19 @@ def _knapsack(values: np.ndarray) -> tuple[float, np.ndarray]:
     return float(best[CLASSES]), taken
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps with row pivots, without BLAS."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        rest = np.arange(n) != k
+        work[rest] -= np.outer(work[rest, k], work[k])
+    return work[:, n:]
+
+
 def cutting_stock(demand: np.ndarray, most_columns: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns (count of each class) and how many sequences take each, covering ``demand``.
 
@@ -120,8 +133,9 @@ def cutting_stock(demand: np.ndarray, most_columns: int = 3000) -> list[tuple[np
     sizes = used + 1
     basis = np.zeros((len(used), len(used)))
     basis[np.arange(len(used)), np.arange(len(used))] = CLASSES // sizes
-    x = demand[used] / np.diag(basis)
-    inverse = np.linalg.inv(basis)
+    asked = demand[used] + 1e-4 * (1 + np.arange(len(used))) / len(used)  # apart, so that no two rows tie for long
+    x = asked / np.diag(basis)
+    inverse = np.diag(1 / np.diag(basis))
     for step in range(most_columns):
         price = inverse.sum(0)
         full = np.zeros(CLASSES)
@@ -130,7 +144,7 @@ def cutting_stock(demand: np.ndarray, most_columns: int = 3000) -> list[tuple[np
         if value <= 1 + 1e-9:
             break
         column = taken[used].astype(float)
-        direction = inverse @ column
+        direction = np.einsum("ij,j->i", inverse, column)  # small: not worth BLAS threads
         ratios = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         leave = int(ratios.argmin())
         if not np.isfinite(ratios[leave]):
@@ -139,11 +153,11 @@ def cutting_stock(demand: np.ndarray, most_columns: int = 3000) -> list[tuple[np
         inverse[leave] /= direction[leave]
         others = np.arange(len(used)) != leave
         inverse[others] -= np.outer(direction[others], inverse[leave])
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand[used], 0)
+        if step % 500 == 499:
+            inverse = _inverse(basis)
+        x = np.maximum(np.einsum("ij,j->i", inverse, asked), 0)
     plan, left = [], demand.copy()
-    for k, times in enumerate(np.floor(x + 1e-9).astype(np.int64)):
+    for k, times in enumerate(np.floor(x).astype(np.int64)):
         pattern = np.zeros(CLASSES, np.int64)
         pattern[used] = np.rint(basis[:, k]).astype(np.int64)
         if times > 0:
