@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, licenses, lines, mixing, packing, simhash, toxicity, urls, weighted
+from . import audio, licenses, lines, mixing, packing, repeats, simhash, toxicity, urls, weighted
 from .common import cut, table
 
 
@@ -49,10 +49,15 @@ def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op6_packing, op7_mixing, op8_weighted_fingerprints, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op6_packing, op7_mixing, op8_weighted_fingerprints, op9_suffix_dedup, op10_license_scan)}
 ORACLES: dict[str, str] = {"op4_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op10_license_scan": licenses.oracle()}
