@@ -1,0 +1,6 @@
+"""All queries of this package, with the SQL that checks them."""
+
+from . import library
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "library"]
