@@ -1,6 +1,6 @@
 """All queries of this package, with the SQL that checks them."""
 
-from . import library
+from . import library, taxonomy
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "library"]
+__all__ = ["ORACLES", "QUERIES", "library", "taxonomy"]
