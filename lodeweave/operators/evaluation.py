@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import ordered_groups
+
 KEYS = ["doc_id", "group_no", "kind", "number"]
 
 
@@ -51,12 +52,10 @@ def most_matches(edges: dict[int, list[int]]) -> int:
 def figure_matches(candidates: DataFrame, least: float = 0.5) -> DataFrame:
     """Most figures of each document matched one to one among candidate pairs ``(doc_id, truth, result, iou)``."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list) -> list[tuple]:
         edges: dict[int, list[int]] = {}
-        for t, r, x in zip(pdf["truth"], pdf["result"], pdf["iou"]):
-            edges.setdefault(int(t), [])
-            if x >= least:
-                edges[int(t)].append(int(r))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "matched": [most_matches(edges)]})
+        for r in rows:
+            edges.setdefault(r.truth, []).extend([r.result] if r.iou >= least else [])
+        return [(rows[0].doc_id, most_matches(edges))]
 
-    return candidates.groupBy("doc_id").applyInPandas(run, "doc_id long, matched int")
+    return ordered_groups(candidates, "doc_id", ["truth", "result"], run, "doc_id long, matched int")

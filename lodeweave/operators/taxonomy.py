@@ -23,16 +23,15 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``roots`` has one column ``root``. The depth of a taxonomy bounds the rounds.
     """
-    down = hierarchy(edges)
-    reached = roots.select("root", F.col("root").alias("tag")).distinct()
-    count = reached.count()
+    down = hierarchy(edges).cache()
+    new = roots.select("root", F.col("root").alias("tag")).distinct().cache()
+    reached = new
     for _ in range(MOST_DEPTH):
-        step = reached.join(down, reached["tag"] == down["parent"]).select("root", F.col("child").alias("tag"))
-        reached = reached.union(step).distinct()
-        grown = reached.count()
-        if grown == count:
+        step = new.join(down, new["tag"] == down["parent"]).select("root", F.col("child").alias("tag")).distinct()
+        new = step.join(reached, ["root", "tag"], "left_anti").cache()  # each round joins what the last one found only
+        if new.isEmpty():
             return reached
-        count = grown
+        reached = reached.union(new)
     raise ValueError(f"the hierarchy is deeper than {MOST_DEPTH} or has a cycle")
 
 
@@ -56,10 +55,10 @@ def chapters(edges: DataFrame, tags: DataFrame) -> DataFrame:
 
 def unsorted_rest(edges: DataFrame) -> DataFrame:
     """Nodes that no round of taking away parentless nodes removes; some if and only if there is a cycle."""
-    left = hierarchy(edges)
+    left = hierarchy(edges).cache()
     count = left.count()
     while True:
-        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").cache()
         now = left.count()
         if now == count or now == 0:
             return left.select(F.col("parent").alias("tag")).union(left.select("child")).distinct()
@@ -148,7 +147,7 @@ def layers(edges: DataFrame) -> DataFrame:
         after = depth.join(deeper, depth["tag"] == deeper["_c"], "left").select("tag", F.greatest("depth", F.coalesce("_d", F.lit(0))).alias("depth"))
         if after.agg(F.sum("depth")).first() == depth.agg(F.sum("depth")).first():
             break
-        depth = after
+        depth = after.cache()
     placed = depth.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("tag")))
     above = down.join(placed.select(F.col("tag").alias("parent"), "place"), "parent").groupBy(F.col("child").alias("tag")).agg(F.avg("place").alias("_m"))
     order = Window.partitionBy("depth").orderBy(F.coalesce("_m", F.lit(0.0)), "tag")
