@@ -1,6 +1,6 @@
 """All queries of this package, with the SQL that checks them."""
 
-from . import layout, library, taxonomy
+from . import layout, library, taxonomy, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "layout", "library", "taxonomy"]
+__all__ = ["ORACLES", "QUERIES", "layout", "library", "taxonomy", "text"]
