@@ -57,6 +57,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` but those that a result replaces."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, whole
+from .common import ascii_lower, cut, whole, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that the contract fixes, and further ones: (label, phrase).
@@ -46,7 +46,7 @@ def postings(docs: DataFrame, templates=BASE + MORE) -> DataFrame:
     """``docs`` without text, plus ``n_words`` and ``places``: (word, places from 0) of template words."""
     words = F.regexp_extract_all(ascii_lower(whole()), F.lit(WORD), F.lit(0))
     hits = F.filter(F.transform(F.col("_w"), lambda w, i: F.when(w.isin(_vocabulary(templates)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    rest = [c for c in docs.columns if c not in ("text", "n_words", "hits", "_w")]
+    rest = without(docs, "text", "n_words", "hits", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     return docs.select(*rest, words.alias("_w")).select(*rest, F.size("_w").cast("long").alias("n_words"), hits.alias("hits"))
 
 
@@ -87,7 +87,7 @@ def _starts(phrase: str, n: dict[str, int], documents: int) -> Column:
 def scan(docs: DataFrame, base=BASE, more=MORE) -> DataFrame:
     """``docs`` without text, plus n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    A null or empty text has no words and no labels; every row stays. A start
+    Columns of the result's names are replaced. A null or empty text has no words and no labels; every row stays. A start
     counts once for each phrase that stands there. The score is n / (n + 1)
     for n places of any phrase.
     """

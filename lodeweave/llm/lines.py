@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 #: Sites from which a line is boilerplate; shortest line that counts; size of the sketches.
 SITES, LEAST_CHARS, LG_K = 8, 12, 12
@@ -48,7 +48,7 @@ def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     Every row stays, also if nothing of its text is left; a null text stays
     null; lines on rows with a null source count for no site; rows that repeat
     are treated alike; ``n_chars``, where there is one, follows the new text.
-    Lines compare without outer spaces and count from ``LEAST_CHARS``.
+    Columns ``n_lines`` and ``n_removed`` are replaced. Lines compare without outer spaces and count from ``LEAST_CHARS``.
     """
     found = cut(boilerplate(docs, sites))
     gone = _hashed(docs).join(found, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
@@ -58,7 +58,7 @@ def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     out = joined.withColumns({"n_lines": F.size(_split()), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "_kept": kept}).withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_removed")).alias("n_removed"))
+    return out.select(*without(docs, "n_lines", "n_removed"), "n_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_removed")).alias("n_removed"))
 
 
 #: DuckDB SQL for the query's rows.

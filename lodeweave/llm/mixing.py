@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, whole
+from .common import WORD, cut, whole, without
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, 7
 #: Hex digits of the hash that name a bucket; most sources for a broadcast of their table.
@@ -75,22 +75,24 @@ def mix(docs: DataFrame, sized: DataFrame | None = None, seed: int = SEED, **rul
 
     A null text has size 0, a null source is a source, the last one; rows that
     repeat a doc_id share its place in the order; an empty table gives an empty
-    one; a document is never taken more than the epochs' cap.
+    one; columns of the result's names are replaced; a document is never taken more than the epochs' cap.
     """
     if sized is None:
         sized = cut(docs.select("doc_id", "source", words().alias("size")))
-    goals = cut(plan(sized, seed, **rule)).select(F.col("source").alias("_s"), "source_size", "target", "times", "last_key")
+    goals = cut(plan(sized, seed, **rule)).select(F.col("source").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("times").alias("_times"), F.col("last_key").alias("_last"))
     if goals.count() <= SMALL:
         goals = F.broadcast(goals)
     out = docs.join(goals, F.col("source").eqNullSafe(F.col("_s")))
-    extra = F.coalesce(_key(seed) <= F.col("last_key"), F.lit(False)).cast("long")
-    return out.select(*docs.columns, "source_size", "target", (F.col("times") + extra).alias("repeats"))
+    extra = F.coalesce(_key(seed) <= F.col("_last"), F.lit(False)).cast("long")
+    kept = without(docs, "source_size", "target", "repeats")
+    return out.select(*kept, F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") + extra).alias("repeats"))
 
 
 def sample(docs: DataFrame, **rule) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    mixed = mix(docs, **rule)
-    return mixed.where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    sized = cut(docs.select("doc_id", "source", words().alias("size")))
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source"), sized, **rule)
+    return mixed.where("repeats > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_row.*")
 
 
 #: DuckDB SQL for the query's rows.

@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, stems: int
     n = train.count()
     if n > fit_rows:
         train = train.where(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    rows = docs.join(train, docs["doc_id"] == train["_id"]).select("text", F.col("_toxic").cast("int"))
+    rows = docs.select("doc_id", "text").join(train, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").cast("int"))
     counted = rows.mapInArrow(_count_stems, "stem string, clean long, toxic long, before long").groupBy("stem").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.bit_count(F.bit_or("before")).alias("bits"))
     share = train.agg(F.avg(F.col("_toxic").cast("int"))).first()[0]
     prior = [w + "$" for w in (*INSULTS, *THREATS)]
@@ -244,7 +244,7 @@ def _grammar(weights: dict[str, float]) -> Grammar:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` plus ``toxicity`` (score and matched clauses) by weights learnt from ``labels``.
 
-    Every row keeps its columns; repeated rows score alike; columns of
+    Every row keeps its columns (one named ``toxicity`` is replaced); repeated rows score alike; columns of
     ``labels`` besides doc_id and toxic are ignored.
     """
     return docs.withColumn("toxicity", toxicity(F.col("text"), fit(docs, labels)))
@@ -252,4 +252,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    return score(docs, labels).where(F.col("toxicity.score") < threshold).drop("toxicity")
+    judged = docs.withColumn("_judged", toxicity(F.col("text"), fit(docs, labels)))
+    return judged.where(F.col("_judged.score") < threshold).drop("_judged")
