@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import cut, whole, without
 
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text handled at once; at most 2**24, as positions take 24 bits of a packed minimum.
-BLOCK = 1 << 22
-#: Different runs of a minimizer from which its windows are hashed, and runs of a shard.
-CROWD, SHARD = 1000, 20_000
+BLOCK = 1 << 21
+#: Runs of a shard, and different runs of one minimizer beyond which they don't go to a shard.
+SHARD, CROWD = 5_000, 15_000
 LAST = (1 << 63) - 1
 
 _RUNS = "a long, s long, doc long, h int, start long, len int, gone boolean"
@@ -209,7 +209,7 @@ class RunIndex:
         sizes = np.array([len(x) for x in strings], np.int64)
         if len(sizes) and sizes.max() > 255:
             raise ValueError("strings of this index have at most 255 bytes")
-        self.text = np.frombuffer(b"\0".join(strings) + bytes(16), np.uint8)
+        self.text = np.frombuffer(b"\0".join(strings) + bytes(272), np.uint8)
         self.n = int(sizes.sum() + len(sizes))
         ends = np.cumsum(sizes + 1) - 1
         self.string = np.repeat(np.arange(len(strings)), sizes + 1)
@@ -223,48 +223,72 @@ class RunIndex:
         self.samples = self.order[self.heads]
 
     def _suffix_order(self) -> np.ndarray:
-        """By doubling prefixes from eight bytes; equal strings stand in text order."""
-        key = np.zeros(self.n, np.uint64)
-        for k in range(8):
-            byte = self.text[k : k + self.n].astype(np.uint64)
-            key = (key << np.uint64(8)) | np.where(self.left > k, byte, np.uint64(0))
-        # A zero byte of a text sorts above the end by the bytes that are there.
-        rank = self._ranks(key, np.minimum(self.left, 8))
-        width = 8
+        """By doubling prefixes from seven bytes; only suffixes that still tie are sorted again.
+
+        A rank is the place where its group begins, so it holds while other
+        groups are split. Suffixes that end together stand in text order.
+        """
+        n = self.n
+        key = np.zeros(n, np.uint64)
+        for k in range(7):
+            key <<= np.uint64(8)
+            key |= np.where(self.left > k, self.text[k : k + n], 0).astype(np.uint64)
+        key <<= np.uint64(8)
+        key |= np.minimum(self.left, 7).astype(np.uint64)  # a shorter suffix stands before one with zero bytes
+        at = np.argsort(key)
+        rank = np.zeros(n, np.int64)
+        rank[at], tied = self._split(key[at], np.zeros(n, np.int64))
+        width = 7
+        at = at[tied]
         while width < 256:
-            after = np.zeros(self.n, np.int64)
-            more = self.left > width
-            at = np.flatnonzero(more)
-            after[at] = rank[at + width] + 1
-            key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-            rank = self._ranks(key, None)
+            at = at[self.left[at] > width]
+            if not len(at):
+                break
+            key = (rank[at].astype(np.uint64) << np.uint64(32)) | (rank[at + width] + 1).astype(np.uint64)
+            by = np.argsort(key)
+            at, key = at[by], key[by]
+            # Members of a group that ended here sort before the others of it.
+            group = rank[at]
+            first = np.ones(len(at), bool)
+            first[1:] = group[1:] != group[:-1]
+            heads = np.flatnonzero(first)
+            sizes = np.diff(np.append(heads, len(at)))
+            full = self._group_sizes(rank, group[heads])
+            base = np.repeat(group[heads] + full - sizes, sizes) - np.repeat(heads, sizes)
+            rank[at], tied = self._split(key, base)
+            at = at[tied]
             width *= 2
-        return np.argsort(rank, kind="stable")
-
-    def _ranks(self, key: np.ndarray, tie: np.ndarray | None) -> np.ndarray:
-        order = np.argsort(key) if tie is None else np.lexsort((tie, key))
-        new = np.zeros(self.n, np.int64)
-        differs = key[order][1:] != key[order][:-1]
-        if tie is not None:
-            differs |= tie[order][1:] != tie[order][:-1]
-        new[1:] = np.cumsum(differs)
-        rank = np.empty(self.n, np.int64)
-        rank[order] = new
-        return rank
+        return np.argsort((rank.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64))
+
+    @staticmethod
+    def _split(key: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of sorted keys (base plus the place where equal ones begin), and whether each ties."""
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        last = np.ones(len(key), bool)
+        last[:-1] = new[1:]
+        return base + starts, ~(new & last)
+
+    def _group_sizes(self, rank: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        counts = np.bincount(rank, minlength=self.n)
+        return counts[groups]
 
     def lengths(self) -> np.ndarray:
         """Match lengths in text order: counted at the samples, one less from each position to the next."""
         at = self.heads[self.heads > 0]
         x, y = self.order[at], self.order[at - 1]
         most = np.minimum(self.left[x], self.left[y])
-        got, live = np.zeros(len(at), np.int64), np.arange(len(at))
-        k = 0
+        got, live, k = most.copy(), np.flatnonzero(most > 0), 0
+        words = np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,))
         while len(live):
+            odd = words[x[live] + k] ^ words[y[live] + k]
+            off = odd != 0
+            low = odd[off] & (~odd[off] + np.uint64(1))
+            got[live[off]] = np.minimum(most[live[off]], k + np.log2(low.astype(np.float64)).astype(np.int64) // 8)
+            k += 8
+            live = live[~off]
             live = live[most[live] > k]
-            same = self.text[x[live] + k] == self.text[y[live] + k]
-            live = live[same]
-            k += 1
-            got[live] = k
         sampled = np.full(self.n, -1, np.int64)
         sampled[x] = got
         if self.n:
@@ -303,11 +327,12 @@ _RANGES = "doc long, h int, start long, stop long"
 
 
 def _judged(runs: DataFrame) -> DataFrame:
-    """Adds ``again`` (an equal run comes before), ``several`` (its minimizer has different runs) and their number at most."""
+    """Adds ``again`` (an equal run comes before), ``several`` (its minimizer has different runs) and ``crowd``, their number."""
     w = Window.partitionBy("a").orderBy("gone", "s", "doc", "h", "start")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     again = ~F.col("gone") & F.coalesce((F.lag("s").over(w) == F.col("s")) & ~F.lag("gone").over(w), F.lit(False))
-    return runs.withColumns({"again": again, "several": F.first("s").over(every) != F.last("s").over(every), "crowd": F.count("*").over(every)})
+    judged = runs.withColumns({"again": again, "several": F.first("s").over(every) != F.last("s").over(every)})
+    return judged.withColumn("crowd", F.count_if(~F.col("again")).over(every))
 
 
 def _as_ranges(judged: DataFrame) -> DataFrame:
@@ -354,7 +379,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null texts count as empty; a null doc_id comes after all others; texts
     under ``LENGTH`` bytes keep all. Rows that share a doc_id are ordered by
     their texts' hash, and rows that also share the text are one document and
-    get the same result. Further columns are kept.
+    get the same result. Further columns are kept, but for those of the result's
+    names.
     """
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": whole(), "_h": F.hash(whole())})
     ranges = cut(repeated_ranges(keyed.select(F.col("_doc").alias("doc"), F.col("_h").alias("h"), F.col("_text").alias("text"))))
@@ -374,4 +400,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_c", cut_out(F.when(F.col("_ranges").isNotNull(), F.col("_text")), F.col("_ranges")))
     kept = F.coalesce("_c.kept", F.col("_text").cast("binary"))
     n = F.octet_length("_text").cast("long")
-    return out.select(*docs.columns, kept.alias("kept"), n.alias("n_bytes"), (n - F.octet_length(kept)).alias("n_removed"), F.col("_c.n_spans").alias("n_spans"))
+    return out.select(*without(docs, "kept", "n_bytes", "n_removed", "n_spans"), kept.alias("kept"), n.alias("n_bytes"), (n - F.octet_length(kept)).alias("n_removed"), F.col("_c.n_spans").alias("n_spans"))
