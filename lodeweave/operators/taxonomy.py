@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HIERARCHY = "contains"
-MOST_DEPTH = 32
+#: Rounds of a closure at most; edges up to which the hierarchy is broadcast, as counted.
+MOST_DEPTH, SMALL = 32, 100_000
 
 
 def hierarchy(edges: DataFrame) -> DataFrame:
@@ -24,6 +25,8 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     ``roots`` has one column ``root``. The depth of a taxonomy bounds the rounds.
     """
     down = hierarchy(edges).cache()
+    if down.count() <= SMALL:
+        down = F.broadcast(down)
     new = roots.select("root", F.col("root").alias("tag")).distinct().cache()
     reached = new
     for _ in range(MOST_DEPTH):

@@ -269,7 +269,7 @@ def tbl4_without_tables(env):
 
 
 @query("""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS chars FROM pages""")
-def src3_plain_html(env):
+def add_plain_html(env):
     return env.table("pages").select("page_id", F.length(markup.plain_html(F.col("html"))).cast("long").alias("chars"))
 
 
