@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import lines, mixing, packing, simhash, toxicity
-from lodeweave.llm.common import cut, table
+from lodeweave.llm.common import cut, drop_cut, table
 from lodeweave.session import ready
 
 
@@ -51,5 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = cut(stage(spark, docs, sf_dir))
+        drop_cut(docs)  # nothing reads the stage before any more
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

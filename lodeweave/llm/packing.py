@@ -29,8 +29,8 @@ from .common import cut
 LENGTH, CLASSES, END = 2048, 128, 1
 WIDTH = LENGTH // CLASSES
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Rows of a hash bucket within which a window ranks.
-ROWS = 20_000
+#: Rows of a bucket within which a window ranks or adds up.
+ROWS = 2_000
 
 
 def vocabulary() -> str:

@@ -347,3 +347,7 @@ def test_pipeline_brute_force(spark, sf, texts):
     for p in steps["packing"].collect():
         got[p.doc_id] += p.length
     assert got == {i: n * taken[i] for i, n in tokens.items()}
+    whole = Counter()
+    for p in corpus_pipeline.run(spark, sf).collect():
+        whole[p.doc_id] += p.length
+    assert whole == got
