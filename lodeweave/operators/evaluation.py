@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,9 @@ def identity(truth: DataFrame, result: DataFrame) -> DataFrame:
     """Per document: matched, missed and extra records; of repeated predictions the first counts, others are extra."""
     first = Window.partitionBy(*KEYS).orderBy("position")
     named = result.withColumn("_r", F.row_number().over(first))
-    hit = named.where("_r = 1")
-    cond = [truth[k].eqNullSafe(hit[k]) for k in KEYS]
-    on = cond[0] & cond[1] & cond[2] & cond[3]
-    both = truth.withColumn("_t", F.lit(1)).join(hit.withColumn("_p", F.lit(1)), on, "full_outer").select(F.coalesce(truth["doc_id"], hit["doc_id"]).alias("doc_id"), "_t", "_p")
+    hit = named.where("_r = 1").select(*[F.col(k).alias(f"_{k}") for k in KEYS], F.lit(1).alias("_p"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+    both = truth.select(*KEYS, F.lit(1).alias("_t")).join(hit, on, "full_outer").select(F.coalesce("doc_id", "_doc_id").alias("doc_id"), "_t", "_p")
     sums = both.groupBy("doc_id").agg(F.count_if(F.col("_t").isNotNull() & F.col("_p").isNotNull()).alias("matched"), F.count_if(F.col("_p").isNull()).alias("missed"), F.count_if(F.col("_t").isNull()).alias("extra"))
     more = named.where("_r > 1").groupBy("doc_id").agg(F.count("*").alias("_more"))
     out = sums.join(more, "doc_id", "left").withColumn("extra", F.col("extra") + F.coalesce("_more", F.lit(0))).drop("_more")

@@ -1,6 +1,6 @@
 """All queries of this package, with the SQL that checks them."""
 
-from . import cards, layout, library, taxonomy, text
+from . import cards, layout, library, more, taxonomy, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cards", "layout", "library", "taxonomy", "text"]
+__all__ = ["ORACLES", "QUERIES", "cards", "layout", "library", "more", "taxonomy", "text"]
