@@ -18,6 +18,7 @@ from .sequences import best_chain, ordered_groups
 _START = re.compile(r"^\s*(\d{1,3})\s*[.)]\s*(.*)", re.S)
 _QUESTION = re.compile(r"^(What|Which|How|Find|Show|Let|Given|If)\b")
 _POINTS = re.compile(r"\(\d+ points?\)")
+# Fixed values, in thousandths of a page: column line, padding above, gap below, least height.
 MIDDLE, PAD, GAP, SLIVER = 500.0, 9.0, 2.0, 8.0
 SCHEMA = "paper_id long, number int, first_seq int, text string, regions array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>"
 
