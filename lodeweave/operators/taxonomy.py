@@ -1,7 +1,7 @@
 """Tag hierarchies: closures, checks, counts and merges.
 
-Closures grow by joins until nothing new is reached; only counts leave Spark.
-Each round keeps distinct pairs, so diamonds never multiply.
+Closures of small hierarchies, as counted, are walked in memory; others grow by
+joins until nothing new is reached. Pairs are distinct, so diamonds never multiply.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HIERARCHY = "contains"
-#: Rounds of a closure at most; edges up to which the hierarchy is broadcast, as counted.
-MOST_DEPTH, SMALL = 32, 100_000
+#: Rounds of a closure at most; edges, roots and pairs up to which it is walked in memory.
+MOST_DEPTH, SMALL, PAIRS = 32, 50_000, 1_000_000
 
 
 def hierarchy(edges: DataFrame) -> DataFrame:
@@ -19,25 +19,57 @@ def hierarchy(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("relation") == HIERARCHY).select("parent", "child").distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def _walk(edges: list[tuple], roots: list) -> list[tuple] | None:
+    """Pairs of a closure in memory; None once there are more than ``PAIRS``."""
+    below: dict = {}
+    for parent, child in edges:
+        below.setdefault(parent, []).append(child)
+    out: list[tuple] = []
+    for root in roots:
+        seen, open_ = {root}, [root]
+        while open_:
+            new = [c for c in below.get(open_.pop(), ()) if c not in seen]
+            seen.update(new)
+            open_ += dict.fromkeys(new)
+        out += [(root, tag) for tag in seen]
+        if len(out) > PAIRS:
+            return None
+    return out
+
+
+def closure(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
     """``(root, tag)``: every root with itself and all tags below it.
 
-    ``roots`` has one column ``root``. The depth of a taxonomy bounds the rounds.
+    ``roots`` has one column ``root``. A taxonomy of at most ``small`` edges and
+    roots, as counted while reading one row more than that, is walked on the
+    driver. Any other grows by joins, a round for each level; each round joins
+    what the last one found only and is settled, so that plans don't nest.
     """
-    down = hierarchy(edges).cache()
-    if down.count() <= SMALL:
-        down = F.broadcast(down)
-    new = roots.select("root", F.col("root").alias("tag")).distinct().cache()
-    reached = new
+    down, start = hierarchy(edges), roots.select("root").distinct()
+    some, ends = down.limit(small + 1).collect(), start.limit(small + 1).collect()
+    if len(some) <= small and len(ends) <= small:
+        pairs = _walk([tuple(e) for e in some], [r[0] for r in ends])
+        if pairs is not None:
+            kind = roots.schema["root"].dataType.simpleString()
+            return edges.sparkSession.createDataFrame(pairs, f"root {kind}, tag {kind}")
+    down = _settled(down)
+    new = reached = _settled(start.select("root", F.col("root").alias("tag")))
     for _ in range(MOST_DEPTH):
         step = new.join(down, new["tag"] == down["parent"]).select("root", F.col("child").alias("tag")).distinct()
-        new = step.join(reached, ["root", "tag"], "left_anti").cache()  # each round joins what the last one found only
+        new = _settled(step.join(reached, ["root", "tag"], "left_anti"))
         if new.isEmpty():
             return reached
         reached = reached.union(new)
     raise ValueError(f"the hierarchy is deeper than {MOST_DEPTH} or has a cycle")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` in the folder of checkpoints where one is named, else kept in memory."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.cache()
+
+
 def descendants(edges: DataFrame, tags) -> DataFrame:
     """``(root, tag)`` of the given tag ids."""
     roots = edges.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tags)], "root string")
