@@ -6,6 +6,8 @@ joins until nothing new is reached. Pairs are distinct, so diamonds never multip
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +66,21 @@ def closure(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """``df`` in the folder of checkpoints where one is named, else kept in memory."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
+    """``df`` as files in the folder of checkpoints, so that neither plan nor lineage grows.
+
+    A local session without such a folder gets a temporary one; a cluster
+    without one keeps the rows in memory.
+    """
+    spark = df.sparkSession
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            return df.cache()
+        folder = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def descendants(edges: DataFrame, tags) -> DataFrame:
@@ -93,7 +106,7 @@ def unsorted_rest(edges: DataFrame) -> DataFrame:
     left = hierarchy(edges).cache()
     count = left.count()
     while True:
-        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").cache()
+        left = _settled(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
         now = left.count()
         if now == count or now == 0:
             return left.select(F.col("parent").alias("tag")).union(left.select("child")).distinct()
@@ -182,7 +195,7 @@ def layers(edges: DataFrame) -> DataFrame:
         after = depth.join(deeper, depth["tag"] == deeper["_c"], "left").select("tag", F.greatest("depth", F.coalesce("_d", F.lit(0))).alias("depth"))
         if after.agg(F.sum("depth")).first() == depth.agg(F.sum("depth")).first():
             break
-        depth = after.cache()
+        depth = _settled(after)
     placed = depth.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("tag")))
     above = down.join(placed.select(F.col("tag").alias("parent"), "place"), "parent").groupBy(F.col("child").alias("tag")).agg(F.avg("place").alias("_m"))
     order = Window.partitionBy("depth").orderBy(F.coalesce("_m", F.lit(0.0)), "tag")
