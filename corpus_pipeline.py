@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import lines, mixing, packing, simhash, toxicity
+from lodeweave.llm import copies, lines, mixing, packing, toxicity
 from lodeweave.llm.common import cut, drop_cut, table
 from lodeweave.session import ready
 
@@ -26,8 +26,8 @@ def unboiler(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of texts that share 0.8 or more of their five-word shingles."""
+    return copies.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

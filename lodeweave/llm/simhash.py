@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .copies import keep_one  # noqa: F401
 
 #: (first bit, width, radius); the radii plus one sum to one more than the distance.
 SEGMENTS = ((0, 18, 0), (18, 23, 1), (41, 23, 1))
@@ -99,21 +100,3 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = firsts.join(roots, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest doc_id stays.
-
-    Rows that repeat a doc_id are copies of each other too: one stays, picked by
-    the text's and the row's hash. All columns are kept.
-    """
-    from pyspark.sql import Window
-
-    ids = near_duplicates(docs).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    return _one_each(kept, Window)
-
-
-def _one_each(kept: DataFrame, Window) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, t in kept.dtypes if not t.startswith("map")]))
-    return kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
