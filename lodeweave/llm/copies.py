@@ -132,13 +132,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts are near copies if they share 0.8 or more of their distinct five-word
     shingles, without regard to A-Z or a-z; groups are the components of these
     links. Null texts count as empty, empty texts are copies of each other.
-    Rows that repeat a doc_id are copies of each other too: one stays, picked by
-    the row's hash. All columns are kept.
+    Null doc_ids come last and equal ones by the row's hash; unlike texts stay
+    whatever their ids are. All columns are kept.
     """
     columns = [c for c, t in docs.dtypes if not t.startswith("map")]
     signed = docs.withColumn("_s", _signature(F.col("text"))).withColumn("_set", F.col("_s.set"))
     firsts = cut(_first(signed, "_set", columns).drop("_set").withColumn("_id", F.monotonically_increasing_id()))
     found = groups(firsts.select("_id", "text", "_s.n", "_s.keys"))
     named = firsts.drop("_s").join(found, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
-    kept = _first(named, "_root", columns).select(*docs.columns)
-    return _first(kept, "doc_id", columns)
+    return _first(named, "_root", columns).select(*docs.columns)

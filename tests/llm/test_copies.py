@@ -72,3 +72,10 @@ def test_near_copies_of_documents(spark, sf):
     docs = spark.read.parquet(f"{Path(sf).parent}/sf0.01/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.dedup(spark, docs, sf).select("doc_id").collect()}
     assert kept == _brute({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[4]), (7, texts[5])]
+    got = sorted((str(r.doc_id), r.text) for r in _kept(spark, rows))
+    assert got == sorted([("None", texts[0]), ("None", texts[1]), ("5", texts[2]), ("7", texts[3]), ("3", texts[4]), ("7", texts[5])])
