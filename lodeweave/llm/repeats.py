@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole, without
+from .common import cut, drop_cut, whole, without
 
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
@@ -383,7 +383,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names.
     """
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": whole(), "_h": F.hash(whole())})
-    ranges = cut(repeated_ranges(keyed.select(F.col("_doc").alias("doc"), F.col("_h").alias("h"), F.col("_text").alias("text"))))
+    once = cut(keyed.select(F.col("_doc").alias("doc"), F.col("_h").alias("h"), F.col("_text").alias("text")).distinct())
+    ranges = cut(repeated_ranges(once))
+    drop_cut(once)
     by_doc = ranges.groupBy(F.col("doc").alias("_d"), F.col("h").alias("_hh")).agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
 
     @F.arrow_udf("struct<kept:binary,n_spans:long>")
