@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, fresh, scratch, without
 
 #: Sites from which a line is boilerplate; shortest line that counts; size of the sketches.
 SITES, LEAST_CHARS, LG_K = 8, 12, 12
@@ -42,6 +42,14 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return wide.where(F.col("_n") > sites + margin).unionByName(near.join(exact.select("_h", "_g"), ["_h", "_g"], "left_semi")).select("_h", "_g", "_first")
 
 
+def _dropped(array: Column, places: Column) -> Column:
+    """``array`` without its elements at the sorted ``places``: the slices between them, so time grows with the array only."""
+    ends = F.concat(F.array(F.lit(-1)), places, F.array(F.size(array)))
+    # The arrays of one element name values that the inner functions share.
+    slices = lambda x, e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda k: F.slice(x, F.get(e, k - 1) + 2, F.get(e, k) - F.get(e, k - 1) - 1))
+    return F.get(F.transform(F.array(array), lambda x: F.get(F.transform(F.array(ends), lambda e: F.flatten(slices(x, e))), F.lit(0))), F.lit(0))
+
+
 def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, plus ``n_lines`` and ``n_removed``.
 
@@ -50,15 +58,20 @@ def clean_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     are treated alike; ``n_chars``, where there is one, follows the new text.
     Columns ``n_lines`` and ``n_removed`` are replaced. Lines compare without outer spaces and count from ``LEAST_CHARS``.
     """
-    found = cut(boilerplate(docs, sites))
-    gone = _hashed(docs).join(found, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    joined = keyed.join(gone.withColumnRenamed("_t", "_u"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(_split(), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    out = joined.withColumns({"n_lines": F.size(_split()), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "_kept": kept}).withColumn("text", F.col("_kept"))
+    text, of, name, gone, kept = fresh(docs, "hash", "of", "name", "gone", "kept_text")
+    with scratch() as stay:
+        found = cut(boilerplate(docs, sites))
+        stay.append(found)
+    hits = _hashed(docs).join(found, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_id", "_t").agg(F.collect_set("_pos").alias(gone)).withColumnsRenamed({"_id": of, "_t": name})
+    keyed = docs.withColumn(text, F.xxhash64("text"))
+    joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits[of]) & (F.col(text) == F.col(name)), "left")
+    left = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_dropped(_split(), F.array_sort(gone)), "\n"))
+    out = joined.withColumn(kept, left)
+    n = [F.size(_split()).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed")]
+    replaced = {"text": F.col(kept).alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*without(docs, "n_lines", "n_removed"), "n_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.col("n_removed")).alias("n_removed"))
+        replaced["n_chars"] = F.length(kept).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[replaced.get(c, F.col(c)) for c in without(docs, "n_lines", "n_removed")], *n)
 
 
 #: DuckDB SQL for the query's rows.

@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, whole, without
+from .common import WORD, cut, drop_cut, fresh, scratch, whole, without
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, 7
-#: Hex digits of the hash that name a bucket; most sources for a broadcast of their table.
-DIGITS, SMALL = 3, 10_000
+#: Rows of a hash bucket on average; most sources for a broadcast of their table.
+ROWS, SMALL = 1_000, 10_000
 
 
 def words(text: str = "text") -> Column:
@@ -55,10 +55,12 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
 def plan(sized: DataFrame, seed: int = SEED, **rule) -> DataFrame:
     """A row a source: sizes, target, whole repetitions and the last key of the extra one.
 
-    ``sized`` has doc_id, source and size and should be cheap to read twice.
+    ``sized`` has doc_id, source and size and should be cheap to read often. A
+    bucket is named by as many hex digits of the key as keep it at about ``ROWS`` rows.
     """
+    digits = max(1, (max(1, sized.count() // ROWS) - 1).bit_length() // 4 + 1)
     goals = targets(sized, **rule).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))).withColumn("extra", F.col("target") - F.col("times") * F.col("source_size"))
-    keyed = sized.withColumn("key", _key(seed)).withColumn("bucket", F.substring("key", 1, DIGITS))
+    keyed = sized.withColumn("key", _key(seed)).withColumn("bucket", F.substring("key", 1, digits))
     by_source = Window.partitionBy("source").orderBy("bucket")
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(by_source) - F.col("n"))
     ends = sums.alias("b").join(goals.select(F.col("source").alias("_s"), "extra").alias("g"), F.col("source").eqNullSafe(F.col("_s")))
@@ -77,22 +79,31 @@ def mix(docs: DataFrame, sized: DataFrame | None = None, seed: int = SEED, **rul
     repeat a doc_id share its place in the order; an empty table gives an empty
     one; columns of the result's names are replaced; a document is never taken more than the epochs' cap.
     """
-    if sized is None:
-        sized = cut(docs.select("doc_id", "source", words().alias("size")))
-    goals = cut(plan(sized, seed, **rule)).select(F.col("source").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("times").alias("_times"), F.col("last_key").alias("_last"))
+    own, size, target, times, last = fresh(docs, "own", "size", "goal", "times", "last")
+    with scratch() as kept:
+        if sized is None:
+            sized = cut(docs.select("doc_id", "source", words().alias("size")))
+        goals = cut(plan(sized, seed, **rule))
+        kept.append(goals)
+    goals = goals.select(F.col("source").alias(own), F.col("source_size").alias(size), F.col("target").alias(target), F.col("times").alias(times), F.col("last_key").alias(last))
     if goals.count() <= SMALL:
         goals = F.broadcast(goals)
-    out = docs.join(goals, F.col("source").eqNullSafe(F.col("_s")))
-    extra = F.coalesce(_key(seed) <= F.col("_last"), F.lit(False)).cast("long")
-    kept = without(docs, "source_size", "target", "repeats")
-    return out.select(*kept, F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") + extra).alias("repeats"))
+    out = docs.join(goals, docs["source"].eqNullSafe(goals[own]))
+    extra = F.coalesce(_key(seed) <= F.col(last), F.lit(False)).cast("long")
+    rest = without(docs, "source_size", "target", "repeats")
+    return out.select(*rest, F.col(size).alias("source_size"), F.col(target).alias("target"), (F.col(times) + extra).alias("repeats"))
 
 
 def sample(docs: DataFrame, **rule) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+    """``docs`` with each row as often as the mix takes it, with all its columns.
+
+    Rows of size 0 are taken as their source's whole repetitions say; null and
+    repeated ids, null sources and empty tables as for :func:`mix`.
+    """
     sized = cut(docs.select("doc_id", "source", words().alias("size")))
-    mixed = mix(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source"), sized, **rule)
-    return mixed.where("repeats > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_row.*")
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source"), sized, **rule)
+    drop_cut(sized)
+    return mixed.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("row.*")
 
 
 #: DuckDB SQL for the query's rows.

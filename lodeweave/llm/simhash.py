@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop_cut
 from .components import connected_components
-from .copies import keep_one  # noqa: F401
 
 #: (first bit, width, radius); the radii plus one sum to one more than the distance.
 SEGMENTS = ((0, 18, 0), (18, 23, 1), (41, 23, 1))
@@ -29,21 +29,21 @@ SEED = 42
 BLOCK = 1 << 17
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned SimHash of ``text``; null and texts without words give zero."""
+def fingerprint(text: str | None, width: int = WORDS) -> int:
+    """Unsigned SimHash of the shingles of ``width`` words; null and texts without words give zero."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - WORDS + 1)
+    n = max(1, len(words) - width + 1)
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         to = min(n, at + BLOCK)
-        part = words[at : to + WORDS - 1]
+        part = words[at : to + width - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = (ends - np.diff(ends, prepend=0)).tolist()
-        stops = (ends[min(WORDS, len(part)) - 1 :] - 1).tolist()
+        stops = (ends[min(width, len(part)) - 1 :] - 1).tolist()
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
         ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
@@ -89,8 +89,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     row and takes part only as a member (its component's smallest id may be
     null if it has no other). Columns besides doc_id and text are ignored.
     """
-    from .common import cut
-
     rows = cut(fingerprints(docs))
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     parts = connected_components(links(firsts.select("fp"), distance))

@@ -17,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
 from compare import rows
+from test_copies import _brute as near_copies
 from lodeweave.llm import audio, components, lines, mixing, packing, queries, repeats, simhash, toxicity, urls, weighted
 
 
@@ -102,13 +103,57 @@ def test_toxicity_held_out(spark, sf):
     assert hit.sum() / (test.score >= toxicity.THRESHOLD).sum() > 0.85
 
 
+STEMS = {"idiot$": 0.95, "kill$": 0.95, "stup": 0.95}
+
+
 def test_grammar_reads_clauses():
-    g = toxicity.Grammar({"idiot$": 0.9, "kill$": 0.9, "stup": 0.9})
-    plain, aimed = g.clause("an idiot wrote it down"), g.clause("you are an idiot")
-    assert g.clause("you are not an idiot") < aimed and g.clause("he said idiot") < plain < aimed
-    assert g.clause("kill the process") < 0.3 < g.clause("i will kill you")
-    assert g.clauses("idiotic plans. stupidity wins") == [(14, 29, pytest.approx(0.9))]
-    assert g.clauses("") == []
+    """Aimed insults and threats pass the threshold; negated, reported and bare ones alone don't, whatever the word's weight."""
+    g = toxicity.Grammar(toxicity.Weights(STEMS, toxicity.PATTERNS))
+    score = lambda text: toxicity._score(g.clauses(text))
+    for text in ("you are an idiot", "idiot, that is what you are", "i will kill you", "you stupid thing", "nobody said it. you are an idiot", "he did not come home today, you idiot"):
+        assert score(text) >= toxicity.THRESHOLD, text
+    for text in ("you are not an idiot", "he said you are an idiot", "he said you are not an idiot", "an idiot wrote it down", "idiot", "kill the process", "i will never kill you", "", "you are kind"):
+        assert score(text) < toxicity.THRESHOLD, text
+    assert score("an idiot came. an idiot went. an idiot stayed.") >= toxicity.THRESHOLD  # clauses add up
+    assert g.clause("you are not an idiot")[1] == "aimed insult+negated"
+    assert g.clause("he wrote never kill it")[1] == "bare threat+negated+reported"
+    assert g.clauses("idiotic plans. stupidity wins") == [(14, 29, pytest.approx(0.95 * toxicity.BARE), "bare insult")]
+
+
+def test_composition_brute_force():
+    """The composed machine gives what trying every path through the three machines in turn gives."""
+    machines = [toxicity.negations(), toxicity.reports(), toxicity.targets(toxicity.PATTERNS)]
+    composed = toxicity.compose(toxicity.compose(*machines[:2]), machines[2])
+
+    def paths(machine, read):
+        """All (outputs, weight, final) of a machine."""
+        open_ = [((), 1.0, machine.start)]
+        for symbol in read:
+            open_ = [((*out, o), w * v, to) for out, w, state in open_ for o, v, to in machine.arcs[state][symbol]]
+        return [(out, w * machine.finals[s][0], machine.finals[s][1]) for out, w, s in open_ if s in machine.finals]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        read = [(rng.choice(toxicity.SYMBOLS), rng.choice((0.2, 0.5, 0.9))) for _ in range(rng.randint(0, 6))]
+        best = 0.0
+        for first, w1, _ in paths(machines[0], [s for s, _ in read]):
+            for second, w2, _ in paths(machines[1], first):
+                for last, w3, _ in paths(machines[2], second):
+                    taken = math.prod(f for (_, f), o in zip(read, last) if o == toxicity.TAKEN)
+                    best = max(best, w1 * w2 * w3 * taken)
+        assert composed.best(read)[0] == pytest.approx(best)
+
+
+def test_toxicity_query_brute_force(spark, sf, texts):
+    """The query's columns, for every document, from the grammar applied one text at a time."""
+    weights = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    grammar = toxicity.Grammar(weights)
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        score = toxicity._score([c for c in grammar.clauses(text)])
+        assert got[i].score == pytest.approx(score) and 0 <= score <= 1
+        assert (got[i].held_out, got[i].predicted) == (zlib.crc32(str(i).encode()) % 4 == 2, int(score >= 0.3))
 
 
 def test_line_counts_near_the_threshold_are_exact(spark):
@@ -308,7 +353,7 @@ def test_pipeline_brute_force(spark, sf, texts):
     steps = {"start": docs}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
-        docs = docs.cache() if name == "packing" else docs.cache()
+        docs = docs.cache()
         steps[name] = docs
     rows_of = lambda n: {r.doc_id: r for r in steps[n].collect()}
     start, clean, unboiled, single = (rows_of(n) for n in ("start", "toxicity", "line_dedup", "near_dedup"))
@@ -323,22 +368,7 @@ def test_pipeline_brute_force(spark, sf, texts):
     for i, r in clean.items():
         kept = "\n".join(x for x in r.text.split("\n") if x.strip(" ") not in bad or first[x.strip(" ")] == i)
         assert unboiled[i].text == kept and unboiled[i].n_chars == len(kept)
-    prints = {i: simhash.fingerprint(r.text) for i, r in unboiled.items()}
-    keep = set()
-    left = sorted(prints)
-    root = {i: i for i in left}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, i in enumerate(left):
-        for j in left[:k]:
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    keep = {find(i) for i in left}
+    keep = near_copies({i: r.text for i, r in unboiled.items()})
     assert set(single) == keep
     taken = Counter(r.doc_id for r in steps["mixing"].collect())
     assert set(taken) <= keep and max(taken.values()) <= mixing.EPOCHS
