@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh, scratch
 
 FIT_ROWS = 24_000
 #: Least evidence (nats of a binomial likelihood ratio) and precision of a learnt stem.
@@ -231,11 +231,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Weights
     Rows with a null doc_id, text or label, and held-out rows, teach nothing;
     with no labelled rows of both kinds the starting words keep their prior weight.
     """
+    with scratch():
+        return _learnt(docs, labels, fit_rows)
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, fit_rows: int) -> Weights:
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     n = train.count()
     if n > fit_rows:
         train = train.where(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    rows = docs.select("doc_id", "text").join(train, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").cast("int"))
+    train = cut(train)
+    # The sample is small by its bound, unless one id is labelled very often.
+    few = F.broadcast(train) if train.count() <= 2 * fit_rows else train
+    rows = cut(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").cast("int")))
     counted = rows.mapInArrow(_count_stems, "stem string, clean long, toxic long, before long").groupBy("stem").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.bit_count(F.bit_or("before")).alias("bits"))
     share = train.agg(F.avg(F.col("_toxic").cast("int"))).first()[0]
     prior = [w + "$" for w in (*INSULTS, *THREATS)]
