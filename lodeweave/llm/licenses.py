@@ -1,11 +1,15 @@
 """Licence scans by a positional rare-token index.
 
-One pass keeps, for each document, the places of the words that licence
-templates use: a narrow table of postings. Document frequencies come from that
-table; each template is then looked up by its two rarest words, whose postings
-are shifted by their place in the template and intersected, and every start
-that is left is verified against the template's whole mandatory phrase. Array
-functions do all of it within a row; only the frequencies are aggregated.
+One pass keeps, for each file, the places of the words that licence templates
+use. Document frequencies of these words come from that table; the rare-token
+index has each template under its word of highest IDF. A file looks up its
+words there, so templates without their rarest word cost it nothing. For the
+templates found, every place of one of their words proposes a start, the place
+less the word's place in the template. Sorted, the proposals of one start stand
+together, and the template's phrase stands where they are as many as it has
+words: each word then is at its relative position. Time grows with the words of
+a file, also where one phrase fills it. All of it is array functions within a
+row; only the frequencies are aggregated.
 """
 
 from __future__ import annotations
@@ -38,69 +42,82 @@ MORE = (
 )
 
 
+#: Bits of a proposal for the start; a start before the text's first word proposes nothing.
+_BITS = 40
+
+
 def _vocabulary(templates) -> list[str]:
     return sorted({w for _, phrase in templates for w in phrase.split()})
 
 
 def postings(docs: DataFrame, templates=BASE + MORE) -> DataFrame:
-    """``docs`` without text, plus ``n_words`` and ``places``: (word, places from 0) of template words."""
+    """``docs`` without text, plus ``n_words`` and ``hits``: (number from 0, place from 0) of template words."""
+    vocabulary = _vocabulary(templates)
     words = F.regexp_extract_all(ascii_lower(whole()), F.lit(WORD), F.lit(0))
-    hits = F.filter(F.transform(F.col("_w"), lambda w, i: F.when(w.isin(_vocabulary(templates)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    known = F.array(*map(F.lit, vocabulary))
+    hit = lambda w, i: F.when(w.isin(vocabulary), F.struct((F.array_position(known, w) - 1).cast("int").alias("n"), i.alias("i")))
     rest = without(docs, "text", "n_words", "hits", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    return docs.select(*rest, words.alias("_w")).select(*rest, F.size("_w").cast("long").alias("n_words"), hits.alias("hits"))
+    both = F.get(F.transform(F.array(words), lambda x: F.struct(F.size(x).cast("long").alias("n"), F.filter(F.transform(x, hit), lambda h: h.isNotNull()).alias("hits"))), F.lit(0))
+    found = docs.select(F.struct(*rest).alias("row"), both.alias("found"))
+    return found.select("row", F.col("found.n").alias("n_words"), F.col("found.hits").alias("hits"))
 
 
-def frequencies(index: DataFrame) -> dict[str, int]:
-    """Documents that have each template word; a row for each word of the vocabulary at most."""
-    words = index.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w"))
-    return {r["w"]: r["count"] for r in words.groupBy("w").count().collect()}
+def frequencies(index: DataFrame) -> dict[int, int]:
+    """Documents that have each template word, by its number; a row for each word of the vocabulary at most."""
+    words = index.select(F.explode(F.array_distinct("hits.n")).alias("n"))
+    return {r["n"]: r["count"] for r in words.groupBy("n").count().collect()}
 
 
-def _shifted(word: str, place: int) -> Column:
-    """Where templates with ``word`` at ``place`` would start."""
-    return F.transform(F.filter("hits", lambda x: x["w"] == word), lambda x: x["i"] - place)
+def _listed(lists: list[list], kind: str) -> Column:
+    return F.array(*[F.array(*x).cast(kind) for x in lists])
 
 
-def _stands(word: str, at: Column) -> Column:
-    return F.exists("hits", lambda x: (x["i"] == at) & (x["w"] == word))
+def _matches(templates, counts: dict[int, int], documents: int) -> Column:
+    """Sorted ``template << _BITS | start`` of all phrases that stand in a row of ``hits``."""
+    vocabulary = {w: n for n, w in enumerate(_vocabulary(templates))}
+    phrases = [[vocabulary[w] for w in phrase.split()] for _, phrase in templates]
+    idf = lambda n: math.log((documents + 1) / (counts.get(n, 0) + 1))
+    rarest = [max(p, key=lambda n: (idf(n), n)) for p in phrases]
+    index = _listed([[F.lit(t) for t, r in enumerate(rarest) if r == n] for n in range(len(vocabulary))], "array<int>")
+    places = _listed([[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, p in enumerate(phrases) for k, w in enumerate(p) if w == n] for n in range(len(vocabulary))], "array<struct<t:int,k:int>>")
+    sizes = F.array(*[F.lit(len(p)) for p in phrases])
 
+    looked_up = F.flatten(F.transform(F.array_distinct("hits.n"), lambda n: F.get(index, n)))
 
-def _starts(phrase: str, n: dict[str, int], documents: int) -> Column:
-    """Places where the words of ``phrase`` stand consecutively."""
-    words = phrase.split()
-    rank = lambda w: -math.log((documents + 1) / (n.get(w, 0) + 1))  # noqa: E731  rarest first
-    rare = sorted(set(words), key=lambda w: (rank(w), w))[:2]
-    shifted = [_shifted(w, words.index(w)) for w in rare]
-    found = F.array_intersect(*shifted) if len(shifted) == 2 else F.array_distinct(shifted[0])
-    checks = [(k, w) for k, w in enumerate(words) if (w, k) not in {(r, words.index(r)) for r in rare}]
+    def proposals(found):
+        starts = lambda x: F.transform(F.filter(F.get(places, x["n"]), lambda p: F.array_contains(found, p["t"]) & (x["i"] >= p["k"])), lambda p: F.shiftleft(p["t"].cast("long"), _BITS) + x["i"] - p["k"])
+        return F.sort_array(F.flatten(F.transform("hits", starts)))
 
-    def whole_phrase(s):
-        ok = s >= 0
-        for k, w in checks:
-            ok = ok & _stands(w, s + k)
-        return ok
+    def whole_phrases(sorted_):
+        template = lambda x: F.shiftright(x, _BITS).cast("int")
+        first = lambda x, j: (j == 0) | (F.get(sorted_, j - 1) != x)
+        last = lambda x, j: F.get(sorted_, j + F.get(sizes, template(x)) - 1) == x
+        return F.filter(sorted_, lambda x, j: F.coalesce(first(x, j) & last(x, j), F.lit(False)))
 
-    # Nothing is walked where the rarest word is absent.
-    return F.when(F.exists("hits", lambda x: x["w"] == rare[0]), F.filter(found, whole_phrase)).otherwise(F.array().cast("array<int>"))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  names a value that inner functions share
+    none = F.array().cast("array<bigint>")
+    return let(looked_up, lambda found: F.when(F.size(found) > 0, let(proposals(found), whole_phrases)).otherwise(none))
 
 
 def scan(docs: DataFrame, base=BASE, more=MORE) -> DataFrame:
     """``docs`` without text, plus n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    Columns of the result's names are replaced. A null or empty text has no words and no labels; every row stays. A start
-    counts once for each phrase that stands there. The score is n / (n + 1)
-    for n places of any phrase.
+    Columns of the result's names are replaced, all others kept. A null or
+    empty text has no words and no labels; every row stays, repeated or not; an
+    empty table gives an empty one. A start counts once for each phrase that
+    stands there. The score is n / (n + 1) for n places of any phrase.
     """
-    index = cut(postings(docs, (*base, *more)))
-    counts, n = frequencies(index), index.count()
-    rest = [c for c in index.columns if c not in ("hits",)]
-    found = index.select(*rest, *[_starts(p, counts, n).alias(f"_s{k}") for k, (_, p) in enumerate((*base, *more))])
-    starts = F.concat(*[F.col(f"_s{k}") for k in range(len(base))])
-    label = lambda pairs, first: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_s{first + k}") > 0, F.lit(name)) for k, (name, _) in enumerate(pairs)])))), ",")
-    places = sum((F.size(f"_s{k}") for k in range(1, len(base) + len(more))), F.size("_s0")).cast("double")
+    templates = (*base, *more)
+    index = cut(postings(docs, templates))
+    found = index.select("row", "n_words", _matches(templates, frequencies(index), index.count()).alias("starts"))
+    at = lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1))
+    own = F.transform(F.filter("starts", lambda x: x < (len(base) << _BITS)), at)
+    names = F.array(*[F.lit(name) for name, _ in templates])
+    labels = lambda most: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("starts", lambda x: x < (most << _BITS)), lambda x: F.get(names, F.shiftright(x, _BITS).cast("int"))))), ",")
+    n = F.size("starts").cast("double")
     return found.select(
-        *rest, F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
-        label(base, 0).alias("base_labels"), label((*base, *more), 0).alias("labels"), (places / (places + 1)).alias("score"),
+        "row.*", "n_words", F.size(own).cast("long").alias("n_base"), F.array_min(own).alias("first_word"), F.array_max(own).alias("last_word"),
+        labels(len(base)).alias("base_labels"), labels(len(templates)).alias("labels"), (n / (n + 1)).alias("score"),
     )
 
 

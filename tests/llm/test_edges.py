@@ -135,3 +135,12 @@ def test_stored_media_reads_back():
     with pytest.raises(ValueError, match="WAV"):
         audio.read_wav(b"nothing of the kind")
     assert hashlib.sha256(audio.write_wav(bytes(64))).hexdigest() == hashlib.sha256(audio.write_wav(bytes(64))).hexdigest()
+
+
+def test_one_phrase_fills_a_long_text(spark):
+    """Time grows with the words, not with their square: 4 MB of one licence phrase, and of near misses."""
+    n = 180_000
+    texts = ["Under the MIT License " * n, "under the mit the license " * n]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (4 * n, n, 0, 4 * (n - 1), "mit")
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].labels, got[1].score) == (5 * n, 0, None, "", 0)
