@@ -24,32 +24,32 @@ SELECT d.doc_id AS id, d.source AS paper_id, CAST(floor(d.doc_id / 2) AS BIGINT)
        CASE WHEN l.quality = 1 THEN 'human' WHEN l.quality = 0 THEN 'ai' END AS review_source,
        CASE WHEN d.doc_id % 17 = 0 THEN ' ' WHEN l.toxic = 1 THEN 'yes' WHEN l.toxic = 0 THEN '' END AS answer,
        CASE WHEN d.doc_id % 5 = 0 THEN 'image' WHEN d.doc_id % 5 > 1 THEN 'text' END AS body_mode,
-       lower(substr(d.text, 1, 400)) AS search_text, substr(d.text, 1, 120) AS stem,
+       lower(d.text) AS search_text, d.text AS stem,
        DATE '2024-01-01' + CAST(d.doc_id % 365 AS INT) AS published_at
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "tag": """
 SELECT concat('r', r_regionkey) AS tag_id, lower(r_name) AS name, 'area' AS kind, true AS active FROM region
 UNION ALL SELECT concat('n', n_nationkey), lower(n_name), 'land', n_nationkey % 9 <> 4 FROM nation
-UNION ALL SELECT concat('s', s_suppkey), lower(s_name), 'firm', s_suppkey % 10 <> 3 FROM supplier WHERE s_suppkey <= 100""",
+UNION ALL SELECT concat('s', s_suppkey), lower(s_name), 'firm', s_suppkey % 10 <> 3 FROM supplier""",
     # A hierarchy with diamonds, and edges that imply nothing.
     "edge": """
 SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child, 'contains' AS relation FROM nation
 UNION ALL SELECT concat('r', (n_regionkey + 1) % 5), concat('n', n_nationkey), 'contains' FROM nation WHERE n_nationkey % 4 = 0
-UNION ALL SELECT concat('n', s_nationkey), concat('s', s_suppkey), 'contains' FROM supplier WHERE s_suppkey <= 100
-UNION ALL SELECT concat('n', (s_nationkey + 4) % 25), concat('s', s_suppkey), 'contains' FROM supplier WHERE s_suppkey <= 100 AND s_suppkey % 3 = 0
+UNION ALL SELECT concat('n', s_nationkey), concat('s', s_suppkey), 'contains' FROM supplier
+UNION ALL SELECT concat('n', (s_nationkey + 4) % 25), concat('s', s_suppkey), 'contains' FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT concat('r', r_regionkey), concat('r', (r_regionkey + 2) % 5), 'related_method' FROM region""",
     "assignment": """
-SELECT doc_id AS publication_id, concat('s', doc_id * 13 % 97 + 1) AS tag_id, doc_id % 7 = 0 AS needs_review FROM documents WHERE doc_id % 5 <> 4
+SELECT doc_id AS publication_id, concat('s', doc_id * 13 % (SELECT count(*) FROM supplier) + 1) AS tag_id, doc_id % 7 = 0 AS needs_review FROM documents WHERE doc_id % 5 <> 4
 UNION ALL SELECT doc_id, concat('n', doc_id % 25), doc_id % 6 = 0 FROM documents WHERE doc_id % 3 = 0""",
     # Ordered text blocks.
     "line": """
-SELECT conv_id AS doc_id, CAST(turn AS INT) AS pos, CASE WHEN turn % 3 = 0 THEN concat('# ', substr(text, 1, 12)) ELSE concat(substr('      ', 1, CAST(turn % 4 * 2 AS INT)), substr(text, 1, 12)) END AS line FROM conversations""",
+SELECT conv_id AS doc_id, CAST(turn AS INT) AS pos, CASE WHEN turn % 3 = 0 THEN concat('# ', replace(text, chr(10), ' ')) ELSE concat(substr('      ', 1, CAST(turn % 4 * 2 AS INT)), replace(text, chr(10), ' ')) END AS line FROM conversations""",
     # Boxes on pages, in page units.
     "box": """
 SELECT l_orderkey AS paper_id, CAST(l_linenumber AS INT) AS seq, CAST(l_partkey % 2 AS INT) AS page,
        CAST(l_partkey % 700 AS DOUBLE) AS x0, CAST(l_suppkey * 37 % 800 AS DOUBLE) AS y0,
        CAST(l_partkey % 700 + 40 + l_quantity * 4 AS DOUBLE) AS x1, CAST(l_suppkey * 37 % 800 + 30 + l_quantity * 3 AS DOUBLE) AS y1,
-       CASE WHEN l_linenumber % 2 = 0 THEN 'figure' ELSE 'region' END AS role FROM lineitem WHERE l_orderkey % 20 = 0 OR l_orderkey < 4000""",
+       CASE WHEN l_linenumber % 2 = 0 THEN 'figure' ELSE 'region' END AS role FROM lineitem""",
     "job": """
 SELECT event_id, user_id AS job_id, event_type AS kind, ts, value FROM events""",
     "question": """

@@ -72,7 +72,7 @@ def figure_review(stem: Column, figures: Column, slots: Column, missing: Column,
     return (
         F.when(missing & (figures == 0) & ~draw, "blocked_missing")
         .when(slots > figures, "blocked_missing")
-        .when(cue & (figures == 0) & ~draw, "blocked_missing")
+        .when(cue & (figures == 0), "blocked_missing")
         .when(unclassified > 0, "conflict")
         .when((figures > 0) & ~cue, "conflict")
         .when((figures == 0) & (excluded > 0), "auto_excluded")

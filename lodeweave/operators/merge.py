@@ -53,9 +53,13 @@ def match_questions(local: DataFrame, incoming: DataFrame) -> DataFrame:
     a, b = cols(incoming, "i_"), cols(local, "l_")
     begins = F.col("i_head").startswith(F.col("l_head")) | F.col("l_head").startswith(F.col("i_head"))
     same = a.join(b, (a["paper_id"] == b["paper_id"]) & (F.col("i_number") == F.col("l_number"))).drop(b["paper_id"]).where(begins).withColumn("_s", F.lit(1))
-    twin = a.join(b, (a["paper_id"] == b["paper_id"]) & (F.substring("i_head", 1, 10) == F.substring("l_head", 1, 10))).drop(b["paper_id"]).where(begins & (F.col("i_head") != "")).withColumn("_s", F.lit(2))
+    # One head begins the other: each head of at most 30 characters meets the others by its own beginnings.
+    starts = lambda side, k: side.where(F.length(f"{k}_head") > 0).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.length(f"{k}_head")), lambda n: F.substring(F.col(f"{k}_head"), F.lit(1), n))))
+    local_first = starts(a, "i").join(b, (a["paper_id"] == b["paper_id"]) & (F.col("_p") == F.col("l_head"))).select("i_id", "l_id")
+    incoming_first = a.join(starts(b, "l"), (a["paper_id"] == b["paper_id"]) & (F.col("i_head") == F.col("_p"))).select("i_id", "l_id")
+    twin = local_first.union(incoming_first).distinct().withColumn("_s", F.lit(2))
     best = Window.partitionBy("i_id").orderBy("_s", "l_id")
-    hits = same.unionByName(twin).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("i_id", F.col("l_id"), "_s")
+    hits = same.select("i_id", "l_id", "_s").unionByName(twin).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("i_id", F.col("l_id"), "_s")
     return a.join(hits, "i_id", "left").select(F.col("i_id").alias("id"), F.col("l_id").alias("local_id"), F.when(F.col("_s") == 1, "number").when(F.col("_s") == 2, "stem").otherwise("new").alias("by"))
 
 
@@ -88,7 +92,9 @@ def match_cards(existing: DataFrame, desired: DataFrame) -> DataFrame:
     passes = [["paper_id", "anchor", "kind"], ["paper_id", "anchor"], ["paper_id", "number"]]
     left, free, out = desired, existing, None
     for k, keys in enumerate(passes):
-        d = left.where(" and ".join(f"{c} is not null" for c in keys)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("position")))
+        # A number tells only where there is no anchor to go by, or the kind is not known.
+        asked = left.where("anchor is null or kind in ('unknown', 'manual')") if keys[-1] == "number" else left
+        d = asked.where(" and ".join(f"{c} is not null" for c in keys)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("position")))
         e = free.where(" and ".join(f"{c} is not null" for c in keys)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("deleted", "id")))
         hit = d.select(*keys, "_n", "position").join(e.select(*keys, "_n", "id"), [*keys, "_n"]).select("paper_id", "position", "id", F.lit(k + 1).alias("pass"))
         out = hit if out is None else out.unionByName(hit)

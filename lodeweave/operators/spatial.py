@@ -92,9 +92,18 @@ def margins(boxes: DataFrame, gap: float = 120) -> DataFrame:
     return marked.withColumn("cluster", F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("paper_id", "page", "cluster").agg(F.count("*").alias("boxes"), F.min("x0").alias("left"))
 
 
+#: Where a page may be split, how far a box may reach over the line, how many may cross it.
+SPLIT_FROM, SPLIT_TO, SLACK, LEAST_BOXES, MOST_CROSSING, CROSSING_SHARE = 250, 750, 8, 3, 2, 0.15
+
+
 def column_split(boxes: DataFrame, at: float = 500) -> DataFrame:
-    """Whether a page reads in two columns: boxes on both sides and few that cross the middle."""
-    return boxes.groupBy("paper_id", "page").agg(F.count_if(F.col("x1") <= at).alias("left"), F.count_if(F.col("x0") >= at).alias("right"), F.count_if((F.col("x0") < at) & (F.col("x1") > at)).alias("crossing")).withColumn("columns", F.when((F.col("left") > 0) & (F.col("right") > 0) & (F.col("crossing") * 4 <= F.col("left") + F.col("right")), 2).otherwise(1))
+    """Whether a page reads in two columns: enough boxes, with centres on both sides of a line near the middle that few cross."""
+    right = (F.col("x0") + F.col("x1")) / 2 >= at
+    over = (F.col("x0") < at - SLACK) & (F.col("x1") > at + SLACK)
+    sums = boxes.groupBy("paper_id", "page").agg(F.count_if(~right).alias("left"), F.count_if(right).alias("right"), F.count_if(over).alias("crossing"))
+    n = F.col("left") + F.col("right")
+    fits = (n >= LEAST_BOXES) & (F.col("left") > 0) & (F.col("right") > 0) & (F.col("crossing") <= F.greatest(F.lit(float(MOST_CROSSING)), n * CROSSING_SHARE))
+    return sums.withColumn("columns", F.when(F.lit(SPLIT_FROM <= at <= SPLIT_TO) & fits, 2).otherwise(1))
 
 
 def white_gap(rows: DataFrame, least: float) -> DataFrame:

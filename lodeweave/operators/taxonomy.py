@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HIERARCHY = "contains"
-#: Rounds of a closure at most; edges, roots and pairs up to which it is walked in memory.
-MOST_DEPTH, SMALL, PAIRS = 32, 50_000, 1_000_000
+#: Edges, roots and pairs up to which a closure is walked in memory.
+SMALL, PAIRS = 20_000, 200_000
+_folders: dict[str, str] = {}
 
 
 def hierarchy(edges: DataFrame) -> DataFrame:
@@ -56,13 +57,12 @@ def closure(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame
             return edges.sparkSession.createDataFrame(pairs, f"root {kind}, tag {kind}")
     down = _settled(down)
     new = reached = _settled(start.select("root", F.col("root").alias("tag")))
-    for _ in range(MOST_DEPTH):
+    while True:  # pairs are new in each round, so a cycle ends too
         step = new.join(down, new["tag"] == down["parent"]).select("root", F.col("child").alias("tag")).distinct()
         new = _settled(step.join(reached, ["root", "tag"], "left_anti"))
         if new.isEmpty():
             return reached
         reached = reached.union(new)
-    raise ValueError(f"the hierarchy is deeper than {MOST_DEPTH} or has a cycle")
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def _settled(df: DataFrame) -> DataFrame:
     if not folder:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             return df.cache()
-        folder = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _folders.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lodeweave-")
+        _folders[context.applicationId] = folder
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
@@ -190,7 +190,8 @@ def layers(edges: DataFrame) -> DataFrame:
     down = hierarchy(edges)
     nodes = down.select(F.col("parent").alias("tag")).union(down.select("child")).distinct()
     depth = nodes.withColumn("depth", F.lit(0))
-    for _ in range(MOST_DEPTH):
+    n = nodes.count()
+    for _ in range(n):  # no way is longer than the nodes; with a cycle depths would grow for ever
         deeper = depth.join(down, depth["tag"] == down["parent"]).groupBy(F.col("child").alias("_c")).agg((F.max("depth") + 1).alias("_d"))
         after = depth.join(deeper, depth["tag"] == deeper["_c"], "left").select("tag", F.greatest("depth", F.coalesce("_d", F.lit(0))).alias("depth"))
         if after.agg(F.sum("depth")).first() == depth.agg(F.sum("depth")).first():

@@ -144,13 +144,13 @@ def geo5_ink_profile(env):
     return cards.ink_profile(env.table("lineitem").select((F.col("l_orderkey") % 40).alias("page_id"), F.col("l_linenumber").alias("y"), F.col("l_quantity").alias("value")))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS cut_id, o_custkey % 30 AS page_id, o_orderkey % 900 AS y FROM orders WHERE o_orderkey % 5 = 0), g AS (SELECT c_custkey % 30 AS page_id, c_custkey * 7 % 900 AS "from", c_custkey * 7 % 900 + 8 AS "to" FROM customer WHERE c_custkey % 6 = 0),
+@query("""WITH c AS (SELECT o_orderkey AS cut_id, o_custkey % 300 AS page_id, o_orderkey % 900 AS y FROM orders), g AS (SELECT c_custkey % 300 AS page_id, c_custkey * 7 % 900 AS "from", c_custkey * 7 % 900 + 8 AS "to" FROM customer),
 n AS (SELECT c.page_id, cut_id, ("from" + "to") / 2 AS m, abs(("from" + "to") / 2 - y) AS d FROM c JOIN g USING (page_id) WHERE abs(("from" + "to") / 2 - y) <= 15), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, cut_id ORDER BY d, m) = 1)
 SELECT c.page_id, c.cut_id, coalesce(b.m, CAST(c.y AS DOUBLE)) AS y FROM c LEFT JOIN b ON b.page_id = c.page_id AND b.cut_id = c.cut_id""")
 def geo6_snapped_cuts(env):
-    cuts = env.table("orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("cut_id"), (F.col("o_custkey") % 30).alias("page_id"), (F.col("o_orderkey") % 900).alias("y"))
+    cuts = env.table("orders").select(F.col("o_orderkey").alias("cut_id"), (F.col("o_custkey") % 300).alias("page_id"), (F.col("o_orderkey") % 900).alias("y"))
     at = F.col("c_custkey") * 7 % 900
-    gaps = env.table("customer").where("c_custkey % 6 = 0").select((F.col("c_custkey") % 30).alias("page_id"), at.alias("from"), (at + 8).alias("to"))
+    gaps = env.table("customer").select((F.col("c_custkey") % 300).alias("page_id"), at.alias("from"), (at + 8).alias("to"))
     return cards.snapped_cuts(cuts, gaps)
 
 

@@ -55,13 +55,13 @@ def jn12_last_heading(env):
     return sequences.last_heading(env("line")).select("doc_id", "pos", "heading")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS paper_id, 0 AS page, l_linenumber AS letter, l_partkey % 900 AS x, l_suppkey % 100 * 9 AS y FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber < 4),
-i AS (SELECT l_orderkey AS paper_id, 0 AS page, l_linenumber AS seq, l_partkey * 3 % 900 AS x0, l_partkey * 3 % 900 + 50 AS x1, l_suppkey * 7 % 900 AS y0 FROM lineitem WHERE l_orderkey < 2000),
+@query("""WITH l AS (SELECT l_orderkey AS paper_id, 0 AS page, l_linenumber AS letter, l_partkey % 900 AS x, l_suppkey % 100 * 9 AS y FROM lineitem WHERE l_linenumber < 4),
+i AS (SELECT l_orderkey AS paper_id, 0 AS page, l_linenumber AS seq, l_partkey * 3 % 900 AS x0, l_partkey * 3 % 900 + 50 AS x1, l_suppkey * 7 % 900 AS y0 FROM lineitem),
 g AS (SELECT l.paper_id, l.page, letter, seq, abs((x0 + x1) / 2.0 - x) + abs(y0 - y) AS g FROM l JOIN i ON l.paper_id = i.paper_id),
 n AS (SELECT *, row_number() OVER w AS r, lead(g) OVER w AS nx FROM g WINDOW w AS (PARTITION BY paper_id, page, letter ORDER BY g, seq))
 SELECT paper_id, page, letter, CASE WHEN nx IS NULL OR nx - g >= 12 THEN seq END AS seq FROM n WHERE r = 1""")
 def jn13_ambiguous_labels(env):
-    q = env.table("lineitem").where("l_orderkey < 2000").withColumns({"paper_id": F.col("l_orderkey"), "page": F.lit(0)})
+    q = env.table("lineitem").withColumns({"paper_id": F.col("l_orderkey"), "page": F.lit(0)})
     labels = q.where("l_linenumber < 4").select("paper_id", "page", F.col("l_linenumber").alias("letter"), (F.col("l_partkey") % 900).alias("x"), (F.col("l_suppkey") % 100 * 9).alias("y"))
     x = F.col("l_partkey") * 3 % 900
     images = q.select("paper_id", "page", F.col("l_linenumber").alias("seq"), x.alias("x0"), (x + 50).alias("x1"), (F.col("l_suppkey") * 7 % 900).alias("y0"))
@@ -139,8 +139,8 @@ def win13_longest_name(env):
     return sequences.longest_name(headers, ["source", "lang"])
 
 
-@query("""SELECT paper_id, page, count(*) FILTER (x1 <= 500) AS "left", count(*) FILTER (x0 >= 500) AS "right", count(*) FILTER (x0 < 500 AND x1 > 500) AS crossing,
- CASE WHEN count(*) FILTER (x1 <= 500) > 0 AND count(*) FILTER (x0 >= 500) > 0 AND count(*) FILTER (x0 < 500 AND x1 > 500) * 4 <= count(*) FILTER (x1 <= 500) + count(*) FILTER (x0 >= 500) THEN 2 ELSE 1 END AS columns FROM box GROUP BY 1, 2""")
+@query("""SELECT paper_id, page, count(*) FILTER ((x0 + x1) / 2 < 500) AS "left", count(*) FILTER ((x0 + x1) / 2 >= 500) AS "right", count(*) FILTER (x0 < 492 AND x1 > 508) AS crossing,
+ CASE WHEN count(*) >= 3 AND "left" >= 1 AND "right" >= 1 AND crossing <= greatest(2, 0.15 * count(*)) THEN 2 ELSE 1 END AS columns FROM box GROUP BY 1, 2""")
 def geo4_column_split(env):
     return spatial.column_split(env("box"))
 
@@ -177,7 +177,7 @@ def win5_best_chain(env):
 
 @query(None)
 def win7_gap_repairs(env):
-    found = env("question").where("paper_id < 3000").select("paper_id", "seq", "number", (1.0 + F.col("part") % 3).alias("score"))
+    found = env("question").select("paper_id", "seq", "number", (1.0 + F.col("part") % 3).alias("score"))
     return sequences.gap_repairs(sequences.chains(found), found)
 
 
@@ -188,7 +188,7 @@ def _blocks(env):
     q = env("question")
     x = F.when(F.col("seq") % 2 == 0, 520.0).otherwise(40.0)
     text = F.concat(F.when(F.col("part") % 4 != 0, F.concat(F.col("seq").cast("string"), F.lit(". "))).otherwise(F.lit("")), F.when(F.col("part") % 3 == 0, "What is ").otherwise("so "), F.col("part").cast("string"))
-    return q.where("paper_id < 4000").select("paper_id", "seq", F.floor((F.col("seq") - 1) / 4).cast("int").alias("page"), x.alias("x0"), (F.col("seq") * 60 % 700).cast("double").alias("y0"), (x + 400).alias("x1"), (F.col("seq") * 60 % 700 + 40).cast("double").alias("y1"), text.alias("text"))
+    return q.select("paper_id", "seq", F.floor((F.col("seq") - 1) / 4).cast("int").alias("page"), x.alias("x0"), (F.col("seq") * 60 % 700).cast("double").alias("y0"), (x + 400).alias("x1"), (F.col("seq") * 60 % 700 + 40).cast("double").alias("y1"), text.alias("text"))
 
 
 @query(None)
@@ -204,8 +204,8 @@ def seg8_segment(env):
 
 @query(None)
 def seg6_regions(env):
-    starts = env("question").where("paper_id < 2000").select("paper_id", "number", (F.col("seq") % 3).alias("slot"), (F.col("part") % 900).cast("double").alias("y"))
-    slots = env("question").where("paper_id < 2000").select("paper_id").distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({"top": F.lit(30.0), "bottom": F.lit(970.0)})
+    starts = env("question").select("paper_id", "number", (F.col("seq") % 3).alias("slot"), (F.col("part") % 900).cast("double").alias("y"))
+    slots = env("question").select("paper_id").distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({"top": F.lit(30.0), "bottom": F.lit(970.0)})
     return sequences.regions(starts, slots)
 
 

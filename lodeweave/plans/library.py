@@ -182,7 +182,7 @@ def agg5_presence(env):
     return facets.dimension_presence(env("pub"))
 
 
-JOBS = "SELECT event_id % 1000 AS id, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'done' END AS state FROM events WHERE event_id < 700"
+JOBS = "SELECT event_id % 1000 AS id, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'done' END AS state FROM events"
 
 
 @query(f"""WITH jobs AS ({JOBS}), live AS (SELECT id FROM pub WHERE status = 'published'), tagged AS (SELECT publication_id FROM assignment WHERE NOT needs_review),
@@ -192,7 +192,7 @@ UNION ALL SELECT 'in_work', count(DISTINCT id) FROM busy WHERE id IN (SELECT id
 UNION ALL SELECT 'to_review', count(DISTINCT id) FROM (SELECT publication_id AS id FROM assignment WHERE needs_review UNION SELECT id FROM jobs WHERE state = 'pending') WHERE id IN (SELECT id FROM live)""")
 def agg6_work_counters(env):
     k = F.col("event_id") % 4
-    jobs = env.table("events").where("event_id < 700").select((F.col("event_id") % 1000).alias("id"), F.when(k == 0, "queued").when(k == 1, "running").when(k == 2, "pending").otherwise("done").alias("state"))
+    jobs = env.table("events").select((F.col("event_id") % 1000).alias("id"), F.when(k == 0, "queued").when(k == 1, "running").when(k == 2, "pending").otherwise("done").alias("state"))
     return facets.work_counters(env("pub"), env("assignment"), jobs)
 
 
@@ -225,16 +225,16 @@ def agg12_numbering_verdict(env):
     return facets.numbering_verdict(lines, "doc_id")
 
 
-@query("SELECT source, CASE WHEN count(DISTINCT CASE WHEN lang <> 'es' THEN lang END) = 1 THEN max(CASE WHEN lang <> 'es' THEN lang END) ELSE 'unknown' END AS label FROM documents WHERE doc_id < 60 GROUP BY 1")
+@query("SELECT source, CASE WHEN count(DISTINCT CASE WHEN lang <> 'es' THEN lang END) = 1 THEN max(CASE WHEN lang <> 'es' THEN lang END) ELSE 'unknown' END AS label FROM documents GROUP BY 1")
 def agg17_consensus(env):
-    votes = env.table("documents").where("doc_id < 60").select("source", F.when(F.col("lang") == "es", "unknown").otherwise(F.col("lang")).alias("vote"))
+    votes = env.table("documents").select("source", F.when(F.col("lang") == "es", "unknown").otherwise(F.col("lang")).alias("vote"))
     return facets.consensus(votes, "source", "vote")
 
 
 @query("""SELECT frame, list_sort(list(DISTINCT record)) AS claimants, CASE WHEN count(DISTINCT CASE WHEN cue THEN record END) = 1 THEN max(CASE WHEN cue THEN record END) END AS winner
-FROM (SELECT l_partkey AS frame, l_orderkey AS record, l_returnflag = 'R' AS cue FROM lineitem WHERE l_partkey < 200) GROUP BY 1 HAVING count(DISTINCT record) > 1""")
+FROM (SELECT l_partkey AS frame, l_orderkey AS record, l_returnflag = 'R' AS cue FROM lineitem) GROUP BY 1 HAVING count(DISTINCT record) > 1""")
 def agg18_claim_ledger(env):
-    claims = env.table("lineitem").where("l_partkey < 200").select(F.col("l_partkey").alias("frame"), F.col("l_orderkey").alias("record"), (F.col("l_returnflag") == "R").alias("cue"))
+    claims = env.table("lineitem").select(F.col("l_partkey").alias("frame"), F.col("l_orderkey").alias("record"), (F.col("l_returnflag") == "R").alias("cue"))
     return facets.claim_ledger(claims)
 
 
@@ -249,9 +249,9 @@ def sort2_page(env):
 
 
 def _order(name, sql):
-    @query(f"SELECT id, CAST(row_number() OVER (ORDER BY {sql}) - 1 AS INTEGER) AS position FROM pub WHERE kind = 'fr' QUALIFY position < 100", name=f"sort1_order_{name}")
+    @query(f"SELECT id, CAST(row_number() OVER (ORDER BY {sql}) - 1 AS INTEGER) AS position FROM pub QUALIFY position < 100", name=f"sort1_order_{name}")
     def run(env):
-        return ordering.page(env("pub").where("kind = 'fr'"), name, 0, 100).select("id", "position")
+        return ordering.page(env("pub"), name, 0, 100).select("id", "position")
 
 
 _order("recent", "published_at DESC, id DESC")
@@ -359,9 +359,9 @@ def set3_intersection(env):
     return sets.select("conv_id", F.array_sort(F.array_intersect("a", "b")).alias("both_have"))
 
 
-@query("SELECT doc_id, list_distinct_in_order AS words FROM (SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda x: list_position(w, x[1]) = x[2] + 1), lambda x: x[1]) AS list_distinct_in_order FROM (SELECT doc_id, string_split(substr(text, 1, 80), ' ') AS w FROM documents))")
+@query("SELECT doc_id, list_distinct_in_order AS words FROM (SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda x: list_position(w, x[1]) = x[2] + 1), lambda x: x[1]) AS list_distinct_in_order FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def set5_ordered_distinct(env):
-    return env.table("documents").select("doc_id", F.array_distinct(F.split(F.substring("text", 1, 80), " ")).alias("words"))
+    return env.table("documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("words"))
 
 
 @query(f"""WITH RECURSIVE {BELOW} SELECT DISTINCT a.publication_id AS id FROM assignment a JOIN below b ON a.tag_id = b.tag WHERE b.root IN ('n1', 'n2', 'r3')""")

@@ -60,11 +60,11 @@ def agg10_impact(env):
     return taxonomy.impact(env("assignment"), env("edge"), env("pub"), ("n4", "n8"))
 
 
-@query("""SELECT proposal_id, list_sort(list(DISTINCT t)) AS broken FROM (SELECT doc_id AS proposal_id, unnest([concat('n', doc_id % 25), concat('s', doc_id % 90 + 1), 'gone']) AS t FROM documents WHERE doc_id < 300 AND doc_id % 2 = 0)
+@query("""SELECT proposal_id, list_sort(list(DISTINCT t)) AS broken FROM (SELECT doc_id AS proposal_id, unnest([concat('n', doc_id % 25), concat('s', doc_id % 90 + 1), 'gone']) AS t FROM documents)
 WHERE t NOT IN (SELECT tag_id FROM tag WHERE active) GROUP BY 1""")
 def grf7_broken_references(env):
     ids = F.array(F.concat(F.lit("n"), F.col("doc_id") % 25), F.concat(F.lit("s"), F.col("doc_id") % 90 + 1), F.lit("gone"))
-    proposals = env.table("documents").where("doc_id < 300 and doc_id % 2 = 0").select(F.col("doc_id").alias("proposal_id"), ids.alias("tag_ids"))
+    proposals = env.table("documents").select(F.col("doc_id").alias("proposal_id"), ids.alias("tag_ids"))
     return taxonomy.broken_references(proposals, env("tag"))
 
 
@@ -119,23 +119,25 @@ def mut3_carried_extras(env):
     return versioning.carried(rows).select("id", "extras")
 
 
-@query("""WITH r AS (SELECT doc_id * 3 AS id, min(doc_id) AS position FROM documents WHERE doc_id < 400 GROUP BY 1)
+@query("""WITH r AS (SELECT doc_id * 3 AS id, min(doc_id) AS position FROM documents GROUP BY 1)
 SELECT position, r.id, status IS NOT NULL AND status = 'published' AS done, CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 'published' THEN concat('is_', status) END AS reason, CASE WHEN status = 'published' THEN 'withdrawn' ELSE status END AS status FROM r LEFT JOIN pub p ON p.id = r.id""")
 def mut2_withdraw_batch(env):
-    requests = env.table("documents").where("doc_id < 400").select((F.col("doc_id") * 3).alias("id"), F.col("doc_id").alias("position"))
+    requests = env.table("documents").select((F.col("doc_id") * 3).alias("id"), F.col("doc_id").alias("position"))
     return versioning.batch(env("pub"), requests, "published", "withdrawn")
 
 
-REQ = """req AS (SELECT concat('q', event_id % 400) AS request_id, CASE WHEN event_id % 400 = 7 THEN concat('h', event_id) ELSE concat('h', event_id % 400) END AS hash, event_id % 400 AS publication_id, concat('n', event_id % 400 % 25) AS tag_id, CASE WHEN event_id % 400 % 3 = 0 THEN 'remove' ELSE 'add' END AS op, event_id % 400 % 4 AS expected FROM events WHERE event_id < 900),
-rev AS (SELECT id AS publication_id, id % 5 AS revision FROM pub WHERE id < 350),
+REQ = """req AS (SELECT concat('q', k) AS request_id, CASE WHEN k % 400 = 7 THEN concat('h', event_id) ELSE concat('h', k) END AS hash, k AS publication_id, concat('n', k % 25) AS tag_id, CASE WHEN k % 3 = 0 THEN 'remove' ELSE 'add' END AS op, k % 4 AS expected FROM (SELECT event_id, event_id % (SELECT 1 + count(*) // 2 FROM events) AS k FROM events)),
+rev AS (SELECT id AS publication_id, id % 5 AS revision FROM pub WHERE id % 8 <> 7),
 judged AS (SELECT req.*, revision, row_number() OVER (PARTITION BY request_id, req.publication_id, tag_id ORDER BY hash) AS n, min(hash) OVER (PARTITION BY request_id) <> max(hash) OVER (PARTITION BY request_id) AS odd FROM req LEFT JOIN rev USING (publication_id)),
 outcomes AS (SELECT *, CASE WHEN odd THEN 'conflict' WHEN n > 1 THEN 'replayed' WHEN revision IS NULL THEN 'not_found' WHEN revision <> expected THEN 'stale' ELSE 'done' END AS outcome FROM judged)"""
 
 
 def _assigned(env):
-    k = F.col("event_id") % 400
-    requests = env.table("events").where("event_id < 900").select(F.concat(F.lit("q"), k).alias("request_id"), F.concat(F.lit("h"), F.when(k == 7, F.col("event_id")).otherwise(k)).alias("hash"), k.alias("publication_id"), F.concat(F.lit("n"), k % 25).alias("tag_id"), F.when(k % 3 == 0, "remove").otherwise("add").alias("op"), (k % 4).alias("expected"))
-    revisions = env("pub").where("id < 350").select(F.col("id").alias("publication_id"), (F.col("id") % 5).alias("revision"))
+    # Half as many requests as events: each is asked about twice.
+    events, k = env.table("events"), F.col("k")
+    events = events.crossJoin(F.broadcast(events.agg(F.floor(1 + F.count("*") / 2).cast("long").alias("n")))).withColumn("k", F.col("event_id") % F.col("n"))
+    requests = events.select(F.concat(F.lit("q"), k).alias("request_id"), F.concat(F.lit("h"), F.when(k % 400 == 7, F.col("event_id")).otherwise(k)).alias("hash"), k.alias("publication_id"), F.concat(F.lit("n"), k % 25).alias("tag_id"), F.when(k % 3 == 0, "remove").otherwise("add").alias("op"), (k % 4).alias("expected"))
+    revisions = env("pub").where("id % 8 <> 7").select(F.col("id").alias("publication_id"), (F.col("id") % 5).alias("revision"))
     return versioning.assign(env("assignment"), requests, revisions)
 
 
@@ -205,7 +207,7 @@ def mut10_undo_merge(env):
 
 @query("""WITH q AS (SELECT id, paper_id, number, substr(regexp_replace(stem, '[ \\t\\n\\r\\f\\v]', '', 'g'), 1, 30) AS head FROM pub), i AS (SELECT * FROM q WHERE id % 2 = 1), l AS (SELECT * FROM q WHERE id % 2 = 0),
 h AS (SELECT i.id, l.id AS local_id, 1 AS s FROM i JOIN l USING (paper_id) WHERE i.number = l.number AND (starts_with(i.head, l.head) OR starts_with(l.head, i.head))
-UNION ALL SELECT i.id, l.id, 2 FROM i JOIN l USING (paper_id) WHERE substr(i.head, 1, 10) = substr(l.head, 1, 10) AND i.head <> '' AND (starts_with(i.head, l.head) OR starts_with(l.head, i.head))),
+UNION ALL SELECT i.id, l.id, 2 FROM i JOIN l USING (paper_id) WHERE l.head <> '' AND i.head <> '' AND (starts_with(i.head, l.head) OR starts_with(l.head, i.head))),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, local_id) = 1)
 SELECT i.id, b.local_id, CASE b.s WHEN 1 THEN 'number' WHEN 2 THEN 'stem' ELSE 'new' END AS "by" FROM i LEFT JOIN b USING (id)""")
 def jn18_match_questions(env):
@@ -267,7 +269,7 @@ SELECT *, 1 AS pass FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3
 def jn14_match_cards(env):
     d = env.table("documents")
     desired = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("position"), F.col("source").alias("paper_id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"))
-    existing = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"), (F.col("doc_id") % 5 == 0).alias("deleted"))
+    existing = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.when(F.col("doc_id") % 4 != 1, (F.col("doc_id") - 1) % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"), (F.col("doc_id") % 5 == 0).alias("deleted"))
     return merge.match_cards(existing, desired)
 
 
@@ -282,10 +284,10 @@ def map1_option_content_empty(env):
     return env("pub").where("false").select("id", option_content(m).alias("m"))
 
 
-@query("""SELECT id, op IS NOT NULL AND op = 'delete' AS deleted, restores FROM (SELECT DISTINCT paper_id AS id FROM question WHERE paper_id < 400) r
+@query("""SELECT id, op IS NOT NULL AND op = 'delete' AS deleted, restores FROM (SELECT DISTINCT paper_id AS id FROM question) r
 LEFT JOIN (SELECT user_id AS id, max_by(op, event_id) AS op, count(*) FILTER (op = 'restore') AS restores FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'delete' ELSE 'restore' END AS op FROM events) GROUP BY 1) e USING (id)""")
 def mut17_soft_deletes(env):
-    rows = env("question").where("paper_id < 400").select(F.col("paper_id").alias("id")).distinct()
+    rows = env("question").select(F.col("paper_id").alias("id")).distinct()
     events = env.table("events").select(F.col("user_id").alias("id"), "event_id", F.when(F.col("event_id") % 2 == 0, "delete").otherwise("restore").alias("op"))
     return versioning.soft_deletes(rows, events)
 

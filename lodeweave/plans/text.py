@@ -10,16 +10,13 @@ from ..operators import sequences
 from ..streaming import jobs
 from .registry import query
 
-HEAD = "substr(text, 1, 300)"
-
-
-def _heads(env):
-    return env.table("documents").select("doc_id", F.substring("text", 1, 300).alias("text"), "lang", "n_chars")
+def _texts(env):
+    return env.table("documents").select("doc_id", "text", "lang", "n_chars")
 
 
 def _changed(env):
-    """Each head with a changed reading of it."""
-    d = _heads(env)
+    """Each text with a changed reading of it."""
+    d = _texts(env)
     return d.withColumn("other", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", 1, 20), F.lit("x"), F.expr("substring(text, 22)"))).otherwise(F.concat("text", F.lit("."))))
 
 
@@ -29,25 +26,25 @@ def scl1_canonical(env):
     return env.table("documents").select("doc_id", text.text_column(text.canon, value).alias("key"))
 
 
-@query(None)
+@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 3 = 2 OR substr(text, 21, 1) = 'x' AS same FROM documents WHERE length(text) > 21 AND NOT regexp_matches(text, '[^A-Za-zÀ-ž ,.\\n]')")
 def scl2_same_reading(env):
     same = text.flag_column(lambda a, b: text.same_reading({"stem": a}, {"stem": b}), F.col("text"), F.col("other"))
-    return _changed(env).select("doc_id", same.alias("same"))
+    return _changed(env).where(~F.col("text").rlike(r"[^A-Za-zÀ-ž ,.\n]") & (F.length("text") > 21)).select("doc_id", same.alias("same"))
 
 
 @query(None)
 def scl3_witness_key(env):
-    return _heads(env).select("doc_id", text.text_column(text.witness_key, F.col("text")).alias("key"))
+    return _texts(env).select("doc_id", text.text_column(text.witness_key, F.col("text")).alias("key"))
 
 
-@query(f"SELECT doc_id, lower(regexp_replace({HEAD}, '[\\s$^_{{}}]', '', 'g')) AS key FROM documents")
+@query(f"SELECT doc_id, lower(regexp_replace(text, '[\\s$^_{{}}]', '', 'g')) AS key FROM documents")
 def scl5_search_key(env):
-    return _heads(env).select("doc_id", text.text_column(text.search_key, F.col("text")).alias("key"))
+    return _texts(env).select("doc_id", text.text_column(text.search_key, F.col("text")).alias("key"))
 
 
-@query(f"SELECT doc_id, concat_ws(' ', lower({HEAD}), lang, CAST(n_chars AS VARCHAR)) AS search_text FROM documents")
+@query(f"SELECT doc_id, concat_ws(' ', lower(text), lang, CAST(n_chars AS VARCHAR)) AS search_text FROM documents")
 def scl6_search_text(env):
-    return _heads(env).select("doc_id", F.concat_ws(" ", F.lower("text"), "lang", F.col("n_chars").cast("string")).alias("search_text"))
+    return _texts(env).select("doc_id", F.concat_ws(" ", F.lower("text"), "lang", F.col("n_chars").cast("string")).alias("search_text"))
 
 
 @query(None)
@@ -74,16 +71,16 @@ def agg16_spotwise_majority(env):
     return _changed(env).select("doc_id", vote.alias("majority"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 30) ELSE substr(text, 1, 30) END AS rest FROM documents")
+@query("SELECT doc_id, text AS rest FROM documents")
 def scl12_strip_label(env):
     d = env.table("documents")
-    labelled = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Example 3. "), F.substring("text", 1, 30))).otherwise(F.substring("text", 1, 30))
+    labelled = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Example 3. "), F.col("text"))).otherwise(F.col("text"))
     return d.select("doc_id", text.strip_label(labelled).alias("rest"))
 
 
-@query("SELECT doc_id, substr(text, 1, 30) AS rest, CASE WHEN doc_id % 4 = 0 THEN concat('spring 20', CAST(doc_id % 90 + 10 AS VARCHAR)) END AS origin FROM documents WHERE NOT starts_with(text, '(') AND NOT starts_with(text, '[')")
+@query("SELECT doc_id, text AS rest, CASE WHEN doc_id % 4 = 0 THEN concat('spring 20', CAST(doc_id % 90 + 10 AS VARCHAR)) END AS origin FROM documents WHERE NOT starts_with(text, '(') AND NOT starts_with(text, '[')")
 def scl13_origin_note(env):
-    noted = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("(spring 20"), F.col("doc_id") % 90 + 10, F.lit(") "), F.substring("text", 1, 30))).otherwise(F.substring("text", 1, 30))
+    noted = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("(spring 20"), F.col("doc_id") % 90 + 10, F.lit(") "), F.col("text"))).otherwise(F.col("text"))
     d = env.table("documents").where(~F.col("text").startswith("(") & ~F.col("text").startswith("["))
     return d.select("doc_id", text.origin_note(noted).alias("o")).select("doc_id", F.col("o.text").alias("rest"), "o.origin")
 
@@ -95,10 +92,10 @@ def scl14_same_note(env):
     return env.table("documents").select("doc_id", text.same_note(a, b).alias("same"))
 
 
-@query(None)
+@query("SELECT doc_id, concat('“', text, '” and $\"x\"$') AS text FROM documents WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%$%'")
 def scl15_paired_quotes(env):
-    quoted = F.concat(F.lit('"'), F.substring("text", 1, 12), F.lit('" and $"x"$'))
-    return env.table("documents").select("doc_id", text.text_column(text.paired_quotes, quoted).alias("text"))
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('" and $"x"$'))
+    return env.table("documents").where(~F.col("text").rlike('["$]')).select("doc_id", text.text_column(text.paired_quotes, quoted).alias("text"))
 
 
 @query("SELECT doc_id, [CAST(doc_id % 9 + 1 AS INTEGER), CAST(doc_id % 9 + 2 AS INTEGER)] AS numbers FROM documents")
@@ -128,7 +125,7 @@ def scl23_name_key(env):
 @query(None)
 def scl24_match_tags(env):
     names = ["the", "and th", "er", "ing", "tion"]  # a dictionary of the caller's, sent with the function
-    return _heads(env).select("doc_id", text.strings_column(lambda x: text.match_tags(x, names), F.col("text")).alias("tags"))
+    return _texts(env).select("doc_id", text.strings_column(lambda x: text.match_tags(x, names), F.col("text")).alias("tags"))
 
 
 @query("""SELECT doc_id, CASE WHEN (length(s) <= 12 AND NOT regexp_matches(s, '[:,;]')) THEN s WHEN length(s) <= 20 AND regexp_matches(s, '^[0-9]+(\\.[0-9]+)+ *[^ :,;!?.]') AND NOT regexp_matches(regexp_extract(s, '^[0-9]+(\\.[0-9]+)+ *(.*)$', 2), '[:,;!?.]') THEN s ELSE '' END AS label
@@ -149,10 +146,10 @@ def scl28_token_diff(env):
     return _changed(env).select("doc_id", F.explode(text.diff_column(F.col("text"), F.col("other"))).alias("d")).select("doc_id", "d.*").where("op <> 'equal'")
 
 
-@query(None)
+@query("SELECT doc_id, CASE WHEN length(text) >= 199 THEN substr(text, 1, 200) WHEN length(text) >= 194 THEN concat(text, ' ') ELSE substr(concat(text, ' $x+y$ tail'), 1, 200) END AS answer FROM documents WHERE text NOT LIKE '%$%'")
 def scl29_trim_answer(env):
-    body = F.concat(F.substring("text", 1, 10), F.lit(" $x+y$ tail"))
-    return env.table("documents").select("doc_id", text.text_column(lambda x: text.trim_answer(x, 14), body).alias("answer"))
+    body = F.concat(F.col("text"), F.lit(" $x+y$ tail"))
+    return env.table("documents").where(~F.col("text").contains("$")).select("doc_id", text.text_column(lambda x: text.trim_answer(x, 200), body).alias("answer"))
 
 
 @query("SELECT doc_id, lang AS answer, concat('b', CAST(doc_id AS VARCHAR)) AS analysis FROM documents")
@@ -264,7 +261,7 @@ def tbl3_html_to_text(env):
 
 @query(None)
 def tbl4_without_tables(env):
-    body = F.concat(F.lit("x\n| a | b |\n| c | d |\n"), F.substring("text", 1, 20))
+    body = F.concat(F.lit("x\n| a | b |\n| c | d |\n"), F.col("text"))
     return env.table("documents").select("doc_id", text.text_column(markup.without_tables, body).alias("prose"), text.strings_column(markup.cell_texts, body).alias("cells"))
 
 
