@@ -1,13 +1,16 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document is its five-word shingles weighted by how often they occur (fewer
-words: the whole sequence). For each of ``SAMPLES`` samples and each weighted
-shingle, gamma variates r and c and a uniform b come from hashes of shingle and
-sample; with t = floor(ln w / r + b) the sampled shingle is the one of least
-ln c - r (t - b + 1), and that least value itself is the signature: two texts
-share it with a probability equal to their generalised Jaccard similarity.
-Shingles are hashed, sorted and counted within a row; sampling is ordinary
-column arithmetic over one row a shingle, with one minimum for each sample.
+words: the whole sequence). A hash deals the shingles to ``BINS`` bins, so each
+is sampled once. For a weighted shingle, gamma variates r and c and a uniform b
+come from its hashes; with t = floor(ln w / r + b) the sample of a bin is its
+shingle of least ln c - r (t - b + 1), and that least value itself goes into
+the signature. Two texts share a bin's value with a probability equal to the
+generalised Jaccard similarity of what they have in the bin, so the share of
+equal values among the bins that either text uses estimates that of the texts,
+with less scatter than as many independent samples, and exactly where each bin
+has one shingle. Shingles are hashed, sorted and counted within a row; sampling
+is ordinary column arithmetic over one row a shingle and one minimum a bin.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import cut, drop_cut, whole
 
-SAMPLES, SHINGLE = 16, 5
+BINS, SHINGLE = 128, 5
 #: Rows of a bucket of neighbouring documents.
 ROWS, QUANTILES = 1000, 64
 
@@ -37,18 +40,14 @@ def _terms(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(at, lambda s, j: F.struct(F.get(h, s).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(h)) - s).alias("tf")))).drop("_h", "_at")
 
 
-def samples(term: Column, tf: Column) -> list[Column]:
-    """The value that the least of each sample is taken of; null for a null term."""
+def sample(term: Column, tf: Column) -> Column:
+    """The value that the least of a bin is taken of."""
     unit = 1.0 / (1 << 32)
     low, high = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * unit, lambda h: (F.shiftrightunsigned(h, 32) + 0.5) * unit
-    out = []
-    for k in range(SAMPLES):
-        a, c, b = (F.xxhash64(term, F.lit(3 * k + j)) for j in range(3))
-        r = -F.log(low(a) * high(a))
-        beta = high(b)
-        t = F.floor(F.log(tf.cast("double")) / r + beta)
-        out.append(F.when(term.isNotNull(), F.log(-F.log(low(c) * high(c))) - r * (t - beta + 1)))
-    return out
+    a, c, b = (F.xxhash64(term, F.lit(j)) for j in range(3))
+    r, beta = -F.log(low(a) * high(a)), high(b)
+    t = F.when(tf == 1, F.lit(0.0)).otherwise(F.floor(F.log(tf.cast("double")) / r + beta).cast("double"))  # b is below one
+    return F.log(-F.log(low(c) * high(c))) - r * (t - beta + 1)
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
@@ -63,8 +62,8 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_b", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(bucket))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, text, _b, _r)`` plus the next document's text and its ``(_nb, _nr)``, by descending doc_id.
+def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, text, _b, _r)`` plus the next document's text and its ``(_nb, _nr)``, by descending doc_id; and the cut table they read.
 
     The last document's next is the first. Equal doc_ids follow each other by
     the hash of their texts. A bucket's last row takes the first row of the
@@ -83,10 +82,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     named = named.select("_of", "_nb", F.col("text").alias("_head")).dropDuplicates(["_of"])
     out = led.join(named, (F.col("_b") == F.col("_of")) & F.col("_next").isNull(), "left")
     last = F.col("_next").isNull()
-    return out.select(
+    out = out.select(
         "doc_id", "text", "_b", "_r", F.coalesce("_next", "_head").alias("next_text"),
         F.when(last, F.col("_nb")).otherwise(F.col("_b")).alias("_nb"), F.when(last, F.lit(1)).otherwise(F.col("_r") + 1).alias("_nr"),
     )
+    return out, heads
 
 
 def _small(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -95,10 +95,12 @@ def _small(df: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def signatures(rows: DataFrame, texts: list[str], keys: list[str]) -> DataFrame:
-    """``keys`` plus one ``array<int>`` signature for each text column, named ``sig0``, ``sig1``...
+    """``keys`` plus one signature for each text column, named ``sig0``, ``sig1``...
 
-    ``keys`` name a row. A text without words has a signature of zeros. Rows
-    that are already dealt out by one of ``keys`` are not shuffled again.
+    A signature is an ``array<int>`` with ``bin << 16 | hash of the least value``
+    for each bin that the text uses, empty for a text without words. ``keys``
+    name a row. Rows that are already dealt out by one of ``keys`` are not
+    shuffled again.
     """
     at = rows
     for k, text in enumerate(texts):
@@ -106,12 +108,13 @@ def signatures(rows: DataFrame, texts: list[str], keys: list[str]) -> DataFrame:
     at = at.drop(*[t for t in texts if t not in keys])
     for k in range(len(texts)):
         at = _terms(at, f"_w{k}", f"_t{k}").drop(f"_w{k}")
-    tagged = F.concat(*[F.when(F.size(f"_t{k}") > 0, F.transform(f"_t{k}", _tagged(k))).otherwise(F.array(_tagged(k)(F.struct(F.lit(None).cast("long").alias("term"), F.lit(1).alias("tf"))))) for k in range(len(texts))])
-    each = at.select(*keys, F.inline(tagged))
-    least = each.groupBy(*keys, "which").agg(*[F.min(v).alias(f"m{i}") for i, v in enumerate(samples(F.col("term"), F.col("tf")))])
-    sig = F.when(F.col("m0").isNull(), F.array(*[F.lit(0)] * SAMPLES)).otherwise(F.array(*[F.hash(f"m{i}") for i in range(SAMPLES)]))
-    packed = least.select(*keys, "which", sig.alias("s"))
-    return packed.groupBy(*keys).agg(*[F.first(F.when(F.col("which") == k, F.col("s")), True).alias(f"sig{k}") for k in range(len(texts))])
+    nothing = F.array(_tagged(0)(F.struct(F.lit(None).cast("long").alias("term"), F.lit(1).alias("tf"))))  # keeps rows without words
+    each = at.select(*keys, F.inline(F.concat(nothing, *[F.transform(f"_t{k}", _tagged(k)) for k in range(len(texts))])))
+    bin_ = F.pmod(F.xxhash64("term", F.lit("bin")), F.lit(BINS)).cast("int")
+    value = F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("tf")))
+    least = each.select(*keys, "which", bin_.alias("bin"), value.alias("v")).groupBy(*keys, "which", "bin").agg(F.min("v").alias("v"))
+    code = F.when(F.col("v").isNotNull(), F.shiftleft("bin", 16).bitwiseOR(F.hash("v").bitwiseAND(F.lit(0xFFFF))))
+    return least.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("which") == k, code))).alias(f"sig{k}") for k in range(len(texts))])
 
 
 def _tagged(k: int):
@@ -119,12 +122,15 @@ def _tagged(k: int):
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of equal samples."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / float(SAMPLES)
+    """Share of equal values among the bins that either signature uses; 1 for two empty ones."""
+    bins = lambda x: F.transform(x, lambda c: F.shiftright(c, 16))
+    used = F.size(F.array_union(bins(a), bins(b)))
+    return F.when(used == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
 def as_text(sig: str) -> Column:
-    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    """Two hex digits for the bin and four for its value, bin after bin."""
+    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x.cast("long")), 6, "0"))), "")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -135,10 +141,12 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(docs).withColumn("n_chars", n.cast("long"))
+    rows, heads = with_next(docs)
+    rows = rows.withColumn("n_chars", n.cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("next_text")
     sigs = cut(signatures(rows, ["text", "edited"], ["_b", "_r", "doc_id", "n_chars", "edited_sha256", "_nb", "_nr"]))
+    drop_cut(heads)
     after = sigs.select(F.col("_b").alias("_nb"), F.col("_r").alias("_nr"), F.col("sig0").alias("_after"))
     return sigs.join(after, ["_nb", "_nr"]).select(
         "doc_id", "n_chars", "edited_sha256", as_text("sig0").alias("fingerprint"), as_text("sig1").alias("edited_fingerprint"),

@@ -249,7 +249,7 @@ def test_weighted_likeness(spark, docs, texts):
     order = sorted(texts, reverse=True)
     grams = lambda t: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w := t.split()) >= 5 else Counter([tuple(w)] if w else [])
     jaccard = lambda a, b: sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
-    off = []
+    off, long = [], []
     for k, i in enumerate(order):
         t, after = texts[i], texts[order[(k + 1) % len(order)]]
         half = len(t) // 2
@@ -258,10 +258,12 @@ def test_weighted_likeness(spark, docs, texts):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         off.append(got[i].near_edited - jaccard(grams(t), grams(edited)))
         off.append(got[i].near_next - jaccard(grams(t), grams(after)))
+        long += off[-2:] if len(t.split()) > 300 else []
         if t == edited:
             assert got[i].near_edited == 1
-    assert abs(sum(off) / len(off)) < 0.02
-    assert math.sqrt(sum(x * x for x in off) / len(off)) < 0.12
+    assert abs(sum(off) / len(off)) < 0.01
+    assert math.sqrt(sum(x * x for x in off) / len(off)) < 0.04
+    assert max(map(abs, long)) < 0.2 and len(long) > 50  # texts of few shingles fill few bins
     same = defaultdict(set)
     for i, t in texts.items():
         same[t].add(got[i].fingerprint)
