@@ -185,6 +185,136 @@ def test_page_rank_brute_force(spark):
     assert {(r.kind, r.host): pytest.approx(r["rank"]) for r in got.collect() if r["rank"]} == rank
 
 
+def test_audio_query_brute_force(spark, sf, texts):
+    """Every document's payload, checksums, stored file and features, rebuilt without the operator's readers and writers."""
+    import io
+    import wave
+
+    got = {r.doc_id: r for r in queries.op3_audio_features(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        data, r = text.encode(), got[i]
+        payload = data + bytes((64 - len(data) % 64) % 64 if data else 64)
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(audio.RATE)
+            w.writeframes(payload)
+        media = file.getvalue()
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert wave.open(io.BytesIO(media)).readframes(len(payload)) == payload
+    for i in sorted(texts)[::10]:  # features by sums written out, sample by sample
+        payload = np.frombuffer(texts[i].encode() + bytes(-len(texts[i].encode()) % 64 or 64 * (not texts[i])), np.uint8)
+        assert got[i].feature == _plain_feature(payload)
+
+
+def _plain_feature(payload):
+    """The feature text from a zero-stuffed, filtered and decimated signal and a written-out transform."""
+    x = (payload.astype(np.float64) - 128) / 128
+    bank = audio._phases(audio.UP, audio.DOWN).astype(np.float64)
+    taps = bank.T.ravel()
+    stuffed = np.zeros(len(x) * audio.UP)
+    stuffed[:: audio.UP] = x
+    total = -(-len(x) * audio.UP // audio.DOWN)
+    frames = max(1, -(-(total - audio.WINDOW) // audio.HOP) + 1)
+    filtered = np.concatenate([np.convolve(stuffed, taps), np.zeros(audio.DOWN * (audio.WINDOW + audio.HOP) * 2)])[:: audio.DOWN]
+    filtered = np.concatenate([filtered, np.zeros(max(0, (frames - 1) * audio.HOP + audio.WINDOW - len(filtered)))])
+    shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.WINDOW) / audio.WINDOW)
+    angle = np.exp(-2j * np.pi * np.outer(np.arange(audio.WINDOW), np.arange(audio.WINDOW // 2 + 1)) / audio.WINDOW)
+    filters = audio._mel(audio.RATE * audio.UP // audio.DOWN).astype(np.float64)
+    cuts = np.array([filtered[f * audio.HOP : f * audio.HOP + audio.WINDOW] * shape for f in range(frames)])
+    mel = 10 * np.log10(np.maximum(np.abs(cuts @ angle) ** 2 @ filters, 1e-10))
+    energy = 10 * np.log10(np.maximum((cuts**2).mean(1), 1e-10))
+    step = audio.HOP * audio.DOWN / audio.UP / audio.RATE
+    spans, k, middle = [], 0, np.median(energy)
+    while k < frames:
+        stop = k
+        while stop < frames and energy[stop] > middle + audio.STAY_DB:
+            stop += 1
+        if stop > k and (energy[k:stop] >= middle + audio.START_DB).any():
+            spans.append((stop - k) * step)
+        k = stop + 1
+    means = mel.mean(0).reshape(8, -1).mean(1)
+    return f"{-(-frames // audio.FRAMES)}x{audio.FRAMES}x{audio.BANDS} {frames * step:.3f}s [{','.join(f'{v:.1f}' for v in means)}] {len(spans)} segments {sum(spans):.3f}s"
+
+
+def _plain_verdicts(pages, rules=urls.RULES):
+    """Host, path, rule, verdict and both ranks of each page, by dictionaries."""
+    import re
+
+    def split(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.split("[?#]", rest[len(host) :])[0]
+
+    def rule_of(host, path):
+        fits = [(len(r), v, r) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits)[1:] if fits else None
+
+    parts = {i: split(url) for i, url, _ in pages}
+    edges, seeds, hosts = Counter(), {"trust": Counter(), "distrust": Counter()}, {h for h, _ in parts.values()}
+    for i, _, html in pages:
+        host, path = parts[i]
+        if rule := rule_of(host, path) if host else None:
+            seeds["trust" if rule[0] == "allow" else "distrust"][host] += 1
+        for link in re.findall(r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)""", html or "") if host else ():
+            to = split(re.sub("^//", "http://", link))[0]
+            hosts.add(to)
+            if to and to != host:
+                edges[host, to] += 1
+    for host in hosts:
+        if host.count(".") > 1:
+            above = host.split(".", 1)[1]
+            edges[host, above] += 1
+            edges[above, host] += 1
+    ranks = {}
+    for kind, first in seeds.items():
+        ways = edges if kind == "trust" else Counter({(d, s): n for (s, d), n in edges.items()})
+        out = Counter()
+        for (s, _), n in ways.items():
+            out[s] += n
+        start = {h: n / sum(first.values()) for h, n in first.items()}
+        now = dict(start)
+        for _ in range(urls.ROUNDS):
+            new = Counter({h: (1 - urls.DAMPING) * w for h, w in start.items()})
+            for (s, d), n in ways.items():
+                new[d] += urls.DAMPING * now.get(s, 0) * n / out[s]
+            now = new
+        ranks[kind] = now
+    out = {}
+    for i, (host, path) in parts.items():
+        rule, trust, distrust = rule_of(host, path), ranks["trust"].get(host, 0), ranks["distrust"].get(host, 0)
+        out[i] = (host, path, rule and rule[1], rule[0] if rule else "block" if host and distrust > urls.THRESHOLD * trust else "allow", trust, distrust)
+    return out
+
+
+def _same_verdicts(found, want):
+    assert set(found) == set(want)
+    for i, r in found.items():
+        assert (r.host, r.path, r.rule, r.trust, r.distrust) == (*want[i][:3], pytest.approx(want[i][4], abs=2e-9), pytest.approx(want[i][5], abs=2e-9))
+        if abs(want[i][5] - want[i][4]) > 1e-9:
+            assert r.verdict == want[i][3]
+
+
+def test_url_query_brute_force(spark, sf):
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    _same_verdicts({r.page_id: r for r in queries.op5_url_link_graph(spark, sf).collect()}, _plain_verdicts(pages))
+
+
+def test_links_across_hosts_carry_trust_and_distrust(spark):
+    """Trust flows along links, distrust against them; both change verdicts of hosts that no rule names."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
+    pages = [(1, "http://example.net/en/a", link("good.io", "mixed.io")), (2, "http://bad.net/a", link("far.io")), (3, "http://good.io/", link("friend.io")), (4, "http://shady.io/", link("bad.net", "BAD.net")), (5, "http://mixed.io/", link("bad.net", "good.io")), (6, "http://friend.io/", ""), (7, "http://alone.io/", ""), (8, "http://far.io/", None), (9, "http://lures.io/q", link("shady.io"))]
+    want = _plain_verdicts(pages)
+    assert {i: want[i][3] for i in (3, 4, 6, 7, 9)} == {3: "allow", 4: "block", 6: "allow", 7: "allow", 9: "block"}
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    _same_verdicts({r.page_id: r for r in got.collect()}, want)
+
+
 def test_packing(spark, sf, texts):
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -215,6 +345,22 @@ def test_packing(spark, sf, texts):
     assert padding <= 0.02 * sum(map(len, ids.values()))
 
 
+def test_token_ids_of_odd_texts():
+    """The rank file gives the ids of the vocabulary's JSON form, also for random Unicode, white space and marks."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    pools = ["abc XYZ 019", " \t\n\r\x0b\u00a0\u2003\u3000", "'s't'll've !?.,;:-_#@", "äéßñçø漢字かなкири", "🙂👩‍👩‍👧\u0301\u200d\ufeff", "<|endoftext|>"]
+    for _ in range(1500):
+        parts = [rng.choice((*rng.choice(pools), pools[-1] if rng.random() < 0.05 else "a")) for _ in range(rng.randint(0, 60))]
+        parts += [chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randint(0, 8))]
+        rng.shuffle(parts)
+        text = "".join(parts)
+        assert packing.token_ids(text).tolist() == [*hf.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
 def test_special_token_is_one_id():
     assert packing.token_ids("a<|endoftext|>b").tolist()[1] == packing.SPECIAL_ID
     assert packing.token_ids(None).tolist() == [packing.END]
