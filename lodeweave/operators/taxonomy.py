@@ -55,17 +55,17 @@ def closure(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame
         if pairs is not None:
             kind = roots.schema["root"].dataType.simpleString()
             return edges.sparkSession.createDataFrame(pairs, f"root {kind}, tag {kind}")
-    down = _settled(down)
-    new = reached = _settled(start.select("root", F.col("root").alias("tag")))
+    down = settled(down)
+    new = reached = settled(start.select("root", F.col("root").alias("tag")))
     while True:  # pairs are new in each round, so a cycle ends too
         step = new.join(down, new["tag"] == down["parent"]).select("root", F.col("child").alias("tag")).distinct()
-        new = _settled(step.join(reached, ["root", "tag"], "left_anti"))
+        new = settled(step.join(reached, ["root", "tag"], "left_anti"))
         if new.isEmpty():
             return reached
         reached = reached.union(new)
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """``df`` as files in the folder of checkpoints, so that neither plan nor lineage grows.
 
     A local session without such a folder gets a temporary one; a cluster
@@ -106,7 +106,7 @@ def unsorted_rest(edges: DataFrame) -> DataFrame:
     left = hierarchy(edges).cache()
     count = left.count()
     while True:
-        left = _settled(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
+        left = settled(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"))
         now = left.count()
         if now == count or now == 0:
             return left.select(F.col("parent").alias("tag")).union(left.select("child")).distinct()
@@ -196,7 +196,7 @@ def layers(edges: DataFrame) -> DataFrame:
         after = depth.join(deeper, depth["tag"] == deeper["_c"], "left").select("tag", F.greatest("depth", F.coalesce("_d", F.lit(0))).alias("depth"))
         if after.agg(F.sum("depth")).first() == depth.agg(F.sum("depth")).first():
             break
-        depth = _settled(after)
+        depth = settled(after)
     placed = depth.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("tag")))
     above = down.join(placed.select(F.col("tag").alias("parent"), "place"), "parent").groupBy(F.col("child").alias("tag")).agg(F.avg("place").alias("_m"))
     order = Window.partitionBy("depth").orderBy(F.coalesce("_m", F.lit(0.0)), "tag")

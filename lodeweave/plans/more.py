@@ -135,10 +135,11 @@ def hsh3_source_fingerprints(env):
     return related.fingerprints(env("pub")).select("id", F.md5(F.concat_ws("|", "kind", F.trim("stem"))).alias("exact"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS step, CAST(level AS INTEGER) AS level FROM (VALUES (0, 3), (1, 3), (2, 3), (3, 3), (4, 3), (5, 3), (6, 4)) v(i, level)")
+@query(None)
 def str6_throttle(env):
-    levels = jobs.throttle(["throttled", "throttled", *["ok"] * 5], 4)
-    return env.rows(list(enumerate(levels)), "step int, level int")
+    e = env.table("events")
+    outcome = F.when(F.col("event_id") % 7 == 0, "throttled").otherwise("ok")
+    return jobs.throttled(e.select(F.col("user_id").alias("pool"), F.col("event_id").alias("step"), outcome.alias("outcome")), 4)
 
 
 @query("SELECT DISTINCT tag_id FROM tag WHERE tag_id IN ('n4') OR tag_id IN (SELECT child FROM edge WHERE parent = 'n4' AND relation = 'contains')")

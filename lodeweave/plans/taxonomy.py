@@ -253,8 +253,8 @@ def set4_exact_cover(env):
     return merge.exact_cover(parts, env.table("orders").select(F.col("o_orderkey").alias("k")), "k")
 
 
-CARDS = """d AS (SELECT doc_id AS position, source AS paper_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 20 END AS anchor, lang AS kind, doc_id % 7 AS number FROM documents WHERE doc_id % 2 = 0),
-e AS (SELECT doc_id AS id, source AS paper_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 20 END AS anchor, lang AS kind, doc_id % 7 AS number, doc_id % 5 = 0 AS deleted FROM documents WHERE doc_id % 2 = 1)"""
+CARDS = """d AS (SELECT doc_id AS position, doc_id // 100 AS paper_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 20 END AS anchor, lang AS kind, doc_id % 7 AS number FROM documents WHERE doc_id % 2 = 0),
+e AS (SELECT doc_id AS id, doc_id // 100 AS paper_id, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE (doc_id - 1) % 20 END AS anchor, lang AS kind, doc_id % 7 AS number, doc_id % 5 = 0 AS deleted FROM documents WHERE doc_id % 2 = 1)"""
 
 
 def _pass(keys, left, free):
@@ -264,12 +264,12 @@ def _pass(keys, left, free):
 
 
 @query(f"""WITH {CARDS}, p1 AS ({_pass(['paper_id', 'anchor', 'kind'], 'd', 'e')}), d2 AS (SELECT * FROM d WHERE position NOT IN (SELECT position FROM p1)), e2 AS (SELECT * FROM e WHERE id NOT IN (SELECT id FROM p1)),
-p2 AS ({_pass(['paper_id', 'anchor'], 'd2', 'e2')}), d3 AS (SELECT * FROM d2 WHERE position NOT IN (SELECT position FROM p2)), e3 AS (SELECT * FROM e2 WHERE id NOT IN (SELECT id FROM p2)), p3 AS ({_pass(['paper_id', 'number'], 'd3', 'e3')})
+p2 AS ({_pass(['paper_id', 'anchor'], 'd2', 'e2')}), d3 AS (SELECT * FROM d2 WHERE position NOT IN (SELECT position FROM p2) AND (anchor IS NULL OR kind IN ('unknown', 'manual'))), e3 AS (SELECT * FROM e2 WHERE id NOT IN (SELECT id FROM p2)), p3 AS ({_pass(['paper_id', 'number'], 'd3', 'e3')})
 SELECT *, 1 AS pass FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3""")
 def jn14_match_cards(env):
     d = env.table("documents")
-    desired = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("position"), F.col("source").alias("paper_id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"))
-    existing = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.when(F.col("doc_id") % 4 != 1, (F.col("doc_id") - 1) % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"), (F.col("doc_id") % 5 == 0).alias("deleted"))
+    desired = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("position"), F.floor(F.col("doc_id") / 100).alias("paper_id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"))
+    existing = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 100).alias("paper_id"), F.when(F.col("doc_id") % 4 != 1, (F.col("doc_id") - 1) % 20).alias("anchor"), F.col("lang").alias("kind"), (F.col("doc_id") % 7).alias("number"), (F.col("doc_id") % 5 == 0).alias("deleted"))
     return merge.match_cards(existing, desired)
 
 

@@ -20,10 +20,10 @@ def _changed(env):
     return d.withColumn("other", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", 1, 20), F.lit("x"), F.expr("substring(text, 22)"))).otherwise(F.concat("text", F.lit("."))))
 
 
-@query(f"SELECT doc_id, rtrim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN concat('$\\\\angle A \\\\le {{90}}^\\\\circ$ ', 'plain (5 points) x', CAST(doc_id AS VARCHAR), ';') ELSE 'cm²  end.' END, '.*', CASE WHEN doc_id % 2 = 0 THEN concat('∠A≤90°plainx', CAST(doc_id AS VARCHAR)) ELSE 'cm^2end' END), '.,;:') AS key FROM documents")
+@query(r"SELECT doc_id, concat(regexp_replace(text, '\s', '', 'g'), '∠A≤90°cm^2') AS key FROM documents WHERE NOT regexp_matches(text, '[^A-Za-z ,.\n]')")
 def scl1_canonical(env):
-    value = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("$\\angle A \\le {90}^\\circ$ plain (5 points) x"), F.col("doc_id"), F.lit(";"))).otherwise("cm²  end.")
-    return env.table("documents").select("doc_id", text.text_column(text.canon, value).alias("key"))
+    d = env.table("documents").where(~F.col("text").rlike(r"[^A-Za-z ,.\n]"))
+    return d.select("doc_id", text.text_column(text.canon, F.concat("text", F.lit(" $\\angle A \\le {90}^\\circ$ (5 points) cm².;"))).alias("key"))
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 3 = 2 OR substr(text, 21, 1) = 'x' AS same FROM documents WHERE length(text) > 21 AND NOT regexp_matches(text, '[^A-Za-zÀ-ž ,.\\n]')")

@@ -75,20 +75,47 @@ def leases(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(run, "job_id long, state string, events long, at_ms long", "last long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def throttle(outcomes: list[str], start: int, least: int = 1, most: int = 8, good: int = 5) -> list[int]:
+def _next_level(state: tuple[int, int, bool], outcome: str, least: int = 1, most: int = 8, good: int = 5) -> tuple[int, int, bool]:
+    """Level, run of successes and whether this epoch has slowed down already, after one more outcome."""
+    level, run, cooled = state
+    if outcome == "throttled":
+        return (level if cooled else max(least, level - 1)), 0, True
+    if run + 1 == good:
+        return min(most, level + 1), 0, False
+    return level, run + 1, cooled
+
+
+def throttle(outcomes: list[str], start: int, **bounds) -> list[int]:
     """Concurrency after each outcome: one less on a throttle (once an epoch), one more after a run of successes."""
-    out, level, run, cooled = [], start, 0, False
-    for o in outcomes:
-        if o == "throttled":
-            level, run, cooled = level if cooled else max(least, level - 1), 0, True
-        else:
-            run, cooled = run + 1, cooled and run + 1 < good
-            if run == good:
-                level, run = min(most, level + 1), 0
-        out.append(level)
+    out, state = [], (start, 0, False)
+    for outcome in outcomes:
+        state = _next_level(state, outcome, **bounds)
+        out.append(state[0])
     return out
 
 
+def throttled(outcomes: DataFrame, start: int, **bounds) -> DataFrame:
+    """``(pool, step, level)`` for ``outcomes(pool, step, outcome)``, each pool with a level of its own.
+
+    Outcomes stream in order; a task holds one pool's state, whatever the pool's length.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool, state = object(), (start, 0, False)
+        for rows in batches:
+            levels = []
+            for now, outcome in zip(rows["pool"].tolist(), rows["outcome"].tolist()):
+                if now != pool:
+                    pool, state = now, (start, 0, False)
+                state = _next_level(state, outcome, **bounds)
+                levels.append(state[0])
+            yield rows[["pool", "step"]].assign(level=levels)
+
+    rows = outcomes.select("pool", "step", "outcome").where("pool is not null")
+    kinds = dict(rows.dtypes)
+    return rows.repartition("pool").sortWithinPartitions("pool", "step").mapInPandas(run, f"pool {kinds['pool']}, step {kinds['step']}, level int")
+
+
 def counts_by_window(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Tumbling counts by type (an addition)."""
     return events.groupBy(F.window("ts", width), "kind").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "kind", "events", "value")

@@ -1,11 +1,14 @@
 """Counter-examples for text functions, tables in text, chains and layouts."""
 
+import itertools
+import random
 from collections import namedtuple
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodeweave.functions import markup, text
-from lodeweave.operators import evaluation, segmentation, sequences
+from lodeweave.operators import evaluation, segmentation, sequences, spatial
 from lodeweave.streaming import jobs
 
 
@@ -30,7 +33,10 @@ def test_canon(a, b, same):
     ("stem", "witness", "agrees"),
     [
         ("已知三角形面积为____.", "已知三角形面积为", True),
-        ("P(12,3) on the line", "P(1,23) on the line", False),
+        ("the pair Q(4,56) is given", "the pair Q(45,6) is given", False),
+        ("B.7 apples and pears", "B 7 apples and pears", True),
+        ("seven apples and pears", "seven apples and pearsC.D.", True),
+        ("seven apples and pears", "seven apples and pearsX.Y.", False),
         ("short", "short", False),
         ("the value of x,y here", "the value of xy here", False),
         ("the value of xy here", "the value of x,y here", False),
@@ -41,10 +47,19 @@ def test_witness(stem, witness, agrees):
     assert text.witness_agrees({"stem": stem}, witness) is agrees
 
 
+def test_parallelogram_is_no_square():
+    read = {"stem": "in ▱KLMN the sides are equal", "raw": "in ▱KLMN the sides are equal"}
+    repaired = {**read, "raw": "in $\\square KLMN$ the sides are equal"}
+    assert text.witness_agrees(read, "in □KLMN the sides are equal")
+    assert not text.witness_agrees(repaired, "in ▱KLMN the sides are equal")
+
+
 def test_objections_and_choice():
     spots = text.objections({"stem": "line segment AB equals 5 units"}, "line segment AC equals 5 units")
     assert [(s["reading"], s["witness"]) for s in spots] == [("B", "C")]
     assert text.objections({"stem": "abc"}, "abd") == []
+    assert text.objections({"stem": "the value l0 is near"}, "the value 1O is near") == []  # look alike
+    assert [s["at"] for s in text.objections({"stem": "one, two, four, five, six"}, "one two faur five six")] == [9]  # marks are no evidence
     a, b = {"stem": "points move along EF to the end"}, {"stem": "points move along FE to the end"}
     assert text.witness_choice(a, b, a["stem"]) == "a"
     assert text.witness_choice(a, b, b["stem"]) == "b"
@@ -80,6 +95,38 @@ def test_best_chain():
     assert sequences.best_chain([5, 1, 2], [1, 3, 3]) == [1, 2]
 
 
+def test_best_chain_brute_force():
+    """The sum of the chain is the best of all rising subsequences."""
+    rng = random.Random(8)
+
+    def worth(chain, numbers, scores):
+        total = sum(scores[k] for k in chain) - min(sequences.START_MOST, sequences.START_COST * max(0, numbers[chain[0]] - 1))
+        return total - sequences.GAP_COST * sum(numbers[b] - numbers[a] - 1 for a, b in zip(chain, chain[1:]))
+
+    for _ in range(120):
+        n = rng.randint(1, 9)
+        numbers, scores = [rng.randint(0, 12) for _ in range(n)], [rng.choice((0.2, 1, 2.5, 4)) for _ in range(n)]
+        chains = [c for k in range(1, n + 1) for c in itertools.combinations(range(n), k) if all(numbers[a] < numbers[b] for a, b in zip(c, c[1:]))]
+        found = sequences.best_chain(numbers, scores)
+        assert all(numbers[a] < numbers[b] for a, b in zip(found, found[1:])) and found == sorted(found)
+        assert worth(found, numbers, scores) == pytest.approx(max(worth(c, numbers, scores) for c in chains))
+
+
+def test_gap_repairs(spark):
+    """Last digits where they are the only ones; unnumbered starts where as many are left as numbers and order holds."""
+    frame = lambda rows: spark.createDataFrame(rows, "paper_id long, seq int, number int")
+    chain = frame([(1, 0, 11), (1, 5, 14), (2, 0, 1), (2, 4, 4), (3, 0, 22), (3, 9, 25), (4, 0, 1), (4, 3, 3)])
+    shown = chain.union(frame([(1, 2, 2), (3, 2, 3), (3, 3, 3), (4, 7, 2)]))
+    none = spark.createDataFrame([(1, 4), (2, 1), (2, 2), (3, 5), (4, 9)], "paper_id long, seq int")
+    got = sorted((r.paper_id, r.seq, r.number, r.by) for r in sequences.gap_repairs(chain, shown, none).collect())
+    assert got == [(1, 2, 12, "digits"), (1, 4, 13, "order"), (2, 1, 2, "order"), (2, 2, 3, "order")]
+    late = frame([(5, 0, 20), (5, 6, 23), (5, 4, 1)])  # the digits stand after the unnumbered start, which then breaks the order
+    got = sequences.gap_repairs(late.where("number > 9"), late, spark.createDataFrame([(5, 5)], "paper_id long, seq int")).collect()
+    assert sorted((r.seq, r.number) for r in got) == [(4, 21), (5, 22)]
+    got = sequences.gap_repairs(late.where("number > 9"), late.withColumn("number", F.when(F.col("number") == 1, 2).otherwise(F.col("number"))), spark.createDataFrame([(5, 5)], "paper_id long, seq int")).collect()
+    assert [(r.seq, r.number) for r in got] == [(4, 22)]
+
+
 def test_matching_is_maximal():
     assert evaluation.most_matches({1: [1, 2], 2: [1], 3: [2]}) == 2
     assert evaluation.iou((0, 0, 2, 2), (1, 1, 3, 3)) == pytest.approx(1 / 7)
@@ -99,6 +146,23 @@ def test_throttle():
     assert jobs.throttle(["throttled", "throttled", *["ok"] * 5], 4) == [3, 3, 3, 3, 3, 3, 4]
 
 
+def test_throttled_pools(spark):
+    rng = random.Random(1)
+    pools = {p: [rng.choice(("ok", "ok", "ok", "throttled")) for _ in range(60)] for p in range(5)}
+    rows = [(p, k, o) for p, outcomes in pools.items() for k, o in enumerate(outcomes)]
+    got = jobs.throttled(spark.createDataFrame(rows, "pool long, step long, outcome string").repartition(6), 4).collect()
+    levels = {(r.pool, r.step): r.level for r in got}
+    assert len(got) == 300 and all([levels[p, k] for k in range(60)] == jobs.throttle(o, 4) for p, o in pools.items())
+
+
+def test_columns_of_a_page(spark):
+    box = lambda page, boxes: [(1, page, float(a), float(b)) for a, b in boxes]
+    left, right, over = [(40, 460)] * 8, [(540, 960)] * 8, [(300, 700)]
+    rows = box(0, left + right + over * 2) + box(1, left + right + over * 4) + box(2, left) + box(3, [(40, 460), (540, 960)]) + box(4, [(40, 505), (540, 960), (40, 460)])
+    got = {r.page: r.columns for r in spatial.column_split(spark.createDataFrame(rows, "paper_id long, page int, x0 double, x1 double")).collect()}
+    assert got == {0: 2, 1: 1, 2: 1, 3: 1, 4: 2}
+
+
 def test_ordered_groups(spark):
     df = spark.createDataFrame([(k % 5, k, k % 7) for k in range(200)], "g long, o long, v long").repartition(7)
     out = sequences.ordered_groups(df, "g", ["o"], lambda rows: [(rows[0].g, len(rows), [r.o for r in rows] == sorted(r.o for r in rows))], "g long, n long, sorted boolean").collect()
