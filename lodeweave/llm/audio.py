@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, without
+
 RATE, UP, DOWN = 16_000, 2, 3
 WINDOW, HOP, BANDS, FRAMES = 256, 128, 24, 64
 TAPS = 8
@@ -160,7 +162,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def analyse(media: DataFrame) -> DataFrame:
-    """``media`` rows plus ``tensors`` (Arrow IPC stream) and ``spans`` of segments; a null media gives nulls."""
+    """``media`` rows plus ``tensors`` (Arrow IPC stream) and ``spans`` of segments; a null media gives nulls; columns of these names are replaced."""
 
     @F.arrow_udf("struct<tensors:binary,spans:array<struct<start_s:double,stop_s:double>>>")
     def run(files: pa.Array) -> pa.Array:
@@ -174,7 +176,9 @@ def analyse(media: DataFrame) -> DataFrame:
             out.append({"tensors": tensors, "spans": [{"start_s": a, "stop_s": b} for a, b in spans]})
         return pa.array(out, kind)
 
-    return media.withColumn("_f", run(F.col("media"))).select("*", "_f.tensors", "_f.spans").drop("_f")
+    (found,) = fresh(media, "found")
+    rest = without(media, "tensors", "spans")
+    return media.withColumn(found, run(F.col("media"))).select(*rest, F.col(found)["tensors"].alias("tensors"), F.col(found)["spans"].alias("spans"))
 
 
 def feature_text(stream: bytes, spans: list[tuple[float, float]]) -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, whole, without
+from .common import cut, fresh, scratch, whole, without
 
 LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
@@ -382,11 +382,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     get the same result. Further columns are kept, but for those of the result's
     names.
     """
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": whole(), "_h": F.hash(whole())})
-    once = cut(keyed.select(F.col("_doc").alias("doc"), F.col("_h").alias("h"), F.col("_text").alias("text")).distinct())
-    ranges = cut(repeated_ranges(once))
-    drop_cut(once)
-    by_doc = ranges.groupBy(F.col("doc").alias("_d"), F.col("h").alias("_hh")).agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
+    doc, text, h, of, name, spots, left = fresh(docs, "doc", "whole", "hash", "of", "name", "ranges", "left")
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text: whole(), h: F.hash(whole())})
+    with scratch() as stay:
+        once = cut(keyed.select(F.col(doc).alias("doc"), F.col(h).alias("h"), F.col(text).alias("text")).distinct())
+        ranges = cut(repeated_ranges(once))
+        stay.append(ranges)
+    by_doc = ranges.groupBy(F.col("doc").alias(of), F.col("h").alias(name)).agg(F.collect_list(F.struct("start", "stop")).alias(spots))
 
     @F.arrow_udf("struct<kept:binary,n_spans:long>")
     def cut_out(texts: pa.Array, ranges: pa.Array) -> pa.Array:
@@ -398,8 +400,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(spans, pa.int64())], names=["kept", "n_spans"])
 
     # Only texts with something to remove go through Python.
-    out = keyed.join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_h") == F.col("_hh")), "left")
-    out = out.withColumn("_c", cut_out(F.when(F.col("_ranges").isNotNull(), F.col("_text")), F.col("_ranges")))
-    kept = F.coalesce("_c.kept", F.col("_text").cast("binary"))
-    n = F.octet_length("_text").cast("long")
-    return out.select(*without(docs, "kept", "n_bytes", "n_removed", "n_spans"), kept.alias("kept"), n.alias("n_bytes"), (n - F.octet_length(kept)).alias("n_removed"), F.col("_c.n_spans").alias("n_spans"))
+    out = keyed.join(by_doc, (F.col(doc) == F.col(of)) & (F.col(h) == F.col(name)), "left")
+    out = out.withColumn(left, cut_out(F.when(F.col(spots).isNotNull(), F.col(text)), F.col(spots)))
+    kept = F.coalesce(F.col(left)["kept"], F.col(text).cast("binary"))
+    n = F.octet_length(text).cast("long")
+    return out.select(*without(docs, "kept", "n_bytes", "n_removed", "n_spans"), kept.alias("kept"), n.alias("n_bytes"), (n - F.octet_length(kept)).alias("n_removed"), F.col(left)["n_spans"].alias("n_spans"))

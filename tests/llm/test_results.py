@@ -477,13 +477,14 @@ def test_run_index():
 def test_resampling_keeps_a_tone():
     t = np.arange(16_000)
     tone = np.round(128 + 100 * np.sin(2 * np.pi * 1000 * t / 16_000)).astype(np.uint8)
-    whole = audio.resample(tone, 0, 8000)
-    parts = np.concatenate([audio.resample(tone, a, a + 1000) for a in range(0, 8000, 1000)])
-    assert np.allclose(whole, parts)
-    spectrum = np.abs(np.fft.rfft(whole[:8000]))
-    assert spectrum.argmax() == 1000
-    up = audio.resample(tone, 0, 24_000, 3, 2)
-    assert np.abs(np.fft.rfft(up)).argmax() == 1000
+    for up, down in ((1, 2), (audio.UP, audio.DOWN), (2, 3), (3, 2)):
+        n = 16_000 * up // down
+        whole = audio.resample(tone, 0, n, up, down)
+        cuts = [*range(0, n, 1000), n]
+        parts = np.concatenate([audio.resample(tone, a, b, up, down) for a, b in zip(cuts, cuts[1:])])
+        assert np.allclose(whole, parts)
+        spectrum = np.abs(np.fft.rfft(whole))
+        assert spectrum.argmax() == 1000 and len(audio._phases(up, down)) == up
 
 
 def test_tensors_and_segments():
