@@ -36,6 +36,11 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in counts}
 
 
+def drop_bundle(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def ocr_blocks(archives: DataFrame, content: str = "content") -> DataFrame:
     """Blocks of OCR archives (a JSON array a document) in order, coordinates scaled to 0..1000 of their page; malformed archives give none."""
     blocks = archives.select("doc_id", F.posexplode(F.from_json(content, BLOCK)).alias("seq", "b"))

@@ -40,6 +40,39 @@ def claim(jobs: DataFrame, agent: str, now: str, n: int) -> DataFrame:
     return first.where(free).select("job_id", F.lit(agent).alias("agent"), (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts"))
 
 
+def recovered(jobs: DataFrame, now: str, executor: str = "api") -> DataFrame:
+    """Jobs as a worker finds them when it starts: what is overdue failed, what an ``executor`` worker left running waits again."""
+    late = overdue(jobs.where(F.col("executor") == executor), now).select("job_id", F.lit(True).alias("late"))
+    status = F.when(F.col("late"), "failed").when((F.col("executor") == executor) & (F.col("status") == "running"), "queued").otherwise(F.col("status"))
+    return jobs.join(late, "job_id", "left").withColumn("status", status).drop("late")
+
+
+def lease_times(jobs: DataFrame, now: str) -> DataFrame:
+    """Adds ``lease_ends``, ``lease_left`` in seconds (0 once it ended) and ``fails_at``, the limit of the job's state."""
+    ends = F.col("claimed_at") + F.expr(f"interval {LEASE}")
+    left = F.greatest(F.lit(0), F.unix_timestamp(ends) - F.unix_timestamp(F.lit(now).cast("timestamp")))
+    fails = F.when(F.col("status") == "queued", F.col("created_at") + F.expr(f"interval {QUEUE_LIMIT}")).when(F.col("status") == "running", F.col("claimed_at") + F.expr(f"interval {RUN_LIMIT}"))
+    return jobs.withColumns({"lease_ends": ends, "lease_left": left, "fails_at": fails})
+
+
+def hedged(calls: DataFrame, after: float = 18.0) -> DataFrame:
+    """Answers of calls that get a duplicate when they straggle: adds ``hedged``, ``answered_by`` and ``seconds``.
+
+    ``calls(first_s, first_ok, second_s, second_ok, spare)`` have the time of
+    each request since it was sent, whether it succeeds, and whether a slot was
+    free for the duplicate, which is sent ``after`` seconds if the first is
+    still out (0: never). The earlier success answers, of two at once the
+    first; ``answered_by`` is null where none succeeds, ``seconds`` then the
+    later end.
+    """
+    sent = (F.lit(after) > 0) & (F.col("first_s") > after) & F.col("spare")
+    second_end = F.when(sent, F.col("second_s") + after)
+    good = lambda end, ok: F.when(F.col(ok), end)
+    one, two = good(F.col("first_s"), "first_ok"), good(second_end, "second_ok")
+    by = F.when(one.isNotNull() & (two.isNull() | (one <= two)), "first").when(two.isNotNull(), "second")
+    return calls.withColumns({"hedged": sent, "answered_by": by, "seconds": F.coalesce(F.least(one, two), F.greatest(F.col("first_s"), second_end))})
+
+
 def reuse(requests: DataFrame) -> DataFrame:
     """Of identical requests within the watermark only the first makes a job."""
     return requests.dropDuplicatesWithinWatermark(["job_id", "kind"]) if requests.isStreaming else requests.dropDuplicates(["job_id", "kind"])
