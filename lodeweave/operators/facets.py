@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import FilterSpec, library_rows
+from .filters import FilterSpec, facet_predicates, library_rows
 from .taxonomy import tag_counts
 
 KINDS = ("en", "de", "fr")
@@ -17,16 +19,13 @@ def folded_kind() -> Column:
     return F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(OTHER)
 
 
-def _counted(rows: DataFrame, facet: str, value: Column) -> DataFrame:
-    return rows.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("count")).select(F.lit(facet).alias("facet"), "value", "count")
-
-
 def facet_counts(pubs: DataFrame, spec: FilterSpec, assignments: DataFrame, edges: DataFrame) -> DataFrame:
     """``(facet, value, count)``; each facet is counted with all filters but its own.
 
-    Facets that don't filter share one aggregation with grouping sets; only
-    those that do get one of their own. An answer of white space counts as "no"
-    here, though the filter takes it for one; a text body is what is no image.
+    One pass serves all: a row that passes every filter counts for each facet,
+    one that fails a single facet's filter counts for that facet. An answer of
+    white space counts as "no" here, though the filter takes it for one; a text
+    body is what is no image.
     """
     values = {
         "paper": F.col("paper_id"),
@@ -35,18 +34,15 @@ def facet_counts(pubs: DataFrame, spec: FilterSpec, assignments: DataFrame, edge
         "answer": F.when(F.trim(F.coalesce("answer", F.lit(""))) != "", "yes").otherwise("no"),
         "body_mode": F.when(F.coalesce("body_mode", F.lit("")) == "image", "image").otherwise("text"),
     }
-    own = [f for f in spec.facets() if f in values]
-    shared = [f for f in values if f not in own]
-    out = None
-    if shared:
-        base = library_rows(pubs, spec, assignments, edges).select(*[values[f].alias(f"_{f}") for f in shared])
-        pairs = F.inline(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f"_{f}").cast("string").alias("value")) for f in shared]))
-        # Counting combinations first keeps what is unfolded small.
-        out = base.groupBy(*[f"_{f}" for f in shared]).agg(F.count("*").alias("n")).select("n", pairs).groupBy("facet", "value").agg(F.sum("n").alias("count"))
-    for facet in own:
-        one = _counted(library_rows(pubs, spec, assignments, edges, omit=facet), facet, values[facet])
-        out = one if out is None else out.unionByName(one)
-    return out
+    own = facet_predicates(spec)
+    rows = library_rows(pubs, replace(spec, **dict.fromkeys(own)), assignments, edges)
+    failed = F.filter(F.array(*[F.when(~F.coalesce(p, F.lit(False)), f) for f, p in own.items()]).cast("array<string>"), lambda f: f.isNotNull())
+    near = rows.select(*[v.cast("string").alias(f) for f, v in values.items()], failed.alias("failed")).where("size(failed) <= 1")
+    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in values])
+    asked = F.filter(pairs, lambda p: (F.size("failed") == 0) | F.array_contains("failed", p["facet"]))
+    # Counting combinations first keeps what is unfolded small.
+    counted = near.groupBy(*values, "failed").agg(F.count("*").alias("n"))
+    return counted.select("n", F.inline(asked)).groupBy("facet", "value").agg(F.sum("n").alias("count"))
 
 
 def tag_facet(pubs: DataFrame, spec: FilterSpec, assignments: DataFrame, edges: DataFrame, tags: DataFrame) -> DataFrame:

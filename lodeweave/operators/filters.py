@@ -60,18 +60,21 @@ def answer_present() -> Column:
     return F.coalesce(F.col("answer"), F.lit("")) != ""
 
 
+def facet_predicates(spec: FilterSpec) -> dict[str, Column]:
+    """The row predicate of each facet that filters, but for the tags."""
+    same = {f: F.col(c) == getattr(spec, f) for f, c in (("paper", "paper_id"), ("kind", "kind"), ("review_source", "review_source")) if getattr(spec, f) is not None}
+    if spec.answer is not None:
+        same["answer"] = answer_present() if spec.answer == "yes" else ~answer_present()
+    if spec.body_mode is not None:
+        same["body_mode"] = F.col("body_mode") == "image" if spec.body_mode == "image" else F.col("body_mode").isNull() | (F.col("body_mode") == "text")
+    return same
+
+
 def predicates(spec: FilterSpec, omit: str | None = None) -> list[Column]:
     """Row predicates of ``spec`` without the facet ``omit``. The text search is never left out."""
     out = [F.col("status") == spec.status] if spec.status else []
-    for facet, column in (("paper", "paper_id"), ("kind", "kind"), ("review_source", "review_source")):
-        if getattr(spec, facet) is not None and omit != facet:
-            out.append(F.col(column) == getattr(spec, facet))
-    if spec.answer is not None and omit != "answer":
-        out.append(answer_present() if spec.answer == "yes" else ~answer_present())
-    if spec.body_mode is not None and omit != "body_mode":
-        out.append(F.col("body_mode") == "image" if spec.body_mode == "image" else F.col("body_mode").isNull() | (F.col("body_mode") == "text"))
-    out += [F.contains("search_text", F.lit(t)) for t in terms(spec.q)]
-    return out
+    out += [p for facet, p in facet_predicates(spec).items() if facet != omit]
+    return out + [F.contains("search_text", F.lit(t)) for t in terms(spec.q)]
 
 
 def library_rows(pubs: DataFrame, spec: FilterSpec, assignments: DataFrame | None = None, edges: DataFrame | None = None, omit: str | None = None) -> DataFrame:
