@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, licenses, lines, mixing, packing, repeats, simhash, toxicity, urls, weighted
+from . import audio, collocations, licenses, lines, mixing, packing, pages, periodic, repeats, simhash, toxicity, urls, weighted
 from .common import cut, table
 
 
@@ -59,5 +59,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op6_packing, op7_mixing, op8_weighted_fingerprints, op9_suffix_dedup, op10_license_scan)}
-ORACLES: dict[str, str] = {"op4_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op10_license_scan": licenses.oracle()}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(periodic.seeded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.select("doc_id", "runs", "collapsed", periodic.strongest(F.col("runs")).alias("best"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.call_function("div", 1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+_ALL = (op1_toxicity, op2_simhash_near_dedup, op3_audio_features, op4_line_dedup, op5_url_link_graph, op6_packing, op7_mixing, op8_weighted_fingerprints, op9_suffix_dedup, op10_license_scan, op11_collocations, op12_html_extraction, op13_periodic_runs)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op4_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op10_license_scan": licenses.oracle(), "op11_collocations": collocations.ORACLE}
