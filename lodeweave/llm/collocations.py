@@ -13,6 +13,7 @@ phrases the exact sums then drop, and never holds a frequent one back.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,99 +32,93 @@ LEAST, LONGEST, REPORTED, COVERED = 10, 3, 2000, 50
 _MOST_BITS, _BITS_EACH = 1 << 27, 16
 
 #: Bytes of text that make a block.
-_BLOCK = 8 << 20
+_BLOCK = 2 << 20
 
 #: Lower case, and what ends a piece, as bytes; neither occurs inside a character of several bytes.
 _PLAIN = bytes(32 if b == 9 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Lists:
-    """Phrases of one length with their places: those of phrase ``i`` are ``places[starts[i]:starts[i + 1]]``, ascending."""
+@lru_cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse modulo 2^64."""
+    up = np.full(n, _FACTOR, np.uint64)
+    down = np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up), np.cumprod(down)
 
-    def __init__(self, keys: np.ndarray, places: np.ndarray):
-        """``keys[j]`` is the phrase at ``places[j]``; both are sorted here."""
-        order = np.lexsort((places, keys))
-        keys, self.places = keys[order], places[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.starts = keys[first], np.append(first, len(keys))
 
-    @property
-    def lengths(self) -> np.ndarray:
-        return np.diff(self.starts)
+_FACTOR = 0x9E3779B97F4A7C15
 
-    def only(self, keep: np.ndarray) -> Lists:
-        """The lists of the phrases for which ``keep`` is true."""
-        out = object.__new__(Lists)
-        sizes = self.lengths
-        out.keys, out.places = self.keys[keep], self.places[np.repeat(keep, sizes)]
-        out.starts = np.concatenate(([0], np.cumsum(sizes[keep])))
-        return out
 
-    def at(self) -> tuple[np.ndarray, np.ndarray]:
-        """All places in order, and the index of the phrase at each."""
-        order = np.argsort(self.places, kind="stable")
-        return self.places[order], np.repeat(np.arange(len(self.keys)), self.lengths)[order]
+def hashes(words: pa.Array, lang: str) -> np.ndarray:
+    """64-bit hashes of a language's words: a polynomial of the bytes, scrambled. For bitmaps only, so equal hashes do no harm."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    up, down = _powers(1 << len(raw).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])))
+    at = ends - ends[0]
+    h = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
-    def followed(self, by: Lists) -> Lists:
-        """The lists without the places after which no phrase of ``by`` stands."""
-        keep = np.isin(self.places + 1, by.places)
-        return Lists(np.repeat(self.keys, self.lengths)[keep], self.places[keep])
 
-    def extended(self, length: int, words: Lists) -> tuple[Lists, np.ndarray, np.ndarray]:
-        """Lists of these phrases of ``length`` words and one of ``words`` after them, with the index of the phrase and of the word for each."""
-        places, phrase = self.at()
-        after, word = words.at()
-        _, left, right = np.intersect1d(places + length, after, assume_unique=True, return_indices=True)
-        out = Lists(phrase[left] * len(words.keys) + word[right], places[left])
-        return out, out.keys // max(1, len(words.keys)), out.keys % max(1, len(words.keys))
+def _merged(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge join of two ascending lists of places: the indices of what both have."""
+    at = np.searchsorted(right, left)
+    same = np.flatnonzero(np.append(right, -1)[at] == left)
+    return same, at[same]
 
 
 class Block:
-    """Documents of one language as a sequence of places: each word's number at its place, -1 between pieces."""
+    """Documents of one language as a sequence of places: the number of the word at each, -1 between pieces."""
 
     def __init__(self, lang: str, texts: list[bytes]):
         plain = b" . ".join(texts).translate(_PLAIN).replace(b".", b" . ")
         coded = pa.array(plain.split(), pa.binary()).dictionary_encode()  # of bytes: at ASCII white space alone
-        ids = coded.indices.to_numpy().astype(np.int64)
+        self.lang, self.names, self.ids = lang, coded.dictionary, coded.indices.to_numpy().copy()
         end = pc.index(coded.dictionary, pa.scalar(b".", pa.binary())).as_py()
-        ids[ids == end] = -1
-        self.lang, self.names, places = lang, coded.dictionary, np.flatnonzero(ids >= 0)
-        self.words = Lists(ids[places], places)
-
-    def word_hashes(self) -> np.ndarray:
-        """XXH64 (seed 42) of language and word; the same as :func:`_hash` gives in Spark."""
-        hasher = xxhash.xxh64(self.lang.encode("utf-8", "surrogatepass") + b" ", seed=42)
-
-        def of(word: bytes) -> int:
-            h = hasher.copy()
-            h.update(word)
-            return h.intdigest()
-
-        return np.fromiter(map(of, self.names.take(pa.array(self.words.keys)).to_pylist()), np.uint64, len(self.words.keys))
+        self.ids[self.ids == end] = -1
 
     def counted(self, bitmaps: list[np.ndarray]) -> pa.RecordBatch:
         """Frequencies of the phrases of len(bitmaps) + 1 words whose parts the bitmaps let through; of single words also the sum, without a phrase."""
         if not bitmaps:
-            names, lengths = self.names.take(pa.array(self.words.keys)), self.words.lengths
-            names = pa.concat_arrays([names.cast(pa.string()), pa.array([None], pa.string())])
-            return self._rows(names, np.append(lengths, lengths.sum()))
-        hashes = self.word_hashes()
-        keep = _lets(bitmaps[0], hashes)
-        words, hashes = self.words.only(keep), hashes[keep]
-        names = self.names.take(pa.array(words.keys))
-        lists, phrases, h = words, names, hashes
+            lengths = np.bincount(self.ids[self.ids >= 0], minlength=len(self.names))
+            some = np.flatnonzero(lengths)
+            names = pa.concat_arrays([self.names.take(pa.array(some)).cast(pa.string()), pa.array([None], pa.string())])
+            return self._rows(names, np.append(lengths[some], lengths.sum()))
+        of = hashes(self.names, self.lang)
+        words = np.flatnonzero((self.ids >= 0) & np.append(_lets(bitmaps[0], of), False)[self.ids])  # places of frequent words
+        places, h = words, of[self.ids[words]]
         for length in range(1, len(bitmaps) + 1):
             if length > 1:
                 keep = _lets(bitmaps[length - 1], h)
-                lists, phrases, h = lists.only(keep), phrases.filter(pa.array(keep)), h[keep]
-            longer, head, word = lists.extended(length, words)
-            if length > 1:
-                longer = longer.followed(lists)
-                head, word = longer.keys // max(1, len(words.keys)), longer.keys % max(1, len(words.keys))
-            h = h[head] ^ _turned(hashes[word], length)
-            phrases = pc.binary_join_element_wise(phrases.take(pa.array(head)), names.take(pa.array(word)), b" ")
-            lists = longer
-        return self._rows(phrases.cast(pa.string()), lists.lengths)
+                places, h = places[keep], h[keep]
+            left, right = _merged(places + length, words)
+            longer, h = places[left], h[left] ^ _turned(of[self.ids[words[right]]], length)
+            if length > 1:  # the words but the first are a frequent phrase too
+                tail, _ = _merged(longer + 1, places)
+                longer, h = longer[tail], h[tail]
+            places = longer
+        return self._rows(*self._lists(places, len(bitmaps) + 1))
+
+    def _lists(self, places: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
+        """The phrases at ``places`` and the lengths of their lists of places."""
+        n = len(self.names)
+        keys = self.ids[places].astype(np.int64)
+        for k in range(1, length):
+            if k > 1 and n**(k + 1) >> 62:
+                keys = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+            keys = keys * n + self.ids[places + k]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+        heads = places[order[first]]
+        phrases = pc.binary_join_element_wise(*[self.names.take(pa.array(self.ids[heads + k])) for k in range(length)], b" ")
+        return phrases.cast(pa.string()), np.diff(np.append(first, len(keys)))
 
     def _rows(self, phrases: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(phrases), np.int64))), phrases, pa.array(lengths, pa.int64())], names=["lang", "phrase", "f"])
@@ -154,20 +149,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield Block(lang, texts)
 
 
-def _hash(length: int) -> Column:
-    """Hash of a phrase of ``length`` words: those of its words, each turned by its place."""
-    out = None
-    for i in range(length):
-        h = F.xxhash64(F.concat("lang", F.lit(" "), F.split_part("phrase", F.lit(" "), F.lit(i + 1))))
-        turned = F.shiftleft(h, i).bitwiseOR(F.shiftrightunsigned(h, 64 - i)) if i else h
-        out = turned if out is None else out.bitwiseXOR(turned)
+def _phrase_hashes(batch: pa.RecordBatch, length: int) -> np.ndarray:
+    """Hashes of phrases: those of their words, each turned by its place."""
+    out = np.zeros(batch.num_rows, np.uint64)
+    langs = batch.column("lang").to_numpy(zero_copy_only=False)
+    for lang in set(langs):
+        at = np.flatnonzero(langs == lang)
+        words = pc.split_pattern(batch.column("phrase").take(pa.array(at)), " ").flatten()
+        h = hashes(words.cast(pa.binary()), lang).reshape(-1, length)
+        for k in range(length):
+            out[at] ^= _turned(h[:, k], k) if k else h[:, k]
     return out
 
 
 def bitmap(frequent: DataFrame, length: int) -> np.ndarray:
     """The hashes of phrases of ``length`` words as a bitmap of at most 16 MB."""
     bits = min(_MOST_BITS, 1 << max(15, (_BITS_EACH * frequent.count()).bit_length()))
-    numbered = frequent.select((_hash(length).bitwiseAND(F.lit(bits - 1)) + 1).alias("bit")).select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position"))
+
+    def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _phrase_hashes(batch, length) & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64) + 1)], names=["bit"])
+
+    numbered = frequent.select("lang", "phrase").mapInArrow(bit, "bit bigint").select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position"))
     out = np.zeros(bits // 8, np.uint8)
     for row in numbered.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("part")).collect():
         out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.part, np.uint8)
@@ -238,7 +242,8 @@ def _ranked(candidates: DataFrame, known: DataFrame, sizes: DataFrame, longest:
 ORACLE = rf"""
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), worded AS (
     SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM pieces
 ), grams AS (

@@ -67,9 +67,9 @@ def test_bitmap_has_all_frequent_phrases(spark):
     bits = collocations.bitmap(df, 2)
     block = collocations.Block("en", [f"w{i} é{i}.".encode() for i in range(5000)])
     assert block.counted([np.full(1 << 12, 255, np.uint8), bits]).num_rows == 0  # no three words
-    h = block.word_hashes()
-    names = [x.decode() for x in block.names.take(block.words.keys).to_pylist()]
-    at = {n: i for i, n in enumerate(names)}
+    h = collocations.hashes(block.names, "en")
+    at = {n.decode(): i for i, n in enumerate(block.names.to_pylist())}
+    assert (collocations.hashes(block.names.slice(7, 50), "en") == h[7:57]).all() and len(set(h.tolist())) == len(h)
     pairs = np.array([h[at[f"w{i}"]] ^ collocations._turned(h[at[f"é{i}"]], 1) for i in range(5000)])
     assert collocations._lets(bits, pairs).all()
     assert collocations._lets(bits, h).mean() < 0.2  # others mostly not
