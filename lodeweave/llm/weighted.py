@@ -1,16 +1,20 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document is its five-word shingles weighted by how often they occur (fewer
-words: the whole sequence). A hash deals the shingles to ``BINS`` bins, so each
-is sampled once. For a weighted shingle, gamma variates r and c and a uniform b
-come from its hashes; with t = floor(ln w / r + b) the sample of a bin is its
-shingle of least ln c - r (t - b + 1), and that least value itself goes into
-the signature. Two texts share a bin's value with a probability equal to the
-generalised Jaccard similarity of what they have in the bin, so the share of
-equal values among the bins that either text uses estimates that of the texts,
-with less scatter than as many independent samples, and exactly where each bin
-has one shingle. Shingles are hashed, sorted and counted within a row; sampling
-is ordinary column arithmetic over one row a shingle and one minimum a bin.
+words: the whole sequence). The units of a shingle's weight are dealt to
+``BINS`` bins in turn, from a first bin and by an odd step that its hash gives,
+so a shingle of weight w stands in min(w, BINS) bins and its weight in each
+follows from w: the same for all texts, and all bins get equal shares of a
+text's weight. In each bin one sample is drawn over all that the bin holds: for
+a weighted shingle, gamma variates r and c and a uniform b come from its hashes;
+with t = floor(ln w / r + b) the sample is the shingle of least
+ln c - r (t - b + 1), and that least value itself goes into the signature. Two
+texts share a bin's value with a probability equal to the generalised Jaccard
+similarity of what they have in the bin, so the share of equal values among the
+bins that either text uses estimates that of the texts, with less scatter than
+as many independent samples, and exactly where no bin holds more than one unit.
+Shingles are hashed, sorted and counted within a row; sampling is ordinary
+column arithmetic over a row for each shingle and bin and one minimum a bin.
 """
 
 from __future__ import annotations
@@ -40,16 +44,23 @@ def _terms(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(at, lambda s, j: F.struct(F.get(h, s).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(h)) - s).alias("tf")))).drop("_h", "_at")
 
 
-def sample(term: Column, tf: Column) -> Column:
-    """The value that the least of a bin is taken of."""
+def sample(term: Column, place: Column, weight: Column) -> Column:
+    """The value that the least of a bin is taken of; ``place`` tells the bins of a term apart."""
     unit = 1.0 / (1 << 32)
     low, high = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * unit, lambda h: (F.shiftrightunsigned(h, 32) + 0.5) * unit
-    a, c, b = (F.xxhash64(term, F.lit(j)) for j in range(3))
+    a, c, b = (F.xxhash64(term, place, F.lit(j)) for j in range(3))
     r, beta = -F.log(low(a) * high(a)), high(b)
-    t = F.when(tf == 1, F.lit(0.0)).otherwise(F.floor(F.log(tf.cast("double")) / r + beta).cast("double"))  # b is below one
+    t = F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(F.log(weight.cast("double")) / r + beta).cast("double"))  # b is below one
     return F.log(-F.log(low(c) * high(c))) - r * (t - beta + 1)
 
 
+def bin_of(term: Column, place: Column) -> Column:
+    """The bin of a term's unit: its hash gives the first and an odd step, so that ``BINS`` units in a row meet all bins."""
+    h = F.xxhash64(term, F.lit("bin"))
+    step = F.shiftright(h, 8).bitwiseAND(F.lit(BINS // 2 - 1)) * 2 + 1
+    return (h.bitwiseAND(F.lit(BINS - 1)) + place * step).bitwiseAND(F.lit(BINS - 1)).cast("int")
+
+
 def _bucketed(docs: DataFrame) -> DataFrame:
     """Adds ``_b``, which grows with doc_id and has about ``ROWS`` rows; null ids are below all."""
     got = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 2000)).first()
@@ -108,17 +119,22 @@ def signatures(rows: DataFrame, texts: list[str], keys: list[str]) -> DataFrame:
     at = at.drop(*[t for t in texts if t not in keys])
     for k in range(len(texts)):
         at = _terms(at, f"_w{k}", f"_t{k}").drop(f"_w{k}")
-    nothing = F.array(_tagged(0)(F.struct(F.lit(None).cast("long").alias("term"), F.lit(1).alias("tf"))))  # keeps rows without words
-    each = at.select(*keys, F.inline(F.concat(nothing, *[F.transform(f"_t{k}", _tagged(k)) for k in range(len(texts))])))
-    bin_ = F.pmod(F.xxhash64("term", F.lit("bin")), F.lit(BINS)).cast("int")
-    value = F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("tf")))
-    least = each.select(*keys, "which", bin_.alias("bin"), value.alias("v")).groupBy(*keys, "which", "bin").agg(F.min("v").alias("v"))
+    nothing = F.array(F.struct(F.lit(0).alias("which"), F.lit(None).cast("long").alias("term"), F.lit(0).alias("place"), F.lit(1).alias("weight")))  # keeps rows without words
+    each = at.select(*keys, F.inline(F.concat(nothing, *[F.flatten(F.transform(f"_t{k}", _dealt(k))) for k in range(len(texts))])))
+    value = F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("place"), F.col("weight")))
+    least = each.select(*keys, "which", bin_of(F.col("term"), F.col("place")).alias("bin"), value.alias("v")).groupBy(*keys, "which", "bin").agg(F.min("v").alias("v"))
     code = F.when(F.col("v").isNotNull(), F.shiftleft("bin", 16).bitwiseOR(F.hash("v").bitwiseAND(F.lit(0xFFFF))))
     return least.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("which") == k, code))).alias(f"sig{k}") for k in range(len(texts))])
 
 
-def _tagged(k: int):
-    return lambda x: F.struct(F.lit(k).alias("which"), x["term"].alias("term"), x["tf"].alias("tf"))
+def _dealt(which: int):
+    """The bins' shares of a term's weight: bin after bin of its turn gets one unit, until all are dealt."""
+
+    def shares(x: Column) -> Column:
+        weight = lambda k: (F.call_function("div", x["tf"] - 1 - k, F.lit(BINS)) + 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.least(x["tf"], F.lit(BINS)) - 1), lambda k: F.struct(F.lit(which).alias("which"), x["term"].alias("term"), k.alias("place"), weight(k).alias("weight")))
+
+    return shares
 
 
 def likeness(a: str, b: str) -> Column:
