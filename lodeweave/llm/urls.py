@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop_cut
+from .common import ascii_lower, cut, drop_cut, fresh, scratch, without
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING, ROUNDS, CUT_EVERY, THRESHOLD = 0.85, 12, 4, 1.0
@@ -21,10 +21,11 @@ DAMPING, ROUNDS, CUT_EVERY, THRESHOLD = 0.85, 12, 4, 1.0
 
 def split_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` plus ``host`` (A-Z lower-cased) and ``path``; columns of these names are replaced."""
+    (name,) = fresh(pages, "rest")
     rest = F.when(F.instr(F.col(url), "://") > 0, F.substring(F.col(url), F.instr(F.col(url), "://") + 3, F.length(url))).otherwise("")
-    out = pages.withColumn("_rest", F.coalesce(rest, F.lit("")))
-    host, path = F.regexp_extract("_rest", r"^[^/?#]*", 0), F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
-    return out.withColumns({"host": ascii_lower(host), "path": path}).drop("_rest")
+    out = pages.withColumn(name, F.coalesce(rest, F.lit("")))
+    host, path = F.regexp_extract(name, r"^[^/?#]*", 0), F.regexp_extract(name, r"^[^/?#]*([^?#]*)", 1)
+    return out.select(*without(pages, "host", "path"), ascii_lower(host).alias("host"), path.alias("path"))
 
 
 def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -83,12 +84,18 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     Every row stays, repeated or not; a page without a host is allowed unless a
     rule fits; without any seeds all ranks are zero and the verdict is allow.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust")]
-    split = split_urls(pages.select(*keep)).withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules))
-    seeds = split.where("_m is not null and host <> ''").groupBy(F.when(F.col("_m.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
-    ranks = propagate(host_edges(split), seeds)
-    hosts = ranks.groupBy(F.col("host").alias("_host")).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
-    out = split.join(hosts, F.col("host") == F.col("_host"), "left")
+    keep = without(pages, "host", "path", "rule", "verdict", "trust", "distrust")
+    match, key = fresh(pages, "match", "ranked_host")
+    found, kind = F.col(match), lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k)
+    split = split_urls(pages.select(*keep)).withColumn(match, matched_rule(F.col("host"), F.col("path"), rules))
+    links = pages.select(F.col("url"), F.col("html"))  # whatever else the caller's columns are called
+    hosts = split_urls(links).withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
+    seeds = hosts.where("found is not null and host <> ''").groupBy(F.when(F.col("found.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
+    with scratch() as kept:
+        ranks = propagate(host_edges(hosts), seeds)
+        kept.append(ranks)
+    ranked = ranks.groupBy(F.col("host").alias(key)).agg(kind("trust"), kind("distrust"))
+    out = split.join(ranked, F.col("host") == F.col(key), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("_m.verdict", F.when((F.col("host") != "") & (distrust > threshold * trust), "block").otherwise("allow"))
-    return out.select(*keep, "host", "path", F.col("_m.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    verdict = F.coalesce(found["verdict"], F.when((F.col("host") != "") & (distrust > threshold * trust), "block").otherwise("allow"))
+    return out.select(*keep, "host", "path", found["rule"].alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

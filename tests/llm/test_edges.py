@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from lodeweave.llm import audio, copies, licenses, lines, mixing, packing, repeats, simhash, toxicity, urls, weighted
+from lodeweave.llm import audio, collocations, copies, licenses, lines, mixing, packing, pages, periodic, repeats, simhash, toxicity, urls, weighted
 
 LONG = " ".join(f"word{i % 997}x{i % 31}" for i in range(30_000))
 ROWS = [
@@ -29,7 +29,7 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names of results, and of working columns, with and without underscores.
 CLASH = ["toxicity", "n_lines", "repeats", "target", "kept", "labels", "score", "hits", "media", "component_id", "fp"]
-OWN = ["_t", "_copy", "_judged", "_size", "_target", "_times", "_last", "_s", "_doc", "_text", "_h", "_w", "_c", "_d", "_id", "_gone", "_kept", "_set", "_root", "_f", "_ranges", "one", "two", "row", "own", "size", "times", "last", "goal", "hash", "of", "name", "gone", "kept_text", "judged", "words", "starts", "doc", "h", "rest"]
+OWN = ["_t", "_copy", "_judged", "_size", "_target", "_times", "_last", "_s", "_doc", "_text", "_h", "_w", "_c", "_d", "_id", "_gone", "_kept", "_set", "_root", "_f", "_ranges", "one", "two", "row", "own", "size", "times", "last", "goal", "hash", "of", "name", "gone", "kept_text", "judged", "words", "starts", "doc", "h", "rest", "_host", "_rest", "_m", "found", "match", "ranked_host"]
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,16 @@ def labels(spark):
     return spark.createDataFrame([(1, 0, 1), (5, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
 
 
+def _as_pages(d):
+    """Texts as pages, some of which link to others."""
+    return d.withColumns({"url": F.concat(F.lit("http://a.example.net/en/"), F.col("doc_id")), "html": F.concat(F.lit("<a href='http://b.example.com/de/'>x</a><p>"), F.col("text"))})
+
+
 OPERATORS = {
+    "judge": lambda d, lab: urls.judge(_as_pages(d)),
+    "extract": lambda d, lab: pages.extract(_as_pages(d)),
+    "collapse": lambda d, lab: periodic.collapse(periodic.seeded(d)),
+    "mine": lambda d, lab: collocations.mine(d),
     "toxicity": lambda d, lab: toxicity.score(d, lab),
     "keep_clean": lambda d, lab: toxicity.keep_clean(d, lab),
     "simhash": lambda d, lab: simhash.near_duplicates(d),
@@ -67,8 +76,8 @@ OPERATORS = {
     "repeats": lambda d, lab: repeats.remove_repeats(d),
     "licenses": lambda d, lab: licenses.scan(d),
 }
-KEEP_COLUMNS = {"toxicity", "keep_clean", "keep_one", "audio", "lines", "mix", "sample", "repeats", "licenses"}
-SAME_ROWS = {"toxicity", "simhash", "audio", "digest", "lines", "mix", "weighted", "repeats", "licenses"}
+KEEP_COLUMNS = {"judge", "extract", "collapse", "toxicity", "keep_clean", "keep_one", "audio", "lines", "mix", "sample", "repeats", "licenses"}
+SAME_ROWS = {"judge", "extract", "collapse", "toxicity", "simhash", "audio", "digest", "lines", "mix", "weighted", "repeats", "licenses"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
