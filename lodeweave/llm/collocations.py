@@ -32,7 +32,7 @@ LEAST, LONGEST, REPORTED, COVERED = 10, 3, 2000, 50
 _MOST_BITS, _BITS_EACH = 1 << 27, 16
 
 #: Bytes of text that make a block.
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 
 #: Lower case, and what ends a piece, as bytes; neither occurs inside a character of several bytes.
 _PLAIN = bytes(32 if b == 9 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -57,7 +57,7 @@ def hashes(words: pa.Array, lang: str) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
-    up, down = _powers(1 << len(raw).bit_length())
+    up, down = _powers(max(1 << 19, 1 << len(raw).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)])))
     at = ends - ends[0]
     h = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
@@ -136,7 +136,7 @@ def _lets(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     waiting: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for batch in batches:
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):  # few texts at once as objects
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if text:
                 data = text.encode("utf-8", "surrogatepass")
