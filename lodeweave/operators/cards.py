@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merge import matched_cards
 from .sequences import ordered_groups
 
 
@@ -82,42 +83,18 @@ def resegment_preview(existing: DataFrame, desired: DataFrame) -> DataFrame:
     return both.select(F.coalesce("e.paper_id", "d.paper_id").alias("paper_id"), F.coalesce("e.number", "d.number").alias("number"), action.alias("action"))
 
 
-def _fold(ops: list) -> list[tuple]:
-    """Applies one paper's operations in order; each must name the revision that is reached."""
-    cards: dict[int, tuple] = {}
-    undo: list = []
-    revision, out = 0, []
-    for op in ops:
-        result = "applied"
-        before = dict(cards)
-        if op.expected != revision:
-            result = "stale"
-        elif op.kind == "add" and op.card not in cards:
-            cards[op.card] = (op.number,)
-        elif op.kind == "renumber" and op.card in cards:
-            cards[op.card] = (op.number,)
-        elif op.kind == "delete" and op.card in cards:
-            del cards[op.card]
-        elif op.kind == "undo" and undo:
-            cards = undo.pop()
-            revision += 1
-            out.append((op.paper_id, op.op_id, "undone", revision, len(cards)))
-            continue
-        else:
-            result = "refused"
-        if result == "applied":
-            undo.append(before)
-            revision += 1
-        out.append((op.paper_id, op.op_id, result, revision, len(cards)))
-    return out
-
-
-def layout_edits(ops: DataFrame) -> DataFrame:
-    """Folds the edit log ``(paper_id, op_id, kind, card, number, expected)``: outcome, revision and cards after each.
+def resegment_matched(existing: DataFrame, desired: DataFrame) -> DataFrame:
+    """What a new segmentation would do, by cards that match (:func:`.merge.matched_cards`): (paper_id, item, card, by, action).
 
-    An undo takes back the newest operation that is still applied.
+    Protected cards stay; a card keeps its place where number and place are equal.
     """
-    return ordered_groups(ops, "paper_id", ["op_id"], _fold, "paper_id long, op_id long, outcome string, revision int, cards int")
+    pairs = matched_cards(existing, desired)
+    old = existing.select("paper_id", F.col("card").cast("long").alias("card"), F.col("number").alias("was_number"), F.col("place").alias("was_place"), "protected")
+    new = desired.select("paper_id", F.col("item").cast("long").alias("item"), "number", "place")
+    both = pairs.join(old, ["paper_id", "card"], "left").join(new, ["paper_id", "item"], "left")
+    same = (F.col("number") == F.col("was_number")) & (F.col("place") == F.col("was_place"))
+    action = F.when(F.col("card").isNull(), "add").when(F.coalesce("protected", F.lit(False)), "protected").when(F.col("item").isNull(), "drop").when(same, "keep").otherwise("move")
+    return both.select("paper_id", "item", "card", "by", action.alias("action"))
 
 
 def resolve_suggestions(suggestions: DataFrame, decisions: DataFrame, tags: DataFrame) -> DataFrame:

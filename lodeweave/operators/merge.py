@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import ordered_groups
+
 
 def id_map(local: DataFrame, incoming: DataFrame, keys: list[str], prefer: list[Column]) -> DataFrame:
     """``(incoming_id, local_id)``: the best local row of each natural key, null where there is none."""
@@ -101,3 +103,53 @@ def match_cards(existing: DataFrame, desired: DataFrame) -> DataFrame:
         left = left.join(hit.select("paper_id", "position"), ["paper_id", "position"], "left_anti")
         free = free.join(hit.select("id"), "id", "left_anti")
     return out
+
+
+def _greedy(rows: list) -> list[tuple]:
+    """One paper's desired cards in order, each with the stored card that it takes."""
+    by_anchor, by_kind, by_number = {}, {}, {}
+    out, used = [], set()
+    for r in rows:
+        group = r.only_group if r.grp is None and r.stored else r.grp
+        if r.stored:
+            if r.anchor is not None:
+                by_anchor.setdefault(r.anchor, []).append((group, r))
+                by_kind.setdefault((r.anchor, r.kind), []).append((group, r))
+            by_number.setdefault((group, r.number), []).append((group, r))
+            continue
+        found, book = None, r.kind in ("example", "exercise")
+        stages = [("anchor and kind", by_kind.get((r.anchor, r.kind), [])), ("anchor", by_anchor.get(r.anchor, []))] if r.anchor is not None else []
+        stages = [(name, [e for g, e in some if book or g == group]) for name, some in stages]
+        if r.anchor is None or r.kind in ("unknown", "manual"):
+            stages.append(("number", [e for _, e in by_number.get((group, r.number), [])]))
+        for name, some in stages:
+            free = [e for e in some if e.card not in used]
+            if free:
+                found = min(free, key=lambda e: (abs(e.place - r.place), e.deleted, e.card))
+                used.add(found.card)
+                break
+        out.append((r.paper_id, r.item, found.card if found else None, name if found else None))
+    out += [(r.paper_id, None, r.card, None) for r in rows if r.stored and r.card not in used]
+    return out
+
+
+def matched_cards(existing: DataFrame, desired: DataFrame) -> DataFrame:
+    """(paper_id, item, card, by): each desired card in order with the stored one that it takes, then the stored ones left.
+
+    ``existing(paper_id, card, grp, anchor, kind, number, place, deleted)``,
+    ``desired(paper_id, item, grp, anchor, kind, number, place)`` in order of
+    ``item``. By anchor and kind, then by anchor, in the same group unless it is
+    a typed anchor of a textbook, then by number in the group, where there is no
+    anchor or its kind says nothing. Of several free cards the nearest by place,
+    a live one before a deleted one, the smallest id. A stored card is taken
+    once, so what comes first decides: a paper is streamed, not joined. Stored
+    cards without a group belong to the only one that a paper desires.
+    """
+    only = desired.groupBy("paper_id").agg(F.when(F.countDistinct("grp") == 1, F.min("grp")).alias("only_group"))
+    old = existing.select("paper_id", F.lit(True).alias("stored"), F.lit(None).cast("long").alias("item"), F.col("card").cast("long").alias("card"), "grp", "anchor", "kind", "number", F.coalesce(F.col("place").cast("double"), F.lit(0.0)).alias("place"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    new = desired.select("paper_id", F.lit(False).alias("stored"), F.col("item").cast("long").alias("item"), F.lit(None).cast("long").alias("card"), "grp", "anchor", "kind", "number", F.coalesce(F.col("place").cast("double"), F.lit(0.0)).alias("place"), F.lit(False).alias("deleted"))
+    # ids and keys as text, so that nulls stay nulls on their way
+    rows = old.unionByName(new).join(only, "paper_id", "left")
+    rows = rows.select("paper_id", "stored", F.col("stored").cast("int").alias("rank"), F.coalesce("item", F.lit(-1)).alias("item"), F.coalesce("card", F.lit(-1)).alias("card"), *[F.col(c).cast("string").alias(c) for c in ("grp", "anchor", "kind", "number", "only_group")], "place", "deleted")
+    schema = "paper_id long, item long, card long, by string"
+    return ordered_groups(rows.withColumn("rank", 1 - F.col("rank")), "paper_id", ["rank", "item", "card"], _greedy, schema)

@@ -96,14 +96,6 @@ def mut12_resegment_preview(env):
     return cards.resegment_preview(t.where("number < 5").selectExpr("paper_id", "number", "p % 3 AS y0", "s % 5 = 0 AS protected"), t.where("number > 1").selectExpr("paper_id", "number", "p % 2 AS y0"))
 
 
-@query(None)
-def mut8_layout_edits(env):
-    k = F.col("event_id") % 5
-    kind = F.when(k < 2, "add").when(k == 2, "renumber").when(k == 3, "delete").otherwise("undo")
-    ops = env.table("events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("op_id"), kind.alias("kind"), (F.col("event_id") % 3).cast("int").alias("card"), (F.col("event_id") % 7).cast("int").alias("number"), (F.col("event_id") % 4).cast("int").alias("expected"))
-    return cards.layout_edits(ops)
-
-
 @query("""SELECT doc_id AS suggestion_id, tag_id, CASE WHEN doc_id % 3 = 0 THEN 'pending' WHEN doc_id % 3 = 1 AND doc_id % 4 = 1 THEN 'rejected' WHEN coalesce(active, false) THEN 'accepted' ELSE 'stale' END AS state FROM (SELECT doc_id, concat('n', doc_id % 27) AS tag_id FROM documents) LEFT JOIN tag USING (tag_id)""")
 def mut7_resolve_suggestions(env):
     s = env.table("documents").select(F.col("doc_id").alias("suggestion_id"), F.concat(F.lit("n"), F.col("doc_id") % 27).alias("tag_id"))

@@ -6,9 +6,10 @@ its keys, numbers run on with some lost, cut off or without a dot.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import exam, textbook
+from ..operators import cards, exam, layout_edits, merge, option_figures, textbook
 from .registry import query
 
 
@@ -93,3 +94,73 @@ def seg7_textbook_questions(env):
     blocks = book_blocks(env)
     book = textbook.analyse(blocks)
     return exam.questions(blocks, exam.Layout(book.starts, book.slots, textbook.stops(blocks, book), book.lines))
+
+
+def edit_log(env):
+    """Layout edits by users of a few papers: every kind, some of what is no longer there, some sent twice."""
+    e = env.table("events")
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in "add add add add renumber regions split merge undo edit pages add".split()]), (F.pmod(F.hash("event_id"), F.lit(12)) + 1).cast("int"))
+    pick = lambda i: (F.pmod(F.hash(F.lit(i), "event_id"), F.lit(9)) + 1).cast("int")
+    number = lambda i: (F.pmod(F.hash(F.lit(i), "event_id"), F.lit(40)) + 1).cast("int")
+    box = lambda i: F.struct((F.pmod(k, F.lit(3))).cast("int").alias("page"), F.lit(0.0).alias("x0"), (number(i) * 20).cast("double").alias("y0"), F.lit(500.0).alias("x1"), (number(i) * 20 + 30).cast("double").alias("y1"))
+    target = lambda i: F.struct(number(i).alias("number"), F.lit(None).cast("int").alias("grp"), F.array(box(i)).alias("regions"))
+    sources = F.when(F.col("kind") == "merge", F.array(pick(1), pick(2))).when(F.col("kind").isin("renumber", "regions", "split", "edit"), F.array(pick(1)))
+    targets = F.when(F.col("kind") == "split", F.array(target(3), target(4))).when(F.col("kind").isin("add", "renumber", "regions", "merge"), F.array(target(3)))
+    e = e.withColumns({"kind": kind, "paper_id": (F.col("user_id") % 50).cast("long")})
+    sent = F.explode(F.when(k % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))  # again, as no answer came
+    request = F.when(k % 7 == 0, F.concat(F.lit("r"), F.floor(k / 70))).when(k % 13 == 0, F.concat(F.lit("s"), k))
+    return e.withColumn("sent", sent).select("paper_id", (k * 2 + F.col("sent")).alias("op_id"), request.alias("request"), "kind", F.when(k % 5 == 0, (k % 9).cast("int")).alias("expected"), sources.alias("sources"), F.when((k % 11 == 0) & (F.col("kind") == "renumber"), F.array(F.lit(0))).alias("seen"), targets.alias("targets"))
+
+
+@query(None)
+def mut8_layout_edits(env):
+    return layout_edits.receipts(edit_log(env))
+
+
+@query(None)
+def mut8_cards_after(env):
+    return layout_edits.cards_after(edit_log(env))
+
+
+def option_tables(env):
+    """Cards with pictures, letters beside, above, below and inside them, and what was decided before."""
+    p = env("paper").where("seq <= 24").withColumns({"card": F.col("paper_id"), "page": F.floor((F.col("seq") - 1) / 12).cast("int")})
+    part, seq = F.col("part"), F.col("seq")
+    x, y = (100 + seq % 4 * 200).cast("double"), (seq % 3 * 250 + 60).cast("double")
+    images = p.where(seq % 12 < 8).select("card", F.concat(F.lit("f"), F.when(part % 61 == 0, F.lit(1)).otherwise(seq)).alias("label"), "page", x.alias("x0"), y.alias("y0"), (x + 80 + part % 30).alias("x1"), (y + 90.0).alias("y1"), (part % 9 == 0).alias("manual"), F.when(part % 7 == 0, "stem").when(part % 7 == 1, F.substring(F.lit("ABCDE"), (part % 5 + 1).cast("int"), F.lit(1))).when(part % 7 == 2, "excluded").alias("role"))
+    where = part % 6
+    left = x + F.when(where == 0, -45.0).when(where == 4, 30.0).when(where == 5, -90.0).otherwise(20.0) - part % 13
+    top = y + F.when(where == 0, part % 80).when(where == 1, -40.0 - part % 9).when(where == 2, -25.0).when(where == 3, 95.0 + part % 40).otherwise(part % 60)
+    letter = F.substring(F.lit("ABCDE"), (seq % 4 + 1 + (part % 23 == 0).cast("int")).cast("int"), F.lit(1))
+    text = F.when(part % 10 == 0, letter).when(part % 10 == 1, F.concat(F.lit("("), letter, F.lit(")"))).when(part % 10 == 2, F.concat(letter, F.lit(". one B. two"))).when(part % 10 == 3, F.concat(letter, F.lit("．向右"))).when(part % 10 == 4, F.concat(letter, F.lit("nd"))).otherwise(F.concat(letter, F.lit(".")))
+    blocks = p.where(seq % 12 < 6).select("card", seq.alias("seq"), "page", left.alias("x0"), top.cast("double").alias("y0"), (left + 20 + part % 25).alias("x1"), (top + 20.0).alias("y1"), F.when(part % 19 == 0, "equation").otherwise("text").alias("type"), (part % 17 == 0).alias("manual"), text.alias("text"))
+    kinds = p.select("card").distinct().select("card", F.when(F.col("card") % 5 == 0, "blank").when(F.col("card") % 2 == 0, "single_choice").otherwise("multiple_choice").alias("kind"), (F.col("card") % 3 == 0).alias("cue"), F.when(F.col("card") % 4 == 0, F.array(F.lit("A"), F.lit("C"))).alias("written"))
+    return kinds, blocks, images
+
+
+@query(None)
+def jn13_option_evidence(env):
+    return option_figures.evidence(*option_tables(env))
+
+
+def card_tables(env):
+    """Stored and desired cards of papers with groups, anchors that repeat or moved, and deleted ones."""
+    p = env("paper").withColumn("paper_id", F.floor(F.col("paper_id") / 2).cast("long"))
+    part, seq = F.col("part"), F.col("seq")
+    kind = F.element_at(F.array(*[F.lit(k) for k in "question question example exercise unknown manual".split()]), (part % 6 + 1).cast("int"))
+    cards_of = p.select("paper_id", "part", "seq", (seq % 2 + 1).cast("int").alias("grp"), F.when(part % 4 != 0, (seq / 2).cast("int")).alias("anchor"), kind.alias("kind"), (seq % 9).cast("int").alias("number"), F.round(F.col("page") * 1000 + F.col("y0") + part % 50, 1).alias("place"))
+    ids = F.row_number().over(Window.partitionBy("paper_id").orderBy("seq", "part", "place"))
+    stored = cards_of.where(part % 3 != 0).select("paper_id", ids.cast("long").alias("card"), F.when(part % 13 != 0, F.col("grp")).alias("grp"), "anchor", "kind", "number", "place", (part % 5 == 0).alias("deleted"), (part % 8 == 0).alias("protected"))
+    wanted = cards_of.where(part % 3 != 1).select("paper_id", ids.cast("long").alias("item"), F.when(F.col("paper_id") % 2 == 0, F.lit(1)).otherwise(F.col("grp")).alias("grp"), "anchor", "kind", "number", "place")
+    return stored, wanted
+
+
+@query(None)
+def jn14_matched_cards(env):
+    return merge.matched_cards(*card_tables(env))
+
+
+@query(None)
+def mut12_resegment_matched(env):
+    return cards.resegment_matched(*card_tables(env))
