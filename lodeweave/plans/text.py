@@ -20,16 +20,15 @@ def _changed(env):
     return d.withColumn("other", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", 1, 20), F.lit("x"), F.expr("substring(text, 22)"))).otherwise(F.concat("text", F.lit("."))))
 
 
-@query(r"SELECT doc_id, concat(regexp_replace(text, '\s', '', 'g'), '∠A≤90°cm^2') AS key FROM documents WHERE NOT regexp_matches(text, '[^A-Za-z ,.\n]')")
+@query(None)
 def scl1_canonical(env):
-    d = env.table("documents").where(~F.col("text").rlike(r"[^A-Za-z ,.\n]"))
-    return d.select("doc_id", text.text_column(text.canon, F.concat("text", F.lit(" $\\angle A \\le {90}^\\circ$ (5 points) cm².;"))).alias("key"))
+    return _texts(env).select("doc_id", text.text_column(text.canon, F.concat(F.coalesce("text", F.lit("")), F.lit(" $\\angle A \\le {90}^\\circ$ (5 points) cm².;"))).alias("key"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 3 = 2 OR substr(text, 21, 1) = 'x' AS same FROM documents WHERE length(text) > 21 AND NOT regexp_matches(text, '[^A-Za-zÀ-ž ,.\\n]')")
+@query(None)
 def scl2_same_reading(env):
-    same = text.flag_column(lambda a, b: text.same_reading({"stem": a}, {"stem": b}), F.col("text"), F.col("other"))
-    return _changed(env).where(~F.col("text").rlike(r"[^A-Za-zÀ-ž ,.\n]") & (F.length("text") > 21)).select("doc_id", same.alias("same"))
+    same = text.flag_column(lambda a, b: text.same_reading({"stem": a}, {"stem": b}), F.coalesce("text", F.lit("")), F.coalesce("other", F.lit("")))
+    return _changed(env).select("doc_id", same.alias("same"))
 
 
 @query(None)
@@ -78,11 +77,11 @@ def scl12_strip_label(env):
     return d.select("doc_id", text.strip_label(labelled).alias("rest"))
 
 
-@query("SELECT doc_id, text AS rest, CASE WHEN doc_id % 4 = 0 THEN concat('spring 20', CAST(doc_id % 90 + 10 AS VARCHAR)) END AS origin FROM documents WHERE NOT starts_with(text, '(') AND NOT starts_with(text, '[')")
+@query(r"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('(spring 20', CAST(doc_id % 90 + 10 AS VARCHAR), ') ', text) ELSE text END AS t FROM documents), o AS (SELECT *, regexp_extract(t, '^[ \t\n\x0B\f\r]*[\[(]([^\])]*[0-9]{4}[^\])]*)[\])]', 1) AS note FROM n)
+SELECT doc_id, CASE WHEN note <> '' THEN regexp_replace(t, '^[ \t\n\x0B\f\r]*[\[(][^\])]*[0-9]{4}[^\])]*[\])][ \t\n\x0B\f\r]*', '') ELSE t END AS rest, CASE WHEN note <> '' THEN note END AS origin FROM o""")
 def scl13_origin_note(env):
     noted = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("(spring 20"), F.col("doc_id") % 90 + 10, F.lit(") "), F.col("text"))).otherwise(F.col("text"))
-    d = env.table("documents").where(~F.col("text").startswith("(") & ~F.col("text").startswith("["))
-    return d.select("doc_id", text.origin_note(noted).alias("o")).select("doc_id", F.col("o.text").alias("rest"), "o.origin")
+    return env.table("documents").select("doc_id", text.origin_note(noted).alias("o")).select("doc_id", F.col("o.text").alias("rest"), "o.origin")
 
 
 @query("SELECT doc_id, doc_id % 3 <> 2 AS same FROM documents")
@@ -92,10 +91,12 @@ def scl14_same_note(env):
     return env.table("documents").select("doc_id", text.same_note(a, b).alias("same"))
 
 
-@query("SELECT doc_id, concat('“', text, '” and $\"x\"$') AS text FROM documents WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%$%'")
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(body, '$')) AS part, generate_subscripts(string_split(body, '$'), 1) AS i FROM (SELECT doc_id, concat('"', text, '" and $"x"$ "', text) AS body FROM documents)),
+q AS (SELECT *, coalesce(sum(CASE WHEN i % 2 = 1 THEN length(part) - length(replace(part, '"', '')) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS quotes FROM p)
+SELECT doc_id, string_agg(CASE WHEN i % 2 = 0 THEN part ELSE array_to_string(list_transform(string_split(part, '"'), lambda x, k: CASE WHEN k = 1 THEN x WHEN (k - 1 + quotes) % 2 = 1 THEN concat('“', x) ELSE concat('”', x) END), '') END, '$' ORDER BY i) AS text FROM q GROUP BY doc_id""")
 def scl15_paired_quotes(env):
-    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('" and $"x"$'))
-    return env.table("documents").where(~F.col("text").rlike('["$]')).select("doc_id", text.text_column(text.paired_quotes, quoted).alias("text"))
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('" and $"x"$ "'), F.col("text"))
+    return env.table("documents").select("doc_id", text.text_column(text.paired_quotes, quoted).alias("text"))
 
 
 @query("SELECT doc_id, [CAST(doc_id % 9 + 1 AS INTEGER), CAST(doc_id % 9 + 2 AS INTEGER)] AS numbers FROM documents")
@@ -146,10 +147,11 @@ def scl28_token_diff(env):
     return _changed(env).select("doc_id", F.explode(text.diff_column(F.col("text"), F.col("other"))).alias("d")).select("doc_id", "d.*").where("op <> 'equal'")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) >= 199 THEN substr(text, 1, 200) WHEN length(text) >= 194 THEN concat(text, ' ') ELSE substr(concat(text, ' $x+y$ tail'), 1, 200) END AS answer FROM documents WHERE text NOT LIKE '%$%'")
+@query(r"""WITH c AS (SELECT doc_id, substr(concat(substr(text, 1, CAST(doc_id % 190 AS INT)), ' $x+y$ tail ', text), 1, 200) AS cut FROM documents)
+SELECT doc_id, CASE WHEN (length(cut) - length(replace(cut, '$', ''))) % 2 = 0 THEN cut ELSE regexp_replace(cut, '\$[^$]*$', '') END AS answer FROM c""")
 def scl29_trim_answer(env):
-    body = F.concat(F.col("text"), F.lit(" $x+y$ tail"))
-    return env.table("documents").where(~F.col("text").contains("$")).select("doc_id", text.text_column(lambda x: text.trim_answer(x, 200), body).alias("answer"))
+    body = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 190).cast("int")), F.lit(" $x+y$ tail "), F.col("text"))
+    return env.table("documents").select("doc_id", text.trim_answer(body, 200).alias("answer"))
 
 
 @query("SELECT doc_id, lang AS answer, concat('b', CAST(doc_id AS VARCHAR)) AS analysis FROM documents")
@@ -241,10 +243,12 @@ def win12_run_length(env):
     return env.table("documents").select("doc_id", labels.alias("labels")).select("doc_id", sequences.run_length("labels").cast("long").alias("run"))
 
 
-@query("""SELECT doc_id, CASE WHEN n < 20 THEN CASE WHEN doc_id % 2 = 0 THEN 'scan' ELSE 'empty' END ELSE 'text' END AS mode FROM (SELECT doc_id, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^ -~\\n]'))""")
+@query(r"""SELECT doc_id, CASE WHEN n < 20 THEN CASE WHEN doc_id % 2 = 0 THEN 'scan' ELSE 'empty' END WHEN bad * 10 > n THEN 'unreadable' ELSE 'text' END AS mode FROM (SELECT doc_id, length(regexp_replace(t, '[ \t\n\r\f\x0B]', '', 'g')) AS n, length(regexp_replace(t, '[\p{L}\p{N}\p{P}\p{S} \t\n\r\f\x0B]', '', 'g')) AS bad
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, CAST(doc_id % 40 AS INT)) WHEN doc_id % 5 = 1 THEN concat(substr(text, 1, 60), repeat(chr(57344), CAST(doc_id % 13 AS INT))) ELSE text END AS t FROM documents))""")
 def src4_page_mode(env):
-    d = env.table("documents").where(~F.col("text").rlike(r"[^ -~\n]") & (F.col("lang") == "en"))
-    return d.select("doc_id", classify.page_mode(F.col("text"), F.col("doc_id") % 2 == 0).alias("mode"))
+    k = F.col("doc_id")
+    layer = F.when(k % 5 == 0, F.substring(F.col("text"), F.lit(1), (k % 40).cast("int"))).when(k % 5 == 1, F.concat(F.substring("text", 1, 60), F.repeat(F.lit("\ue000"), (k % 13).cast("int")))).otherwise(F.col("text"))
+    return env.table("documents").select("doc_id", classify.page_mode(layer, k % 2 == 0).alias("mode"))
 
 
 @query(None)

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import unicodedata
 from collections import namedtuple
 
 import pytest
@@ -75,11 +77,83 @@ def test_majority_needs_a_vote_for_each_spot():
 
 def test_small_text_functions():
     assert text.paired_quotes('"a" $"b"$ "c"') == '“a” $"b"$ “c”'
-    assert text.trim_answer("ab $x+y$ c", 6) == "ab "
     assert text.match_tags("linear functions and sets", ["function", "linear functions", "sets"]) == ["linear functions", "sets"]
     assert text.name_key("Ｓｅｔ  s") == "sets"
 
 
+def test_trimmed_answers(spark):
+    cases = {"ab $x+y$ c": "ab ", "$x$ ab $y": "$x$ ab", "$$$": "$$", "": "", None: "", "abcdefgh": "abcdef", "漢字漢字漢字漢": "漢字漢字漢字"}
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    assert [r.a for r in df.select("k", text.trim_answer(F.col("t"), 6).alias("a")).orderBy("k").collect()] == list(cases.values())
+
+
+def test_gaps_of_witnesses():
+    """What a witness may lack or add, case by case."""
+    long = "已知三角形的面积为六"
+    may = [(f"{long}，", long), (f"{long}____。", long), (f"{long}()", long), ("甲,乙丙丁戊己庚", "甲乙丙丁戊己庚"), ("abcdefg;(2)xyz", "abcdefg(2)xyz"), ("abcdefg.(iv)xyz", "abcdefg(iv)xyz"), ("甲乙丙丁戊己 A.2x", "甲乙丙丁戊己 A2x"), ("abcdefgh", "abcdefghA.B."), ("abcdefgh A.7", "abcdefgh B.A.7")]
+    not_ = [("abcde,fgh", "abcdefgh"), ("abcdefg,(123)xy", "abcdefg(123)xy"), ("abcdefg_(2)xyz", "abcdefg(2)xyz"), ("abcdefgXA.2", "abcdefgXA2"), ("abcdefgh", "abcdefghF."), ("abcd.ef.gh,,,x", "abcd.ef.ghx"), (long, f"{long}七")]
+    for reading, witness in may:
+        assert text.witness_agrees({"stem": reading}, witness), (reading, witness)
+    for reading, witness in not_:
+        assert not text.witness_agrees({"stem": reading}, witness), (reading, witness)
+
+
+def test_squares_of_corners():
+    assert all(map(text._square_of_corners, ["□ABCD", "in $\\square$ A B", "{\\Box}KLM", "x ◻ PQ"]))
+    assert not any(map(text._square_of_corners, ["□ is", "□A", "\\squareroot AB", "▱ABCD", "", "□ 3AB"]))
+
+
+def plain_canon(value):
+    """A text as it is compared, read character by character."""
+    folded = unicodedata.normalize("NFKC", "".join(f"^{'⁰¹²³⁴⁵⁶⁷⁸⁹'.index(c)}" if c in "⁰¹²³⁴⁵⁶⁷⁸⁹" else c for c in value or ""))
+    out, i = [], 0
+    while i < len(folded):
+        rest = folded[i:]
+        points = re.match(r"\(\s*[0-9]{1,2}\s*(分|points|point)\s*\)", rest)
+        blank = re.match(r"__+|\\underline\{(\\quad(?![A-Za-z])|\\qquad(?![A-Za-z])|[~\s])*\}", rest)
+        room = re.match(r"\\(hspace|vspace)\*?\{[^{}]*\}", rest)
+        name = re.match(r"\\([A-Za-z]+)", rest)
+        if points or room:
+            i += (points or room).end()
+        elif blank:
+            out.append("_")
+            i += blank.end()
+        elif name:
+            out.append("" if name[1] in text.SPACING else text.SYMBOLS.get(name[1], name[1]).strip("{}"))
+            i += name.end()
+        elif rest[0] == "\\" and len(rest) > 1:
+            out.append("" if rest[1] in ",;:! {}" else rest[1])
+            i += 2
+        else:
+            out.append(rest[0])
+            i += 1
+    marks = {chr(k): v for k, v in text.MARKS.items()}
+    flat = "".join("" if c in "$\\{}" or c.isspace() else marks.get(c, c) for c in "".join(out))
+    flat = "".join(flat.split())
+    for old, new in (("//", "∥"), ("^°", "°"), ("[]", "()")):
+        flat = flat.replace(old, new)
+    return flat.rstrip(".,;:")
+
+
+def test_canon_of_all_texts(spark, sf):
+    from lodeweave.plans import QUERIES
+
+    odd = ["x² （3分） \\underline{\\quad ~}__ \\hspace{2em}", "\\leqslant{}\\alpha\\, \\{a\\}", "ＡＢ，。；：【】", "AB//CD ^\\circ []", "\\left( \\dfrac{1}{2} \\right).", "(12 points) (123 points)", "\\", "\\quadx \\square", None, "", "  ~ \n"]
+    for a in odd:
+        assert text.canon(a) == plain_canon(a), a
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = QUERIES["scl1_canonical"](spark, sf).collect()
+    assert len(found) == len(docs)
+    for r in found:
+        assert r.key == plain_canon((docs[r.doc_id] or "") + " $\\angle A \\le {90}^\\circ$ (5 points) cm².;")
+    same = {r.doc_id: r.same for r in QUERIES["scl2_same_reading"](spark, sf).collect()}
+    assert len(same) == len(docs) and 0 < sum(same.values()) < len(same)
+    for i, t in docs.items():
+        t = t or ""
+        other = t if i % 3 == 0 else t[:20] + "x" + t[21:] if i % 3 == 1 else t + "."
+        assert same[i] == (plain_canon(t) == plain_canon(other)), i
+
+
 def test_tables():
     assert markup.pipe_tables("|x|=2") == []
     assert markup.cells(r"| a \| b | $|x|$ |") == ["a | b", "$|x|$"]
