@@ -53,9 +53,9 @@ SELECT l_orderkey AS paper_id, CAST(l_linenumber AS INT) AS seq, CAST(l_partkey
     "job": """
 SELECT event_id, user_id AS job_id, event_type AS kind, ts, value FROM events""",
     # Layout blocks of papers of a few dozen lines, in one column or two; every line item is a block.
-    "paper": """
-SELECT paper_id, seq, CAST(floor((seq - 1) / 12) AS INT) AS page, CASE WHEN wide THEN 60.0 WHEN side = 0 THEN 60.0 + part % 20 ELSE 540.0 + part % 20 END AS x0, y0,
-       CASE WHEN wide THEN 900.0 WHEN side = 0 THEN 460.0 ELSE 940.0 END AS x1, y0 + 30.0 + part % 50 AS y1, part,
+    "paperblock": """
+SELECT paper_id, seq, CAST(floor((seq - 1) / 12) AS INT) AS page, CAST(CASE WHEN wide THEN 60 WHEN side = 0 THEN 60 + part % 20 ELSE 540 + part % 20 END AS DOUBLE) AS x0, y0,
+       CAST(CASE WHEN wide THEN 900 WHEN side = 0 THEN 460 ELSE 940 END AS DOUBLE) AS x1, CAST(y0 + 30 + part % 50 AS DOUBLE) AS y1, part,
        CASE WHEN part % 31 = 0 THEN 'equation' WHEN part % 37 = 0 THEN 'table' WHEN part % 41 = 0 THEN 'header' WHEN part % 43 = 0 THEN 'image' ELSE 'text' END AS type
 FROM (SELECT *, paper_id % 3 = 0 OR part % 29 = 0 AS wide, CASE WHEN (seq - 1) % 12 < 6 THEN 0 ELSE 1 END AS side,
              CAST(CASE WHEN paper_id % 3 = 0 THEN (seq - 1) % 12 * 75 ELSE (seq - 1) % 6 * 150 END + 40 AS DOUBLE) AS y0

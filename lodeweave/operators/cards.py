@@ -123,11 +123,40 @@ def blueprint_import(tags: DataFrame, template: DataFrame) -> DataFrame:
     return out.groupBy("name", "kind", "parent").agg(F.max(action).alias("action"))
 
 
+# Gray level below which a pixel is ink, shares of dark pixels of a page of print, scatter of its paper, contrast, distance from the level.
+INK, LEAST_DARK, MOST_DARK, PAPER_SCATTER, CONTRAST, CLEAR = 170, 0.005, 0.45, 8.0, 24.0, 6.0
+
+
+def ink_levels(pixels: DataFrame) -> DataFrame:
+    """(page_id, level): the gray below which a strip's pixels are ink, from ``pixels(page_id, y, value)`` of 0 to 255.
+
+    The histogram is split where the two sides lie farthest apart, as between
+    classes. Print on even paper whose gray the fixed level would miss gets the
+    gray that most of its paper has, everything darker is ink; shadows, specks
+    and groups that overlap keep the fixed level.
+    """
+    counts = pixels.groupBy("page_id", F.col("value").cast("double").alias("value")).agg(F.count("*").cast("double").alias("n"))
+    by = Window.partitionBy("page_id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("page_id")
+    v, n = F.col("value"), F.col("n")
+    sums = counts.withColumns({"dn": F.sum(n).over(by), "ds": F.sum(v * n).over(by), "dq": F.sum(v * v * n).over(by), "an": F.sum(n).over(whole), "as": F.sum(v * n).over(whole), "aq": F.sum(v * v * n).over(whole)})
+    c = F.col
+    ln, ls, lq = c("an") - c("dn"), c("as") - c("ds"), c("aq") - c("dq")
+    dm, lm = c("ds") / c("dn"), ls / ln
+    split = sums.where(ln > 0).withColumns({"apart": c("dn") * ln * (lm - dm) * (lm - dm), "dm": dm, "lm": lm, "dsd": F.sqrt(F.greatest(F.lit(0.0), c("dq") / c("dn") - dm * dm)), "lsd": F.sqrt(F.greatest(F.lit(0.0), lq / ln - lm * lm))})
+    best = split.groupBy("page_id").agg(F.max_by(F.struct("value", "dn", "an", "dm", "lm", "dsd", "lsd"), F.struct("apart", -v)).alias("b"))
+    paper = counts.join(best, "page_id").where(v > c("b.value")).groupBy("page_id").agg(F.max_by("value", F.struct("n", -v)).alias("paper"), F.first("b").alias("b"))
+    b = lambda k: F.col(f"b.{k}")
+    print_on_paper = (b("dn") / b("an")).between(LEAST_DARK, MOST_DARK) & (b("lsd") <= PAPER_SCATTER) & (b("lm") - b("dm") >= F.greatest(F.lit(CONTRAST), 4 * (b("dsd") + b("lsd"))))
+    known = (b("lm") > INK + CLEAR) & (b("dm") < INK - CLEAR)
+    level = F.when(print_on_paper & ~known, F.greatest(b("value") + 1, F.col("paper"))).otherwise(float(INK))
+    return counts.select("page_id").distinct().join(paper.select("page_id", level.alias("level")), "page_id", "left").select("page_id", F.coalesce("level", F.lit(float(INK))).alias("level"))
+
+
 def ink_profile(pixels: DataFrame) -> DataFrame:
-    """Dark pixels of each row of a page against the page's own level, the mean of its darkest and lightest parts."""
-    level = F.avg("value").over(Window.partitionBy("page_id"))
-    marked = pixels.withColumn("_dark", (F.col("value") < level * 0.8).cast("int"))
-    return marked.groupBy("page_id", "y").agg(F.sum("_dark").alias("ink"))
+    """(page_id, y, ink): share of each row's pixels that are ink by their strip's own level."""
+    dark = (F.col("value") < F.col("level")).cast("int")
+    return pixels.join(ink_levels(pixels), "page_id").groupBy("page_id", "y").agg(F.avg(dark).alias("ink"))
 
 
 def snapped_cuts(cuts: DataFrame, gaps: DataFrame, reach: float = 15) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequences import ordered_groups
+from .spatial import union_area
 
 KEYS = ["doc_id", "group_no", "kind", "number"]
 
@@ -60,3 +61,63 @@ def figure_matches(candidates: DataFrame, least: float = 0.5) -> DataFrame:
         return [(rows[0].doc_id, most_matches(edges))]
 
     return ordered_groups(candidates, "doc_id", ["truth", "result"], run, "doc_id long, matched int")
+
+
+CARD = ["doc_id", "card"]
+
+
+def _matched(rows: list) -> list[tuple]:
+    edges: dict[int, list[int]] = {}
+    for r in rows:
+        edges.setdefault(r.result, []).append(r.truth)
+    return [(rows[0].doc_id, rows[0].card, most_matches(edges))]
+
+
+def _shared(truth: DataFrame, result: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """Area that boxes of both sides cover, by ``keys``: the union of what each two of a page have in common."""
+    box = ["x0", "y0", "x1", "y1"]
+    r = result.select(*on, *[c for c in keys if c in result.columns and c not in on], *[F.col(c).alias(f"r_{c}") for c in box])
+    both = truth.join(r, on)
+    cut = both.select(*keys, "page", F.greatest("x0", "r_x0").alias("x0"), F.greatest("y0", "r_y0").alias("y0"), F.least("x1", "r_x1").alias("x1"), F.least("y1", "r_y1").alias("y1")).where("x0 < x1 and y0 < y1")
+    return union_area(cut, [*keys, "page"]).groupBy(*keys).agg(F.sum("area").alias("shared"))
+
+
+def layout_scores(truth: DataFrame, result: DataFrame, regions: DataFrame, figures: DataFrame, least: float = 0.5) -> DataFrame:
+    """A row per document: questions found, area of their regions covered, figures matched.
+
+    ``truth`` and ``result(doc_id, card, group_no, kind, number)`` list the cards
+    of annotations and of a segmentation, in order of ``card``; of repeated
+    questions of a result the first counts. ``regions(doc_id, side, card, page,
+    x0, y0, x1, y1)`` and ``figures(doc_id, side, card, figure, slot, page, x0,
+    y0, x1, y1)`` hold the boxes of both sides. Figures match one to one within
+    matched cards, with equal slots and pages and an intersection over union of
+    ``least``, as many as can. Areas are unions over pages. A ratio without a
+    denominator is null; documents of one side only have a row too.
+    """
+    first = Window.partitionBy("doc_id", "group_no", "kind", "number").orderBy("card")
+    named = result.withColumn("k", F.row_number().over(first)).where("k = 1").select("doc_id", F.col("card").alias("r_card"), *[F.col(c).alias(f"r_{c}") for c in KEYS[1:]])
+    same = reduce(lambda x, y: x & y, [truth[c].eqNullSafe(F.col(f"r_{c}")) for c in KEYS[1:]])
+    pairs = truth.alias("t").join(named.withColumnRenamed("doc_id", "r_doc"), (F.col("t.doc_id") == F.col("r_doc")) & same).select("doc_id", "card", "r_card")
+    side = lambda df, name: df.where(F.col("side") == name).drop("side")
+    as_truth = lambda df: side(df, "result").withColumnRenamed("card", "r_card").join(pairs, ["doc_id", "r_card"]).drop("r_card")
+    summed = lambda df, name: union_area(df, [*CARD, "page"]).groupBy("doc_id").agg(F.sum("area").alias(name))
+    true_area, result_area = summed(side(regions, "truth"), "truth_area"), summed(side(regions, "result"), "result_area")
+    shared = _shared(side(regions, "truth"), as_truth(regions), [*CARD, "page"], CARD).groupBy("doc_id").agg(F.sum("shared").alias("shared_area"))
+    # figures of matched cards
+    t, r = side(figures, "truth"), as_truth(figures)
+    shape = lambda df, name: union_area(df, [*CARD, "figure", "slot", "page"]).groupBy(*CARD, "figure", "slot").agg(F.sum("area").alias(f"{name}_area"), F.sort_array(F.collect_set("page")).alias("pages")).withColumnRenamed("figure", name)
+    meets = _shared(t.withColumnRenamed("figure", "truth"), r.withColumnRenamed("figure", "result"), [*CARD, "slot", "page"], [*CARD, "truth", "result", "slot"])
+    like = meets.join(shape(t, "truth"), [*CARD, "slot", "truth"]).join(shape(r, "result"), [*CARD, "slot", "result", "pages"])
+    near = like.where(F.col("shared") / (F.col("truth_area") + F.col("result_area") - F.col("shared")) >= least).select(*CARD, "truth", "result")
+    matched = ordered_groups(near.withColumn("both", F.concat_ws(",", *CARD)), "both", ["result", "truth"], _matched, "doc_id long, card long, n int").groupBy("doc_id").agg(F.sum("n").alias("matched_figures"))
+    count = lambda df, name, what="*": df.groupBy("doc_id").agg(F.count(what).alias(name))
+    each = lambda name: side(figures, name).select(*CARD, "figure").distinct()
+    parts = [count(truth, "truth_cards"), count(result, "result_cards"), count(pairs, "matched_cards"), true_area, result_area, shared, count(each("truth"), "truth_figures"), count(each("result"), "result_figures"), matched]
+    docs = truth.select("doc_id").union(result.select("doc_id")).distinct()
+    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, docs)
+    out = out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns[1:]])
+    ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    return out.withColumns({
+        "precision": ratio("matched_cards", "result_cards"), "recall": ratio("matched_cards", "truth_cards"), "area_coverage": ratio("shared_area", "truth_area"), "area_precision": ratio("shared_area", "result_area"),
+        "figure_precision": ratio("matched_figures", "result_figures"), "figure_recall": ratio("matched_figures", "truth_figures"),
+    })

@@ -32,6 +32,14 @@ NOTICE_WORDS = "答题前 答卷前 答题卡 答题纸 准考证 考生号 考
 # Words that open a question whose number lost its dot.
 OPENERS = "如图 如下 已知 若 设 在 计算 化简 求 解 下列 某 用 把 将 当 对于 阅读 观察 先 有 甲 抛物线 函数 直线 点 △ ▱ ⊙".split()
 
+# Words with which a question opens, sources of questions, what is no question, what asks.
+STEMS = "已知 若 设 下列 如图 根据 阅读 观察 判断 计算 证明 求 关于 对于".split()
+SOURCES = "高考 中考 联考 期中 期末 月考 模拟".split()
+NO_QUESTION = "注意事项 答卷前 考试时间 满分 姓名 班级 考号 密封线 请将答案 选择题 填空题 解答题 参考公式".split()
+ASKING = "求 证明 计算 判断 选择 填空".split()
+# Blocks that support a stem, score that repairs, score that is told.
+SUPPORT, REPAIRS, TOLD = 10, 7, 4
+
 NUMERALS = "一二三四五六七八九十"
 _HAN = "\\u4e00-\\u9fff"
 _LABEL = r"[0-9]{1,2}\s*[.．、]"
@@ -239,6 +247,66 @@ def analyse(blocks: DataFrame) -> Layout:
     return Layout(numbered(placed(kept, lines), True), slots(blocks, lines), placed(heads, lines), lines)
 
 
+_CITED = r"^\s*[\[【（(][^\]】）)]{1,96}[\]】）)]\s*"
+_SOURCE = rf"(?i)^\s*[\[【（(]\s*(?:20[0-9]{{2}}|[0-9]{{2,4}}\s*年|[^\]】）)]{{0,32}}(?:{'|'.join(SOURCES)}))"
+_STEM = rf"^(?:{'|'.join(STEMS)}|在\S{{0,24}}[中上])"
+_MARKED = rf"[？?]|[（(]\s*[）)]|{'|'.join(ASKING)}"
+_OPTION = r"(?i)(?:^|\s)[A-EＡ-Ｅ]\s*[.．、:]"
+_ONE = rf"^\s*1\s+(?=[{_HAN}])"
+_NONE = rf"{'|'.join(NO_QUESTION)}|本题共\s*[0-9]+\s*小题|每小题\s*[0-9]+\s*分"
+
+
+def leading(blocks: DataFrame, layout: Layout) -> DataFrame:
+    """Whether a paper's first question lost its number: (paper_id, status, first_number, seq, score, page, col, x, y).
+
+    Of the blocks before the first start, below the first section or else the
+    last heading, that with most evidence of a stem counts, the upper one of
+    equals: a source, a word that opens a question, a mark, options, length, a
+    one without its dot, parts that follow within the same section. It is
+    ``repaired`` where the first start is number 2 and the evidence is strong
+    and begins with a source or is the first question of the first section;
+    ``suspected`` where there is some. Other papers have no row.
+    """
+    key = F.struct(*_KEY)
+    first = layout.starts.groupBy("paper_id").agg(F.min(F.struct(*_KEY, "number")).alias("first")).where("first.number > 1")
+    first = first.select("paper_id", F.struct("first.page", "first.col", "first.y").alias("until"), F.col("first.number").alias("first_number"))
+    above = layout.headings.where("kind = 'heading'").join(first, "paper_id").where(key < F.col("until"))
+    opens = F.when(F.col("text").rlike(r"^\s*一\s*[、.．]"), key)
+    cutoff = above.groupBy("paper_id").agg(F.min(opens).alias("section"), F.max(key).alias("last"), F.sort_array(F.collect_set(key)).alias("heads"))
+    cx = (F.col("x0") + F.col("x1")) / 2
+    lines = placed(textual(blocks), layout.lines, cx).withColumn("y", F.col("y0")).join(first, "paper_id").join(cutoff, "paper_id", "left")
+    lines = lines.where((key < F.col("until")) & (F.coalesce("section", "last").isNull() | (key > F.coalesce("section", "last")))).withColumn("text", F.trim(plain()))
+    part = F.coalesce(F.size(F.filter("heads", lambda h: h <= key)), F.lit(0))
+    by = Window.partitionBy("paper_id").orderBy(*_KEY, "seq")
+    lines = lines.withColumn("part", part).withColumn("next", F.collect_list(F.struct("part", "text")).over(by.rowsBetween(0, SUPPORT - 1)))
+    lines = lines.withColumn("support", F.array_join(F.transform(F.filter("next", lambda n: n["part"] == F.col("part")), lambda n: n["text"]), "\n"))
+    text, support = F.col("text"), F.col("support")
+    source, one = text.rlike(_SOURCE), text.rlike(_ONE)
+    bare = F.regexp_replace(F.regexp_replace(text, _ONE, ""), _CITED, "")
+    more = F.get(F.filter(F.transform(F.slice(F.split(support, "\n"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(support, "\n")) - 1)), F.trim), lambda x: x != ""), F.lit(0))
+    body = F.when(source & ~bare.rlike(_STEM) & more.isNotNull(), F.regexp_replace(F.concat(bare, F.lit("\n"), F.regexp_replace(more, _CITED, "")), r"^\s+|\s+$", "")).otherwise(bare)
+    lines = lines.withColumns({"source": source, "one": one, "body": body})
+    stem, marked, options = F.col("body").rlike(_STEM), F.col("body").rlike(_MARKED), text.rlike(_OPTION)
+    has = lambda n: support.rlike(rf"(?m)^\s*[（(]\s*{n}\s*[)）]")
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    score = points(F.col("source"), 5) + points(stem, 2) + points(marked, 2) + points(options, 2) + points(F.length("body") >= 18, 1) + points(F.col("one"), 2) + points(has(1), 1) + points(has(1) & has(2), 1) - points(text.rlike(_NONE), 8)
+    never = F.coalesce(F.col("type") == "equation", F.lit(False)) | text.rlike(rf"(?<![0-9.．A-Za-z\\^_{{])[0-9]{{1,2}}\s*[.．、]{{1,2}}(?![0-9])") | text.rlike(HEADING)
+    shaped = ~never & stem & (F.col("source") | marked | options | has(1) | has(2))
+    judged = lines.withColumns({"score": F.when(never, -100).otherwise(score), "shaped": shaped, "cited": ~never & F.col("source"), "labelled": text.rlike(r"(?m)^\s*[（(]\s*[12]\s*[)）]")})
+    best = F.min_by(F.struct("seq", "score", "shaped", "cited", key.alias("key"), F.col("x0").alias("x")), F.struct(-F.col("score"), *_KEY, "seq"))
+    out = judged.groupBy("paper_id").agg(F.min("first_number").alias("first_number"), best.alias("b"), F.bool_or("labelled").alias("labelled"), F.min(F.when(F.col("shaped") & (F.col("score") >= 0), key)).alias("question"), F.first("section").alias("section"))
+    sure = (F.col("first_number") == 2) & F.col("b.shaped") & (F.col("b.score") >= REPAIRS) & (F.col("b.cited") | F.coalesce(F.col("section").isNotNull() & (F.col("b.key") == F.col("question")), F.lit(False)))
+    status = F.when(sure, "repaired").when(F.col("b.shaped") | (F.col("b.score") >= TOLD) | F.col("labelled"), "suspected")
+    return out.select("paper_id", status.alias("status"), "first_number", "b.seq", "b.score", "b.key.page", "b.key.col", "b.x", "b.key.y").where("status is not null")
+
+
+def with_leading(blocks: DataFrame, layout: Layout) -> Layout:
+    """The layout with repaired first questions among its starts, marked as inferred."""
+    found = leading(blocks, layout).where("status = 'repaired'")
+    first = found.select("paper_id", F.lit(1).alias("number"), "seq", "page", "col", "x", "y", F.col("score").cast("double").alias("score"), F.lit(True).alias("at_start"), F.lit(0).alias("offset"), F.lit("inferred").alias("source"))
+    return layout._replace(starts=layout.starts.unionByName(first))
+
+
 def regions(layout: Layout) -> DataFrame:
     """(paper_id, seq, number, slot, page, x0, y0, x1, y1): each start's boxes up to the next start, heading or boundary.
 

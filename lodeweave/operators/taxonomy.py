@@ -186,18 +186,29 @@ def name_candidates(tags: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """Depth of each tag (longest way from a root) and its order in the layer by the mean place of its parents."""
-    down = hierarchy(edges)
+    """Depth of each tag (longest way from a root) and its place in the layer, by the mean place of its parents as laid out.
+
+    Each round takes the tags all of whose parents are placed, so there are as
+    many as layers. Tags in or below a cycle are never free: they stand in the
+    first layer. Equal means and tags without a parent go by id.
+    """
+    down = settled(hierarchy(edges))
     nodes = down.select(F.col("parent").alias("tag")).union(down.select("child")).distinct()
-    depth = nodes.withColumn("depth", F.lit(0))
-    n = nodes.count()
-    for _ in range(n):  # no way is longer than the nodes; with a cycle depths would grow for ever
-        deeper = depth.join(down, depth["tag"] == down["parent"]).groupBy(F.col("child").alias("_c")).agg((F.max("depth") + 1).alias("_d"))
-        after = depth.join(deeper, depth["tag"] == deeper["_c"], "left").select("tag", F.greatest("depth", F.coalesce("_d", F.lit(0))).alias("depth"))
-        if after.agg(F.sum("depth")).first() == depth.agg(F.sum("depth")).first():
+    wanted = down.groupBy(F.col("child").alias("tag")).agg(F.count("*").alias("parents"))
+    new = settled(nodes.join(wanted, "tag", "left_anti").withColumn("depth", F.lit(0)))
+    done = new
+    while True:
+        met = down.join(done.select(F.col("tag").alias("parent")), "parent", "left_semi").groupBy(F.col("child").alias("tag")).agg(F.count("*").alias("met"))
+        free = wanted.join(met, "tag").where("met = parents").join(done, "tag", "left_anti")
+        new = settled(free.select("tag", (F.lit(1) + done.agg(F.max("depth")).first()[0]).alias("depth"))) if not done.isEmpty() else done
+        if new.isEmpty():
             break
-        depth = settled(after)
-    placed = depth.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("tag")))
-    above = down.join(placed.select(F.col("tag").alias("parent"), "place"), "parent").groupBy(F.col("child").alias("tag")).agg(F.avg("place").alias("_m"))
-    order = Window.partitionBy("depth").orderBy(F.coalesce("_m", F.lit(0.0)), "tag")
-    return depth.join(above, "tag", "left").select("tag", "depth", F.row_number().over(order).alias("place"))
+        done = settled(done.unionByName(new))
+    depths = settled(nodes.join(done, "tag", "left").select("tag", F.coalesce("depth", F.lit(0)).alias("depth")))
+    order = lambda *by: F.row_number().over(Window.partitionBy("depth").orderBy(*by))
+    placed = settled(depths.where("depth = 0").withColumn("place", order("tag")))
+    for depth in range(1, (depths.agg(F.max("depth")).first()[0] or 0) + 1):
+        means = down.join(placed.select(F.col("tag").alias("parent"), "place"), "parent").groupBy(F.col("child").alias("tag")).agg(F.avg("place").alias("mean"))
+        layer = depths.where(F.col("depth") == depth).join(means, "tag", "left").withColumn("place", order(F.col("mean").asc_nulls_last(), "tag"))
+        placed = settled(placed.unionByName(layer.select("tag", "depth", "place")))
+    return placed

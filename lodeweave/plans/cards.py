@@ -131,9 +131,19 @@ def grf10_blueprint_import(env):
     return out
 
 
-@query("""WITH p AS (SELECT l_orderkey % 40 AS page_id, l_linenumber AS y, l_quantity AS value FROM lineitem), m AS (SELECT *, avg(value) OVER (PARTITION BY page_id) AS level FROM p) SELECT page_id, y, CAST(sum(CASE WHEN value < level * 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS ink FROM m GROUP BY 1, 2""")
+# Strips of every kind: dark and pale print, dark photographs, shadows, even gray.
+GRAY = """CASE (l_orderkey % 40) % 6 WHEN 0 THEN CASE WHEN l_partkey % 5 = 0 THEN 60 + l_suppkey % 5 ELSE 235 + l_partkey % 4 END WHEN 1 THEN CASE WHEN l_partkey % 6 = 0 THEN 190 + l_suppkey % 4 ELSE 238 + l_partkey % 3 END WHEN 2 THEN CASE WHEN l_partkey % 7 = 0 THEN 60 + l_suppkey % 4 ELSE 140 + l_partkey % 5 END
+ WHEN 3 THEN CASE WHEN l_partkey % 2 = 0 THEN 90 + l_suppkey % 30 ELSE 200 + l_partkey % 30 END WHEN 4 THEN 200 + l_partkey % 3 ELSE 255 END"""
+
+
+@query(f"""WITH p AS (SELECT l_orderkey % 40 AS page_id, l_linenumber AS y, CAST({GRAY} AS DOUBLE) AS value FROM lineitem), h AS (SELECT page_id, value, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY 1, 2),
+s AS (SELECT *, sum(n) OVER w AS dn, sum(value * n) OVER w AS ds, sum(value * value * n) OVER w AS dq, sum(n) OVER a AS an, sum(value * n) OVER a AS sa, sum(value * value * n) OVER a AS aq FROM h WINDOW w AS (PARTITION BY page_id ORDER BY value ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY page_id)),
+m AS (SELECT *, ds / dn AS dm, (sa - ds) / (an - dn) AS lm FROM s WHERE an > dn), t AS (SELECT *, dn * (an - dn) * (lm - dm) * (lm - dm) AS apart, sqrt(greatest(0, dq / dn - dm * dm)) AS dsd, sqrt(greatest(0, (aq - dq) / (an - dn) - lm * lm)) AS lsd FROM m),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY apart DESC, value) = 1), paper AS (SELECT h.page_id, h.value FROM h JOIN b USING (page_id) WHERE h.value > b.value QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY h.n DESC, h.value) = 1),
+l AS (SELECT b.page_id, CASE WHEN dn / an BETWEEN 0.005 AND 0.45 AND lsd <= 8 AND lm - dm >= greatest(24, 4 * (dsd + lsd)) AND NOT (lm > 176 AND dm < 164) THEN greatest(b.value + 1, paper.value) ELSE 170 END AS level FROM b JOIN paper USING (page_id))
+SELECT page_id, y, avg(CASE WHEN value < coalesce(level, 170) THEN 1 ELSE 0 END) AS ink FROM p LEFT JOIN l USING (page_id) GROUP BY 1, 2""")
 def geo5_ink_profile(env):
-    return cards.ink_profile(env.table("lineitem").select((F.col("l_orderkey") % 40).alias("page_id"), F.col("l_linenumber").alias("y"), F.col("l_quantity").alias("value")))
+    return cards.ink_profile(env.table("lineitem").select((F.col("l_orderkey") % 40).alias("page_id"), F.col("l_linenumber").alias("y"), F.expr(GRAY).cast("double").alias("value")))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS cut_id, o_custkey % 300 AS page_id, o_orderkey % 900 AS y FROM orders), g AS (SELECT c_custkey % 300 AS page_id, c_custkey * 7 % 900 AS "from", c_custkey * 7 % 900 + 8 AS "to" FROM customer),

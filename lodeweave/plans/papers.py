@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cards, exam, layout_edits, merge, option_figures, textbook
+from ..operators import cards, evaluation, exam, layout_edits, merge, option_figures, textbook
 from .registry import query
 
 
 def exam_blocks(env):
     """Numbered questions, options, sections and notices."""
-    p = env("paper")
+    p = env("paperblock")
     seq, part = F.col("seq"), F.col("part")
     number = F.floor((seq + 1) / 2).cast("int")
     shown = F.when(part % 11 == 3, number % 10).otherwise(number).cast("string")
@@ -39,7 +39,7 @@ def exam_blocks(env):
 
 def book_blocks(env):
     """Prose with examples, practice areas, procedures, panels and numbered lines of every kind."""
-    p = env("paper")
+    p = env("paperblock")
     seq, part = F.col("seq"), F.col("part")
     number = (F.floor(seq / 3) + 1).cast("int").cast("string")
     numeral = F.substring(F.lit("一二三四五六七八九十"), (part % 10 + 1).cast("int"), F.lit(1))
@@ -68,6 +68,26 @@ def seg3_exam_slots(env):
     return exam.analyse(exam_blocks(env)).slots
 
 
+def headless_blocks(env):
+    """Papers whose first questions lost their numbers, with sources, parts and sections before the second."""
+    seq, paper = F.col("seq"), F.col("paper_id")
+    kind = (paper * 7 + seq * 3) % 11
+    front = (
+        F.when(kind == 0, "[2026某地联考] 已知一个数，求它的平方").when(kind == 1, "（2025 年模拟）").when(kind == 2, "已知函数的图象，判断它的单调性？").when(kind == 3, "（1）求它的值")
+        .when(kind == 4, "（2）求它的和").when(kind == 5, "一、选择题").when(kind == 6, "1 设一个数，计算它的和与积，并且写出过程").when(kind == 7, "A. 3 B. 4").when(kind == 8, "姓名 班级 考号").when(kind == 9, "二、填空题").otherwise("一段说明")
+    )
+    number = F.floor(seq / 2) + F.when(paper % 5 == 0, 3).otherwise(0)
+    text = F.when(seq <= 3 + paper % 4, front).when(seq % 2 == 0, F.concat(number.cast("string"), F.lit(". 已知 "), F.col("part").cast("string"))).otherwise("A. 1")
+    first = F.concat(F.when(paper % 5 == 0, 5).otherwise(2).cast("string"), F.lit(". 已知 x"))
+    return env("paperblock").withColumn("text", F.when(seq == 4 + paper % 4, first).otherwise(text)).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", "type", "text")
+
+
+@query(None)
+def seg5_leading_questions(env):
+    blocks = headless_blocks(env)
+    return exam.leading(blocks, exam.analyse(blocks))
+
+
 @query(None)
 def seg4_textbook_cards(env):
     return textbook.analyse(book_blocks(env)).starts
@@ -125,7 +145,7 @@ def mut8_cards_after(env):
 
 def option_tables(env):
     """Cards with pictures, letters beside, above, below and inside them, and what was decided before."""
-    p = env("paper").where("seq <= 24").withColumns({"card": F.col("paper_id"), "page": F.floor((F.col("seq") - 1) / 12).cast("int")})
+    p = env("paperblock").where("seq <= 24").withColumns({"card": F.col("paper_id"), "page": F.floor((F.col("seq") - 1) / 12).cast("int")})
     part, seq = F.col("part"), F.col("seq")
     x, y = (100 + seq % 4 * 200).cast("double"), (seq % 3 * 250 + 60).cast("double")
     images = p.where(seq % 12 < 8).select("card", F.concat(F.lit("f"), F.when(part % 61 == 0, F.lit(1)).otherwise(seq)).alias("label"), "page", x.alias("x0"), y.alias("y0"), (x + 80 + part % 30).alias("x1"), (y + 90.0).alias("y1"), (part % 9 == 0).alias("manual"), F.when(part % 7 == 0, "stem").when(part % 7 == 1, F.substring(F.lit("ABCDE"), (part % 5 + 1).cast("int"), F.lit(1))).when(part % 7 == 2, "excluded").alias("role"))
@@ -146,7 +166,7 @@ def jn13_option_evidence(env):
 
 def card_tables(env):
     """Stored and desired cards of papers with groups, anchors that repeat or moved, and deleted ones."""
-    p = env("paper").withColumn("paper_id", F.floor(F.col("paper_id") / 2).cast("long"))
+    p = env("paperblock").withColumn("paper_id", F.floor(F.col("paper_id") / 2).cast("long"))
     part, seq = F.col("part"), F.col("seq")
     kind = F.element_at(F.array(*[F.lit(k) for k in "question question example exercise unknown manual".split()]), (part % 6 + 1).cast("int"))
     cards_of = p.select("paper_id", "part", "seq", (seq % 2 + 1).cast("int").alias("grp"), F.when(part % 4 != 0, (seq / 2).cast("int")).alias("anchor"), kind.alias("kind"), (seq % 9).cast("int").alias("number"), F.round(F.col("page") * 1000 + F.col("y0") + part % 50, 1).alias("place"))
@@ -164,3 +184,29 @@ def jn14_matched_cards(env):
 @query(None)
 def mut12_resegment_matched(env):
     return cards.resegment_matched(*card_tables(env))
+
+
+def score_tables(env):
+    """Annotations and results of papers: cards, their boxes and figures; boxes shifted, cards lost, numbers repeated, slots exchanged."""
+    q = env("paperblock").where("seq <= 12").select("paper_id", "seq", "part", "page", "x0", "y0", "x1", "y1")
+    part, seq = F.col("part"), F.col("seq")
+    base = q.select(F.col("paper_id").alias("doc_id"), seq.cast("long").alias("card"), (seq % 2).alias("group_no"), F.lit("question").alias("kind"), seq.alias("number"), "part", "page", "x0", "y0", "x1", "y1")
+    truth = base.where(part % 10 != 0)
+    found = base.where(part % 9 != 0).withColumn("number", F.when(part % 8 == 0, F.col("number") - 2).otherwise(F.col("number")))
+    cards_of = lambda df: df.select("doc_id", "card", "group_no", "kind", "number")
+    box = lambda dx, dy: [F.col("page"), (F.col("x0") + dx).alias("x0"), (F.col("y0") + dy).alias("y0"), (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1")]
+    side = lambda name: F.lit(name).alias("side")
+    regions = truth.select("doc_id", side("truth"), "card", *box(0, 0)).union(truth.where(part % 3 == 0).select("doc_id", side("truth"), "card", *box(40, 10)))
+    regions = regions.union(found.select("doc_id", side("result"), "card", *box(part % 30, part % 7))).union(found.where(part % 4 == 0).select("doc_id", side("result"), "card", *box(-30, 20)))
+    slot = lambda k: F.element_at(F.array(*[F.lit(x) for x in ("stem", "A", "stem")]), ((part + k) % 3 + 1).cast("int")).alias("slot")
+    fig = lambda df, name, k, dx, dy: df.where((part + k) % 4 != 0).select("doc_id", side(name), "card", F.lit(k).alias("figure"), slot(k), F.col("page"), (F.col("x0") + k * 30 + dx).alias("x0"), (F.col("y0") + dy).alias("y0"), (F.col("x0") + k * 30 + dx + 80).alias("x1"), (F.col("y0") + dy + 20).alias("y1"))
+    figures = None
+    for k in range(3):
+        both = fig(truth, "truth", k, F.lit(0), F.lit(0)).union(fig(found, "result", k, part % 50, part % 5))
+        figures = both if figures is None else figures.union(both)
+    return cards_of(truth), cards_of(found), regions, figures
+
+
+@query(None)
+def agg14_layout_scores(env):
+    return evaluation.layout_scores(*score_tables(env))

@@ -88,11 +88,13 @@ def agg19_folder_paths(env):
     return taxonomy.paths(env("edge"), env("tag"))
 
 
-@query("""WITH RECURSIVE d(tag, depth) AS (SELECT tag_id, 0 FROM tag WHERE kind = 'area' UNION ALL SELECT e.child, d.depth + 1 FROM d JOIN edge e ON e.parent = d.tag AND e.relation = 'contains'),
-depths AS (SELECT tag, max(depth) AS depth FROM d GROUP BY 1), nodes AS (SELECT parent AS tag FROM edge WHERE relation = 'contains' UNION SELECT child FROM edge WHERE relation = 'contains'),
-placed AS (SELECT tag, depth, row_number() OVER (PARTITION BY depth ORDER BY tag) AS place FROM depths JOIN nodes USING (tag)),
-above AS (SELECT e.child AS tag, avg(p.place) AS m FROM (SELECT DISTINCT parent, child FROM edge WHERE relation = 'contains') e JOIN placed p ON p.tag = e.parent GROUP BY 1)
-SELECT tag, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY depth ORDER BY coalesce(m, 0), tag) AS INTEGER) AS place FROM placed LEFT JOIN above USING (tag)""")
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT parent, child FROM edge WHERE relation = 'contains'), d(tag, depth) AS (SELECT parent, 0 FROM c WHERE parent NOT IN (SELECT child FROM c) UNION SELECT c.child, d.depth + 1 FROM d JOIN c ON c.parent = d.tag),
+depths AS (SELECT tag, max(depth) AS depth FROM d GROUP BY 1),
+a AS (SELECT tag, depth, row_number() OVER (ORDER BY tag) AS place FROM depths WHERE depth = 0),
+b AS (SELECT tag, depth, row_number() OVER (ORDER BY m, tag) AS place FROM (SELECT t.tag, t.depth, avg(a.place) AS m FROM depths t JOIN c ON c.child = t.tag JOIN a ON a.tag = c.parent WHERE t.depth = 1 GROUP BY 1, 2)),
+ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+e AS (SELECT tag, depth, row_number() OVER (ORDER BY m, tag) AS place FROM (SELECT t.tag, t.depth, avg(ab.place) AS m FROM depths t JOIN c ON c.child = t.tag JOIN ab ON ab.tag = c.parent WHERE t.depth = 2 GROUP BY 1, 2))
+SELECT tag, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place FROM (SELECT * FROM ab UNION ALL SELECT * FROM e)""")
 def sort12_layers(env):
     return taxonomy.layers(env("edge"))
 

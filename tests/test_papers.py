@@ -332,3 +332,66 @@ def test_random_streams(spark):
         got.setdefault(r["paper_id"], []).append((r["seq"], r["kind"]))
     for p, b in of.items():
         assert sorted(got.get(p, [])) == sorted((s, r) for s, r, _ in plain_book(found.get(p, []), b)), p
+
+
+# ---- first questions that lost their number
+
+
+def plain_leading(starts, heads, lines, blocks):
+    """(status, first number, seq, score) of one paper, block by block."""
+    at = lambda page, x: column(lines, page, x)
+    ordered = sorted((s["page"], s["col"], s["y"], s["number"]) for s in starts)
+    if not ordered or ordered[0][3] <= 1:
+        return None
+    until, number = ordered[0][:3], ordered[0][3]
+    above = sorted(((h["page"], h["col"], h["y"]), h["text"]) for h in heads if h["kind"] == "heading" and (h["page"], h["col"], h["y"]) < until)
+    section = next((k for k, t in above if re.match(r"一\s*[、.．]", t.strip())), None)
+    cut = section or (above[-1][0] if above else None)
+    front = sorted(((b["page"], at(b["page"], (b["x0"] + b["x1"]) / 2), b["y0"]), b["seq"], (b["text"] or "").strip(), b["type"]) for b in blocks if b["type"] not in (*exam.FURNITURE, *exam.PICTURES) and (b["text"] or "").strip())
+    front = [f for f in front if f[0] < until and (cut is None or f[0] > cut)]
+    if not front:
+        return None
+    cited = lambda t: re.sub(r"^\s*[\[【（(][^\]】）)]{1,96}[\]】）)]\s*", "", t, count=1)
+    stem_at = lambda t: bool(re.match(r"已知|若|设|下列|如图|根据|阅读|观察|判断|计算|证明|求|关于|对于|在\S{0,24}[中上]", t))
+    scored = []
+    for i, (key, seq, text, kind) in enumerate(front):
+        after = next((k for k, _ in above if k > key), until)
+        support = "\n".join(f[2] for f in front[i : i + 10] if f[0] < after)
+        if kind == "equation" or re.search(r"(?<![0-9.．A-Za-z\\^_{])[0-9]{1,2}\s*[.．、]{1,2}(?![0-9])", text) or re.match(exam.HEADING, text):
+            scored.append((-100, False, False, key, seq))
+            continue
+        source = bool(re.match(r"[\[【（(]\s*(?:20[0-9]{2}|[0-9]{2,4}\s*年|[^\]】）)]{0,32}(?:高考|中考|联考|期中|期末|月考|模拟))", text))
+        one = bool(re.match(r"1\s+[一-\u9fff]", text))
+        body = cited(re.sub(r"^1\s+(?=[一-\u9fff])", "", text))
+        if source and not stem_at(body):
+            more = next((x.strip() for x in support.split("\n")[1:] if x.strip()), "")
+            body = (body + "\n" + cited(more)).strip() if more else body
+        stem, mark = stem_at(body), bool(re.search(r"[？?]|[（(]\s*[）)]|求|证明|计算|判断|选择|填空", body))
+        option = bool(re.search(r"(?:^|\s)[A-Ea-e]\s*[.．、:]", text))
+        parts = set(re.findall(r"(?m)^\s*[（(]\s*([12])\s*[)）]", support))
+        score = 5 * source + 2 * stem + 2 * mark + 2 * option + (len(body) >= 18) + 2 * one + ("1" in parts) + (parts == {"1", "2"})
+        if re.search(r"注意事项|答卷前|考试时间|满分|姓名|班级|考号|密封线|请将答案|选择题|填空题|解答题|参考公式|本题共\s*[0-9]+\s*小题|每小题\s*[0-9]+\s*分", text):
+            score -= 8
+        scored.append((score, stem and (source or mark or option or bool(parts)), source, key, seq))
+    score, shaped, source, key, seq = min(scored, key=lambda x: (-x[0], x[3], x[4]))
+    asked = next((x[3] for x in scored if x[1] and x[0] >= 0), None) if section else None
+    if number == 2 and shaped and score >= 7 and (source or section is not None and key == asked):
+        return "repaired", number, seq, score
+    if shaped or score >= 4 or any(re.search(r"(?m)^\s*[（(]\s*[12]\s*[)）]", f[2]) for f in front):
+        return "suspected", number, seq, score
+    return None
+
+
+def test_leading_questions_equal_plain_version(env):
+    blocks = papers.headless_blocks(env).cache()
+    layout = exam.analyse(blocks)
+    of, starts, heads, lines = by_paper(blocks.collect()), by_paper(layout.starts.collect()), by_paper(layout.headings.collect()), by_paper(layout.lines.collect())
+    got = {r.paper_id: (r.status, r.first_number, r.seq, r.score) for r in exam.leading(blocks, layout).collect()}
+    seen = []
+    for paper, rows in of.items():
+        wanted = plain_leading(starts.get(paper, []), heads.get(paper, []), {r["page"]: r["lines"] for r in lines.get(paper, [])}, rows)
+        assert got.get(paper) == wanted, paper
+        seen.append(wanted and wanted[0])
+    assert min(seen.count(k) for k in ("repaired", "suspected", None)) > 5
+    more = exam.with_leading(blocks, layout).starts
+    assert more.where("source = 'inferred'").count() == seen.count("repaired") and more.count() == layout.starts.count() + seen.count("repaired")
