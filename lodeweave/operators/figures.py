@@ -35,9 +35,9 @@ def caption_owners(figures: DataFrame, questions: DataFrame) -> DataFrame:
 def shared_captions(figures: DataFrame, questions: DataFrame) -> DataFrame:
     """Figures that a caption shares among questions n to m: one row a question."""
     low, high = (F.regexp_extract("caption", r"(?i)questions?\s*(\d+)\s*(?:-|to)\s*(\d+)", k).try_cast("int") for k in (1, 2))
-    ranged = figures.withColumns({"lo": low, "hi": high}).where("lo is not null and hi >= lo and hi - lo < 50")
-    each = ranged.withColumn("number", F.explode(F.sequence("lo", "hi")))
-    return each.join(questions.select("paper_id", "number", "question_id"), ["paper_id", "number"]).select("figure_id", "question_id")
+    ranged = figures.withColumns({"lo": low, "hi": high}).where("lo is not null and hi >= lo")
+    asked = questions.select("paper_id", "number", "question_id")
+    return ranged.join(asked, "paper_id").where(F.col("number").between(F.col("lo"), F.col("hi"))).select("figure_id", "question_id")
 
 
 def lost_candidates(candidates: DataFrame, owned: DataFrame, regions: DataFrame) -> DataFrame:

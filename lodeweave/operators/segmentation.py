@@ -8,28 +8,18 @@ paper, everything before and after it is column code.
 from __future__ import annotations
 
 import re
-from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import best_chain, chains, ordered_groups
+from . import exam
+from .sequences import chains, ordered_groups
+from .taxonomy import settled
 
 _START = re.compile(r"^\s*(\d{1,3})\s*[.)]\s*(.*)", re.S)
 _QUESTION = re.compile(r"^(What|Which|How|Find|Show|Let|Given|If)\b")
 _POINTS = re.compile(r"\(\d+ points?\)")
-# Fixed values, in thousandths of a page: column line, padding above, gap below, least height.
-MIDDLE, PAD, GAP, SLIVER = 500.0, 9.0, 2.0, 8.0
-SCHEMA = "paper_id long, number int, first_seq int, text string, regions array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>"
-
-
-def columns_of(blocks: list) -> list[int]:
-    """1 for blocks of a right column on pages that have two, else 0."""
-    sides: dict[int, list[int]] = {}
-    for b in blocks:
-        sides.setdefault(b.page, [0, 0, 0])[0 if b.x1 <= MIDDLE else 1 if b.x0 >= MIDDLE else 2] += 1
-    two = {p for p, (left, right, crossing) in sides.items() if left and right and crossing * 4 <= left + right}
-    return [int(b.page in two and b.x0 >= MIDDLE) for b in blocks]
+REGIONS = "array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>"
 
 
 def candidate_score(text: str) -> tuple[int, float] | None:
@@ -43,27 +33,17 @@ def candidate_score(text: str) -> tuple[int, float] | None:
     return number, 3.0 + bool(_QUESTION.match(rest)) + 1.5 * bool(_POINTS.search(rest)) - 1.5 * bool(re.match(r"[=+*/<>-]", rest))
 
 
-def segment_paper(blocks: list) -> list[tuple]:
-    """Records of one paper: reading order, chain of starts, text and regions up to the next start."""
-    ordered = sorted(zip(blocks, columns_of(blocks)), key=lambda x: (x[0].page, x[1], x[0].y0, x[0].x0, x[0].seq))
-    found = [(i, *s) for i, (b, _) in enumerate(ordered) if (s := candidate_score(b.text or ""))]
-    chain = [found[k] for k in best_chain([n for _, n, _ in found], [s for *_, s in found])]
-    rows = []
-    for k, (at, number, _) in enumerate(chain):
-        part = ordered[at : chain[k + 1][0] if k + 1 < len(chain) else len(ordered)]
-        regions = []
-        for (page, _), slot in groupby(part, key=lambda x: (x[0].page, x[1])):
-            boxes = [b for b, _ in slot]
-            top, bottom = max(0.0, min(b.y0 for b in boxes) - PAD), min(1000.0, max(b.y1 for b in boxes) + GAP)
-            if bottom - top >= SLIVER:
-                regions.append({"page": int(page), "x0": float(min(b.x0 for b in boxes)), "y0": round(top, 1), "x1": float(max(b.x1 for b in boxes)), "y1": round(bottom, 1)})
-        rows.append((part[0][0].paper_id, number, part[0][0].seq, "\n".join(b.text or "" for b, _ in part), regions))
-    return rows
-
-
 def segment(blocks: DataFrame) -> DataFrame:
-    """Records of every paper of ``blocks(paper_id, seq, page, x0, y0, x1, y1, text)``."""
-    return ordered_groups(blocks, "paper_id", ["seq", "text"], segment_paper, SCHEMA)
+    """Records of every paper of ``blocks`` (those of :mod:`.exam`): (paper_id, number, first_seq, section, text, regions).
+
+    Columns, starts and gaps by :func:`.exam.analyse`, a lost first number where
+    the evidence is strong, then texts and boxes up to the next start or heading.
+    """
+    layout = exam.with_leading(blocks, exam.analyse(blocks))
+    layout = layout._replace(starts=settled(layout.starts))
+    boxes = exam.regions(layout).groupBy("paper_id", "number", F.col("seq").alias("first_seq")).agg(F.array_sort(F.collect_list(F.struct("slot", "page", "x0", "y0", "x1", "y1"))).alias("regions"))
+    texts = exam.questions(blocks, layout).withColumnRenamed("seq", "first_seq")
+    return texts.join(boxes, ["paper_id", "number", "first_seq"], "left").select("paper_id", "number", "first_seq", "section", "text", F.coalesce(F.transform("regions", lambda r: F.struct(r["page"].alias("page"), r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))), F.array().cast(REGIONS)).alias("regions"))
 
 
 def _scopes(blocks: list) -> list[tuple]:

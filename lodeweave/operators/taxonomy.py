@@ -68,14 +68,13 @@ def closure(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as files in the folder of checkpoints, so that neither plan nor lineage grows.
 
-    A local session without such a folder gets a temporary one; a cluster
-    without one keeps the rows in memory.
+    A local session without such a folder gets a temporary one; a cluster needs one.
     """
     spark = df.sparkSession
     folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            return df.cache()
+            raise ValueError("start the application with spark.checkpoint.dir naming a folder that the driver and all executors share")
         folder = _folders.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lodeweave-")
         _folders[context.applicationId] = folder
     if context.getCheckpointDir() is None:

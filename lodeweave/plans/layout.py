@@ -89,13 +89,6 @@ def jn16_identity_scores(env):
     return evaluation.identity(d, result)
 
 
-@query(None)
-def jn15_figure_matching(env):
-    pair = spatial.pairs(*_sides(env)).where(spatial.shared() > 0)
-    share = spatial.shared() / (spatial.area("l_") + spatial.area("r_") - spatial.shared())
-    return evaluation.figure_matches(pair.select(F.col("paper_id").alias("doc_id"), F.col("l_seq").alias("truth"), F.col("r_seq").alias("result"), share.alias("iou")), 0.1)
-
-
 @query(f"""WITH {FIG}, xs AS (SELECT DISTINCT paper_id, page, unnest([x0, x1]) AS x FROM f), slabs AS (SELECT *, lead(x) OVER (PARTITION BY paper_id, page ORDER BY x) AS to_x FROM xs),
 c AS (SELECT s.paper_id, s.page, s.x, s.to_x, f.y0, f.y1, max(f.y1) OVER (PARTITION BY s.paper_id, s.page, s.x ORDER BY f.y0, f.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM slabs s JOIN f USING (paper_id, page) WHERE f.x0 <= s.x AND f.x1 >= s.to_x)
 SELECT paper_id, page, sum(greatest(0, y1 - greatest(y0, coalesce(top, y0))) * (to_x - x)) AS area FROM c GROUP BY 1, 2""")
@@ -184,47 +177,12 @@ def win7_gap_repairs(env):
     return sequences.gap_repairs(sequences.chains(shown), shown, q.where(part % 5 == 0))
 
 
-
-
-def _blocks(env):
-    """Numbered lines on pages of two columns, from the line items of orders."""
-    q = env("question")
-    x = F.when(F.col("seq") % 2 == 0, 520.0).otherwise(40.0)
-    text = F.concat(F.when(F.col("part") % 4 != 0, F.concat(F.col("seq").cast("string"), F.lit(". "))).otherwise(F.lit("")), F.when(F.col("part") % 3 == 0, "What is ").otherwise("so "), F.col("part").cast("string"))
-    return q.select("paper_id", "seq", F.floor((F.col("seq") - 1) / 4).cast("int").alias("page"), x.alias("x0"), (F.col("seq") * 60 % 700).cast("double").alias("y0"), (x + 400).alias("x1"), (F.col("seq") * 60 % 700 + 40).cast("double").alias("y1"), text.alias("text"))
-
-
-@query(None)
-def seg1_start_candidates(env):
-    return sequences.start_candidates(_blocks(env).withColumn("at_start", F.lit(True)))
-
-
-@query(None)
-def seg8_segment(env):
-    found = segmentation.segment(_blocks(env))
-    return found.select("paper_id", "number", "first_seq", "text", F.size("regions").alias("n_regions"))
-
-
-@query(None)
-def seg6_regions(env):
-    starts = env("question").select("paper_id", "number", (F.col("seq") % 3).alias("slot"), (F.col("part") % 900).cast("double").alias("y"))
-    slots = env("question").select("paper_id").distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({"top": F.lit(30.0), "bottom": F.lit(970.0)})
-    return sequences.regions(starts, slots)
-
-
 @query(None)
 def seg9_book_scopes(env):
     lines = env("line").select(F.col("doc_id").cast("long").alias("paper_id"), F.col("pos").alias("seq"), F.when(F.trim("line").startswith("#"), F.trim("line")).otherwise(F.concat(F.col("pos") % 4 + 1, F.lit(". "), F.trim("line"))).alias("text"))
     return segmentation.book_scopes(lines)
 
 
-@query(None)
-def seg11_draft_text(env):
-    blocks = _blocks(env)
-    regions = segmentation.segment(blocks).select("paper_id", "number", F.inline("regions"))
-    return segmentation.draft_text(regions, blocks)
-
-
 @query(None)
 def fig1_row_distribution(env):
     figs = _sides(env)[0].withColumn("owner", (F.col("seq") / 2).cast("int"))

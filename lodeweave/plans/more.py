@@ -7,11 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
-from ..operators import cards, evaluation, facets, figures, ordering, related, segmentation, taxonomy
+from ..operators import cards, evaluation, facets, figures, ordering, related, taxonomy
 from ..operators.filters import FilterSpec
 from ..sources import bundles
 from ..streaming import jobs
-from .layout import _blocks
 from .registry import query
 
 
@@ -118,12 +117,6 @@ def fig5_visual_owners(env):
     return figures.caption_owners(figs, qs).groupBy("paper_id", "number").agg(F.count("*").alias("visuals"))
 
 
-@query(None)
-def seg7_record_regions(env):
-    found = segmentation.segment(_blocks(env))
-    return found.select("paper_id", "number", F.inline("regions"))
-
-
 @query("""WITH t AS (SELECT DISTINCT paper_id, seq AS number FROM question WHERE paper_id % 7 <> 0), p AS (SELECT paper_id, seq + CASE WHEN part % 5 = 0 THEN 1 ELSE 0 END AS number FROM question WHERE paper_id % 9 <> 0),
 a AS (SELECT paper_id, count(*) AS n FROM t GROUP BY 1), b AS (SELECT paper_id, count(*) AS n FROM p GROUP BY 1), m AS (SELECT paper_id, count(*) AS n FROM (SELECT DISTINCT * FROM p) JOIN t USING (paper_id, number) GROUP BY 1)
 SELECT paper_id AS doc_id, coalesce(m.n, 0) AS matched, coalesce(a.n, 0) - coalesce(m.n, 0) AS missed, coalesce(b.n, 0) - coalesce(m.n, 0) AS extra, CASE WHEN b.n > 0 THEN coalesce(m.n, 0) / b.n END AS precision, CASE WHEN a.n > 0 THEN coalesce(m.n, 0) / a.n END AS recall FROM a FULL JOIN b USING (paper_id) LEFT JOIN m USING (paper_id)""")

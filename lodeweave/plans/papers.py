@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cards, evaluation, exam, layout_edits, merge, option_figures, textbook
+from ..operators import cards, evaluation, exam, layout_edits, merge, option_figures, segmentation, textbook
 from .registry import query
 
 
@@ -58,6 +58,11 @@ def book_blocks(env):
     return p.withColumn("text", text).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", F.when(part % len(lines) == 23, "equation").otherwise(F.col("type")).alias("type"), "text")
 
 
+@query(None)
+def seg1_start_candidates(env):
+    return exam.starts(exam_blocks(env))
+
+
 @query(None)
 def seg3_exam_layout(env):
     return exam.analyse(exam_blocks(env)).starts
@@ -99,7 +104,7 @@ def seg4_textbook_boundaries(env):
 
 
 @query(None)
-def seg6_exam_regions(env):
+def seg6_regions(env):
     return exam.regions(exam.analyse(exam_blocks(env)))
 
 
@@ -210,3 +215,26 @@ def score_tables(env):
 @query(None)
 def agg14_layout_scores(env):
     return evaluation.layout_scores(*score_tables(env))
+
+
+@query(None)
+def jn15_figure_matching(env):
+    return evaluation.layout_scores(*score_tables(env)).select("doc_id", "truth_figures", "result_figures", "matched_figures")
+
+
+@query(None)
+def seg8_segment(env):
+    found = segmentation.segment(exam_blocks(env))
+    return found.select("paper_id", "number", "first_seq", "section", "text", F.size("regions").alias("n_regions"))
+
+
+@query(None)
+def seg11_draft_text(env):
+    blocks = exam_blocks(env)
+    boxes = segmentation.segment(blocks).select("paper_id", "number", F.inline("regions"))
+    return segmentation.draft_text(boxes, blocks)
+
+
+@query(None)
+def seg7_record_regions(env):
+    return segmentation.segment(exam_blocks(env)).select("paper_id", "number", F.inline("regions"))

@@ -4,7 +4,6 @@ import itertools
 import random
 import re
 import unicodedata
-from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +77,8 @@ def test_majority_needs_a_vote_for_each_spot():
 def test_small_text_functions():
     assert text.paired_quotes('"a" $"b"$ "c"') == '“a” $"b"$ “c”'
     assert text.match_tags("linear functions and sets", ["function", "linear functions", "sets"]) == ["linear functions", "sets"]
+    assert text.match_tags("set of sets", ["sets", "set"]) == ["set", "sets"]
+    assert text.match_tags("sets and a set", ["sets", "set"]) == ["sets", "set"]  # at its second place
     assert text.name_key("Ｓｅｔ  s") == "sets"
 
 
@@ -207,13 +208,13 @@ def test_matching_is_maximal():
     assert evaluation.iou((0, 0, 1, 1), (2, 2, 3, 3)) == 0
 
 
-def test_segment_two_columns():
-    B = namedtuple("B", "paper_id seq page x0 y0 x1 y1 text")
-    blocks = [B(1, 0, 0, 50, 100, 450, 140, "1. What is it"), B(1, 1, 0, 550, 100, 950, 140, "3. Find x"), B(1, 2, 0, 50, 300, 450, 340, "2. Which one"), B(1, 3, 0, 50, 400, 450, 440, "more of it")]
-    found = segmentation.segment_paper(blocks)
-    assert [(n, s) for _, n, s, _, _ in found] == [(1, 0), (2, 2), (3, 1)]
-    assert found[1][3] == "2. Which one\nmore of it"
-    assert found[1][4] == [{"page": 0, "x0": 50.0, "y0": 291, "x1": 450.0, "y1": 442}]
+def test_segment_two_columns(spark):
+    rows = [(1, 0, 0, 50.0, 100.0, 450.0, 140.0, "text", "1. What is it"), (1, 1, 0, 550.0, 100.0, 950.0, 140.0, "text", "3. Find x"), (1, 2, 0, 50.0, 300.0, 450.0, 340.0, "text", "2. Which one"), (1, 3, 0, 50.0, 400.0, 450.0, 440.0, "text", "more of it")]
+    blocks = spark.createDataFrame(rows, "paper_id long, seq int, page int, x0 double, y0 double, x1 double, y1 double, type string, text string")
+    found = segmentation.segment(blocks).orderBy("number").collect()
+    assert [(r.number, r.first_seq) for r in found] == [(1, 0), (2, 2), (3, 1)]
+    assert found[1].text == "2. Which one\nmore of it"
+    assert [tuple(b) for b in found[1].regions] == [(0, 30.0, 291.0, 535.0, 444.0)]
 
 
 def test_throttle():
