@@ -1,15 +1,17 @@
 """Licence scans by a positional rare-token index.
 
-One pass keeps, for each file, the places of the words that licence templates
-use. Document frequencies of these words come from that table; the rare-token
-index has each template under its word of highest IDF. A file looks up its
-words there, so templates without their rarest word cost it nothing. For the
-templates found, every place of one of their words proposes a start, the place
-less the word's place in the template. Sorted, the proposals of one start stand
-together, and the template's phrase stands where they are as many as it has
-words: each word then is at its relative position. Time grows with the words of
-a file, also where one phrase fills it. All of it is array functions within a
-row; only the frequencies are aggregated.
+A template is a licence with mandatory key phrases and further ones. One pass
+keeps, for each file, the places of the words that these phrases use. Document
+frequencies of these words come from that table; the rare-token index has each
+phrase under its word of highest IDF. A file looks up its words there, so
+phrases without their rarest word cost it nothing. For the phrases found, every
+place of one of their words proposes a start, the place less the word's place in
+the phrase. Sorted, the proposals of one start stand together, and the phrase
+stands where they are as many as it has words: each word then is at its relative
+position. A template's label is given where all its mandatory phrases stand; the
+score is the largest share of a template's phrases that do. Time grows with the
+words of a file, also where one phrase fills it. All of it is array functions
+within a row; only the frequencies are aggregated.
 """
 
 from __future__ import annotations
@@ -22,37 +24,48 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, whole, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Phrases that the contract fixes, and further ones: (label, phrase).
+#: Phrases that the contract fixes: (label, phrase).
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+#: Licence texts and notices: (label, mandatory phrases, further phrases).
 MORE = (
-    ("all-rights-reserved", "all rights reserved"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "released under mit"),
-    ("apache-2", "licensed under the apache license"),
-    ("bsd", "redistribution and use in source and binary forms"),
-    ("bsd", "bsd 3 clause license"),
-    ("gpl", "gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("mpl-2", "mozilla public license version 2"),
-    ("cc-by-sa", "cc by sa"),
-    ("cc-by-nd", "cc by nd"),
-    ("cc0", "cc0 1 0 universal"),
-    ("unlicense", "free and unencumbered software released into the public domain"),
+    ("all-rights-reserved", ("all rights reserved",), ()),
+    ("mit", ("permission is hereby granted free of charge to any person obtaining a copy", "the software is provided as is without warranty of any kind"), ("the above copyright notice and this permission notice shall be included in all copies",)),
+    ("mit", ("released under mit",), ()),
+    ("isc", ("permission to use copy modify and or distribute this software for any purpose", "the author disclaims all warranties"), ("the above copyright notice and this permission notice appear in all copies",)),
+    ("apache-2", ("licensed under the apache license", "distributed on an as is basis"), ("you may not use this file except in compliance with the license", "without warranties or conditions of any kind")),
+    ("apache-2", ("apache license version 2 0",), ("terms and conditions for use reproduction and distribution",)),
+    ("bsd-2", ("redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice"), ("redistributions in binary form must reproduce the above copyright notice",)),
+    ("bsd-3", ("redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software"), ("redistributions in binary form must reproduce the above copyright notice",)),
+    ("bsd", ("bsd 3 clause license",), ()),
+    ("gpl", ("gnu general public license", "free software foundation"), ("you can redistribute it and or modify it under the terms of", "without even the implied warranty of merchantability")),
+    ("gpl", ("gnu general public license version",), ()),
+    ("lgpl", ("gnu lesser general public license",), ("free software foundation",)),
+    ("agpl", ("gnu affero general public license",), ("free software foundation",)),
+    ("mpl-2", ("mozilla public license", "v 2 0"), ("if a copy of the mpl was not distributed with this file",)),
+    ("mpl-2", ("mozilla public license version 2",), ()),
+    ("cc-by-sa", ("cc by sa",), ()),
+    ("cc-by-nd", ("cc by nd",), ()),
+    ("cc0", ("cc0 1 0 universal",), ()),
+    ("unlicense", ("free and unencumbered software released into the public domain",), ("anyone is free to copy modify publish use compile sell or distribute this software",)),
 )
 
 
+def phrases_of(base, more) -> list[str]:
+    """All phrases once each, the base ones first."""
+    return list(dict.fromkeys([p for _, p in base] + [p for _, must, may in more for p in (*must, *may)]))
+
+
 #: Bits of a proposal for the start; a start before the text's first word proposes nothing.
 _BITS = 40
 
 
-def _vocabulary(templates) -> list[str]:
-    return sorted({w for _, phrase in templates for w in phrase.split()})
+def _vocabulary(phrases) -> list[str]:
+    return sorted({w for phrase in phrases for w in phrase.split()})
 
 
-def postings(docs: DataFrame, templates=BASE + MORE) -> DataFrame:
-    """``docs`` without text, plus ``n_words`` and ``hits``: (number from 0, place from 0) of template words."""
-    vocabulary = _vocabulary(templates)
+def postings(docs: DataFrame, phrases) -> DataFrame:
+    """``docs`` without text, plus ``n_words`` and ``hits``: (number from 0, place from 0) of words of the phrases."""
+    vocabulary = _vocabulary(phrases)
     words = F.regexp_extract_all(ascii_lower(whole()), F.lit(WORD), F.lit(0))
     known = F.array(*map(F.lit, vocabulary))
     hit = lambda w, i: F.when(w.isin(vocabulary), F.struct((F.array_position(known, w) - 1).cast("int").alias("n"), i.alias("i")))
@@ -72,10 +85,10 @@ def _listed(lists: list[list], kind: str) -> Column:
     return F.array(*[F.array(*x).cast(kind) for x in lists])
 
 
-def _matches(templates, counts: dict[int, int], documents: int) -> Column:
-    """Sorted ``template << _BITS | start`` of all phrases that stand in a row of ``hits``."""
-    vocabulary = {w: n for n, w in enumerate(_vocabulary(templates))}
-    phrases = [[vocabulary[w] for w in phrase.split()] for _, phrase in templates]
+def _matches(phrases, counts: dict[int, int], documents: int) -> Column:
+    """Sorted ``phrase << _BITS | start`` of all phrases that stand in a row of ``hits``."""
+    vocabulary = {w: n for n, w in enumerate(_vocabulary(phrases))}
+    phrases = [[vocabulary[w] for w in phrase.split()] for phrase in phrases]
     idf = lambda n: math.log((documents + 1) / (counts.get(n, 0) + 1))
     rarest = [max(p, key=lambda n: (idf(n), n)) for p in phrases]
     index = _listed([[F.lit(t) for t, r in enumerate(rarest) if r == n] for n in range(len(vocabulary))], "array<int>")
@@ -105,19 +118,27 @@ def scan(docs: DataFrame, base=BASE, more=MORE) -> DataFrame:
     Columns of the result's names are replaced, all others kept. A null or
     empty text has no words and no labels; every row stays, repeated or not; an
     empty table gives an empty one. A start counts once for each phrase that
-    stands there. The score is n / (n + 1) for n places of any phrase.
+    stands there; ``labels`` are the base ones and those of all templates whose
+    mandatory phrases stand, wherever. The score is 1 where a base phrase or all
+    of a template's phrases stand, else the largest share of them that do.
     """
-    templates = (*base, *more)
-    index = cut(postings(docs, templates))
-    found = index.select("row", "n_words", _matches(templates, frequencies(index), index.count()).alias("starts"))
+    phrases = phrases_of(base, more)
+    number = {p: k for k, p in enumerate(phrases)}
+    index = cut(postings(docs, phrases))
+    found = index.select("row", "n_words", _matches(phrases, frequencies(index), index.count()).alias("starts"))
     at = lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1))
-    own = F.transform(F.filter("starts", lambda x: x < (len(base) << _BITS)), at)
-    names = F.array(*[F.lit(name) for name, _ in templates])
-    labels = lambda most: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("starts", lambda x: x < (most << _BITS)), lambda x: F.get(names, F.shiftright(x, _BITS).cast("int"))))), ",")
-    n = F.size("starts").cast("double")
+    found = found.withColumn("own", F.transform(F.filter("starts", lambda x: x < (len(base) << _BITS)), at))
+    found = found.withColumn("stand", F.array_distinct(F.transform("starts", lambda x: F.shiftright(x, _BITS).cast("int"))))
+    these = lambda some: F.array(*[F.lit(number[p]) for p in some])
+    held = lambda some: F.size(F.array_intersect("stand", these(some)))
+    named = [F.when(F.array_contains("stand", number[p]), F.lit(name)) for name, p in base]
+    given = [F.when(held(must) == len(set(must)), F.lit(name)) for name, must, _ in more]
+    listed = lambda some: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*some)))), ",")
+    shares = [F.when(F.size("own") > 0, 1.0).otherwise(0.0)] + [held((*must, *may)) / float(len({*must, *may})) for _, must, may in more]
+    score = F.when(F.size("stand") > 0, F.greatest(*shares)).otherwise(0.0)
     return found.select(
-        "row.*", "n_words", F.size(own).cast("long").alias("n_base"), F.array_min(own).alias("first_word"), F.array_max(own).alias("last_word"),
-        labels(len(base)).alias("base_labels"), labels(len(templates)).alias("labels"), (n / (n + 1)).alias("score"),
+        "row.*", "n_words", F.size("own").cast("long").alias("n_base"), F.array_min("own").alias("first_word"), F.array_max("own").alias("last_word"),
+        listed(named).alias("base_labels"), listed(named + given).alias("labels"), score.alias("score"),
     )
 
 
@@ -128,16 +149,20 @@ def _sql_starts(phrase: str) -> str:
 
 def oracle() -> str:
     """DuckDB SQL for the query's rows."""
-    pairs = (*BASE, *MORE)
-    arrays = ", ".join(f"{_sql_starts(p)} AS s{k}" for k, (_, p) in enumerate(pairs))
-    names = lambda n: f"array_to_string(list_sort(list_distinct([x for x in [{', '.join(f'CASE WHEN len(s{k}) > 0 THEN {chr(39)}{name}{chr(39)} END' for k, (name, _) in enumerate(pairs[:n]))}] if x IS NOT NULL])), ',')"
+    phrases = phrases_of(BASE, MORE)
+    number = {p: k for k, p in enumerate(phrases)}
+    arrays = ", ".join(f"{_sql_starts(p)} AS s{k}" for k, p in enumerate(phrases))
+    stands = lambda p: f"len(s{number[p]}) > 0"
+    named = [f"CASE WHEN {stands(p)} THEN '{name}' END" for name, p in BASE]
+    given = [f"CASE WHEN {' AND '.join(map(stands, must))} THEN '{name}' END" for name, must, _ in MORE]
+    listed = lambda some: f"array_to_string(list_sort(list_distinct([x for x in [{', '.join(some)}] if x IS NOT NULL])), ',')"
     base = "list_concat(" * (len(BASE) - 1) + "s0" + "".join(f", s{k})" for k in range(1, len(BASE)))
-    total = " + ".join(f"len(s{k})" for k in range(len(pairs)))
+    shares = [f"({' + '.join(f'CAST({stands(p)} AS INTEGER)' for p in (*must, *may))}) / {float(len(must) + len(may))}" for _, must, may in MORE]
     return f"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 found AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {arrays} FROM words)
 SELECT doc_id, n_words, CAST(len({base}) AS BIGINT) AS n_base, CAST(list_min({base}) AS BIGINT) AS first_word, CAST(list_max({base}) AS BIGINT) AS last_word,
-       {names(len(BASE))} AS base_labels, {names(len(pairs))} AS labels, CAST({total} AS DOUBLE) / ({total} + 1) AS score
+       {listed(named)} AS base_labels, {listed(named + given)} AS labels, CAST(greatest(CASE WHEN len({base}) > 0 THEN 1.0 ELSE 0.0 END, {', '.join(shares)}) AS DOUBLE) AS score
 FROM found
 """

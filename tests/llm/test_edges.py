@@ -153,3 +153,24 @@ def test_one_phrase_fills_a_long_text(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (4 * n, n, 0, 4 * (n - 1), "mit")
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].labels, got[1].score) == (5 * n, 0, None, "", 0)
+
+
+def test_licences_by_their_key_phrases(spark):
+    """A label needs all mandatory phrases of a template, in any order; the score is the share of its phrases."""
+    granted = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    as_is = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND"
+    notice = "The above copyright notice and this permission notice shall be included in all copies"
+    texts = {
+        f"{granted} of it. {notice}. {as_is}": ("mit", 1.0),
+        f"{as_is} {granted}": ("mit", 2 / 3),
+        granted: ("", 1 / 3),
+        "Redistribution and use in source and binary forms may be used to endorse or promote products derived from this software": ("bsd-3", 2 / 3),
+        "Under the MIT license, all rights reserved": ("all-rights-reserved,mit", 1.0),
+        "GNU General Public License as published by the Free Software Foundation": ("gpl", 0.5),
+        "GNU General Public License": ("", 0.25),
+        "Permission is hereby granted, free of charge, to no person obtaining a copy": ("", 0.0),
+        "": ("", 0.0),
+    }
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, (labels, score) in enumerate(texts.values()):
+        assert got[k] == (labels, pytest.approx(score)), k
