@@ -230,7 +230,7 @@ def analyse(blocks: DataFrame) -> Layout:
     slots but no starts; null texts and boxes count for nothing; blocks that
     repeat are one place.
     """
-    found = settled(without_notices(starts(blocks), blocks))
+    found = settled(without_notices(settled(starts(blocks)), blocks))
     sure = found.where("source = 'read' and at_start and score >= 3")
     unsure = found.where("source = 'read'").join(sure.select("paper_id").distinct(), "paper_id", "left_anti")
     lines = column_lines(sure.unionByName(unsure), blocks)

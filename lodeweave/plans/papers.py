@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cards, evaluation, exam, layout_edits, merge, option_figures, segmentation, textbook
+from ..operators.taxonomy import settled
 from .registry import query
 
 
@@ -34,7 +35,7 @@ def exam_blocks(env):
         .when(part % 17 == 0, F.lit(None).cast("string"))
         .otherwise(options)
     )
-    return p.withColumn("text", text).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", "type", "text")
+    return settled(p.withColumn("text", text).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", "type", "text"))  # as a stored table of blocks
 
 
 def book_blocks(env):
@@ -55,7 +56,8 @@ def book_blocks(env):
     # a numbered exercise on every third line, anything on the others
     anything = F.get(F.array(*lines), (part % len(lines)).cast("int"))
     text = F.when((seq % 3 == 0) & (part % 5 != 0), F.concat(number, F.lit(". "), ask)).otherwise(anything)
-    return p.withColumn("text", text).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", F.when(part % len(lines) == 23, "equation").otherwise(F.col("type")).alias("type"), "text")
+    kind = F.when(part % len(lines) == 23, "equation").otherwise(F.col("type")).alias("type")
+    return settled(p.withColumn("text", text).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", kind, "text"))
 
 
 @query(None)
@@ -84,7 +86,7 @@ def headless_blocks(env):
     number = F.floor(seq / 2) + F.when(paper % 5 == 0, 3).otherwise(0)
     text = F.when(seq <= 3 + paper % 4, front).when(seq % 2 == 0, F.concat(number.cast("string"), F.lit(". 已知 "), F.col("part").cast("string"))).otherwise("A. 1")
     first = F.concat(F.when(paper % 5 == 0, 5).otherwise(2).cast("string"), F.lit(". 已知 x"))
-    return env("paperblock").withColumn("text", F.when(seq == 4 + paper % 4, first).otherwise(text)).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", "type", "text")
+    return settled(env("paperblock").withColumn("text", F.when(seq == 4 + paper % 4, first).otherwise(text)).select("paper_id", "seq", "page", "x0", "y0", "x1", "y1", "type", "text"))
 
 
 @query(None)
