@@ -184,11 +184,12 @@ def scl20_drop_solution(env):
     return env.table("documents").select("doc_id", cards.drop_solution(F.concat("text", F.lit("\n Solution: x\ny"))).alias("stem"))
 
 
-@query("SELECT doc_id, doc_id % 4 = 1 AS mismatch FROM documents")
+@query(r"""SELECT doc_id, n <> '' AND CAST(nullif(n, '') AS INTEGER) <> doc_id % 30 AS mismatch FROM (SELECT doc_id, regexp_extract(concat(CASE doc_id % 5 WHEN 0 THEN '' ELSE CAST((doc_id + CAST(n_chars % 3 = 0 AS INT)) % 30 AS VARCHAR) END, CASE n_chars % 4 WHEN 0 THEN '. ' WHEN 1 THEN ') ' WHEN 2 THEN ' . ' ELSE ' ' END, text), '^[ \t\n\x0B\f\r]*([0-9]{1,3})[ \t\n\x0B\f\r]*[.)]', 1) AS n FROM documents)""")
 def scl19_anchor_mismatch(env):
-    k = F.col("doc_id") % 4
-    reading = F.when(k == 0, "no number").when(k == 1, "8. other").otherwise("7) same")
-    return env.table("documents").select("doc_id", cards.anchor_mismatch(F.lit(7), reading).alias("mismatch"))
+    n, k = F.col("n_chars"), F.col("doc_id")
+    number = F.when(k % 5 == 0, "").otherwise(((k + (n % 3 == 0).cast("int")) % 30).cast("string"))
+    reading = F.concat(number, F.when(n % 4 == 0, ". ").when(n % 4 == 1, ") ").when(n % 4 == 2, " . ").otherwise(" "), F.col("text"))
+    return env.table("documents").select("doc_id", cards.anchor_mismatch((k % 30).cast("int"), reading).alias("mismatch"))
 
 
 @query("SELECT doc_id, concat(lang, chr(10), chr(10), 'x') AS stem FROM documents")

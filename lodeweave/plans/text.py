@@ -84,10 +84,12 @@ def scl13_origin_note(env):
     return env.table("documents").select("doc_id", text.origin_note(noted).alias("o")).select("doc_id", F.col("o.text").alias("rest"), "o.origin")
 
 
-@query("SELECT doc_id, doc_id % 3 <> 2 AS same FROM documents")
+@query(r"""WITH n AS (SELECT doc_id, concat(substr(text, 1, 24), ' 20', CAST(doc_id % 90 + 10 AS VARCHAR)) AS a FROM documents), m AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN a WHEN 1 THEN regexp_replace(translate(a, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[ .,]', '', 'g') WHEN 2 THEN concat(a, ' (1)') ELSE concat('[', replace(a, ' ', ' ; '), ']') END AS b FROM n)
+SELECT doc_id, lower(regexp_replace(a, '[ \t\n\x0B\f\r.,;:()\[\]]', '', 'g')) = lower(regexp_replace(b, '[ \t\n\x0B\f\r.,;:()\[\]]', '', 'g')) AS same FROM m""")
 def scl14_same_note(env):
-    a = F.concat(F.lit("Spring, 2020 ("), F.col("doc_id"), F.lit(")"))
-    b = F.concat(F.lit("spring 2020 "), F.when(F.col("doc_id") % 3 == 2, F.col("doc_id") + 1).otherwise(F.col("doc_id")))
+    a = F.concat(F.substring("text", 1, 24), F.lit(" 20"), F.col("doc_id") % 90 + 10)
+    k = F.col("doc_id") % 4
+    b = F.when(k == 0, a).when(k == 1, F.regexp_replace(F.translate(a, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[ .,]", "")).when(k == 2, F.concat(a, F.lit(" (1)"))).otherwise(F.concat(F.lit("["), F.replace(a, F.lit(" "), F.lit(" ; ")), F.lit("]")))
     return env.table("documents").select("doc_id", text.same_note(a, b).alias("same"))
 
 
@@ -188,10 +190,15 @@ def cls2_infer(env):
     return _kinds(env).select("doc_id", classify.infer(F.col("kind"), stem, options).alias("kind"))
 
 
-@query(f"SELECT doc_id, {KIND} = 'blank' AND doc_id % 2 = 0 AS flagged FROM documents")
+SLOTS = ["____", "(  )", "[ ]", "_", "| |", "x", r"\underline{ }"]
+SLOT = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(SLOTS)) + " END"
+
+
+@query(rf"SELECT doc_id, {KIND} = 'blank' AND NOT regexp_matches(concat(substr(text, 1, CAST(n_chars % 50 AS INT)), {SLOT}, substr(text, CAST(n_chars % 50 + 1 AS INT))), '_{{2,}}|\([ \t\n\x0B\f\r]*\)|\[[ \t\n\x0B\f\r]*\]|\\underline|\|[ \t]*\|') AS flagged FROM documents")
 def cls3_blank_without_slot(env):
-    stem = F.when(F.col("doc_id") % 2 == 0, "Compute x").otherwise("x is ____")
-    return _kinds(env).select("doc_id", classify.blank_without_slot(F.col("kind"), stem).alias("flagged"))
+    d = env.table("documents")
+    stem = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") % 50).cast("int")), F.element_at(F.array(*map(F.lit, SLOTS)), (F.col("doc_id") % 7 + 1).cast("int")), F.substr("text", (F.col("n_chars") % 50 + 1).cast("int")))
+    return d.select("doc_id", classify.blank_without_slot(F.expr(KIND), stem).alias("flagged"))
 
 
 @query(f"""SELECT doc_id, f AS flags, CASE WHEN st NOT IN ('green', 'yellow') OR b = f THEN st WHEN len(f) > 0 THEN 'yellow' ELSE 'green' END AS state FROM
@@ -202,33 +209,39 @@ def cls4_synced_flags(env):
     return d.select("doc_id", "flags", classify.synced_state(F.col("st"), F.col("before"), F.col("flags")).alias("state"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS cue, doc_id % 3 = 1 AS draw FROM documents")
+CUES = [" in the Figure ", " diagrams of ", " AS SHOWN, ", " draw a line ", " sketching ", " graph below ", " Construct a ", " "]
+CUED = "concat(substr(text, 1, CAST(n_chars % 60 AS INT)), CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(CUES)) + " END, substr(text, CAST(n_chars % 60 + 1 AS INT)))"
+CUE, DRAW = (rf"regexp_matches({CUED}, '(?i)\b(?:{x})\b')" for x in ("figure|diagram|as shown|graph below", "draw|sketch|construct"))
+
+
+def _cued():
+    at = (F.col("n_chars") % 60).cast("int")
+    return F.concat(F.substring("text", F.lit(1), at), F.element_at(F.array(*map(F.lit, CUES)), (F.col("doc_id") % 8 + 1).cast("int")), F.substr("text", at + 1))
+
+
+@query(f"SELECT doc_id, {CUE} AS cue, {DRAW} AS draw FROM documents")
 def cls5_figure_cue(env):
-    stem = F.when(F.col("doc_id") % 3 == 0, "In the figure, AB = 2").when(F.col("doc_id") % 3 == 1, "Draw a line").otherwise("Add 2 and 3")
-    return env.table("documents").select("doc_id", classify.figure_cue(stem).alias("cue"), classify.asks_to_draw(stem).alias("draw"))
+    return env.table("documents").select("doc_id", classify.figure_cue(_cued()).alias("cue"), classify.asks_to_draw(_cued()).alias("draw"))
 
 
-@query("""SELECT doc_id, CASE WHEN missing AND figures = 0 THEN 'blocked_missing' WHEN slots > figures THEN 'blocked_missing' WHEN cue AND figures = 0 THEN 'blocked_missing' WHEN un > 0 THEN 'conflict' WHEN figures > 0 AND NOT cue THEN 'conflict' WHEN figures = 0 AND ex > 0 THEN 'auto_excluded' ELSE 'ok' END AS verdict
-FROM (SELECT doc_id, doc_id % 2 = 0 AS cue, doc_id % 3 AS figures, doc_id % 11 % 2 AS slots, doc_id % 13 = 0 AS missing, CAST(doc_id % 17 = 0 AS INT) AS un, doc_id % 5 AS ex FROM documents)""")
+@query(f"""SELECT doc_id, CASE WHEN missing AND figures = 0 AND NOT draw THEN 'blocked_missing' WHEN slots > figures THEN 'blocked_missing' WHEN cue AND figures = 0 THEN 'blocked_missing' WHEN un > 0 THEN 'conflict' WHEN figures > 0 AND NOT cue THEN 'conflict' WHEN figures = 0 AND ex > 0 THEN 'auto_excluded' ELSE 'ok' END AS verdict
+FROM (SELECT doc_id, {CUE} AS cue, {DRAW} AS draw, n_chars % 3 AS figures, n_chars % 11 % 2 AS slots, n_chars % 4 = 0 AS missing, CAST(n_chars % 17 = 0 AS INT) AS un, n_chars % 5 AS ex FROM documents)""")
 def cls6_figure_review(env):
-    k = F.col("doc_id")
-    stem = F.when(k % 2 == 0, "See the figure").otherwise("Add")
-    return env.table("documents").select("doc_id", classify.figure_review(stem, k % 3, k % 11 % 2, k % 13 == 0, (k % 17 == 0).cast("int"), k % 5).alias("verdict"))
+    k = F.col("n_chars")
+    return env.table("documents").select("doc_id", classify.figure_review(_cued(), k % 3, k % 11 % 2, k % 4 == 0, (k % 17 == 0).cast("int"), k % 5).alias("verdict"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['B', 'D'] ELSE ['A'] END AS marks FROM documents")
+@query(r"""SELECT doc_id, regexp_extract_all(concat(CAST(n_chars % 90 AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN '. ' WHEN 1 THEN ')' ELSE ' ' END, substr('ABCDEF', CAST(n_chars % 6 + 1 AS INT), 1), ' ', replace(substr(text, 1, 200), '.', '. 7.A '), chr(10), '12 . C'), '[0-9]+[ \t\n\x0B\f\r]*[.)][ \t\n\x0B\f\r]*([A-E])\b', 1) AS marks FROM documents""")
 def cls10_printed_marks(env):
-    body = F.when(F.col("doc_id") % 2 == 0, "1. B 2) D 3. x").otherwise("4.A")
+    mark = F.concat((F.col("n_chars") % 90).cast("string"), F.when(F.col("doc_id") % 3 == 0, ". ").when(F.col("doc_id") % 3 == 1, ")").otherwise(" "), F.substring(F.lit("ABCDEF"), (F.col("n_chars") % 6 + 1).cast("int"), F.lit(1)))
+    body = F.concat(mark, F.lit(" "), F.replace(F.substring("text", 1, 200), F.lit("."), F.lit(". 7.A ")), F.lit("\n12 . C"))
     return env.table("documents").select("doc_id", classify.printed_marks(body).alias("marks"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['B'] WHEN 1 THEN [] ELSE ['A', 'B', 'C'] END AS gaps FROM documents")
+@query("""SELECT doc_id, list_filter(['A', 'B', 'C', 'D'], lambda x: NOT list_contains(have, x) AND x <= coalesce(list_max(have), '')) AS gaps FROM (SELECT doc_id, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: (n_chars >> (ascii(x) - 65)) % 2 = 1) AS have FROM documents)""")
 def arr2_option_gaps(env):
-    one = F.create_map(F.lit("A"), F.lit("1"), F.lit("C"), F.lit("2"))
-    two = F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), F.lit("2"))
-    three = F.create_map(F.lit("D"), F.lit("1"))
-    m = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(three)
-    return env.table("documents").select("doc_id", classify.option_gaps(m).alias("gaps"))
+    letters = F.filter(F.array(*[F.lit(x) for x in "ABCDE"]), lambda x: F.call_function("shiftright", F.col("n_chars"), F.ascii(x) - 65) % 2 == 1)
+    return env.table("documents").select("doc_id", classify.option_gaps(F.map_from_arrays(letters, F.transform(letters, lambda x: F.concat(x, "lang")))).alias("gaps"))
 
 
 @query("SELECT doc_id, lang AS a, '' AS b, CASE WHEN doc_id % 2 = 0 THEN 'e' END AS e FROM documents")
