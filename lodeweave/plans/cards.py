@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..functions import places, text
 from ..operators import cards, versioning
 from ..operators.filters import FilterSpec, library_rows
+from ..operators.spots import spot_boxes
 from ..sources import bundles
 from .registry import query
 
@@ -207,6 +209,33 @@ def scl10_spot_place(env):
     return env.table("documents").select("doc_id", cards.spot_place(F.col("text"), F.substring("text", 5, 3), F.substring("text", 8, 2)).alias("place"))
 
 
+def _disputed(env):
+    """Each turn of the conversations as a card in TeX and tags, with a reading in which a letter changed, and the spots of the two."""
+    c = env.table("conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    marked = F.regexp_replace(F.regexp_replace("text", r"\bth", r"\\theta "), r", ", "，<b>x</b><sup>2</sup>,\n")
+    middle = (F.length("text") / 2).cast("int")
+    read = F.concat(F.substr("text", F.lit(1), middle), F.lit("Q7"), F.substr("text", middle + 3))
+    cards_ = c.withColumn("text", marked).withColumns({"reading": read, "options": F.create_map(F.lit("B"), F.substr("text", F.lit(1), F.lit(40)), F.lit("A"), F.lit(" "))})
+    spots = F.posexplode(text.objections_column(F.col("reading"), F.col("text")))
+    return cards_, cards_.select("*", spots.alias("nth", "spot"))
+
+
+@query(None)
+def scl10_spot_fields(env):
+    found = _disputed(env)[1].withColumn("place", places.place_column(F.col("reading"), F.col("options"), F.col("spot")))
+    return found.select("conv_id", "turn", "nth", "place.*", F.substr("reading", F.col("place.start") + 1, F.col("place.end") - F.col("place.start")).alias("shown"))
+
+
+@query(None)
+def scl10_spot_boxes(env):
+    cards_, spots = _disputed(env)
+    # a block for each sentence, with the lines that it has
+    blocks = cards_.select("conv_id", "turn", F.posexplode(F.split("text", r"(?<=\.)\s+")).alias("seq", "text"))
+    y = (F.col("seq") * 40 % 900).cast("double")
+    boxed = blocks.withColumns({"page": F.floor(F.col("seq") * 40 / 900).cast("int"), "x0": F.lit(80.0), "x1": F.lit(900.0), "y0": y, "y1": y + 36})
+    return spot_boxes(spots.select("conv_id", "turn", "nth", "spot.before", "spot.witness", "spot.after"), boxed, ["conv_id", "turn"], ["nth"])
+
+
 @query("SELECT doc_id, [CAST(doc_id AS INTEGER), 2, 3, 4] AS parts FROM documents")
 def arr1_parts_cap(env):
     from ..operators.figures import parts_cap

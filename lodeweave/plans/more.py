@@ -10,7 +10,7 @@ from ..functions import markup, text
 from ..operators import cards, evaluation, facets, figures, ordering, related, taxonomy
 from ..operators.filters import FilterSpec
 from ..sources import bundles
-from ..streaming import jobs
+from ..streaming import jobs, pool
 from .registry import query
 
 
@@ -140,6 +140,28 @@ def str6_throttle(env):
     return jobs.throttled(e.select(F.col("user_id").alias("pool"), F.col("event_id").alias("step"), outcome.alias("outcome")), 4)
 
 
+REQUESTS = """SELECT user_id % 4 AS service, user_id AS account, event_id AS request, done_ms - event_id * 7919 % 900 * 1000 AS sent_ms, done_ms, CASE WHEN event_type = 'signup' AND event_id % 97 = 0 THEN 'off' WHEN event_type <> 'error' THEN 'ok' WHEN event_id % 3 = 0 THEN 'exhausted' ELSE 'throttled' END AS outcome,
+ CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN CAST(floor(value) AS BIGINT) * 1000 END AS delay_ms FROM (SELECT *, {ms} AS done_ms FROM {events}) e"""
+
+
+def _requests(env):
+    return env.spark.sql(REQUESTS.format(ms="unix_millis(CAST(ts AS TIMESTAMP))", events="{events}"), events=env.table("events"))
+
+
+@query(None)
+def str6_account_levels(env):
+    return pool.account_levels(_requests(env))
+
+
+# Events of the tables are minutes to hours apart, so services rest for three hours.
+@query(f"""WITH r AS ({REQUESTS.format(ms="epoch_us(ts) // 1000", events="events")}),
+u AS (SELECT service, done_ms AS t, CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END AS turn, {{'t': done_ms, 'good': outcome = 'ok'}} AS signal, NULL AS account, NULL AS request FROM r WHERE outcome IN ('ok', 'exhausted') UNION ALL SELECT service, sent_ms, 2, NULL, account, request FROM r),
+w AS (SELECT *, last_value(signal IGNORE NULLS) OVER (PARTITION BY service ORDER BY t, turn ROWS UNBOUNDED PRECEDING) AS b FROM u)
+SELECT service, account, request, t AS sent_ms, coalesce(NOT b.good AND t < b.t + 10800000, false) AS resting FROM w WHERE turn = 2""")
+def str6_service_rests(env):
+    return pool.service_rests(_requests(env), 10_800_000)
+
+
 @query("SELECT DISTINCT tag_id FROM tag WHERE tag_id IN ('n4') OR tag_id IN (SELECT child FROM edge WHERE parent = 'n4' AND relation = 'contains')")
 def grf6_impact_tags(env):
     return taxonomy.descendants(env("edge"), ("n4",)).select(F.col("tag").alias("tag_id")).distinct()

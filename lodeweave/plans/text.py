@@ -114,6 +114,42 @@ def scl18_missing_subquestions(env):
     return env.table("documents").select("doc_id", text.missing_subquestions(body).alias("missing"))
 
 
+# Texts whose lines are numbered like other questions, own numbers with and without clipped digits among them.
+NUMBERED = """SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(CASE doc_id % 3 WHEN 0 THEN doc_id % 90 + 100 ELSE doc_id % 90 END AS INT) END AS own,
+ replace(concat(doc_id % 90, '. ', text), CHR(10), concat(CHR(10), CASE doc_id % 4 WHEN 0 THEN '※' WHEN 1 THEN '  ' ELSE '' END, n_chars % 90, CASE doc_id % 5 WHEN 0 THEN '．' WHEN 1 THEN ') ' ELSE '. ' END)) AS text FROM {documents}"""
+_FOREIGN = r"list_filter(list_transform(regexp_extract_all({t}, '(?:^|\n)[ \t]*[*※＊▲]?[ \t]*([0-9]{{1,3}})[ \t]*[.．、]', 1), lambda n: CASE WHEN CAST(n AS INT) <> own AND NOT (length(n) < length(CAST(own AS VARCHAR)) AND ends_with(CAST(own AS VARCHAR), n)) THEN CAST(n AS INT) END), lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH d AS ({NUMBERED.format(documents="documents")}), f AS (SELECT doc_id, {_FOREIGN.format(t="text")} AS found FROM d)
+SELECT doc_id, coalesce(list_filter(found, lambda x, i: list_position(found, x) = i), []) AS numbers FROM f""")
+def scl16_other_numbers(env):
+    d = env.spark.sql(NUMBERED.format(documents="{documents}"), documents=env.table("documents"))
+    return d.select("doc_id", text.other_numbers(F.col("text"), F.col("own")).alias("numbers"))
+
+
+@query(f"""WITH d AS ({NUMBERED.format(documents="documents")}) SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN ({_FOREIGN.format(t="substr(text, strpos(text, chr(10)))")})[1] END AS number FROM d""")
+def scl16_merged_number(env):
+    d = env.spark.sql(NUMBERED.format(documents="{documents}"), documents=env.table("documents"))
+    return d.select("doc_id", text.merged_number(F.col("text"), F.col("own")).alias("number"))
+
+
+# Each word "the" of a text is the mark of a part; the stem lost some of them, the paper has solutions in some.
+PARTS = """SELECT doc_id, concat('(1) ', replace(replace(replace(text, ' the ', concat(' (', doc_id % 9 + 2, ') ')), ' of ', ' （3） '), ' in ', ' (2) ')) AS stem,
+ concat('(1) ', replace(replace(replace(text, ' and ', concat(CHR(10), '(', doc_id % 7 + 2, ')')), ' to ', ' ( 4 )'), ' is ', CASE WHEN n_chars % 3 = 0 THEN concat(CHR(10), ' 解： ') ELSE ' （5）' END)) AS printed FROM {documents}"""
+
+
+_MARK = r"[（(][ \t]*([0-9]{1,2})[ \t]*[)）]"
+
+
+@query(rf"""WITH d AS ({PARTS.format(documents="documents")}), f AS (SELECT *, string_split_regex(printed, '(?m)^[ \t]*(?:解|答|分析|证明)[ \t]*[:：]')[1] AS front FROM d),
+m AS (SELECT doc_id, CAST(regexp_extract_all(stem, '{_MARK}', 1) AS INT[]) AS marks, CAST(regexp_extract_all(front, '{_MARK}', 1) AS INT[]) AS printed, string_split_regex(front, '{_MARK}') AS pieces FROM f),
+s AS (SELECT doc_id, marks, list_filter(printed, lambda n, i: regexp_matches(substr(pieces[i + 1], 1, 40), '[^ \t\n\r\f\v]') OR length(pieces[i + 1]) < 40 AND i < len(printed)) AS shown FROM m)
+SELECT doc_id, CASE WHEN len(marks) > 1 THEN list_filter(CAST(range(1, 13) AS INT[]), lambda n: NOT list_contains(marks, n) AND list_contains(shown, n) AND len(list_filter(range(1, len(marks)), lambda i: marks[i] < n AND n < marks[i + 1])) > 0) ELSE [] END AS missing FROM s""")
+def scl18_swallowed_parts(env):
+    d = env.spark.sql(PARTS.format(documents="{documents}"), documents=env.table("documents"))
+    return d.select("doc_id", text.swallowed_parts(F.col("stem"), F.col("printed")).alias("missing"))
+
+
 @query("SELECT doc_id, concat('a', CAST(doc_id AS VARCHAR), 'b') AS plain FROM documents")
 def scl22_plain_markup(env):
     marked = F.concat(F.lit("**a**<sup>"), F.col("doc_id"), F.lit("</sup><!-- note\n -->b"))
