@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .exam import BEFORE_NEXT, HEADING, NUMERALS, PICTURES, column_lines, content, placed, slots
 from .exam import headings as section_lines
+from .sequences import ordered_groups
 from .taxonomy import settled
 
 # Words of textbooks. Labels of examples; titles of practice areas, of bundles of choices, of columns, of other parts;
@@ -256,3 +257,80 @@ def stops(blocks: DataFrame, book: Book) -> DataFrame:
     ends = events.withColumn("in", F.last("card", True).over(by)).where("kind != 'card' and (kind != 'analysis_solution' or in = 'example')")
     ends = ends.select("paper_id", F.when(F.col("kind").isin("analysis_solution", "embedded_question_end"), "end").otherwise("heading").alias("kind"), "seq", "page", "col", "x", "y", F.lit(None).cast("double").alias("bottom"), "text")
     return own.unionByName(ends)
+
+
+# Names of groups by the kind of their cards, the highest number that begins a numbering, the longest title of a chapter.
+GROUPS, OPENING = {"example": "例题", "exercise": "习题"}, 3
+_CHAPTER = rf"^\s*第\s*([0-9]{{1,3}}|[{NUMERALS}]{{1,3}})\s*([章篇])\s*(.{{0,24}}?)\s*$"
+
+
+def _runs(cards: list) -> list[tuple]:
+    """A book's cards with the run of numbers they belong to; another kind of card, or a number that falls back, opens one."""
+    out, run, taken, top, kind = [], -1, set(), 0, None
+    for place, c in enumerate(cards):
+        back = c.number <= top and (c.number in taken or c.number <= OPENING)
+        if c.source_kind != kind or back:
+            run, taken, top, kind = run + 1, set(), 0, c.source_kind
+        taken.add(c.number)
+        top = max(top, c.number)
+        out.append((c.paper_id, run, place, c.seq, c.page, c.number, c.source_kind))
+    return out
+
+
+def scopes(blocks: DataFrame, book: Book) -> DataFrame:
+    """Numbering scopes of books: (paper_id, scope, source_kind, first_number, anchor_seq, start_page, first_page, last_page, seq_start, seq_end).
+
+    A scope's pages reach to the next scope's start, the first one's and last
+    one's to the ends of the book. Exercises begin at the practice title above
+    them if it follows the scope before, so that a later pass over the scope
+    still knows that they are exercises. The first scope has no start and the
+    last no end. A book without cards has no scopes; cards without a page or
+    number count for nothing.
+    """
+    cards = book.starts.where("page is not null and number is not null")
+    order = ["page", "col", "y", "seq", "number"]
+    runs = ordered_groups(cards.select("paper_id", "source_kind", *order), "paper_id", order, _runs, "paper_id long, scope int, place int, seq int, page int, number int, source_kind string")
+    spot = F.struct("place", "seq", "page", "number", "source_kind")
+    each = runs.groupBy("paper_id", "scope").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+    by = Window.partitionBy("paper_id").orderBy("scope")
+    each = each.withColumns({"then": F.lead("first").over(by), "before": F.lag("last").over(by)})
+    # the title right before each card among titles, headings and examples
+    title = F.when(F.col("kind") == "card", F.when(F.col("source_kind") == "example", F.struct(F.lit("example").alias("kind"), "seq"))).otherwise(F.struct("kind", "seq"))
+    marks = cards.select("paper_id", "page", "col", "y", "seq", F.lit("card").alias("kind"), "source_kind").unionByName(
+        book.boundaries.where("kind in ('practice_header', 'section_heading')").select("paper_id", "page", "col", "y", "seq", "kind", F.lit(None).cast("string").alias("source_kind"))
+    )
+    above = Window.partitionBy("paper_id").orderBy("page", "col", "y", "seq", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    titled = marks.withColumn("title", F.last(title, True).over(above)).where("kind = 'card'").groupBy("paper_id", F.col("seq").alias("at")).agg(F.max("title").alias("title"))
+    each = each.withColumn("at", F.col("first.seq")).join(titled, ["paper_id", "at"], "left")
+    under = (F.col("first.source_kind") == "exercise") & (F.col("title.kind") == "practice_header") & (F.col("title.seq") > F.coalesce("before.seq", F.lit(-1)))
+    start = F.when(F.col("scope") > 0, F.when(under, F.col("title.seq")).otherwise(F.col("first.seq")))
+    ends = content(blocks).groupBy("paper_id").agg(F.min("page").alias("front"), F.max("page").alias("back"))
+    pages = each.withColumn("start", start).join(ends, "paper_id", "left")
+    upto = F.when(F.col("then").isNull(), F.col("back")).when(F.col("then.page") == F.col("last.page"), F.col("then.page")).otherwise(F.col("then.page") - 1)
+    return pages.select(
+        "paper_id", "scope", "first.source_kind", F.col("first.number").alias("first_number"), F.col("first.seq").alias("anchor_seq"), F.col("first.page").alias("start_page"),
+        F.when(F.col("scope") == 0, F.col("front")).otherwise(F.col("first.page")).alias("first_page"), upto.alias("last_page"), F.col("start").alias("seq_start"), (F.lead("start").over(by) - 1).alias("seq_end"),
+    )
+
+
+def group_names(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """(paper_id, scope, name) of the scopes below a chapter's title: chapter, its longest name in the book, kind; equal names are counted.
+
+    The title of a scope is the last one at or before its anchor by seq; a
+    chapter counts from 1 to 99 and digits and numerals are one chapter. Scopes
+    above the first title have no name.
+    """
+    title = F.trim(F.coalesce("text", F.lit("")))
+    number = number_of(F.regexp_extract(title, _CHAPTER, 1))
+    name = F.regexp_replace(F.regexp_replace(F.regexp_extract(title, _CHAPTER, 3), r"\s+", " "), r"^[ 　·—:：、-]+|[ 　·—:：、-]+$", "")
+    chapters = blocks.where(F.col("seq").isNotNull() & title.rlike(_CHAPTER) & number.between(1, 99)).select("paper_id", "seq", F.struct(number.alias("number"), F.regexp_extract(title, _CHAPTER, 2).alias("unit")).alias("chapter"), name.alias("title"))
+    longest = chapters.groupBy("paper_id", "chapter").agg(F.min(F.struct(-F.length("title"), "seq", "title")).alias("m")).select("paper_id", "chapter", "m.title")
+    events = chapters.select("paper_id", "seq", F.lit(0).alias("turn"), "chapter").unionByName(found.select("paper_id", F.col("anchor_seq").alias("seq"), F.lit(1).alias("turn"), "scope", "source_kind"), allowMissingColumns=True)
+    by = Window.partitionBy("paper_id").orderBy("seq", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    under = events.withColumn("chapter", F.last("chapter", True).over(by)).where("turn = 1 and chapter is not null").join(longest, ["paper_id", "chapter"])
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in GROUPS.items() for x in pair]), F.col("source_kind"))
+    label = F.concat(F.lit("第"), F.col("chapter.number").cast("string"), F.col("chapter.unit"), F.when(F.col("title") != "", F.concat(F.lit(" "), "title")).otherwise(""), F.lit(" · "), kind)
+    same = Window.partitionBy("paper_id", "label")
+    many = F.count("*").over(same) > 1
+    nth = F.row_number().over(same.orderBy("scope"))
+    return under.withColumn("label", label).select("paper_id", "scope", F.when(many, F.concat("label", F.lit(" "), nth.cast("string"))).otherwise(F.col("label")).alias("name"))

@@ -123,6 +123,28 @@ def seg7_textbook_questions(env):
     return exam.questions(blocks, exam.Layout(book.starts, book.slots, textbook.stops(blocks, book), book.lines))
 
 
+def chapter_blocks(env):
+    """Books with titles of chapters: whole ones, bare ones as on every page, by digits and by numerals."""
+    part, seq = F.col("part"), F.col("seq")
+    parts = env("paperblock").select("paper_id", "seq", "part")
+    digits, numerals = (part % 3 + 1).cast("string"), F.substring(F.lit("一二三"), (part % 3 + 1).cast("int"), F.lit(1))
+    title = F.concat(F.lit("第"), F.when(part % 2 == 0, digits).otherwise(numerals), F.when(part % 5 == 0, "篇").otherwise("章"), F.when(part % 4 == 0, "").when(part % 4 == 1, " 特殊平行四边形").otherwise(" 函数"))
+    blocks = book_blocks(env).join(parts, ["paper_id", "seq"])
+    return settled(blocks.withColumn("text", F.when((part % 7 == 3) | ((seq == 2) & (part % 2 == 0)), title).when(part % 11 == 4, "习题 4.2").otherwise(F.col("text"))).drop("part"))
+
+
+@query(None)
+def seg9_textbook_scopes(env):
+    blocks = chapter_blocks(env)
+    return textbook.scopes(blocks, textbook.analyse(blocks))
+
+
+@query(None)
+def seg9_group_names(env):
+    blocks = chapter_blocks(env)
+    return textbook.group_names(blocks, textbook.scopes(blocks, textbook.analyse(blocks)))
+
+
 def edit_log(env):
     """Layout edits by users of a few papers: every kind, some of what is no longer there, some sent twice."""
     e = env.table("events")
