@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cards, evaluation, exam, layout_edits, merge, option_figures, segmentation, textbook
+from ..operators.reconcile import reconciled
 from ..operators.taxonomy import settled
 from .registry import query
 
@@ -145,6 +146,33 @@ def seg9_group_names(env):
     return textbook.group_names(blocks, textbook.scopes(blocks, textbook.analyse(blocks)))
 
 
+def stored_cards(env):
+    """Cards, figures, regions and blocks of stored papers: every block of a paper belongs to a card of four blocks."""
+    b = env("paperblock").withColumn("card_id", F.floor((F.col("seq") - 1) / 4).cast("long"))
+    part, number = F.col("part"), F.floor((F.col("seq") - 1) / 4 + 1).cast("string")
+    prose = F.concat(number, F.lit(". 某校某次运动会共有"), F.substring(F.lit("甲乙丙丁戊己庚辛"), (part % 8 + 1).cast("int"), F.lit(1)), F.lit("班参加比赛"))
+    line = F.when(F.col("seq") % 4 == 1, prose).when(part % 5 == 0, F.concat(F.lit("图 "), part % 9 + 1, F.lit("-1"))).when(part % 5 == 1, "（2）a （4）b").otherwise("（1）a")
+    blocks = settled(b.withColumn("text", line))
+    box = ["page", "x0", "y0", "x1", "y1"]
+    first = blocks.where("seq % 4 = 1").select("paper_id", "card_id", F.col("seq").alias("anchor_seq"), "part", "text")
+    k = F.col("part")
+    stem = F.when(k % 7 == 0, "在一块矩形土地上建造花园").otherwise(F.col("text"))
+    stem = F.concat(stem, F.when(k % 3 == 0, "\n（1）x\n（3）y").when(k % 3 == 1, F.concat(F.lit("，见图 "), k % 9 + 1, F.lit("-1 与图 "), k % 4 + 1, F.lit("-1"))).otherwise("____"))
+    kinds = F.when(k % 5 == 0, "fill_blank").when(k % 5 == 1, "single_choice").otherwise("free")
+    flags = F.when(k % 11 == 0, F.array(F.lit("anchor_mismatch"))).when(k % 13 == 0, F.array(F.lit("row_figure"))).when(k % 17 > 0, F.array().cast("array<string>"))
+    cards_ = first.select("paper_id", "card_id", F.when(k % 6 == 0, "red").when(k % 6 == 1, "yellow").otherwise("green").alias("state"), flags.alias("flags"), kinds.alias("kind"), stem.alias("stem"), F.when(k % 5 == 1, F.create_map(F.lit("A"), F.lit("1"))).alias("options"), F.lit(None).cast("string").alias("analysis"), F.lit(None).cast("string").alias("origin"), "anchor_seq", (k % 19 == 0).alias("approved"), (k % 23 == 0).alias("edited"), (k % 29 == 0).alias("checked"))
+    source = F.when(part % 3 == 0, "row").when(part % 31 == 1, "manual").otherwise("auto")
+    above = F.greatest(F.lit(0.0), F.col("y0") - 60)
+    figures = blocks.where("seq % 4 <> 1").select("paper_id", "card_id", "page", "x0", above.alias("y0"), "x1", (above + 40).alias("y1"), source.alias("source"), F.when(part % 8 == 0, "A").otherwise("stem").alias("slot"))
+    regions = blocks.where("seq % 4 in (1, 2)").select("paper_id", "card_id", *box)
+    return cards_, figures, regions, blocks.select("paper_id", "seq", *box, "text")
+
+
+@query(None)
+def cls8_reconciled(env):
+    return reconciled(*stored_cards(env))
+
+
 def edit_log(env):
     """Layout edits by users of a few papers: every kind, some of what is no longer there, some sent twice."""
     e = env.table("events")
