@@ -54,8 +54,6 @@ class Tracked(NamedTuple):
         return Tracked("".join(out), start, end)
 
 
-_SCRIPT = re.compile(r"<su([bp])>(.*?)</su[bp]>")
-_TAG = re.compile(r"</?\w+[^>]*>")
 _SPACE = re.compile(r"\s+")
 # Characters that may compose with the one before: marks, Hangul vowels and finals, halfwidth voicing marks.
 _JOINS = re.compile(r"[ᅠ-ᇿힰ-퟿ﾞﾟﾠ-ￜ]")
@@ -82,13 +80,15 @@ def aligned_key(raw: str | None) -> Tracked:
     """:func:`.text.witness_key` of a text, each character with its raw range."""
     raw = raw or ""
     t = Tracked(raw, list(range(len(raw))), list(range(1, len(raw) + 1)))
-    t = t.rewritten(_SCRIPT, lambda m: ["_" if m[1] == "b" else "^", m.span(2)])
-    t = t.rewritten(_TAG, lambda m: [])
+    for pattern, parts in readings.KEY_BEFORE:
+        t = t.rewritten(pattern, parts)
     t = _folded(t.rewritten(readings._RAISED, lambda m: [readings._EXPONENTS[ord(m[0])]]))
     t = t.rewritten(readings._TOKEN, lambda m: [readings._printed(m)])
     t = t.rewritten(readings._FOLDED, lambda m: [readings._FOLD[m[0]]]).rewritten(_SPACE, lambda m: [])
     for old, new in (("//", "∥"), ("^°", "°"), ("[]", "()")):
         t = t.rewritten(re.compile(re.escape(old)), lambda m: [new])  # noqa: B023
+    for pattern, parts in readings.KEY_AFTER:
+        t = t.rewritten(pattern, parts)
     return t
 
 

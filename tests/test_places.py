@@ -11,7 +11,7 @@ from lodeweave.operators.spots import spot_boxes
 from lodeweave.plans import cards
 from lodeweave.plans.registry import Env
 
-PIECES = ["<sup>2</sup>", "<sub>n</sub>", "<b>", "</b>", "\\angle ", "\\frac{1}{2}", "\\le", "$", "x", "AB", "²", "ｘ", "（", "）", "é", "각", "가", "ｶﾞ", "//", "[]", "^{\\circ}", "(5分)", "__", "\\hspace{2em}", "\\,", " ", "\n", "三角形", "。", "…", "½", "\\text{km}"]
+PIECES = ["<sup>2</sup>", "<sub>n</sub>", "<b>", "</b>", "\\angle ", "\\frac{1}{2}", "\\le", "$", "x", "AB", "²", "ｘ", "（", "）", "é", "각", "가", "ｶﾞ", "//", "[]", "^{\\circ}", "(5分)", "__", "\\hspace{2em}", "\\,", " ", "\n", "三角形", "。", "…", "½", "\\text{km}", "$a~b$", "~", "（C）", "例3 ", "12. ", "（多选题）", "\\bar", "\\left\\{\\begin{array}{l}", "\\end{array}\\right.", "...", "ΔABC", "<sub>12.</sub>", "\\scriptstyle "]
 
 
 @settings(max_examples=400, deadline=None)
@@ -102,7 +102,7 @@ def test_queries_show_what_was_read(spark, sf):
     assert len(placed) > 0.9 * len(shown)
     for x in placed:
         assert text.witness_key(x["shown"]) == spots[x["conv_id"], x["turn"], x["nth"]]["reading"]
-    assert cards.scl10_spot_boxes(env).count() > 0.9 * len(spots)
+    assert cards.scl10_spot_boxes(env).count() > 0.8 * len(spots)  # some stand across two blocks
 
 
 def test_raw_spots_beside_marks():
@@ -111,3 +111,18 @@ def test_raw_spots_beside_marks():
     assert find("abcdefghij", "abcXeYghij") == [("def", "XeY", 3)]
     assert find("abc,def,3,ghi,jkl", "abc,def,5,ghi,jkl") == [("3", "5", 8)]
     assert find("same text here", "same text here") == []
+
+
+def test_witness_keys():
+    key = text.witness_key
+    assert key("12. 已知 x<sup>2</sup>") == key("已知 x^2") == "已知x^2"
+    assert key("<sub>12.</sub> <sub>已知b是</sub>") == "已知b是" and key("求<sub>甲</sub>") == "求甲"  # layout, no index
+    assert key("例3：求 a") == key("求 a") and key("例3中的结果") == "例3中的结果"
+    assert key("（多选题）函数") == "函数" and key("多选题") == "多选题"
+    assert key("是（C）个") == key("是（ ）个") and key("P(A)") == "P(A)"
+    assert key(r"$\bar{x}$") == key(r"$\overline{x}$") and key(r"$\barx$") == "barx"
+    assert key(r"$\left\{ \begin{array}{l} x \end{array} \right.$") == key(r"$\begin{cases}x\end{cases}$")
+    assert key("$a~b$") == "ab" and key("a~b") == "a~b"
+    assert key("1, 2, ...") == key("1, 2, ⋯") == key("1, 2, …") and key("ΔABC") == "△ABC" and key("Δx") == "Δx"
+    assert key("if a<c and x>d") == "ifa<candx>d"  # signs, no tag
+    assert key(None) == "" and key("  ") == ""
