@@ -64,9 +64,11 @@ def _probe(printed: Column, origin: Column) -> Column:
 
 def mismatch(printed: Column, reading: Column, origin: Column) -> Column:
     """Whether none of the printed prose occurs in a reading, not even four characters; false where nothing can be compared."""
-    probe, squeezed = _probe(printed, origin), F.regexp_replace(reading, r"\s+", "")
-    shared = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(probe) - WINDOW + 1)), lambda i: F.contains(squeezed, F.substr(probe, i, F.lit(WINDOW))))
-    return F.coalesce(probe.isNotNull() & ~shared, F.lit(False))
+    # bound by a lambda, so that both are made once a card
+    once = F.array(F.struct(_probe(printed, origin).alias("probe"), F.regexp_replace(reading, r"\s+", "").alias("text")))
+    window = lambda t, i: F.contains(t["text"], F.substr(t["probe"], i, F.lit(WINDOW)))
+    shared = lambda t: F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t["probe"]) - WINDOW + 1)), lambda i: window(t, i))
+    return F.exists(once, lambda t: F.coalesce(t["probe"].isNotNull() & ~shared(t), F.lit(False)))
 
 
 def _boxes(rows: DataFrame, name: str, *more: str) -> DataFrame:
