@@ -117,6 +117,7 @@ def test_witness_keys():
     key = text.witness_key
     assert key("12. 已知 x<sup>2</sup>") == key("已知 x^2") == "已知x^2"
     assert key("<sub>12.</sub> <sub>已知b是</sub>") == "已知b是" and key("求<sub>甲</sub>") == "求甲"  # layout, no index
+    assert key("3. 5 is") == "5is" and key("3.5 is") == "3.5is" and key("3 已知") == "已知" and key("3 a") == "3a" and key("3已知") == "3已知"
     assert key("例3：求 a") == key("求 a") and key("例3中的结果") == "例3中的结果"
     assert key("（多选题）函数") == "函数" and key("多选题") == "多选题"
     assert key("是（C）个") == key("是（ ）个") and key("P(A)") == "P(A)"
