@@ -242,3 +242,8 @@ def test_ordered_groups(spark):
     df = spark.createDataFrame([(k % 5, k, k % 7) for k in range(200)], "g long, o long, v long").repartition(7)
     out = sequences.ordered_groups(df, "g", ["o"], lambda rows: [(rows[0].g, len(rows), [r.o for r in rows] == sorted(r.o for r in rows))], "g long, n long, sorted boolean").collect()
     assert sorted((r.g, r.n, r.sorted) for r in out) == [(g, 40, True) for g in range(5)]
+
+
+def test_section_label_of_a_bare_number(spark):
+    rows = spark.createDataFrame([("56.187.231.17",), ("56.187.231.175 Kei",), ("5.5.2 a short title",), ("5.3 a title, cut off",), ("5.33: a title cut",)], "s string")
+    assert [r[0] for r in rows.select(text.section_label(F.col("s"))).collect()] == ["56.187.231.17", "56.187.231.175 Kei", "5.5.2 a short title", "", ""]
