@@ -160,10 +160,27 @@ def ink_profile(pixels: DataFrame) -> DataFrame:
 
 
 def snapped_cuts(cuts: DataFrame, gaps: DataFrame, reach: float = 15) -> DataFrame:
-    """Each cut moved to the middle of the nearest white gap within reach, else left."""
-    near = cuts.join(gaps, "page_id").withColumn("_m", (F.col("from") + F.col("to")) / 2).where(F.abs(F.col("_m") - F.col("y")) <= reach)
-    best = near.groupBy("page_id", "cut_id").agg(F.min(F.struct(F.abs(F.col("_m") - F.col("y")).alias("d"), F.col("_m").alias("m"))).alias("b"))
-    return cuts.join(best, ["page_id", "cut_id"], "left").select("page_id", "cut_id", F.coalesce("b.m", F.col("y").cast("double")).alias("y"))
+    """Each cut moved to the middle of the nearest white gap within reach, else left; of two as near the upper one.
+
+    The nearest are the last middle above and the first one below, so a window
+    over a page's bands of twice the reach finds them: no pairs are made, and a
+    band's neighbours lend it no more than their outermost middles.
+    """
+    band = lambda at: F.floor(at / (2 * reach))
+    middles = gaps.select("page_id", ((F.col("from") + F.col("to")) / 2).alias("m")).where("page_id is not null and m is not null").distinct()
+    by_band = middles.select("page_id", band(F.col("m")).alias("band"), "m")
+    ends = by_band.groupBy("page_id", "band").agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    lent = ends.select("page_id", F.inline(F.array(F.struct((F.col("band") - 1).alias("band"), F.col("first").alias("m")), F.struct((F.col("band") + 1).alias("band"), F.col("last").alias("m")))))
+    at = F.col("y").cast("double")
+    rows = cuts.select("page_id", "cut_id", at.alias("y"), band(at).alias("band"), F.lit(None).cast("double").alias("m"), F.lit(True).alias("cut"))
+    spots = by_band.unionByName(lent).select("page_id", F.lit(None).cast(cuts.schema["cut_id"].dataType).alias("cut_id"), F.col("m").alias("y"), "band", "m", F.lit(False).alias("cut"))
+    # both frames end at the row, as one that begins there would be read anew for each row
+    upto = lambda order: Window.partitionBy("page_id", "band").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.unionByName(spots).withColumns({"up": F.last("m", True).over(upto(F.asc("y"))), "down": F.last("m", True).over(upto(F.desc("y")))}).where("cut")
+    far = lambda m: F.abs(F.col(m) - F.col("y"))
+    within = lambda m: F.when(far(m) <= reach, F.struct(far(m).alias("d"), F.col(m).alias("m")))
+    best = F.min(F.least(within("up"), within("down"))).over(Window.partitionBy("page_id", "cut_id"))  # of an id's repeated cuts
+    return near.select("page_id", "cut_id", F.coalesce(F.when(F.col("cut_id").isNotNull(), best["m"]), F.col("y")).alias("y"))
 
 
 def _lines(rows: list) -> list[tuple]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.functions import markup, text
-from lodeweave.operators import evaluation, segmentation, sequences, spatial
+from lodeweave.operators import cards, evaluation, segmentation, sequences, spatial
 from lodeweave.streaming import jobs
 
 
@@ -247,3 +247,20 @@ def test_ordered_groups(spark):
 def test_section_label_of_a_bare_number(spark):
     rows = spark.createDataFrame([("56.187.231.17",), ("56.187.231.175 Kei",), ("5.5.2 a short title",), ("5.3 a title, cut off",), ("5.33: a title cut",)], "s string")
     assert [r[0] for r in rows.select(text.section_label(F.col("s"))).collect()] == ["56.187.231.17", "56.187.231.175 Kei", "5.5.2 a short title", "", ""]
+
+
+def test_cuts_snap_to_the_nearest_of_many_gaps(spark):
+    random.seed(5)
+    gaps = [(k % 2, a, a + random.choice([0, 4, 8])) for k in range(300) for a in [random.randrange(400)]] + [(0, None, 5), (None, 1, 5), (0, 6, 12)]
+    cuts = [(k % 3, k, random.choice([random.randrange(900) / 2, float(random.randrange(450))])) for k in range(400)] + [(0, 400, None), (0, 401, 7.0), (0, 401, 7.0), (None, 402, 3.0), (0, None, 9.0)]
+    got = cards.snapped_cuts(spark.createDataFrame(cuts, "page_id long, cut_id long, y double"), spark.createDataFrame(gaps, "page_id long, from long, to long"))
+    middles = {p: [(a + b) / 2 for q, a, b in gaps if q == p and a is not None] for p in (0, 1)}
+
+    def plain(page, c, y):
+        near = [(abs(m - y), m) for m in middles.get(page, []) if abs(m - y) <= 15] if y is not None and c is not None else []
+        return min(near)[1] if near else y
+
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(p, c, plain(p, c, y)) for p, c, y in cuts], key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # pairs of a page's cuts and gaps would grow with their product
