@@ -11,9 +11,11 @@ content and ``pages`` for one of the page order: both outdate what was seen.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 from pyspark.sql import DataFrame
 
-from .sequences import ordered_groups
+from .sequences import streamed_groups
 
 # Sources and targets that each kind of operation takes, at least and at most; the highest number.
 TAKES = {"regions": ((1, 1), (1, 1)), "renumber": ((1, 1), (1, 1)), "add": ((0, 0), (1, 1)), "split": ((1, 1), (2, 12)), "merge": ((2, 12), (1, 1))}
@@ -44,7 +46,8 @@ class _Refused(Exception):
 class _Paper:
     """The cards of one paper while its log is folded. A card is (number, group, boxes, revision, live)."""
 
-    def __init__(self):
+    def __init__(self, paper_id: int):
+        self.paper_id = paper_id
         self.cards: dict[int, tuple] = {}
         self.held: dict[tuple, int] = {}  # (group, number) of live cards
         self.revision = self.epoch = self.live = 0
@@ -106,7 +109,7 @@ class _Paper:
                 return "unchanged", sources, []
             after = {sources[0]: (*now, revision + 1, True)}
         else:
-            after = {c: (*s[:3], s[3] + 1, False) for c, s in zip(sources, old)}
+            after = {c: (*s[:2], (), s[3] + 1, False) for c, s in zip(sources, old)}  # an undo has their boxes
             new = range(len(self.cards) + 1, len(self.cards) + 1 + len(targets))  # cards that are gone keep their ids
             after |= {c: (n, g, b, 0, True) for c, (g, n), b in zip(new, places, boxes)}
         self.apply(after)
@@ -132,7 +135,7 @@ class _Paper:
             raise _Refused("touched")
         for c, s in before.items():  # what it made first, so that numbers are free again
             if s is None:
-                self.put(c, (*self.cards[c][:3], reached[c] + 1, False))
+                self.put(c, (*self.cards[c][:2], (), reached[c] + 1, False))
         for c, s in before.items():
             if s is not None:
                 self.put(c, (*s[:3], reached[c] + 1, True))
@@ -142,7 +145,7 @@ class _Paper:
 
     def step(self, op) -> tuple:
         """The receipt of one operation."""
-        said = repr((op.kind, _list(op.sources), None if op.seen is None else _list(op.seen), [(t["number"], t["grp"], _boxes(t["regions"])) for t in _list(op.targets)]))
+        said = blake2b(repr((op.kind, _list(op.sources), None if op.seen is None else _list(op.seen), [(t["number"], t["grp"], _boxes(t["regions"])) for t in _list(op.targets)])).encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if op.request is not None and op.request in self.receipts:
             first, was, receipt = self.receipts[op.request]
             if was != said:
@@ -164,23 +167,17 @@ def receipts(log: DataFrame) -> DataFrame:
     operation that it repeats) and refused with a reason. A null ``expected`` or
     ``seen`` takes what is current, a null request is never a repetition.
     Operations follow each other by op_id. Each costs time by the cards it names.
+    A task holds a paper's cards and what answers its requests, never its log.
     """
 
-    def fold(ops: list) -> list[tuple]:
-        paper = _Paper()
-        return [paper.step(op) for op in ops]
-
-    return ordered_groups(log, "paper_id", ["op_id"], fold, RECEIPT)
+    return streamed_groups(log, "paper_id", ["op_id"], lambda first: _Paper(first.paper_id), _Paper.step, None, RECEIPT)
 
 
 def cards_after(log: DataFrame) -> DataFrame:
     """The live cards of each paper after its log."""
 
-    def fold(ops: list) -> list[tuple]:
-        paper = _Paper()
-        for op in ops:
-            paper.step(op)
+    def live(paper: _Paper) -> list[tuple]:
         name = lambda b: dict(zip(("page", "x0", "y0", "x1", "y1"), b))
-        return [(ops[0].paper_id, c, s[0], s[1], [name(b) for b in s[2]], s[3]) for c, s in paper.cards.items() if s[4]]
+        return [(paper.paper_id, c, s[0], s[1], [name(b) for b in s[2]], s[3]) for c, s in paper.cards.items() if s[4]]
 
-    return ordered_groups(log, "paper_id", ["op_id"], fold, CARD)
+    return streamed_groups(log, "paper_id", ["op_id"], lambda first: _Paper(first.paper_id), lambda paper, op: paper.step(op) and None, live, CARD)

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from lodeweave.operators import layout_edits, merge, option_figures
+from lodeweave.operators import layout_edits, merge, option_figures, sequences
 from lodeweave.plans import papers
 from lodeweave.plans.registry import Env
 
@@ -311,3 +311,21 @@ def test_matching_equals_the_sequential_rule(env):
 
     actions = Counter(r.action for r in cards.resegment_matched(stored, wanted).collect())
     assert set(actions) == {"add", "drop", "keep", "move", "protected"} and sum(actions.values()) == sum(map(len, got.values()))
+
+
+def test_a_paper_s_log_is_never_held(spark):
+    rows = [(1 + k % 2, k, None if k % 3 else f"r{k % 40}") for k in range(40_000)]
+    df = spark.createDataFrame(rows, "paper_id long, op_id long, request string").repartition(4)
+
+    def step(state, row):
+        import gc
+
+        state.append(row.op_id)
+        if row.op_id < 39_998:
+            return None
+        return row.paper_id, len(state), sum(type(o).__name__ == "Row" and hasattr(o, "op_id") for o in gc.get_objects())
+
+    out = sequences.streamed_groups(df, "paper_id", ["op_id"], lambda first: [], step, lambda state: [(-1, len(state), 0)], "paper_id long, n long, held long")
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:2] for r in got] == [(-1, 20_000), (-1, 20_000), (1, 20_000), (2, 20_000)] and max(r[2] for r in got) < 10
+    assert "streamed_groups" in layout_edits.receipts.__code__.co_names and "streamed_groups" in layout_edits.cards_after.__code__.co_names
