@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,19 @@ def test_cuts_snap_to_the_nearest_of_many_gaps(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted([(p, c, plain(p, c, y)) for p, c, y in cuts], key=key)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # pairs of a page's cuts and gaps would grow with their product
+
+
+def test_few_texts_of_a_batch_are_objects_at_once(spark):
+    def alive(x, _seen=[]):  # noqa: B006 - counts the texts of which the batch still holds an object
+        import sys
+
+        _seen.append(x)
+        held = sum(sys.getrefcount(s) > 3 for s in _seen)
+        return str(held)
+
+    batch = pa.array([f"text {k}" for k in range(1000)])
+    assert max(int(x) for x in text._sliced(alive, pa.string(), batch).to_pylist()) <= 2 * text._SLICE
+    assert text._sliced(lambda a, b: f"{a}{b}", pa.string(), batch, pa.array([None] * 1000, pa.string()))[999].as_py() == "text 999None"
+    assert len(text._sliced(str, pa.string(), pa.array([], pa.string()))) == 0
+    rows = spark.range(0, 300, 1, 1).select("id", text.text_column(text.search_key, F.concat(F.lit("A $ "), F.col("id").cast("string"))).alias("key"))
+    assert [r.key for r in rows.orderBy("id").collect()] == [f"a{k}" for k in range(300)]
