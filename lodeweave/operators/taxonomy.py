@@ -6,15 +6,20 @@ joins until nothing new is reached. Pairs are distinct, so diamonds never multip
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HIERARCHY = "contains"
 #: Edges, roots and pairs up to which a closure is walked in memory.
 SMALL, PAIRS = 20_000, 200_000
 _folders: dict[str, str] = {}
+#: Tables written by :func:`settled` in this process.
+_written: dict[str, SparkSession] = {}
 
 
 def hierarchy(edges: DataFrame) -> DataFrame:
@@ -66,9 +71,10 @@ def closure(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as files in the folder of checkpoints, so that neither plan nor lineage grows.
+    """``df`` as Parquet in the folder of checkpoints, so that neither plan nor lineage grows and later steps read only the columns they need.
 
-    A local session without such a folder gets a temporary one; a cluster needs one.
+    A local session without such a folder gets a temporary one; a cluster needs
+    one. The files go when the driver ends.
     """
     spark = df.sparkSession
     folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
@@ -77,9 +83,18 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("start the application with spark.checkpoint.dir naming a folder that the driver and all executors share")
         folder = _folders.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lodeweave-")
         _folders[context.applicationId] = folder
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    _written[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_written() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        for path, spark in _written.items():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def descendants(edges: DataFrame, tags) -> DataFrame:

@@ -103,28 +103,37 @@ def markers(blocks: DataFrame) -> DataFrame:
     p = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\*\*", ""), r"^\s+|\s+$", ""))
     rows = rows.withColumn("p", p).where("p != '' and seq is not null")
     math = F.coalesce(F.col("type") == "equation", F.lit(False))
-    by = Window.partitionBy("paper_id", math).orderBy("seq")
-    rows = rows.withColumns({"prev": F.lag("p").over(by), "next": F.lead("p").over(by)})
+    by = Window.partitionBy("paper_id", "math").orderBy("seq")
+    rows = rows.withColumn("math", math).repartition("paper_id").withColumns({"prev": F.lag("p").over(by), "next": F.lead("p").over(by)})  # all that follows stays in a paper's task
+    math = F.col("math")
+    # each pattern is searched once a block: what matched is kept in columns, what depends on a match is looked for only there
+    digits = F.col("number_text")
+    rows = rows.withColumns({"number_text": F.regexp_extract("p", _NUMBERED, 1), "example_text": F.regexp_extract("p", _EXAMPLE, 1), "child_text": F.regexp_extract("p", _CHILD, 1)})
+    rows = rows.withColumn("inner_text", F.when(digits == "", F.regexp_extract("p", _INSIDE, 1)).otherwise(""))
+    is_numbered, example, child, inner = digits != "", F.col("example_text") != "", F.col("child_text") != "", F.col("inner_text")
+    panel = F.coalesce(F.col("prev").rlike(_THINK), F.lit(False)) | F.coalesce(F.col("next").rlike(_DECIMAL), F.lit(False))
+    rows = rows.withColumns({
+        "body": F.when(is_numbered, F.trim(F.regexp_extract("p", _NUMBERED, 2))),
+        "inner_body": F.when(inner != "", F.trim(F.regexp_extract("p", _INSIDE, 2))),
+        # a panel that asks again about a numbered problem
+        "refers_text": F.when(~is_numbered & panel & F.col("p").rlike(r"[?？]") & F.col("p").rlike(_ASKS), F.regexp_extract("p", _REFERS, 1)),
+        "solved_at": F.when(~math, _before(F.col("p"), _SOLUTION_INSIDE)),
+        "formula_at": F.when(math, _before(F.col("p"), _SOLUTION_MATH)),
+    })
+    rows = rows.withColumns({"referred": F.when(F.col("refers_text") != "", number_of(F.col("refers_text"))), "example_number": F.when(example, number_of(F.col("example_text")))})
     p, size = F.col("p"), F.greatest(F.lit(1), F.length("p"))
     at = lambda before: F.col("y0") + (F.col("y1") - F.col("y0")) * before / size
     tail = lambda before: F.substr(p, before + 1)
-    is_numbered, body = p.rlike(_NUMBERED), F.trim(F.regexp_extract("p", _NUMBERED, 2))
-    asks = p.rlike(r"[?？]")
-    # a panel that asks again about a numbered problem
-    panel = F.coalesce(F.col("prev").rlike(_THINK), F.lit(False)) | F.coalesce(F.col("next").rlike(_DECIMAL), F.lit(False))
-    referred = number_of(F.regexp_extract("p", _REFERS, 1))
-    again = panel & ~is_numbered & asks & p.rlike(_ASKS) & referred.isNotNull()
+    body, inner_body, referred, solved_at, example_number = (F.col(c) for c in ("body", "inner_body", "referred", "solved_at", "example_number"))
+    again = referred.isNotNull()
     # the next number inside a paragraph
-    inner, inner_body = F.regexp_extract("p", _INSIDE, 1), F.trim(F.regexp_extract("p", _INSIDE, 2))
     inner_at = F.length("p") - F.length(F.regexp_extract("p", r"(?s)[？?。．.!！；;](?<![0-9]\.)\s*([0-9]{1,3}\s*[.．、]\s*.+)$", 1))
-    embedded = ~is_numbered & (inner != "") & (inner.cast("int") > 0) & inner_body.rlike(_ASKS)
+    embedded = (inner != "") & (inner.cast("int") > 0) & inner_body.rlike(_ASKS)
     ended = embedded & inner_body.rlike(r"[。．.？?]$") & ~inner_body.rlike(r"[（(]\s*[）)]")
-    solved_at = _before(p, _SOLUTION_INSIDE)
-    example, example_number, example_rest = p.rlike(_EXAMPLE), number_of(F.regexp_extract("p", _EXAMPLE, 1)), F.ltrim(F.regexp_extract("p", _EXAMPLE, 2))
-    true_example = example_number.isNotNull() & ~example_rest.rlike(rf"^{_any(NO_EXAMPLE)}")
+    true_example = example_number.isNotNull() & ~F.ltrim(F.regexp_extract("p", _EXAMPLE, 2)).rlike(rf"^{_any(NO_EXAMPLE)}")
     steps = p.rlike(_STEPS)
-    child, child_body = p.rlike(_CHILD), F.trim(F.regexp_extract("p", _CHILD, 2))
-    line_number = F.regexp_extract("p", _NUMBERED, 1).cast("int")
+    child_body = F.trim(F.regexp_extract("p", _CHILD, 2))
+    line_number = digits.cast("int")
     y0, whole = F.col("y0"), F.col("text")
     own = (
         F.when(example, F.when(true_example, _marker("example_start", y0, whole, example_number, F.lit(True))).otherwise(_marker("example_reference", y0, whole, example_number)))
@@ -132,7 +141,7 @@ def markers(blocks: DataFrame) -> DataFrame:
         .when(p.rlike(_CHOICE), _marker("choice_bundle_header", y0, whole))
         .when(p.rlike(_SOLUTION), _marker("analysis_solution", y0, whole))
         .when(p.rlike(HEADING) | p.rlike(_DECIMAL) | p.rlike(_PART) | steps | p.rlike(_TRANSITION), _marker(F.when(steps, "procedure_intro").otherwise("section_heading"), y0, whole))
-        .when(child, F.when(child_body != "", _marker("parenthesized", y0, whole, F.regexp_extract("p", _CHILD, 1).cast("int"), child_body.rlike(_ASKS))))
+        .when(child, F.when(child_body != "", _marker("parenthesized", y0, whole, F.col("child_text").cast("int"), child_body.rlike(_ASKS))))
         .when(is_numbered & (line_number > 0), _marker(F.when(body.rlike(_REPORT), "non_card_numbered").otherwise("numbered"), y0, whole, line_number, body.rlike(_ASKS)))
     )
     bottom = F.col("y1")
@@ -145,26 +154,26 @@ def markers(blocks: DataFrame) -> DataFrame:
         own,
         F.when(p.rlike(_COLUMN), _marker("column_header", y0, whole)),
     )
-    formula_at = _before(p, _SOLUTION_MATH)
+    formula_at = F.col("formula_at")
     in_formula = F.array(F.when(formula_at.isNotNull(), _marker("analysis_solution", at(formula_at), tail(formula_at))))
-    out = rows.withColumn("m", F.explode(F.filter(F.when(math, in_formula).otherwise(found), lambda m: m.isNotNull())))
-    out = out.select("paper_id", "seq", "page", F.col("x0").alias("x"), "m.*")
-    return out.unionByName(_context_questions(rows.where(~math), out))
+    rows = rows.withColumn("found", F.array_compact(F.when(math, in_formula).otherwise(found)))
+    return _with_context(rows).select("paper_id", "seq", "page", F.col("x0").alias("x"), F.explode("found").alias("m")).select("paper_id", "seq", "page", "x", "m.*")
 
 
-def _context_questions(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The question below a numbered stage that only announces one: the next asking block of the page before any other marker."""
-    announces = (F.col("kind") == "non_card_numbered") & F.trim(F.regexp_extract("text", _NUMBERED, 2)).rlike(f"^{CONTEXT_STAGE}")
-    marks = found.groupBy("paper_id", "seq").agg(F.max(F.when(announces, F.struct("page", "number"))).alias("stage"))
-    stage = "struct<page:int,number:int>"
+def _with_context(rows: DataFrame) -> DataFrame:
+    """``rows`` with the question below a numbered stage that only announces one among their markers: the next asking block of the page before any other marker."""
+    announces = lambda m: (m["kind"] == "non_card_numbered") & F.trim(F.regexp_extract(m["text"], _NUMBERED, 2)).rlike(f"^{CONTEXT_STAGE}")
+    own = F.array_max(F.transform(F.filter("found", announces), lambda m: F.struct(F.col("page").cast("int").alias("page"), m["number"].alias("number"))))
     by = Window.partitionBy("paper_id").orderBy("seq")
+    peers, before = by.rangeBetween(Window.currentRow, Window.currentRow), by.rowsBetween(Window.unboundedPreceding, -1)
     # rows that hold a marker end the reach of the one before, other rows keep it
-    line = rows.join(marks.withColumn("marked", F.lit(True)), ["paper_id", "seq"], "left")
-    seen = line.withColumn("over", F.last(F.when(F.col("marked"), F.struct(F.col("stage").cast(stage).alias("stage"), F.col("seq").alias("at"))), True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    asking = seen.where("marked is null and over.stage is not null and over.stage.page = page").where(F.col("p").rlike("[?？]") & F.col("p").rlike(_ASKS))
-    first = asking.withColumn("k", F.row_number().over(Window.partitionBy("paper_id", "over.at").orderBy("seq"))).where("k = 1")
+    seen = rows.withColumn("stage", own).withColumns({"marked": F.max(F.size("found") > 0).over(peers), "stage": F.max("stage").over(peers)})
+    seen = seen.withColumn("over", F.last(F.when(~F.col("math") & F.col("marked"), F.struct("stage", F.col("seq").alias("at"))), True).over(before))
+    below = ~F.col("math") & ~F.col("marked") & (F.col("over.stage.page") == F.col("page")) & F.col("p").rlike("[?？]") & F.col("p").rlike(_ASKS)
+    asking = seen.withColumn("asking", F.coalesce(F.when(F.col("over.stage").isNotNull(), below), F.lit(False)))
+    first = F.col("asking") & ~F.col("over.at").eqNullSafe(F.last(F.when(F.col("asking"), F.col("over.at")), True).over(before))
     pair = F.array(_marker("context_question", F.col("y0"), F.col("text"), F.col("over.stage.number"), F.lit(True)), _marker("embedded_question_end", F.col("y1") + BEFORE_NEXT, F.lit("")))
-    return first.withColumn("m", F.explode(pair)).select("paper_id", "seq", "page", F.col("x0").alias("x"), "m.*")
+    return asking.withColumn("first", first).withColumn("found", F.when(F.col("first"), F.concat("found", pair)).otherwise(F.col("found")))
 
 
 def _state(sets: Column) -> Column:
@@ -176,17 +185,20 @@ def _state(sets: Column) -> Column:
 def resolved(found: DataFrame) -> DataFrame:
     """Markers in reading order with ``role``: example, exercise, boundary or none, and the kind of the boundary."""
     kind = F.col("kind")
-    body = F.trim(F.regexp_extract(F.regexp_replace("text", r"\*\*", ""), _NUMBERED, 2))
-    strong, short = body.rlike(_ASKS_STRONGLY), (body != "") & (F.length(body) <= TITLE) & ~F.col("asks") & ~body.rlike("[：:？?]$")
+    # only numbered lines are judged by their words, once each
+    body = F.col("body")
+    found = found.withColumn("body", F.when(kind == "numbered", F.trim(F.regexp_extract(F.regexp_replace("text", r"\*\*", ""), _NUMBERED, 2))))
+    found = found.withColumns({"strong": body.rlike(_ASKS_STRONGLY), "short": (body != "") & (F.length(body) <= TITLE) & ~F.col("asks") & ~body.rlike("[：:？?]$"), "bare": body == ""}).drop("body")
+    strong, short, bare = F.col("strong"), F.col("short"), F.col("bare")
     numbered, off = kind == "numbered", F.lit(False)
     clears = kind.isin("example_start", "context_question")
     practice = F.when(kind == "practice_header", True).when(clears | kind.isin("choice_bundle_header", "procedure_intro", "section_heading", "non_card_numbered"), off)
     choices = F.when(kind == "choice_bundle_header", True).when(clears | numbered | kind.isin("practice_header", "column_header", "procedure_intro", "section_heading", "non_card_numbered"), off)
     procedure = F.when(kind == "procedure_intro", True).when(clears | kind.isin("practice_header", "column_header", "choice_bundle_header", "section_heading"), off)
     # instructions end with the first true question among them
-    instructions = F.when(kind == "section_heading", F.col("text").contains(INSTRUCTIONS)).when(clears | kind.isin("practice_header", "column_header", "choice_bundle_header", "procedure_intro") | (numbered & strong & ~short & (body != "")), off)
+    instructions = F.when(kind == "section_heading", F.col("text").contains(INSTRUCTIONS)).when(clears | kind.isin("practice_header", "column_header", "choice_bundle_header", "procedure_intro") | (numbered & strong & ~short & ~bare), off)
     at = found.withColumns({"practice": _state(practice), "choices": _state(choices), "procedure": _state(procedure), "instructions": _state(instructions)})
-    title = F.col("procedure") | (F.col("instructions") & ~strong) | (~F.col("practice") & (short | (body == "")))
+    title = F.col("procedure") | (F.col("instructions") & ~strong) | (~F.col("practice") & (short | bare))
     role = (
         F.when(kind == "example_start", "example")
         .when(kind == "context_question", "exercise")

@@ -395,3 +395,19 @@ def test_leading_questions_equal_plain_version(env):
     assert min(seen.count(k) for k in ("repaired", "suspected", None)) > 5
     more = exam.with_leading(blocks, layout).starts
     assert more.where("source = 'inferred'").count() == seen.count("repaired") and more.count() == layout.starts.count() + seen.count("repaired")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markers_deal_blocks_out_once(spark):
+    found = plan(textbook.markers(spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 9.0, 10.0, "text", "1. 求 x")], BLOCK)))
+    assert found.count("Exchange hashpartitioning") == 1 and "Join" not in found
+
+
+def test_settled_tables_are_read_by_column(spark):
+    from lodeweave.operators.taxonomy import settled
+
+    wide = settled(spark.createDataFrame([(1, "a", [(2, None)])], "k long, text string, more array<struct<x:int,y:string>>"))
+    assert wide.collect()[0].more[0].y is None and "ReadSchema: struct<k:bigint>" in plan(wide.select("k"))
