@@ -234,7 +234,7 @@ def analyse(blocks: DataFrame) -> Layout:
     sure = found.where("source = 'read' and at_start and score >= 3")
     unsure = found.where("source = 'read'").join(sure.select("paper_id").distinct(), "paper_id", "left_anti")
     lines = column_lines(sure.unionByName(unsure), blocks)
-    heads = headings(blocks)
+    heads = settled(headings(blocks))
     at = placed(found, lines)
     first = placed(heads.where(F.col("kind") == "heading"), lines).where(F.col("text").startswith("一")).groupBy("paper_id").agg(F.min(F.struct(*_KEY)).alias("section"))
     after = at.join(first, "paper_id", "left").withColumn("later", F.struct(*_KEY) > F.col("section"))
@@ -244,7 +244,8 @@ def analyse(blocks: DataFrame) -> Layout:
     many = chain.groupBy("paper_id").count().where("count >= 3").select("paper_id")
     again = column_lines(chain.join(many, "paper_id", "left_semi"), blocks.join(many, "paper_id", "left_semi"))
     lines = settled(lines.join(many, "paper_id", "left_anti").unionByName(again))
-    return Layout(numbered(placed(kept, lines), True), slots(blocks, lines), placed(heads, lines), lines)
+    # whoever uses the starts reads them several times, and a chain costs a pass in Python
+    return Layout(settled(numbered(placed(kept, lines), True)), slots(blocks, lines), placed(heads, lines), lines)
 
 
 _CITED = r"^\s*[\[【（(][^\]】）)]{1,96}[\]】）)]\s*"
@@ -313,20 +314,20 @@ def regions(layout: Layout) -> DataFrame:
     The first box begins above the start, but not in a heading that stands right
     there, the last one ends before the next; slivers are dropped.
     """
-    heads = layout.headings
+    heads, spaces = layout.headings, settled(layout.slots)
     events = layout.starts.select("paper_id", *_KEY).unionByName(heads.select("paper_id", *_KEY)).distinct()
     stops = events.withColumn("stop", F.lead(F.struct(*_KEY)).over(Window.partitionBy("paper_id").orderBy(*_KEY)))
     above = layout.starts.select("paper_id", "page", "col", "y").distinct().join(heads.select("paper_id", "page", "col", F.col("y").alias("head_y"), "bottom"), ["paper_id", "page", "col"])
     floor = above.where((F.col("head_y") < F.col("y")) & (F.col("bottom") <= F.col("y") + 2)).groupBy("paper_id", *_KEY).agg(F.max(F.least("y", F.col("bottom") + 1)).alias("floor"))
     spans = layout.starts.join(stops, ["paper_id", *_KEY]).join(floor, ["paper_id", *_KEY], "left")
-    places = layout.slots.select("paper_id", F.col("page").alias("page"), F.col("col").alias("col"), "slot")
+    places = spaces.select("paper_id", F.col("page").alias("page"), F.col("col").alias("col"), "slot")
     # a stop in a column without content ends the region before the next column that has some
     ends = places.select("paper_id", F.struct("page", "col").alias("at"), "slot").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("at", "slot"))).alias("all"))
     spans = spans.join(places, ["paper_id", "page", "col"]).join(ends, "paper_id")
     stop = F.struct(F.col("stop.page").alias("page"), F.col("stop.col").alias("col"))
     last = F.coalesce(F.array_max(F.transform(F.filter("all", lambda s: s["at"] <= stop), lambda s: s["slot"])), F.when(F.col("stop").isNull(), F.size("all") - 1), F.col("slot"))
     wide = spans.withColumn("last", F.greatest(last, F.col("slot"))).drop("all").withColumn("first", F.col("slot")).withColumn("slot", F.explode(F.sequence("first", "last")))
-    at = layout.slots.select("paper_id", "slot", F.col("page").alias("at_page"), F.col("col").alias("at_col"), "x0", "x1", "top", "bottom")
+    at = spaces.select("paper_id", "slot", F.col("page").alias("at_page"), F.col("col").alias("at_col"), "x0", "x1", "top", "bottom")
     cut = wide.join(at, ["paper_id", "slot"])
     pad = PAD + F.when(F.col("source") == "located", PAD_LOCATED).when(~F.col("at_start"), PAD_INSIDE).otherwise(0.0)
     top = F.when(F.col("slot") == F.col("first"), F.greatest(F.col("top"), F.col("y") - pad, F.coalesce("floor", F.lit(0.0)))).otherwise(F.col("top"))

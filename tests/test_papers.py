@@ -406,6 +406,12 @@ def test_markers_deal_blocks_out_once(spark):
     assert found.count("Exchange hashpartitioning") == 1 and "Join" not in found
 
 
+def test_starts_are_chained_once(spark):
+    layout = exam.analyse(spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 9.0, 10.0, "text", "1. 求 x")], BLOCK))
+    assert [r.number for r in layout.starts.collect()] == [1]
+    assert "MapInPandas" not in plan(layout.starts) and "MapInPandas" not in plan(exam.regions(layout))
+
+
 def test_settled_tables_are_read_by_column(spark):
     from lodeweave.operators.taxonomy import settled
 
