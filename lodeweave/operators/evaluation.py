@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .sequences import ordered_groups
 from .spatial import union_area
+from .taxonomy import settled
 
 KEYS = ["doc_id", "group_no", "kind", "number"]
 
@@ -98,13 +99,14 @@ def layout_scores(truth: DataFrame, result: DataFrame, regions: DataFrame, figur
     named = result.withColumn("k", F.row_number().over(first)).where("k = 1").select("doc_id", F.col("card").alias("r_card"), *[F.col(c).alias(f"r_{c}") for c in KEYS[1:]])
     same = reduce(lambda x, y: x & y, [truth[c].eqNullSafe(F.col(f"r_{c}")) for c in KEYS[1:]])
     pairs = truth.alias("t").join(named.withColumnRenamed("doc_id", "r_doc"), (F.col("t.doc_id") == F.col("r_doc")) & same).select("doc_id", "card", "r_card")
+    pairs = settled(pairs)
     side = lambda df, name: df.where(F.col("side") == name).drop("side")
     as_truth = lambda df: side(df, "result").withColumnRenamed("card", "r_card").join(pairs, ["doc_id", "r_card"]).drop("r_card")
     summed = lambda df, name: union_area(df, [*CARD, "page"]).groupBy("doc_id").agg(F.sum("area").alias(name))
     true_area, result_area = summed(side(regions, "truth"), "truth_area"), summed(side(regions, "result"), "result_area")
     shared = _shared(side(regions, "truth"), as_truth(regions), [*CARD, "page"], CARD).groupBy("doc_id").agg(F.sum("shared").alias("shared_area"))
     # figures of matched cards
-    t, r = side(figures, "truth"), as_truth(figures)
+    t, r = side(figures, "truth"), settled(as_truth(figures))
     shape = lambda df, name: union_area(df, [*CARD, "figure", "slot", "page"]).groupBy(*CARD, "figure", "slot").agg(F.sum("area").alias(f"{name}_area"), F.sort_array(F.collect_set("page")).alias("pages")).withColumnRenamed("figure", name)
     meets = _shared(t.withColumnRenamed("figure", "truth"), r.withColumnRenamed("figure", "result"), [*CARD, "slot", "page"], [*CARD, "truth", "result", "slot"])
     like = meets.join(shape(t, "truth"), [*CARD, "slot", "truth"]).join(shape(r, "result"), [*CARD, "slot", "result", "pages"])

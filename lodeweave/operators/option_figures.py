@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .taxonomy import settled
+
 # Letters of options, kinds with options, types of blocks that can be letters, size of such a block, margin to the next picture.
 SLOTS, CHOICES = "ABCDE", ["single_choice", "multiple_choice"]
 TEXTS = ["", "text", "paragraph", "list", "list_item", "image_caption"]
@@ -80,10 +82,10 @@ def evidence(cards: DataFrame, blocks: DataFrame, images: DataFrame) -> DataFram
     # images that a machine found and whose label is no other's; without any there is nothing to name
     auto = boxes.where(~F.coalesce("manual", F.lit(False)) & (F.coalesce("label", F.lit("")) != ""))
     valid = auto.withColumn("same", F.count("*").over(Window.partitionBy("card", "label"))).where("same = 1").select("card", "page", "label", "role", "x0", "y0", "x1", "y1")
-    used = used.join(valid.select("card").distinct(), "card", "left_semi")
+    used = settled(used.join(valid.select("card").distinct(), "card", "left_semi"))
     near = used.where("n = 1").join(valid, ["card", "page"]).withColumn("d", distance()).where("d is not null")
     ranks = Window.partitionBy("card", "slot").orderBy("d", "label")
-    first = near.withColumns({"k": F.row_number().over(ranks), "then": F.lead("d").over(ranks)}).where("k = 1")
+    first = settled(near.withColumns({"k": F.row_number().over(ranks), "then": F.lead("d").over(ranks)}).where("k = 1"))
     clear = first.where(F.col("then").isNull() | (F.col("then") - F.col("d") >= MARGIN)).withColumn("claims", F.count("*").over(Window.partitionBy("card", "label")))
     none = lambda kind: F.lit(None).cast(kind)
     said = ["card", "label", "slot", "seq", "distance", "role", "reason"]

@@ -417,3 +417,7 @@ def test_settled_tables_are_read_by_column(spark):
 
     wide = settled(spark.createDataFrame([(1, "a", [(2, None)])], "k long, text string, more array<struct<x:int,y:string>>"))
     assert wide.collect()[0].more[0].y is None and "ReadSchema: struct<k:bigint>" in plan(wide.select("k"))
+
+
+def test_tables_of_scores_and_options_are_numbered_once(env):
+    assert not any("l_orderkey" in plan(df) for df in (*papers.score_tables(env), *papers.option_tables(env)))
