@@ -10,6 +10,8 @@ number of a figure, or by paper and page.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,35 +58,39 @@ def _probe(printed: Column, origin: Column) -> Column:
     """The longest prose of the line with a card's number, without source and task words; null if it has none."""
     body = F.regexp_replace(printed, r"^\s*[(（\[【][^)）\]】]*[0-9]{4}[^)）\]】]*[)）\]】]", "")
     body = F.regexp_replace(F.regexp_replace(body, "|".join(TASK_WORDS), ""), r"^\s*[*※＊▲]?\s*[0-9]{1,3}\s*[.．、]", "")
-    own = F.split(body, r"[0-9]{1,3}\s*[.．、]", 2)[0]
+    own = F.regexp_replace(body, r"(?s)[0-9]{1,3}\s*[.．、].*", "")  # a split would compile its pattern once a row
     runs = F.filter(F.regexp_extract_all(own, F.lit(rf"([一-鿿]{{{LEAST_PROSE},}})"), F.lit(1)), lambda r: ~F.contains(F.coalesce(origin, F.lit("")), r))
-    longest = F.reduce(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
-    return F.when(F.length(longest) > 0, F.substring(longest, 1, PROBE))
+    longer = lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best)
+    return F.reduce(runs, F.lit(""), longer, lambda best: F.when(F.length(best) > 0, F.substring(best, 1, PROBE)))
 
 
 def mismatch(printed: Column, reading: Column, origin: Column) -> Column:
     """Whether none of the printed prose occurs in a reading, not even four characters; false where nothing can be compared."""
+    # a reading that holds the whole line, no word of which is left out, holds all its prose: most cards need no pattern
+    holds = F.coalesce(F.contains(reading, printed) & ~reduce(Column.__or__, [F.contains(printed, F.lit(w)) for w in TASK_WORDS]), F.lit(False))
     # bound by a lambda, so that both are made once a card
     once = F.array(F.struct(_probe(printed, origin).alias("probe"), F.regexp_replace(reading, r"\s+", "").alias("text")))
     window = lambda t, i: F.contains(t["text"], F.substr(t["probe"], i, F.lit(WINDOW)))
     shared = lambda t: F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t["probe"]) - WINDOW + 1)), lambda i: window(t, i))
-    return F.exists(once, lambda t: F.coalesce(t["probe"].isNotNull() & ~shared(t), F.lit(False)))
+    return ~holds & F.exists(once, lambda t: F.coalesce(t["probe"].isNotNull() & ~shared(t), F.lit(False)))
 
 
-def _boxes(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    """The boxes of each card in one array; a card has few."""
-    return rows.groupBy(*_ROWS).agg(F.array_sort(F.collect_set(F.struct(*BOX, *more))).alias(name))
+def _outside(drawn: DataFrame, regions: DataFrame) -> DataFrame:
+    """(paper_id, card_id, outside): cards with a figure whose centre lies in none of their regions. Whole boxes only."""
+    f = drawn.select(*_ROWS, "page", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    inside = [f[c] == regions[c] for c in (*_ROWS, "page")] + [f["cx"].between(regions["x0"] - NEAR, regions["x1"] + NEAR), f["cy"].between(regions["y0"] - NEAR, regions["y1"] + NEAR)]
+    return f.join(regions, inside, "left_anti").groupBy(*_ROWS).agg(F.lit(True).alias("outside"))
 
 
-def _captions(cards: DataFrame, blocks: DataFrame) -> DataFrame:
+def _captions(cards: DataFrame, drawn: DataFrame, blocks: DataFrame) -> DataFrame:
     """(paper_id, card_id, cut): numbers that a stem names and that stand right below a figure of the card, outside all of them."""
-    lines = _whole(blocks).where(F.col("text").rlike(rf"^\s*{_FIGURE}\s*$")).select("paper_id", F.struct(*BOX).alias("c"), F.get(_figure_keys(F.col("text")), F.lit(0)).alias("key"))
-    named = cards.where(F.size("figures") > 0).select(*_ROWS, "figures", F.explode(_figure_keys(F.col("stem"))).alias("key"))
-    met = named.join(lines, ["paper_id", "key"])
-    c = F.col("c")
-    on = lambda f: f["page"] == c["page"]
-    inside = F.exists("figures", lambda f: on(f) & ((c["x0"] + c["x1"]) / 2).between(f["x0"], f["x1"]) & ((c["y0"] + c["y1"]) / 2).between(f["y0"], f["y1"]))
-    below = F.exists("figures", lambda f: on(f) & (c["y0"] - f["y1"]).between(-CAPTION_ABOVE, CAPTION_GAP) & (c["x1"] >= f["x0"] - CAPTION_SIDE) & (c["x0"] <= f["x1"] + CAPTION_SIDE))
+    lines = _whole(blocks).where(F.contains("text", F.lit("图")) & F.col("text").rlike(rf"^\s*{_FIGURE}\s*$")).select("paper_id", F.struct(*BOX).alias("c"), F.get(_figure_keys(F.col("text")), F.lit(0)).alias("key"))
+    named = cards.where(F.contains("stem", F.lit("图"))).select(*_ROWS, F.explode_outer(_figure_keys(F.col("stem"))).alias("key"))
+    met = named.join(lines, ["paper_id", "key"]).join(drawn.select(*_ROWS, F.struct(*BOX).alias("f")), _ROWS)
+    c, f = F.col("c"), F.col("f")
+    on = f["page"] == c["page"]
+    inside = on & ((c["x0"] + c["x1"]) / 2).between(f["x0"], f["x1"]) & ((c["y0"] + c["y1"]) / 2).between(f["y0"], f["y1"])
+    below = on & (c["y0"] - f["y1"]).between(-CAPTION_ABOVE, CAPTION_GAP) & (c["x1"] >= f["x0"] - CAPTION_SIDE) & (c["x0"] <= f["x1"] + CAPTION_SIDE)
     each = met.groupBy(*_ROWS, "key").agg(F.bool_or(inside).alias("inside"), F.bool_or(below).alias("below"))
     return each.where("below and not inside").groupBy(*_ROWS).agg(F.array_sort(F.collect_set("key")).alias("cut"))
 
@@ -92,13 +98,18 @@ def _captions(cards: DataFrame, blocks: DataFrame) -> DataFrame:
 def _second_column(cards: DataFrame, regions: DataFrame, blocks: DataFrame) -> DataFrame:
     """(paper_id, card_id, lost): parts printed right of a card with a gap in its parts, in its band, that no card has."""
     marks = F.filter(_numbers(F.col("stem"), _PART), lambda n: n.between(1, MOST_PART))
-    marked = cards.select(*_ROWS, marks.alias("marks"))
-    gap = (F.size("marks") > 1) & (F.get("marks", F.lit(0)) == 1) & (F.array_max("marks") > F.size(F.array_distinct("marks")))
-    bands = marked.where(gap).join(regions, _ROWS).groupBy(*_ROWS, "page").agg(F.first("marks").alias("marks"), F.max("x1").alias("right"), (F.min("y0") - BAND).alias("top"), (F.max("y1") + BAND).alias("bottom"))
-    printed = _whole(blocks).select("paper_id", "page", F.col("x0").alias("x"), F.col("y0").alias("y"), F.explode(F.array_distinct(_numbers(F.col("text"), _PRINTED_PART))).alias("n"))
+    gap = lambda m: (F.size(m) > 1) & (F.get(m, F.lit(0)) == 1) & (F.array_max(m) > F.size(F.array_distinct(m)))  # noqa: E731; of two lines at least
+    bits = lambda m: F.reduce(m, F.lit(0), lambda all_, n: all_.bitwiseOR(F.call_function("shiftleft", F.lit(1), n)))
+    # bound by lambdas, so that the marks are made once a card; a bit each, so that sums hold them without sorting;
+    # explode_outer, as Spark puts a filter that makes the array again before a plain one
+    gapped = cards.where(F.col("stem").rlike(r"[\n\r\x85\u2028\u2029]")).select(*_ROWS, F.explode_outer(F.transform(F.filter(F.array(marks), gap), bits)).alias("marks")).where("marks is not null")
+    bands = gapped.join(regions, _ROWS).groupBy(*_ROWS, "page").agg(F.bit_or("marks").alias("marks"), F.max("x1").alias("right"), (F.min("y0") - BAND).alias("top"), (F.max("y1") + BAND).alias("bottom"))
+    parts = F.regexp_extract_all("text", F.lit(_PRINTED_PART), F.lit(1))
+    printed = _whole(blocks).select("paper_id", "page", F.col("x0").alias("x"), F.col("y0").alias("y"), F.explode_outer(parts).alias("n")).where("n is not null").withColumn("n", F.col("n").cast("int"))
     beside = F.col("x").between(F.col("right") - COLUMN_BACK, F.col("right") + COLUMN_GAP) & F.col("y").between(F.col("top"), F.col("bottom"))
-    lost = bands.join(printed, ["paper_id", "page"]).where(beside & ~F.array_contains("marks", F.col("n"))).select(*_ROWS, "page", "x", "y", "n")
-    owned = marked.select(*_ROWS, F.explode(F.array_distinct("marks")).alias("n")).join(regions, _ROWS).withColumnRenamed("card_id", "other")
+    held = (F.col("n") <= MOST_PART) & (F.col("marks").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("n"))) != 0)
+    lost = bands.join(printed, ["paper_id", "page"]).where(beside & ~held).select(*_ROWS, "page", "x", "y", "n")
+    owned = cards.where(F.col("stem").rlike(r"[（(]")).select(*_ROWS, F.explode_outer(F.array_distinct(marks)).alias("n")).where("n is not null").join(regions, _ROWS).withColumnRenamed("card_id", "other")
     claimed = [lost[c] == owned[c] for c in ("paper_id", "page", "n")] + [lost["card_id"] != owned["other"], lost["x"].between(owned["x0"], owned["x1"]), lost["y"].between(owned["y0"], owned["y1"])]
     free = lost.join(owned, claimed, "left_anti")
     return free.groupBy(*_ROWS).agg(F.array_sort(F.collect_set("n")).alias("lost"))
@@ -123,25 +134,25 @@ def reconciled(cards: DataFrame, figures: DataFrame, regions: DataFrame, blocks:
     null boxes and texts count for nothing; of an anchor's repeated blocks the
     least text counts.
     """
-    regions, drawn = _whole(regions).select(*_ROWS, *BOX), _whole(figures)
-    per = figures.groupBy(*_ROWS).agg(F.bool_or(F.col("source") == "manual").alias("by_hand"), F.bool_or(F.col("slot").isin(LETTERS)).alias("slotted"))
+    regions = _whole(regions).select(*_ROWS, *BOX)
     base = cards.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))).select(*cards.columns)
-    all_ = base.join(per, _ROWS, "left").join(_boxes(drawn, "figures", "source"), _ROWS, "left").join(_boxes(regions, "regions"), _ROWS, "left")
-    empty = lambda name: F.coalesce(name, F.array())
-    all_ = all_.withColumns({"figures": empty("figures"), "regions": empty("regions")})
     anchors = blocks.where("seq is not null and text is not null").groupBy("paper_id", F.col("seq").alias("anchor_seq")).agg(F.min("text").alias("printed"))
-    all_ = all_.join(anchors, ["paper_id", "anchor_seq"], "left").join(_captions(all_, blocks), _ROWS, "left").join(_second_column(base, regions, blocks), _ROWS, "left")
+    given = reduce(Column.__and__, [F.col(c).isNotNull() for c in BOX]) & F.col("source").isin(GIVEN)
+    per = figures.groupBy(*_ROWS).agg(F.bool_or(F.col("source") == "manual").alias("by_hand"), F.bool_or(F.col("slot").isin(LETTERS)).alias("slotted"), F.bool_or(given).alias("given"))
+    all_ = base.join(anchors, ["paper_id", "anchor_seq"], "left").join(per, _ROWS, "left").join(_outside(_whole(figures), regions), _ROWS, "left")
+    all_ = all_.join(_captions(base, _whole(figures), blocks), _ROWS, "left").join(_second_column(base, regions, blocks), _ROWS, "left")
 
     yes = lambda c: F.coalesce(c, F.lit(False))
     human = yes(F.col("approved")) | yes(F.col("edited"))
     open_ = ~(human | yes(F.col("checked")) | yes(F.col("by_hand")))
-    within = lambda f, r: (f["page"] == r["page"]) & ((f["x0"] + f["x1"]) / 2).between(r["x0"] - NEAR, r["x1"] + NEAR) & ((f["y0"] + f["y1"]) / 2).between(r["y0"] - NEAR, r["y1"] + NEAR)
-    given = F.exists("figures", lambda f: yes(f["source"].isin(GIVEN)))
-    outside = given & F.exists("figures", lambda f: ~F.exists("regions", lambda r: within(f, r)))
+    outside = yes(F.col("given")) & yes(F.col("outside"))
     told = F.exists("flags", lambda f: yes(f.isin(GIVEN_FLAGS)))
     options = F.coalesce("options", F.create_map().cast("map<string,string>"))
     reading = F.concat(F.coalesce("stem", F.lit("")), F.array_join(F.map_values(options), ""), F.coalesce("analysis", F.lit("")))
-    wrong = mismatch(F.col("printed"), reading, F.col("origin"))
+    # comparing texts costs most: once a card, and only where the flag may come or go
+    marked, wrong = _has("anchor_mismatch"), F.col("wrong")
+    matters = F.col("printed").isNotNull() & ((open_ & ~marked) | (marked & ~human))
+    all_ = all_.withColumn("wrong", matters & mismatch(F.col("printed"), reading, F.col("origin")))
     no_place = (F.col("kind") == "fill_blank") & ~F.coalesce("stem", F.lit("")).rlike(PLACES + "|" + "|".join(FILL_WORDS))
     choice = yes(F.col("kind").isin("single_choice", "multiple_choice")) | (F.size(options) > 0)
     listed = lambda name: F.array_join(F.col(name).cast("array<string>"), ",")
@@ -153,10 +164,11 @@ def reconciled(cards: DataFrame, figures: DataFrame, regions: DataFrame, blocks:
         "caption_cut": (F.col("cut").isNotNull(), F.concat(F.lit("caption_cut:"), listed("cut"))),
         "slotted_non_choice": (yes(F.col("slotted")) & ~choice, F.lit("slotted_non_choice")),
     }
-    added = F.array_compact(F.array(*[F.when(open_ & yes(holds) & ~_has(flag), text) for flag, (holds, text) in new.items()]))
-    gone = _has("anchor_mismatch") & F.col("printed").isNotNull() & ~human & ~wrong
-    kept = F.when(gone, F.filter("flags", lambda f: ~yes(F.startswith(f, F.lit("anchor_mismatch"))))).otherwise(F.col("flags"))
-    out = all_.withColumns({"added": added, "gone": gone, "now": F.concat(kept, added)})
+    none = F.array().cast("array<string>")
+    added = F.concat(*[F.when(open_ & ~_has(flag) & yes(holds), F.array(text)).otherwise(none) for flag, (holds, text) in new.items()])
+    gone = marked & F.col("printed").isNotNull() & ~human & ~wrong
+    kept = F.when(F.col("gone"), F.filter("flags", lambda f: ~yes(F.startswith(f, F.lit("anchor_mismatch"))))).otherwise(F.col("flags"))
+    out = all_.withColumns({"added": added, "gone": gone}).withColumn("now", F.concat(kept, F.col("added")))
     grave = F.exists("added", lambda f: ~F.startswith(f, F.lit("caption_cut"))) | yes((F.size("cut") > 1) & F.exists("added", lambda f: F.startswith(f, F.lit("caption_cut"))))
     state = F.when(~F.col("state").isin("green", "yellow"), F.col("state")).when(grave, "yellow").when(F.col("gone"), F.when(F.size("now") > 0, "yellow").otherwise("green")).otherwise(F.col("state"))
     fields = [F.col("now").alias("flags") if c == "flags" else state.alias("state") if c == "state" else F.col(c) for c in cards.columns]

@@ -83,3 +83,20 @@ def test_tables(spark, sf):
     once = reconciled(cards, figures, regions, blocks)
     flags = {r[0].split(":")[0] for r in once.where("changed").select(F.explode("flags")).collect()}
     assert once.count() == cards.count() and {"outside_range", "anchor_mismatch", "fill_without_slot", "subitem_gap", "caption_cut", "slotted_non_choice"} <= flags
+
+
+def test_shortcuts(run):
+    """A reading with the whole printed line agrees; where a task word is left out, prose that only its two sides make is compared."""
+    text = lambda seq, t: (1, seq, 0, 0.0, 0.0, 9.0, 9.0, t)
+    lines = ["4. 某校某次运动会共有甲班参加", "5. 甲乙丙如图，丁戊己"]
+    blocks = [text(1, lines[0]), text(2, lines[1])]
+    got = run([card(1, anchor_seq=1, stem="见 " + lines[0] + "\n(1) a"), card(2, anchor_seq=2, stem=lines[1]), card(3, anchor_seq=2, stem="甲乙丙丁戊己"), card(4, anchor_seq=1, stem=None, analysis=lines[0])], blocks=blocks)
+    assert got[2] == (["anchor_mismatch"], "yellow", True)
+    assert not any(got[k][2] for k in (1, 3, 4))
+
+
+def test_plan(spark, sf):
+    """No arrays of boxes: the plan sums and joins rows, and the line of a card is compared in one place."""
+    plan = reconciled(*papers.stored_cards(Env(spark, sf)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set(") == 2 and plan.count("compact") + plan.count("array_sort(") <= 2
+    assert plan.count("如图所示|") == 1
