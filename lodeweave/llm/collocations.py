@@ -4,8 +4,10 @@ Vertical positional lists: a block of documents becomes one sequence of numbered
 places, and every word a sorted list of the places where it stands. A phrase is
 extended by merge-joining its places, moved on by its length, with the places of
 the next words; the length of the list that comes out is its frequency there,
-and the lengths of all blocks add up to the exact frequency. Level by level only
-frequent parts are extended. Which parts are frequent reaches the blocks as a
+and the lengths of all blocks add up to the exact frequency. Spark shuffles a
+block's phrases as one row a bucket of hashes, not one a phrase; a bucket drops
+what is infrequent by its hashes and sums the strings of the rest. Level by level
+only frequent parts are extended. Which parts are frequent reaches the blocks as a
 bitmap of hashes of bounded size: it may let infrequent parts through, whose
 phrases the exact sums then drop, and never holds a frequent one back.
 """
@@ -31,8 +33,11 @@ LEAST, LONGEST, REPORTED, COVERED = 10, 3, 2000, 50
 #: Bits of the bitmap at most (16 MB), and bits for each frequent part below that.
 _MOST_BITS, _BITS_EACH = 1 << 27, 16
 
-#: Bytes of text that make a block.
-_BLOCK = 1 << 20
+#: Bytes of text that make a block, that wait for their block at most, and for each bucket of phrases beyond the least number of buckets.
+_BLOCK, _WAITING, _BUCKET, _LEAST_BUCKETS = 1 << 22, 1 << 24, 1 << 24, 32
+
+#: Phrases of a block in a bucket, as the shuffle moves them.
+_PART = pa.schema([("h", pa.uint64()), ("phrase", pa.string()), ("f", pa.int64())])
 
 #: Lower case, and what ends a piece, as bytes; neither occurs inside a character of several bytes.
 _PLAIN = bytes(32 if b == 9 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,7 +56,7 @@ _FACTOR = 0x9E3779B97F4A7C15
 
 
 def hashes(words: pa.Array, lang: str) -> np.ndarray:
-    """64-bit hashes of a language's words: a polynomial of the bytes, scrambled. For bitmaps only, so equal hashes do no harm."""
+    """64-bit hashes of a language's words: a polynomial of the bytes, scrambled. For bitmaps and buckets only, so equal hashes do no harm."""
     _, ends, data = words.buffers()
     ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     if not len(words):
@@ -77,11 +82,17 @@ class Block:
     """Documents of one language as a sequence of places: the number of the word at each, -1 between pieces."""
 
     def __init__(self, lang: str, texts: list[bytes]):
-        plain = b" . ".join(texts).translate(_PLAIN).replace(b".", b" . ")
-        coded = pa.array(plain.split(), pa.binary()).dictionary_encode()  # of bytes: at ASCII white space alone
-        self.lang, self.names, self.ids = lang, coded.dictionary, coded.indices.to_numpy().copy()
-        end = pc.index(coded.dictionary, pa.scalar(b".", pa.binary())).as_py()
-        self.ids[self.ids == end] = -1
+        raw = np.frombuffer(b".".join(texts).translate(_PLAIN), np.uint8)
+        ends = raw == 46
+        solid = ~(ends | (raw == 32))
+        edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        offsets = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2]))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])])
+        coded = words.dictionary_encode()
+        piece = np.cumsum(ends, dtype=np.int32)[edges[::2]]  # of each word
+        places = np.arange(len(piece)) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
+        self.lang, self.names, self.ids = lang, coded.dictionary, np.full(places[-1] + 1 if len(places) else 0, -1, np.int32)
+        self.ids[places] = coded.indices.to_numpy()
 
     def counted(self, bitmaps: list[np.ndarray]) -> pa.RecordBatch:
         """Frequencies of the phrases of len(bitmaps) + 1 words whose parts the bitmaps let through; of single words also the sum, without a phrase."""
@@ -89,7 +100,7 @@ class Block:
             lengths = np.bincount(self.ids[self.ids >= 0], minlength=len(self.names))
             some = np.flatnonzero(lengths)
             names = pa.concat_arrays([self.names.take(pa.array(some)).cast(pa.string()), pa.array([None], pa.string())])
-            return self._rows(names, np.append(lengths[some], lengths.sum()))
+            return self._rows(np.append(hashes(self.names, self.lang)[some], np.uint64(0)), names, np.append(lengths[some], lengths.sum()))
         of = hashes(self.names, self.lang)
         words = np.flatnonzero((self.ids >= 0) & np.append(_lets(bitmaps[0], of), False)[self.ids])  # places of frequent words
         places, h = words, of[self.ids[words]]
@@ -103,25 +114,52 @@ class Block:
                 tail, _ = _merged(longer + 1, places)
                 longer, h = longer[tail], h[tail]
             places = longer
-        return self._rows(*self._lists(places, len(bitmaps) + 1))
-
-    def _lists(self, places: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
-        """The phrases at ``places`` and the lengths of their lists of places."""
+        heads, phrases, lengths = self._lists(places, len(bitmaps) + 1)
+        return self._rows(h[heads], phrases, lengths)
+
+    def dealt(self, bitmaps: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+        """The phrases that :meth:`counted` returns, packed: one row a bucket of hashes."""
+        rows = self.counted(bitmaps)
+        bucket = (rows.column("h").to_numpy() % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+        order = np.argsort(bucket, kind="stable")
+        rows, ends = rows.take(pa.array(order)), np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+        used = np.flatnonzero(np.diff(ends))
+        for some in (used[k : k + 64] for k in range(0, len(used), 64)):
+            parts = [rows.slice(ends[k], ends[k + 1] - ends[k]).serialize().to_pybytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([self.lang] * len(some), pa.string()), pa.array(parts, pa.binary())], names=["bucket", "lang", "part"])
+
+    def _lists(self, places: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The phrases at ``places``, for each the index of one of its places, and the lengths of their lists."""
         n = len(self.names)
         keys = self.ids[places].astype(np.int64)
         for k in range(1, length):
             if k > 1 and n**(k + 1) >> 62:
                 keys = np.unique(keys, return_inverse=True)[1].astype(np.int64)
             keys = keys * n + self.ids[places + k]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
         heads = places[order[first]]
         phrases = pc.binary_join_element_wise(*[self.names.take(pa.array(self.ids[heads + k])) for k in range(length)], b" ")
-        return phrases.cast(pa.string()), np.diff(np.append(first, len(keys)))
+        return order[first], phrases.cast(pa.string()), np.diff(np.append(first, len(keys)))
+
+    def _rows(self, h: np.ndarray, phrases: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.uint64()), phrases, pa.array(lengths, pa.int64())], schema=_PART)
+
 
-    def _rows(self, phrases: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(phrases), np.int64))), phrases, pa.array(lengths, pa.int64())], names=["lang", "phrase", "f"])
+def summed(rows: pa.Table, least: int) -> pa.Table:
+    """(lang, phrase, f) of a bucket's phrases with f >= ``least`` and of null phrases; hashes only drop phrases early whose cell has less."""
+    parts = [pa.ipc.read_record_batch(part.as_buffer(), _PART) for part in rows.column("part")]
+    langs = rows.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])))
+    table = pa.Table.from_batches(parts, _PART)
+    cell = table.column("h").to_numpy() >> np.uint64(64 - max(1, (4 * table.num_rows).bit_length()))
+    cell = cell.astype(np.int64)
+    often = np.bincount(cell, table.column("f").to_numpy())[cell] >= least
+    often |= table.column("phrase").is_null().to_numpy()
+    some = table.select(["phrase", "f"]).append_column("lang", langs).filter(pa.array(often))
+    out = some.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    out = out.filter(pc.or_(pc.greater_equal(out.column("f_sum"), least), out.column("phrase").is_null()))
+    return pa.table([out.column("lang"), out.column("phrase"), out.column("f_sum")], names=["lang", "phrase", "f"])
 
 
 def _turned(h: np.ndarray, by: int) -> np.ndarray:
@@ -136,15 +174,18 @@ def _lets(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     waiting: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
+    held = 0
     for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):  # few texts at once as objects
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if text:
                 data = text.encode("utf-8", "surrogatepass")
                 waiting.setdefault(lang, []).append(data)
                 sizes[lang] = sizes.get(lang, 0) + len(data)
-                if sizes[lang] >= _BLOCK:
-                    sizes.pop(lang)
-                    yield Block(lang, waiting.pop(lang))
+                held += len(data)
+                if sizes[lang] >= _BLOCK or held >= _WAITING:
+                    most = max(sizes, key=sizes.get)
+                    held -= sizes.pop(most)
+                    yield Block(most, waiting.pop(most))
     for lang, texts in waiting.items():
         yield Block(lang, texts)
 
@@ -178,16 +219,20 @@ def bitmap(frequent: DataFrame, length: int) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, bitmaps: list[np.ndarray], least: int) -> DataFrame:
-    """(lang, phrase, f) of all phrases of len(bitmaps) + 1 words with f >= ``least``; with no bitmaps also each language's sum, phrase null."""
+def parts(docs: DataFrame, bitmaps: list[np.ndarray], buckets: int) -> DataFrame:
+    """(bucket, lang, part): the phrases of len(bitmaps) + 1 words of each block, one row a bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            yield block.counted(shared.value)
+            yield from block.dealt(shared.value, buckets)
+
+    return docs.mapInArrow(deal, "bucket bigint, lang string, part binary")
 
-    parts = docs.mapInArrow(lengths, "lang string, phrase string, f bigint")
-    return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+
+def counted(docs: DataFrame, bitmaps: list[np.ndarray], least: int, buckets: int) -> DataFrame:
+    """(lang, phrase, f) of all phrases of len(bitmaps) + 1 words with f >= ``least``; with no bitmaps also each language's sum, phrase null."""
+    return parts(docs, bitmaps, buckets).groupBy("bucket").applyInArrow(lambda rows: summed(rows, least), "lang string, phrase string, f bigint")
 
 
 def _score(a: Column, first: Column, rest: Column) -> Column:
@@ -205,10 +250,11 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, reported:
     the result is empty.
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    buckets = _LEAST_BUCKETS + (docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // _BUCKET
     with scratch() as kept:
         levels, bitmaps = [], []
         for length in range(1, longest + 1):
-            levels.append(cut(counted(docs, bitmaps, least)))
+            levels.append(cut(counted(docs, bitmaps, least, buckets)))
             if length < longest:
                 bitmaps.append(bitmap(levels[-1].where("phrase is not null"), length))
         known = levels[0].where("phrase is not null").withColumn("words", F.lit(1))

@@ -9,6 +9,7 @@ from fractions import Fraction
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import rows
 from pyspark.sql import functions as F
@@ -75,6 +76,28 @@ def test_bitmap_has_all_frequent_phrases(spark):
     assert collocations._lets(bits, h).mean() < 0.2  # others mostly not
 
 
+def test_phrases_are_shuffled_in_parts(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 97 + k * k) % 5000}" for k in range(400)), "en", None, 0) for i in range(200)], DOCS).repartition(2).cache()
+    docs.count()
+    stages = lambda: sum(s.shuffleWriteRecords() for s in _seq(spark, spark.sparkContext._jsc.sc().statusStore()))
+    before = stages()
+    assert collocations.mine(docs, least=400).collect() == []
+    assert stages() - before < 1000  # 5,000 words in each of two blocks: a row for each bucket, not for each phrase
+    docs.unpersist()
+
+
+def _seq(spark, store):
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [stages.apply(i) for i in range(stages.size())]
+
+
+def test_equal_hashes_keep_phrases_apart():
+    part = lambda *rows: pa.RecordBatch.from_arrays([pa.array([7] * len(rows), pa.uint64()), pa.array([p for p, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.int64())], schema=collocations._PART).serialize().to_pybytes()
+    rows = pa.table({"lang": ["en", "de", "en"], "part": pa.array([part(("a b", 6), ("a c", 5), (None, 1)), part(("a b", 9)), part(("a c", 5), ("a b", 3), (None, 2))], pa.binary())})
+    found = sorted(map(tuple, (r.values() for r in collocations.summed(rows, 10).to_pylist())), key=str)
+    assert found == [("en", "a c", 10), ("en", None, 3)]
+
+
 def plain_runs(ws):
     out = []
     for q in range(1, len(ws) // 3 + 1):
