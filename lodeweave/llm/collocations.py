@@ -34,7 +34,7 @@ LEAST, LONGEST, REPORTED, COVERED = 10, 3, 2000, 50
 _MOST_BITS, _BITS_EACH = 1 << 27, 16
 
 #: Bytes of text that make a block, that wait for their block at most, and for each bucket of phrases beyond the least number of buckets.
-_BLOCK, _WAITING, _BUCKET, _LEAST_BUCKETS = 1 << 22, 1 << 24, 1 << 24, 32
+_BLOCK, _WAITING, _BUCKET, _LEAST_BUCKETS = 1 << 22, 1 << 24, 1 << 24, 16
 
 #: Phrases of a block in a bucket, as the shuffle moves them.
 _PART = pa.schema([("h", pa.uint64()), ("phrase", pa.string()), ("f", pa.int64())])
@@ -126,7 +126,7 @@ class Block:
         used = np.flatnonzero(np.diff(ends))
         for some in (used[k : k + 64] for k in range(0, len(used), 64)):
             parts = [rows.slice(ends[k], ends[k + 1] - ends[k]).serialize().to_pybytes() for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([self.lang] * len(some), pa.string()), pa.array(parts, pa.binary())], names=["bucket", "lang", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([self.lang] * len(some), pa.string()), pa.array(parts, pa.binary())], names=["bucket", "lang", "part"])
 
     def _lists(self, places: np.ndarray, length: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """The phrases at ``places``, for each the index of one of its places, and the lengths of their lists."""
@@ -227,12 +227,18 @@ def parts(docs: DataFrame, bitmaps: list[np.ndarray], buckets: int) -> DataFrame
         for block in _blocks(batches):
             yield from block.dealt(shared.value, buckets)
 
-    return docs.mapInArrow(deal, "bucket bigint, lang string, part binary")
+    return docs.mapInArrow(deal, "bucket int, lang string, part binary")
 
 
 def counted(docs: DataFrame, bitmaps: list[np.ndarray], least: int, buckets: int) -> DataFrame:
     """(lang, phrase, f) of all phrases of len(bitmaps) + 1 words with f >= ``least``; with no bitmaps also each language's sum, phrase null."""
-    return parts(docs, bitmaps, buckets).groupBy("bucket").applyInArrow(lambda rows: summed(rows, least), "lang string, phrase string, f bigint")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if some := list(batches):
+            yield from summed(pa.Table.from_batches(some), least).to_batches()
+
+    # a task a bucket: hashed to fewer partitions, some would get several times the others' share
+    return parts(docs, bitmaps, buckets).repartitionById(buckets, "bucket").mapInArrow(add, "lang string, phrase string, f bigint")
 
 
 def _score(a: Column, first: Column, rest: Column) -> Column:
@@ -271,8 +277,11 @@ def _ranked(candidates: DataFrame, known: DataFrame, sizes: DataFrame, longest:
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     sides = cuts.select("lang", "phrase", "words", "f", "k", F.inline(F.array(F.struct(F.lit(True).alias("first"), part(F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(False).alias("first"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("part")))))
     of = known.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
-    lengths = sides.join(of, ["lang", "part"]).groupBy("lang", "phrase", "words", F.col("f").alias("a"), "k").agg(F.max(F.when(F.col("first"), F.col("part_f"))).alias("l"), F.max(F.when(~F.col("first"), F.col("part_f"))).alias("r"))
-    weakest = lengths.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r"))).groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("at"))
+    side = lambda k, first: F.max(F.when((F.col("k") == k) & (F.col("first") == first), F.col("part_f"))).alias(f"{'l' if first else 'r'}{k}")
+    places = range(1, max(longest, 2))
+    lengths = sides.join(of, ["lang", "part"]).groupBy("lang", "phrase").agg(F.max("f").alias("a"), *[side(k, first) for k in places for first in (True, False)])
+    each = [F.when(F.col(f"l{k}").isNotNull(), F.struct(_score(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in places]
+    weakest = lengths.select("lang", "phrase", "a", F.array_min(F.array(*each)).alias("at"))  # nulls are no cuts
     inner = candidates.where("words > 2").select("lang", "f", "phrase", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("length"), "words")
     inner = inner.select("lang", "f", "phrase", "length", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("length") + 1)).alias("at"))
     longer = inner.groupBy("lang", part(F.col("at"), F.col("length")).alias("phrase")).agg(F.max("f").alias("longer"))
