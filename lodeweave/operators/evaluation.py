@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .sequences import ordered_groups
-from .spatial import union_area
-from .taxonomy import settled
+from .spatial import covered, covered_by_both
 
 KEYS = ["doc_id", "group_no", "kind", "number"]
 
@@ -64,23 +65,87 @@ def figure_matches(candidates: DataFrame, least: float = 0.5) -> DataFrame:
     return ordered_groups(candidates, "doc_id", ["truth", "result"], run, "doc_id long, matched int")
 
 
-CARD = ["doc_id", "card"]
+@F.pandas_udf(LongType())
+def _most_matched(ends: pd.Series, others: pd.Series) -> pd.Series:
+    """Size of a maximum one-to-one matching of each row's pairs; null for none."""
 
+    def most(a, b) -> int | None:
+        if a is None:
+            return None
+        edges: dict[int, list[int]] = {}
+        for u, v in zip(a, b):
+            edges.setdefault(int(u), []).append(int(v))
+        return most_matches(edges)
+
+    return pd.Series([most(a, b) for a, b in zip(ends, others)], dtype="Int64")
+
+
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _boxes(parts: Column) -> Column:
+    """The boxes of an array that have a page and a size."""
+    box = lambda b: F.struct(b["page"].alias("page"), *[b[c].cast("double").alias(c) for c in BOX])
+    return F.filter(F.transform(parts, box), lambda b: b["page"].isNotNull() & (b["x0"] < b["x1"]) & (b["y0"] < b["y1"]))
 
-def _matched(rows: list) -> list[tuple]:
-    edges: dict[int, list[int]] = {}
-    for r in rows:
-        edges.setdefault(r.result, []).append(r.truth)
-    return [(rows[0].doc_id, rows[0].card, most_matches(edges))]
 
+def _shapes(figures: Column) -> Column:
+    """An array's figures by id and slot: (figure, slot, pages, boxes, area)."""
+    ids = F.array_distinct(F.transform(figures, lambda f: F.struct(f["figure"].alias("figure"), f["slot"].alias("slot"))))
+    parts = F.transform(ids, lambda i: F.filter(figures, lambda f: (f["figure"] == i["figure"]) & (f["slot"] == i["slot"])))
+    parts = F.filter(parts, lambda p: F.size(p) > 0)  # of none without an id or slot
+    one = lambda p, c: F.get(p, F.lit(0))[c].alias(c)
+    pages = lambda p: F.array_sort(F.array_distinct(F.array_compact(F.transform(p, lambda f: f["page"]))))
+    shapes = F.transform(parts, lambda p: F.struct(one(p, "figure"), one(p, "slot"), pages(p).alias("pages"), _boxes(p).alias("boxes")))
+    return F.transform(shapes, lambda s: F.struct(s["figure"], s["slot"], s["pages"], s["boxes"], covered(s["boxes"]).alias("area")))
 
-def _shared(truth: DataFrame, result: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-    """Area that boxes of both sides cover, by ``keys``: the union of what each two of a page have in common."""
-    box = ["x0", "y0", "x1", "y1"]
-    r = result.select(*on, *[c for c in keys if c in result.columns and c not in on], *[F.col(c).alias(f"r_{c}") for c in box])
-    both = truth.join(r, on)
-    cut = both.select(*keys, "page", F.greatest("x0", "r_x0").alias("x0"), F.greatest("y0", "r_y0").alias("y0"), F.least("x1", "r_x1").alias("x1"), F.least("y1", "r_y1").alias("y1")).where("x0 < x1 and y0 < y1")
-    return union_area(cut, [*keys, "page"]).groupBy(*keys).agg(F.sum("area").alias("shared"))
+
+def _alike(truth: Column, result: Column, least: float) -> Column:
+    """Pairs (t, r) of figures of two arrays of shapes with equal slots and pages and an intersection over union of ``least``."""
+    enough = lambda a, b, both: F.when(both > 0, both / (a["area"] + b["area"] - both) >= least).otherwise(False)
+    same = lambda a, b: F.when((a["slot"] == b["slot"]) & (a["pages"] == b["pages"]), F.exists(F.array(covered_by_both(a["boxes"], b["boxes"])), lambda both: enough(a, b, both))).otherwise(False)
+    pairs = F.transform(truth, lambda a: F.transform(F.filter(result, lambda b: same(a, b)), lambda b: F.struct(a["figure"].alias("t"), b["figure"].alias("r"))))
+    return F.array_distinct(F.flatten(pairs))
+
+
+def card_scores(cards: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of :func:`layout_scores` from nested cards of both sides.
+
+    ``cards(doc_id, side, card, names, regions, figures)`` has a row for each
+    card, ``names`` the ``(group_no, kind, number)`` under which it is listed,
+    ``regions`` the ``(page, x0, y0, x1, y1)`` and ``figures`` the ``(figure,
+    slot, page, x0, y0, x1, y1)`` of its boxes. Cards that are dealt by document
+    cross no network any more: all that follows is grouped by it.
+    """
+    ids = F.array_distinct(F.transform("figures", lambda f: f["figure"]))
+    each = cards.select("doc_id", "side", "card", "names", _boxes(F.col("regions")).alias("boxes"), "figures", F.size(ids).alias("n"))
+    each = each.select("doc_id", "side", "card", "boxes", "figures", "n", covered(F.col("boxes")).alias("area"), F.posexplode_outer("names").alias("k", "name"))
+    truth, result, once, listed = F.col("side") == "truth", F.col("side") == "result", F.coalesce("k", F.lit(0)) == 0, F.col("k").isNotNull()
+    inside = F.struct("boxes", "figures")
+    total = lambda which, what: F.sum(F.when(which & once, F.col(what)))
+    groups = each.groupBy("doc_id", *[F.col(f"name.{c}").alias(c) for c in KEYS[1:]]).agg(
+        F.count_if(truth & listed).alias("truth_cards"), F.count_if(result & listed).alias("result_cards"), total(truth, "area").alias("truth_area"), total(result, "area").alias("result_area"), total(truth, "n").alias("truth_figures"), total(result, "n").alias("result_figures"),
+        F.collect_list(F.when(truth & listed, inside)).alias("truths"), F.min_by(F.when(result & listed, inside), F.when(result & listed, F.col("card"))).alias("first"),
+    )
+    found = F.col("first").isNotNull()
+    sums = ["truth_cards", "result_cards", "matched_cards", "truth_area", "result_area", "truth_figures", "result_figures"]
+    groups = groups.withColumn("matched_cards", F.when(found, F.col("truth_cards")).otherwise(0))
+    pairs = groups.select("doc_id", *sums, "first", F.posexplode_outer(F.when(found, F.col("truths"))).alias("k", "t"))
+    pairs = pairs.select("doc_id", *[F.when(F.coalesce("k", F.lit(0)) == 0, F.col(c)).alias(c) for c in sums], F.col("t.boxes").alias("t_boxes"), F.col("first.boxes").alias("r_boxes"), *[F.when(F.col("k").isNotNull(), _shapes(F.col(f"{side}.figures"))).alias(name) for side, name in (("t", "t_shapes"), ("first", "r_shapes"))])
+    pairs = pairs.select("doc_id", *sums, covered_by_both(F.col("t_boxes"), F.col("r_boxes")).alias("shared_area"), _alike(F.col("t_shapes"), F.col("r_shapes"), least).alias("alike"))
+    # pairs without a common end are a matching; others are matched in Python
+    ends = lambda c: F.transform("alike", lambda e: e[c])
+    free = (F.size(F.array_distinct(ends("t"))) == F.size("alike")) & (F.size(F.array_distinct(ends("r"))) == F.size("alike"))
+    places = lambda c: F.when(~free, F.transform(ends(c), lambda x: F.array_position(F.array_distinct(ends(c)), x)))
+    pairs = pairs.select("doc_id", *sums, "shared_area", F.when(free, F.size("alike")).alias("pairs"), places("t").alias("ends"), places("r").alias("others"))
+    pairs = pairs.withColumn("matched_figures", F.coalesce("pairs", _most_matched("ends", "others")))
+    counts = ["truth_cards", "result_cards", "matched_cards", "truth_area", "result_area", "shared_area", "truth_figures", "result_figures", "matched_figures"]
+    out = pairs.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).where("truth_cards + result_cards > 0")
+    ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
+    return out.withColumns({
+        "precision": ratio("matched_cards", "result_cards"), "recall": ratio("matched_cards", "truth_cards"), "area_coverage": ratio("shared_area", "truth_area"), "area_precision": ratio("shared_area", "result_area"),
+        "figure_precision": ratio("matched_figures", "result_figures"), "figure_recall": ratio("matched_figures", "truth_figures"),
+    })
 
 
 def layout_scores(truth: DataFrame, result: DataFrame, regions: DataFrame, figures: DataFrame, least: float = 0.5) -> DataFrame:
@@ -93,33 +158,11 @@ def layout_scores(truth: DataFrame, result: DataFrame, regions: DataFrame, figur
     y0, x1, y1)`` hold the boxes of both sides. Figures match one to one within
     matched cards, with equal slots and pages and an intersection over union of
     ``least``, as many as can. Areas are unions over pages. A ratio without a
-    denominator is null; documents of one side only have a row too.
+    denominator is null; documents of one side only have a row too. All four
+    tables are dealt out by document once.
     """
-    first = Window.partitionBy("doc_id", "group_no", "kind", "number").orderBy("card")
-    named = result.withColumn("k", F.row_number().over(first)).where("k = 1").select("doc_id", F.col("card").alias("r_card"), *[F.col(c).alias(f"r_{c}") for c in KEYS[1:]])
-    same = reduce(lambda x, y: x & y, [truth[c].eqNullSafe(F.col(f"r_{c}")) for c in KEYS[1:]])
-    pairs = truth.alias("t").join(named.withColumnRenamed("doc_id", "r_doc"), (F.col("t.doc_id") == F.col("r_doc")) & same).select("doc_id", "card", "r_card")
-    pairs = settled(pairs)
-    side = lambda df, name: df.where(F.col("side") == name).drop("side")
-    as_truth = lambda df: side(df, "result").withColumnRenamed("card", "r_card").join(pairs, ["doc_id", "r_card"]).drop("r_card")
-    summed = lambda df, name: union_area(df, [*CARD, "page"]).groupBy("doc_id").agg(F.sum("area").alias(name))
-    true_area, result_area = summed(side(regions, "truth"), "truth_area"), summed(side(regions, "result"), "result_area")
-    shared = _shared(side(regions, "truth"), as_truth(regions), [*CARD, "page"], CARD).groupBy("doc_id").agg(F.sum("shared").alias("shared_area"))
-    # figures of matched cards
-    t, r = side(figures, "truth"), settled(as_truth(figures))
-    shape = lambda df, name: union_area(df, [*CARD, "figure", "slot", "page"]).groupBy(*CARD, "figure", "slot").agg(F.sum("area").alias(f"{name}_area"), F.sort_array(F.collect_set("page")).alias("pages")).withColumnRenamed("figure", name)
-    meets = _shared(t.withColumnRenamed("figure", "truth"), r.withColumnRenamed("figure", "result"), [*CARD, "slot", "page"], [*CARD, "truth", "result", "slot"])
-    like = meets.join(shape(t, "truth"), [*CARD, "slot", "truth"]).join(shape(r, "result"), [*CARD, "slot", "result", "pages"])
-    near = like.where(F.col("shared") / (F.col("truth_area") + F.col("result_area") - F.col("shared")) >= least).select(*CARD, "truth", "result")
-    matched = ordered_groups(near.withColumn("both", F.concat_ws(",", *CARD)), "both", ["result", "truth"], _matched, "doc_id long, card long, n int").groupBy("doc_id").agg(F.sum("n").alias("matched_figures"))
-    count = lambda df, name, what="*": df.groupBy("doc_id").agg(F.count(what).alias(name))
-    each = lambda name: side(figures, name).select(*CARD, "figure").distinct()
-    parts = [count(truth, "truth_cards"), count(result, "result_cards"), count(pairs, "matched_cards"), true_area, result_area, shared, count(each("truth"), "truth_figures"), count(each("result"), "result_figures"), matched]
-    docs = truth.select("doc_id").union(result.select("doc_id")).distinct()
-    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, docs)
-    out = out.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns[1:]])
-    ratio = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b))
-    return out.withColumns({
-        "precision": ratio("matched_cards", "result_cards"), "recall": ratio("matched_cards", "truth_cards"), "area_coverage": ratio("shared_area", "truth_area"), "area_precision": ratio("shared_area", "result_area"),
-        "figure_precision": ratio("matched_figures", "result_figures"), "figure_recall": ratio("matched_figures", "truth_figures"),
-    })
+    name, region, figure = F.struct(*KEYS[1:]).alias("name"), F.struct("page", *BOX).alias("region"), F.struct("figure", "slot", "page", *BOX).alias("figure")
+    card = lambda df, side: df.select("doc_id", F.lit(side).alias("side"), "card", name)
+    rows = card(truth, "truth").unionByName(card(result, "result")).unionByName(regions.select("doc_id", "side", "card", region), True).unionByName(figures.select("doc_id", "side", "card", figure), True)
+    nested = rows.repartition("doc_id").groupBy("doc_id", "side", "card").agg(F.collect_list("name").alias("names"), F.collect_list("region").alias("regions"), F.collect_list("figure").alias("figures"))
+    return card_scores(nested, least)

@@ -122,3 +122,52 @@ def union_area(boxes: DataFrame, key: list[str]) -> DataFrame:
     top = F.max("y1").over(by.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(top, F.col("y0"))))
     return in_slab.withColumn("_h", fresh).groupBy(*key).agg(F.sum(F.col("_h") * (F.col("to") - F.col("x"))).alias("area"))
+
+
+def _with(value: Column, function) -> Column:
+    """``function`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Area that two boxes of a page have in common."""
+    both = lambda c: F.greatest(F.lit(0.0), F.least(a[f"{c}1"], b[f"{c}1"]) - F.greatest(a[f"{c}0"], b[f"{c}0"]))
+    return F.when(a["page"] == b["page"], both("x") * both("y")).otherwise(0.0)
+
+
+def _size(b: Column) -> Column:
+    return (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+
+
+def common_boxes(a: Column, b: Column) -> Column:
+    """What each two boxes of a page of two arrays ``(page, x0, y0, x1, y1)`` have in common."""
+    cut = lambda p, q: F.struct(p["page"].alias("page"), F.greatest(p["x0"], q["x0"]).alias("x0"), F.greatest(p["y0"], q["y0"]).alias("y0"), F.least(p["x1"], q["x1"]).alias("x1"), F.least(p["y1"], q["y1"]).alias("y1"))
+    return F.flatten(F.transform(a, lambda p: F.transform(F.filter(b, lambda q: _overlap(p, q) > 0), lambda q: cut(p, q))))
+
+
+def covered(boxes: Column) -> Column:
+    """Area of the union of an array of boxes ``(page, x0, y0, x1, y1)``, pages apart: one or two at once, more over cells between neighbouring edges."""
+
+    def height(strip: Column) -> Column:
+        none = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("top"))
+        step = lambda h, b: F.struct((h["sum"] + F.greatest(F.lit(0.0), b["y1"] - F.greatest(b["y0"], h["top"]))).alias("sum"), F.greatest(h["top"], b["y1"]).alias("top"))
+        return F.aggregate(F.array_sort(F.transform(strip, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1")))), none, step, lambda h: h["sum"])
+
+    def page(some: Column) -> Column:
+        edges = F.array_sort(F.array_distinct(F.flatten(F.transform(some, lambda b: F.array(b["x0"], b["x1"])))))
+        slab = lambda xs, i: (F.get(xs, i) - F.get(xs, i - 1)) * height(F.filter(some, lambda b: (b["x0"] <= F.get(xs, i - 1)) & (b["x1"] >= F.get(xs, i))))
+        return _with(edges, lambda xs: F.aggregate(F.sequence(F.lit(1), F.size(xs) - 1), F.lit(0.0), lambda s, i: s + slab(xs, i)))
+
+    def area(all_: Column) -> Column:
+        one, two = F.get(all_, F.lit(0)), F.get(all_, F.lit(1))
+        pages = F.array_distinct(F.transform(all_, lambda b: b["page"]))
+        union = F.aggregate(pages, F.lit(0.0), lambda s, p: s + _with(F.filter(all_, lambda b: b["page"] == p), page))
+        return F.when(F.size(all_) == 0, 0.0).when(F.size(all_) == 1, _size(one)).when(F.size(all_) == 2, _size(one) + _size(two) - _overlap(one, two)).otherwise(union)
+
+    return _with(boxes, area)
+
+
+def covered_by_both(a: Column, b: Column) -> Column:
+    """Area that two arrays of boxes both cover."""
+    single = (F.size(a) == 1) & (F.size(b) == 1)
+    return F.when(single, _overlap(F.get(a, F.lit(0)), F.get(b, F.lit(0)))).otherwise(covered(common_boxes(a, b)))
