@@ -142,11 +142,20 @@ def column_lines(found: DataFrame, blocks: DataFrame) -> DataFrame:
     return kept.groupBy("paper_id", "page").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
+def _lined(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` with ``lines`` of their page. The join is by paper, like all that follows it, so rows are dealt out once."""
+    pages = lines.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "lines"))).alias("_pages"))
+    return rows.join(pages, "paper_id", "left").withColumn("lines", F.try_element_at("_pages", "page")).drop("_pages")
+
+
+def _column(x: Column) -> Column:
+    return F.coalesce(F.size(F.filter("lines", lambda line: line <= x)), F.lit(0))
+
+
 def placed(rows: DataFrame, lines: DataFrame, x: Column | None = None) -> DataFrame:
     """``rows`` with ``col``, the column of their left edge (or of ``x``)."""
     x = F.col("x") + 1 if x is None else x
-    out = rows.drop("col").join(lines, ["paper_id", "page"], "left")
-    return out.withColumn("col", F.coalesce(F.size(F.filter("lines", lambda line: line <= x)), F.lit(0))).drop("lines")
+    return _lined(rows.drop("col"), lines).withColumn("col", _column(x)).drop("lines")
 
 
 def slots(blocks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -155,9 +164,10 @@ def slots(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     Columns are cut at the lines, not at the text, so that what was not read stays inside.
     """
     cx = (F.col("x0") + F.col("x1")) / 2
-    inside = placed(content(blocks), lines, cx).groupBy("paper_id", "page", "col").agg(F.min("x0").alias("from"), F.max("x1").alias("to"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    inside = _lined(content(blocks).select("paper_id", "page", "x0", "y0", "x1", "y1"), lines).withColumn("col", _column(cx))
+    inside = inside.groupBy("paper_id", "page", "col", "lines").agg(F.min("x0").alias("from"), F.max("x1").alias("to"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     edge = lambda k: F.get("lines", k)
-    out = inside.join(lines, ["paper_id", "page"], "left").withColumn("n", F.coalesce(F.size("lines"), F.lit(0)))
+    out = inside.withColumn("n", F.coalesce(F.size("lines"), F.lit(0)))
     by = Window.partitionBy("paper_id").orderBy("page", "col")
     return out.select(
         "paper_id",
@@ -312,47 +322,56 @@ def regions(layout: Layout) -> DataFrame:
     """(paper_id, seq, number, slot, page, x0, y0, x1, y1): each start's boxes up to the next start, heading or boundary.
 
     The first box begins above the start, but not in a heading that stands right
-    there, the last one ends before the next; slivers are dropped.
+    there, the last one ends before the next; slivers are dropped. Starts and
+    headings are dealt out by paper once.
     """
-    heads, spaces = layout.headings, settled(layout.slots)
-    events = layout.starts.select("paper_id", *_KEY).unionByName(heads.select("paper_id", *_KEY)).distinct()
-    stops = events.withColumn("stop", F.lead(F.struct(*_KEY)).over(Window.partitionBy("paper_id").orderBy(*_KEY)))
-    above = layout.starts.select("paper_id", "page", "col", "y").distinct().join(heads.select("paper_id", "page", "col", F.col("y").alias("head_y"), "bottom"), ["paper_id", "page", "col"])
-    floor = above.where((F.col("head_y") < F.col("y")) & (F.col("bottom") <= F.col("y") + 2)).groupBy("paper_id", *_KEY).agg(F.max(F.least("y", F.col("bottom") + 1)).alias("floor"))
-    spans = layout.starts.join(stops, ["paper_id", *_KEY]).join(floor, ["paper_id", *_KEY], "left")
-    places = spaces.select("paper_id", F.col("page").alias("page"), F.col("col").alias("col"), "slot")
+    start = F.struct("seq", "number", "at_start", "source").alias("start")
+    events = layout.starts.select("paper_id", *_KEY, start).unionByName(layout.headings.select("paper_id", *_KEY, F.struct("bottom").alias("head")), True)
+    places = events.repartition("paper_id").groupBy("paper_id", *_KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("head.bottom").alias("bottoms"))
+    above = F.flatten(F.collect_list(F.when(F.size("bottoms") > 0, F.col("bottoms"))).over(Window.partitionBy("paper_id", "page", "col").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)))
+    stops = places.withColumns({"stop": F.lead(F.struct(*_KEY)).over(Window.partitionBy("paper_id").orderBy(*_KEY)), "above": above})
+    floor = F.array_max(F.transform(F.filter("above", lambda b: b <= F.col("y") + 2), lambda b: F.least(F.col("y"), b + 1)))
+    spans = stops.select("paper_id", *_KEY, "stop", floor.alias("floor"), F.inline("starts"))
     # a stop in a column without content ends the region before the next column that has some
-    ends = places.select("paper_id", F.struct("page", "col").alias("at"), "slot").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("at", "slot"))).alias("all"))
-    spans = spans.join(places, ["paper_id", "page", "col"]).join(ends, "paper_id")
-    stop = F.struct(F.col("stop.page").alias("page"), F.col("stop.col").alias("col"))
-    last = F.coalesce(F.array_max(F.transform(F.filter("all", lambda s: s["at"] <= stop), lambda s: s["slot"])), F.when(F.col("stop").isNull(), F.size("all") - 1), F.col("slot"))
-    wide = spans.withColumn("last", F.greatest(last, F.col("slot"))).drop("all").withColumn("first", F.col("slot")).withColumn("slot", F.explode(F.sequence("first", "last")))
-    at = spaces.select("paper_id", "slot", F.col("page").alias("at_page"), F.col("col").alias("at_col"), "x0", "x1", "top", "bottom")
-    cut = wide.join(at, ["paper_id", "slot"])
+    one = F.struct(F.struct("page", "col").alias("at"), "slot", "x0", "x1", "top", "bottom")
+    spans = spans.join(layout.slots.groupBy("paper_id").agg(F.sort_array(F.collect_list(one)).alias("all")), "paper_id")
+    own, stop = F.struct("page", "col"), F.struct(F.col("stop.page").alias("page"), F.col("stop.col").alias("col"))
+    spans = spans.withColumn("first", F.get(F.filter("all", lambda s: s["at"] == own), F.lit(0))["slot"]).where("first is not null")
+    last = F.coalesce(F.array_max(F.transform(F.filter("all", lambda s: s["at"] <= stop), lambda s: s["slot"])), F.when(F.col("stop").isNull(), F.size("all") - 1), F.col("first"))
+    spans = spans.withColumn("last", F.greatest(last, F.col("first")))
+    cut = spans.withColumn("in", F.explode(F.filter("all", lambda s: s["slot"].between(F.col("first"), F.col("last"))))).drop("all")
     pad = PAD + F.when(F.col("source") == "located", PAD_LOCATED).when(~F.col("at_start"), PAD_INSIDE).otherwise(0.0)
-    top = F.when(F.col("slot") == F.col("first"), F.greatest(F.col("top"), F.col("y") - pad, F.coalesce("floor", F.lit(0.0)))).otherwise(F.col("top"))
-    bottom = F.when((F.col("at_page") == F.col("stop.page")) & (F.col("at_col") == F.col("stop.col")), F.least(F.col("bottom"), F.col("stop.y") - BEFORE_NEXT)).otherwise(F.col("bottom"))
-    boxes = cut.withColumns({"y0": top, "y1": bottom}).where(F.col("y1") - F.col("y0") >= SLIVER)
-    return boxes.select("paper_id", "seq", "number", "slot", F.col("at_page").alias("page"), *(F.round(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    top = F.when(F.col("in.slot") == F.col("first"), F.greatest(F.col("in.top"), F.col("y") - pad, F.coalesce("floor", F.lit(0.0)))).otherwise(F.col("in.top"))
+    bottom = F.when((F.col("in.at.page") == F.col("stop.page")) & (F.col("in.at.col") == F.col("stop.col")), F.least(F.col("in.bottom"), F.col("stop.y") - BEFORE_NEXT)).otherwise(F.col("in.bottom"))
+    boxes = cut.withColumns({"x0": F.col("in.x0"), "x1": F.col("in.x1"), "y0": top, "y1": bottom}).where(F.col("y1") - F.col("y0") >= SLIVER)
+    return boxes.select("paper_id", "seq", "number", F.col("in.slot").alias("slot"), F.col("in.at.page").alias("page"), *(F.round(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 def questions(blocks: DataFrame, layout: Layout) -> DataFrame:
-    """(paper_id, number, seq, section, text): each start with the text up to the next start or heading, and the section above it."""
+    """(paper_id, number, seq, section, text): each start with the text up to the next start or heading, and the section above it.
+
+    Lines, starts and headings are dealt out by paper once.
+    """
     order = ["page", "col", "y", "rank", "seq"]
     cx = (F.col("x0") + F.col("x1")) / 2
+    lines = textual(blocks).select("paper_id", "page", F.lit(None).cast("int").alias("col"), F.col("y0").alias("y"), F.lit(1).alias("rank"), "seq", cx.alias("cx"), plain().alias("text"))
+    begins = layout.starts.select("paper_id", *_KEY, F.lit(0).alias("rank"), "seq", F.struct("seq", "number").alias("start"))
+    none = F.struct(F.lit(-1).alias("seq"), F.lit(-1).alias("number"))
+    stops = layout.headings.select("paper_id", *_KEY, F.lit(0).alias("rank"), "seq", none.alias("start"), F.when(F.col("kind") == "heading", F.col("text")).alias("section"))
+    rows = _lined(lines.unionByName(begins, True).unionByName(stops, True).repartition("paper_id"), layout.lines)
+    rows = rows.withColumn("col", F.when(F.col("rank") == 1, _column(F.col("cx"))).otherwise(F.col("col"))).drop("lines")
     # a block in which another start stands is cut there
-    inner = layout.starts.where("offset > 0").groupBy("paper_id", "seq").agg(F.sort_array(F.collect_set(F.struct("offset", "y"))).alias("inner"))
-    whole = F.struct(F.lit(0).alias("offset"), F.col("y0").alias("y"))
-    cuts = placed(textual(blocks), layout.lines, cx).join(inner, ["paper_id", "seq"], "left").withColumn("cuts", F.concat(F.array(whole), F.coalesce("inner", F.array().cast("array<struct<offset:int,y:double>>"))))
-    cuts = cuts.select("paper_id", "page", "col", "seq", plain().alias("text"), "cuts", F.posexplode("cuts").alias("k", "cut"))
+    inner = layout.starts.where("offset > 0").repartition("paper_id").groupBy("paper_id", "seq").agg(F.sort_array(F.collect_set(F.struct("offset", "y"))).alias("inner"))
+    inner = inner.where("seq is not null").groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("seq", "inner"))).alias("_blocks"))
+    whole = F.array(F.struct(F.lit(0).alias("offset"), F.col("y").alias("y")))
+    cuts = F.when(F.col("rank") == 1, F.concat(whole, F.coalesce(F.try_element_at("_blocks", "seq"), F.array().cast("array<struct<offset:int,y:double>>")))).otherwise(whole)
+    rows = rows.join(inner, "paper_id", "left").withColumn("cuts", cuts).drop("_blocks", "y")
+    rows = rows.select("*", F.posexplode("cuts").alias("k", "cut"))
     until = F.coalesce(F.get("cuts", F.col("k") + 1)["offset"], F.length("text"))
     part = F.substr("text", F.col("cut.offset") + 1, until - F.col("cut.offset"))
-    lines = cuts.select("paper_id", "page", "col", F.col("cut.y").alias("y"), F.lit(1).alias("rank"), "seq", F.regexp_replace(part, r"\n$", "").alias("text"), F.lit(None).cast("struct<seq:int,number:int>").alias("start"), F.lit(None).cast("string").alias("section"))
-    begins = layout.starts.select("paper_id", *_KEY, F.lit(0).alias("rank"), "seq", F.lit(None).cast("string").alias("text"), F.struct("seq", "number").alias("start"), F.lit(None).cast("string").alias("section"))
-    none = F.struct(F.lit(-1).alias("seq"), F.lit(-1).alias("number"))
-    stops = layout.headings.select("paper_id", *_KEY, F.lit(0).alias("rank"), "seq", F.lit(None).cast("string").alias("text"), none.alias("start"), F.when(F.col("kind") == "heading", F.col("text")).alias("section"))
+    rows = rows.select("paper_id", "page", "col", F.col("cut.y").alias("y"), "rank", "seq", F.regexp_replace(part, r"\n$", "").alias("text"), "start", "section")
     by = Window.partitionBy("paper_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    owned = lines.unionByName(begins).unionByName(stops).withColumns({"owner": F.last("start", True).over(by), "section": F.last("section", True).over(by)}).where("owner.seq >= 0")
+    owned = rows.withColumns({"owner": F.last("start", True).over(by), "section": F.last("section", True).over(by)}).where("owner.seq >= 0")
     texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(*order, "text"))))
     out = owned.groupBy("paper_id", "owner").agg(texts.alias("t"), F.min_by("section", F.struct(*order)).alias("section"))
     return out.select("paper_id", F.col("owner.number").alias("number"), F.col("owner.seq").alias("seq"), "section", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))

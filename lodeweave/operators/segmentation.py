@@ -43,7 +43,11 @@ def segment(blocks: DataFrame) -> DataFrame:
     layout = layout._replace(starts=settled(layout.starts))
     boxes = exam.regions(layout).groupBy("paper_id", "number", F.col("seq").alias("first_seq")).agg(F.array_sort(F.collect_list(F.struct("slot", "page", "x0", "y0", "x1", "y1"))).alias("regions"))
     texts = exam.questions(blocks, layout).withColumnRenamed("seq", "first_seq")
-    return texts.join(boxes, ["paper_id", "number", "first_seq"], "left").select("paper_id", "number", "first_seq", "section", "text", F.coalesce(F.transform("regions", lambda r: F.struct(r["page"].alias("page"), r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))), F.array().cast(REGIONS)).alias("regions"))
+    # both are dealt out by paper already, and a join by paper keeps them there
+    start = F.struct("number", "first_seq")
+    of_paper = boxes.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct(start, "regions"))).alias("boxes"))
+    texts = texts.join(of_paper, "paper_id", "left").withColumn("regions", F.try_element_at("boxes", start))
+    return texts.select("paper_id", "number", "first_seq", "section", "text", F.coalesce(F.transform("regions", lambda r: F.struct(r["page"].alias("page"), r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))), F.array().cast(REGIONS)).alias("regions"))
 
 
 def _scopes(blocks: list) -> list[tuple]:

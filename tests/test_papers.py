@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lodeweave.operators import exam, textbook
+from lodeweave.operators import exam, segmentation, textbook
 from lodeweave.plans import papers
 from lodeweave.plans.registry import Env
 
@@ -421,3 +421,23 @@ def test_settled_tables_are_read_by_column(spark):
 
 def test_tables_of_scores_and_options_are_numbered_once(env):
     assert not any("l_orderkey" in plan(df) for df in (*papers.score_tables(env), *papers.option_tables(env)))
+
+
+def test_segments_are_dealt_out_by_paper_alone(env):
+    env.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables are too large for it at scale
+    try:
+        shown = plan(segmentation.segment(papers.exam_blocks(env)))
+    finally:
+        env.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", shown)
+    assert keys and all(k.startswith("paper_id") and "," not in k for k in keys), keys
+
+
+def test_starts_and_headings_of_one_place(spark):
+    """Starts that stand at one place end at the next other place; the lowest heading right above counts."""
+    starts = spark.createDataFrame([(1, n, n, 0, 0, 10.0, y, 3.0, True, 0, "read") for n, y in ((1, 100.0), (2, 100.0), (3, 300.0))], "paper_id long, number int, seq int, page int, col int, x double, y double, score double, at_start boolean, offset int, source string")
+    heads = spark.createDataFrame([(1, 9, 0, 0, 10.0, 70.0, 93.0, "heading", "一、"), (1, 8, 0, 0, 10.0, 80.0, 95.0, "subheading", "（一）"), (1, 7, 0, 0, 10.0, 60.0, None, "heading", "二、")], "paper_id long, seq int, page int, col int, x double, y double, bottom double, kind string, text string")
+    slots = spark.createDataFrame([(1, 0, 0, 0, 0.0, 500.0, 40.0, 900.0), (1, 1, 1, 0, 0.0, 500.0, 40.0, 700.0)], "paper_id long, slot int, page int, col int, x0 double, x1 double, top double, bottom double")
+    lines = spark.createDataFrame([], "paper_id long, page int, lines array<double>")
+    got = exam.regions(exam.Layout(starts, slots, heads, lines)).collect()
+    assert sorted((r.number, r.slot, r.page, r.y0, r.y1) for r in got) == [(1, 0, 0, 96.0, 298.0), (2, 0, 0, 96.0, 298.0), (3, 0, 0, 291.0, 900.0), (3, 1, 1, 40.0, 700.0)]
